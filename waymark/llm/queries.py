@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.decontaminate import contaminated, decontaminate
+from waymark.llm.sentencepiece_codec import MODEL, encode_decode
+from waymark.llm.token_counts import VOCABULARY, count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +38,25 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL)).select(
+        "doc_id",
+        F.expr("cast(length(ids_le) div 4 as long)").alias("n_tokens"),
+        F.sha2("ids_le", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over 2048 tokens are flagged."""
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)).withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op7_token_counts": op7_token_counts,
 }
 
 ORACLES = {
