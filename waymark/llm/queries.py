@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.decontaminate import contaminated, decontaminate
+from waymark.llm.order_minhash import as_text, likeness, with_next, with_signature
+from waymark.llm.rendezvous import shard
 from waymark.llm.sentencepiece_codec import MODEL, encode_decode
 from waymark.llm.token_counts import VOCABULARY, count_tokens
 
@@ -15,6 +17,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ringed = with_next(with_signature(docs, "text", "sig"), "doc_id", ["text", "sig"], F.xxhash64("text"))
+    third = F.expr("int(length(text) div 3)")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring(F.col("next.text"), F.lit(1), third))
+    signed = with_signature(ringed.withColumn("next_sig", F.col("next.sig")).withColumn("edited", edited).drop("next"), "edited", "edited_sig")
+    return signed.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text("sig").alias("fingerprint"),
+        as_text("edited_sig").alias("edited_fingerprint"),
+        likeness("sig", "edited_sig").alias("near_edited"),
+        likeness("sig", "next_sig").alias("near_next"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -48,14 +67,21 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of equal weight; `key` is the law of rendezvous hashing."""
+    return shard(_table(spark, sf_dir, "documents"), [1.0] * 8).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents over 2048 tokens are flagged."""
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
 QUERIES = {
+    "op2_order_minhash": op2_order_minhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_rendezvous": op5_rendezvous,
     "op7_token_counts": op7_token_counts,
 }
 
