@@ -6,17 +6,51 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm import language_id, pii, warc_zst
 from waymark.llm.decontaminate import contaminated, decontaminate
 from waymark.llm.order_minhash import as_text, likeness, with_next, with_signature
 from waymark.llm.rendezvous import shard
 from waymark.llm.sentencepiece_codec import MODEL, encode_decode
 from waymark.llm.token_counts import VOCABULARY, count_tokens
+from waymark.llm.tool_calls import link
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Both sides of a chat as a tool: what a user turn asks the assistant.
+CHAT_SCHEMAS = {"reply": {"chars": ("integer", True), "prompt": ("string", True), "turn": ("integer", True)}}
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn is a call of `reply`, every assistant turn answers the turn before it.
+
+    A call depends on the call two turns earlier, if there is one. System turns are neither.
+    """
+    turns = _table(spark, sf_dir, "conversations")
+    name = lambda t: F.concat_ws("-", F.col("conv_id"), t)
+    arguments = F.to_json(F.struct(F.length("text").alias("chars"), F.col("text").alias("prompt"), F.col("turn")))
+    calls = turns.where("role = 'user'").select(name(F.col("turn")).alias("id"), F.col("conv_id").alias("conversation"), "turn", F.lit("reply").alias("tool"), arguments.alias("arguments"))
+    results = turns.where("role = 'assistant'").select(name(F.col("turn") - 1).alias("id"), F.col("conv_id").alias("conversation"), "turn", F.col("text").alias("content"))
+    edges = turns.where("role = 'user' and turn >= 2").select(name(F.col("turn")).alias("id"), name(F.col("turn") - 2).alias("needs"))
+    return link(calls, results, CHAT_SCHEMAS, edges)
+
+
+_OP1_SQL = """
+WITH c AS (SELECT conv_id || '-' || turn AS id, conv_id, turn, text FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id || '-' || (turn - 1) AS id, min(conv_id) AS conv_id, min(turn) AS turn, count(*) AS n, first(text ORDER BY turn, text) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1)
+SELECT coalesce(c.conv_id, r.conv_id) AS conversation, coalesce(c.id, r.id) AS id, CAST(0 AS INTEGER) AS level, c.turn AS turn,
+       CASE WHEN c.id IS NOT NULL THEN 'reply' END AS tool, r.turn AS result_turn, coalesce(r.n, 0) AS n_results,
+       CASE WHEN c.id IS NULL THEN 'orphan_result' WHEN count(*) OVER (PARTITION BY c.id) > 1 THEN 'duplicate_id' WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       '' AS errors,
+       '{' || CASE WHEN c.id IS NOT NULL THEN '"arguments":{"chars":' || length(c.text) || ',"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},' ELSE '' END
+           || '"id":' || CAST(to_json(coalesce(c.id, r.id)) AS VARCHAR) || CASE WHEN c.id IS NOT NULL THEN ',"name":"reply"' ELSE '' END
+           || CASE WHEN r.id IS NOT NULL THEN ',"result":' || CAST(to_json(r.content) AS VARCHAR) ELSE '' END || '}' AS canonical_json
+FROM c FULL OUTER JOIN r ON c.id = r.id
+"""
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ringed = with_next(with_signature(docs, "text", "sig"), "doc_id", ["text", "sig"], F.xxhash64("text"))
@@ -77,14 +111,50 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc_zst.new_folder(spark)
+    return warc_zst.read_archives(warc_zst.write_archives(_table(spark, sf_dir, "pages"), folder), folder)
+
+
+_OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS leader, count(*) OVER (PARTITION BY coalesce(html, '')) AS n FROM pages),
+q AS (SELECT *, sha1(h) AS x FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN n > 1 AND page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n > 1 AND page_id <> leader THEN leader END AS refers_to, true AS intact
+FROM q
+"""
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_order_minhash": op2_order_minhash,
     "op3_decontaminate": op3_decontaminate,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_rendezvous": op5_rendezvous,
     "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
+    "op9_language_id": op9_language_id,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {
+    "op1_tool_calls": _OP1_SQL,
     "op3_decontaminate": _OP3_SQL,
+    "op8_warc": _OP8_SQL,
 }
