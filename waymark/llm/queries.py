@@ -120,7 +120,7 @@ _OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS leader, count(*) OVER (PARTITION BY coalesce(html, '')) AS n FROM pages),
 q AS (SELECT *, sha1(h) AS x FROM p)
 SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
        CASE WHEN n > 1 AND page_id <> leader THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n > 1 AND page_id <> leader THEN leader END AS refers_to, true AS intact
 FROM q
 """
