@@ -3,8 +3,9 @@
 A score-ordered agenda holds the adjacent symbol pairs whose union is a piece; the pair of the
 highest score, leftmost on ties, is merged until none is left; symbols that are no piece fall
 back to byte pieces. No piece of such a vocabulary has a word mark after another character, and
-none has a line feed, so no merge crosses those places: texts are cut there and every distinct
-chunk goes through the agenda once for each worker. In each Arrow batch the new chunks are
+none mixes letters with signs or digits, so no merge crosses those places: texts are cut
+there (the model is checked for it) and every distinct chunk goes through the agenda once for
+each worker. In each Arrow batch the new chunks are
 checked against the sentencepiece library, and so is the decoding of every text; where the two
 differ, the library's result stands and `n_unlike` counts it.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,12 @@ from waymark.llm.shared import raw_text, slices
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: A worker keeps at most so many chunks' ids; then it starts anew. This bounds memory, not results.
-CACHE_CHUNKS = 300_000
-_CUT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
+CACHE_CHUNKS = 700_000
+#: Chunks of at most so many characters use a list as their agenda, longer ones a heap.
+SHORT = 48
+_SIGN = r"\x0B-\x40\x5B-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2000-\u206F"
+_CUT = re.compile(rf"{MARK}*[^\x00-\x0A{_SIGN}{MARK}]+|{MARK}*[\x00-\x09{_SIGN}]+|{MARK}+|\n+")
+_NO = float("inf")
 _BEFORE = "a\n"  # checked chunks stand behind this, where nothing merges with them
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids_le", pa.binary()), ("decoded", pa.string()), ("n_unlike", pa.int64())])
@@ -47,8 +53,9 @@ class Codec:
         pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         self.rank = {p: (-sp.get_score(i), i) for i, p in enumerate(pieces) if not special[i]}
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.rank):
-            raise ValueError("pieces cross word marks or lines; this vocabulary can't be cut there")
+        if any(len(_CUT.findall(p)) != 1 for p in self.rank):
+            raise ValueError("pieces cross word marks, lines or signs; this vocabulary can't be cut there")
+        self.cost = {p: c for p, (c, _) in self.rank.items()}
         surface = {i: p.replace(MARK, " ").encode() for p, (_, i) in self.rank.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
         self.surface = [surface.get(i, b"") for i in range(sp.vocab_size())]
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
@@ -57,20 +64,37 @@ class Codec:
 
     def agenda(self, chunk: str) -> list[int]:
         """The ids of a chunk."""
-        rank = self.rank
-        symbols: list[str | None] = list(chunk)
-        after, prior = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        waiting: list[tuple[float, int, str]] = []
-
-        def offer(left: int, right: int) -> None:
-            both = symbols[left] + symbols[right]
-            if both in rank:
-                waiting.append((rank[both][0], left, both))
-
-        for i in range(len(symbols) - 1):
-            offer(i, i + 1)
-        heapq.heapify(waiting)
+        symbols = self._by_list(chunk) if len(chunk) <= SHORT else self._by_heap(chunk)
+        out = []
+        for s in symbols:
+            if s in self.rank:
+                out.append(self.rank[s][1])
+            else:
+                out.extend(self.bytes[b] for b in s.encode())
+        return out
+
+    def _by_list(self, chunk: str) -> list[str]:
+        """The agenda as a list beside the symbols: the first of the least costs is the next merge."""
+        symbols, cost = list(chunk), self.cost.get
+        waiting = [cost(a + b, _NO) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
+        while waiting:
+            if (least := min(waiting)) == _NO:
+                break
+            i = waiting.index(least)
+            symbols[i] += symbols.pop(i + 1)
+            del waiting[i]
+            if i < len(waiting):
+                waiting[i] = cost(symbols[i] + symbols[i + 1], _NO)
+            if i:
+                waiting[i - 1] = cost(symbols[i - 1] + symbols[i], _NO)
+        return symbols
+
+    def _by_heap(self, chunk: str) -> list[str]:
+        cost, symbols = self.cost, list(chunk)
         n = len(symbols)
+        after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(cost[both], i, both) for i in range(n - 1) if (both := symbols[i] + symbols[i + 1]) in cost]
+        heapq.heapify(waiting)
         while waiting:
             _, left, both = heapq.heappop(waiting)
             if symbols[left] is None or (right := after[left]) >= n or symbols[left] + symbols[right] != both:
@@ -80,13 +104,9 @@ class Codec:
             if to < n:
                 prior[to] = left
             for a, b in ((prior[left], left), (left, to)):
-                if a >= 0 and b < n and (grown := symbols[a] + symbols[b]) in rank:
-                    heapq.heappush(waiting, (rank[grown][0], a, grown))
-        out = []
-        for s in symbols:
-            if s is not None:
-                out.extend([rank[s][1]] if s in rank else [self.bytes[b] for b in s.encode()])
-        return out
+                if a >= 0 and b < n and (grown := symbols[a] + symbols[b]) in cost:
+                    heapq.heappush(waiting, (cost[grown], a, grown))
+        return [s for s in symbols if s is not None]
 
     def learn(self, chunks: set[str]) -> int:
         """Adds chunks to `known`, each checked against the library; how many differed."""
@@ -96,7 +116,7 @@ class Codec:
             own = self.agenda(chunk)
             if own != ids[len(self.before) :]:
                 unlike, own = unlike + 1, ids[len(self.before) :]
-            self.known[chunk] = np.array(own, "<u4").tobytes()
+            self.known[chunk] = array("I", own).tobytes()
         return unlike
 
     def run(self, texts: list[str]) -> tuple[list[bytes], list[str], int]:
