@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import language_id, pii, warc_zst
+from waymark.llm.chosen_path import similar_texts
 from waymark.llm.decontaminate import contaminated, decontaminate
 from waymark.llm.order_minhash import as_text, likeness, with_next, with_signature
 from waymark.llm.rendezvous import shard
@@ -106,6 +107,10 @@ def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), [1.0] * 8).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_texts(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents over 2048 tokens are flagged."""
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)).withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -147,6 +152,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_rendezvous": op5_rendezvous,
+    "op6_chosen_path": op6_chosen_path,
     "op7_token_counts": op7_token_counts,
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
