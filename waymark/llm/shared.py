@@ -99,13 +99,15 @@ def hashed_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes, starts, ends, np.searchsorted(starts, offs)
 
 
-_POWERS = np.ones(1, np.uint64)
+_POWERS = np.ones(0, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([[1], np.full(2 * n, _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        factors = np.full(2 * n, _BASE, np.uint64)
+        factors[0] = 1
+        _POWERS = np.cumprod(factors)
     return _POWERS
 
 
