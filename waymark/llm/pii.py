@@ -232,7 +232,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN)), ("text", pa.string())])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -245,26 +245,44 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def _finding(shared, redact: bool):
+def _finding(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                raw = part.column(1).to_pylist()
-                texts = [t or "" for t in raw]
-                base, more = finder.find(texts)
+                base, more = finder.find([t or "" for t in part.column(1).to_pylist()])
                 spans = [sorted([(*s, True) for s in b] + [(*s, False) for s in m], key=lambda s: s[:3]) for b, m in zip(base, more, strict=True)]
                 rows = [[{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in s] for s in spans]
-                clean = [None if t is None or not redact else redacted(t, [s[:3] for s in own]) for t, own in zip(raw, spans, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(rows, pa.list_(_SPAN)), pa.array(clean, pa.string())], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(rows, pa.list_(_SPAN))], schema=_SCHEMA)
 
     return run
 
 
-def find(docs: DataFrame, tagger: Tagger | None, doc_id: str = "doc_id", text: str = "text", redact: bool = False) -> DataFrame:
-    """doc_id, spans (kind, start, end, base; by kind and start) and, if asked for, the redacted text."""
+def find(docs: DataFrame, tagger: Tagger | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and spans (kind, start, end, base; by kind and start)."""
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        _finding(shared, redact), "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean>>, text string"
+        _finding(shared), "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean>>"
     )
+
+
+def _redacting(shared, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(shared.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                raw = part.column(text_at).to_pylist()
+                base, more = finder.find([t or "" for t in raw])
+                clean = [None if t is None else redacted(t, b + m) for t, b, m in zip(raw, base, more, strict=True)]
+                yield part.set_column(text_at, part.schema.field(text_at), pa.array(clean, part.schema.field(text_at).type))
+
+    return run
+
+
+def redact(docs: DataFrame, tagger: Tagger | None, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs with every span in the text replaced by its kind, and n_chars (if there) that of the new text."""
+    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    out = docs.mapInArrow(_redacting(shared, docs.columns.index(text)), docs.schema)
+    return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else out
