@@ -1,6 +1,8 @@
-"""Registered queries and their oracles, by name."""
+"""All registered queries and their oracles, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from waymark.plans import q_normalize  # noqa: F401
+from waymark.plans.core import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
