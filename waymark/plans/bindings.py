@@ -154,3 +154,38 @@ def with_sql(names: str, body: str) -> str:
     body = body.strip()
     parts = [SQL[n] for n in order]
     return "WITH " + ",\n".join(parts) + (",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+
+
+def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task completion of nine in ten checkpoints; statuses follow the order key."""
+    k = F.col("order_key")
+    return checkpoints(spark, sf_dir).where("session_id <> 'baseline' and order_key % 10 <> 9").select(
+        "session_id", "task_id", "task_order", "agent", "strategy", F.when(k % 7 == 1, "failed").when(k % 7 != 0, "success").alias("agent_status"), F.when(k % 5 != 0, k % 5 != 1).alias("completion_marker_found"),
+        (k % 11 == 0).alias("agent_reported_error"), F.when(k % 3 == 0, "pass").when(k % 3 == 1, "fail").otherwise("error").alias("test_status"), (k % 20 + 5).alias("test_cases_total"), (k % 20 + 5 - k % 4).alias("test_cases_passed"),
+        (k % 4).alias("test_cases_failed"), (F.col("duration_ms") / 1000).alias("duration_seconds"), F.round(F.col("duration_ms") / 100000, 4).alias("cost_usd"), F.when(F.col("agent") == "building", "estimated").otherwise("reported").alias("cost_basis"),
+        (F.col("duration_ms") * 3).alias("tokens"))
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third customer's session has a self-review."""
+    return table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("S"), F.col("c_custkey")).alias("session_id"), (F.col("c_custkey") % 5).alias("n_findings"), "c_custkey")
+
+
+def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir).where("n_findings > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_findings"))))
+    return rows.select("session_id", F.concat_ws("-", "session_id", "i").alias("finding_id"), F.concat(F.lit("backend/src/m"), (F.col("c_custkey") + F.col("i")) % 9, F.lit(".ts; x.ts")).alias("referenced_files"))
+
+
+SQL["completion"] = """completion AS (SELECT session_id, task_id, task_order, agent, strategy, CASE WHEN order_key % 7 = 1 THEN 'failed' WHEN order_key % 7 <> 0 THEN 'success' END AS agent_status, CASE WHEN order_key % 5 <> 0 THEN order_key % 5 <> 1 END AS completion_marker_found,
+  order_key % 11 = 0 AS agent_reported_error, CASE order_key % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'error' END AS test_status, order_key % 20 + 5 AS test_cases_total, order_key % 20 + 5 - order_key % 4 AS test_cases_passed, order_key % 4 AS test_cases_failed,
+  duration_ms / 1000 AS duration_seconds, round(duration_ms / 100000, 4) AS cost_usd, CASE WHEN agent = 'building' THEN 'estimated' ELSE 'reported' END AS cost_basis, duration_ms * 3 AS tokens FROM checkpoints WHERE session_id <> 'baseline' AND order_key % 10 <> 9)"""
+SQL["reviews"] = "reviews AS (SELECT 'S' || c_custkey AS session_id, c_custkey % 5 AS n_findings, c_custkey FROM customer WHERE c_custkey % 3 = 0)"
+SQL["review_findings"] = "review_findings AS (SELECT session_id, session_id || '-' || i AS finding_id, 'backend/src/m' || ((c_custkey + i) % 9) || '.ts; x.ts' AS referenced_files FROM (SELECT *, unnest(range(1, n_findings + 1)) AS i FROM reviews))"
+SQL["bounds"] = """bounds AS (SELECT metric_name, count(value) AS n, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75), 9) AS q3,
+  round(quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)), 9) AS iqr_low, round(quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)), 9) AS iqr_high, min(direction) AS direction FROM observations GROUP BY 1)"""
+SQL["cells"] = """cells AS (SELECT r.evaluation_id, r.agent, r.strategy, r.task_id, k.concern, CASE WHEN m.status = 'error' THEN 'indeterminate_metric_error' WHEN f.concern IS NOT NULL THEN 'constraints_failed'
+  WHEN CASE WHEN m.direction = 'higher_is_better' THEN m.value < b.iqr_low ELSE m.value > b.iqr_high END THEN 'silent_decay' ELSE 'clean' END AS classification
+  FROM runs r CROSS JOIN concerns k LEFT JOIN (SELECT DISTINCT evaluation_id, regexp_extract(rule_id, '^(.*)-C-001$', 1) AS concern FROM changes WHERE delta_scope = 'run_local' AND change_type = 'introduced') f ON f.evaluation_id = r.evaluation_id AND f.concern = k.concern
+  LEFT JOIN observations m ON m.evaluation_id = r.evaluation_id AND regexp_extract(m.metric_name, '^(BE|FE|CROSS)-[A-Z]+') = k.concern LEFT JOIN bounds b ON b.metric_name = m.metric_name WHERE r.session_id <> 'baseline')"""
+SQL["files"] = "files AS (SELECT evaluation_id, file, count(*) AS n FROM findings GROUP BY 1, 2)"
+_NEEDS |= {"completion": ["checkpoints"], "review_findings": ["reviews"], "bounds": ["observations"], "cells": ["runs", "changes", "bounds", "concerns"], "files": ["findings"]}
