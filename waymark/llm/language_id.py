@@ -28,8 +28,8 @@ from waymark.llm.shared import raw_text, slices
 BUCKETS, WIDTH = 1 << 15, 12
 #: The training sample's bounds: texts for each language, characters of each, bytes of a training piece.
 PER_LANGUAGE, SAMPLE_CHARS, PIECE = 300, 1200, 120
-#: No text with a calibrated confidence of more than this is rejected.
-MOST_DOUBT = 0.6
+#: No text with a calibrated confidence of more than so many times an even guess is rejected.
+MOST_DOUBT = 1.4
 _GRAMS = (2, 3, 4)
 _PAD = 3
 _FOLD = np.full(256, 32, np.uint8)
@@ -158,7 +158,7 @@ def _calibrate(model: Model, texts: list[bytes], y: np.ndarray) -> None:
 
     model.temperature = min((float(t) for t in np.geomspace(0.05, 20, 60)), key=loss)
     best = model.confidence(logits).max(axis=1)
-    model.doubt = float(min(MOST_DOUBT, np.quantile(best, 0.005)))
+    model.doubt = float(min(MOST_DOUBT / len(model.languages), np.quantile(best, 0.005)))
 
 
 def held_out(doc_id: Column) -> Column:
