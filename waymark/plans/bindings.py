@@ -162,7 +162,7 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoints(spark, sf_dir).where("session_id <> 'baseline' and order_key % 10 <> 9").select(
         "session_id", "task_id", "task_order", "agent", "strategy", F.when(k % 7 == 1, "failed").when(k % 7 != 0, "success").alias("agent_status"), F.when(k % 5 != 0, k % 5 != 1).alias("completion_marker_found"),
         (k % 11 == 0).alias("agent_reported_error"), F.when(k % 3 == 0, "pass").when(k % 3 == 1, "fail").otherwise("error").alias("test_status"), (k % 20 + 5).alias("test_cases_total"), (k % 20 + 5 - k % 4).alias("test_cases_passed"),
-        (k % 4).alias("test_cases_failed"), (F.col("duration_ms") / 1000).alias("duration_seconds"), F.round(F.col("duration_ms") / 100000, 4).alias("cost_usd"), F.when(F.col("agent") == "building", "estimated").otherwise("reported").alias("cost_basis"),
+        (k % 4).alias("test_cases_failed"), (F.col("duration_ms") / 1000).alias("duration_seconds"), F.round(F.col("duration_ms") / 100000, 5).alias("cost_usd"), F.when(F.col("agent") == "building", "estimated").otherwise("reported").alias("cost_basis"),
         (F.col("duration_ms") * 3).alias("tokens"))
 
 
@@ -178,7 +178,7 @@ def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["completion"] = """completion AS (SELECT session_id, task_id, task_order, agent, strategy, CASE WHEN order_key % 7 = 1 THEN 'failed' WHEN order_key % 7 <> 0 THEN 'success' END AS agent_status, CASE WHEN order_key % 5 <> 0 THEN order_key % 5 <> 1 END AS completion_marker_found,
   order_key % 11 = 0 AS agent_reported_error, CASE order_key % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'error' END AS test_status, order_key % 20 + 5 AS test_cases_total, order_key % 20 + 5 - order_key % 4 AS test_cases_passed, order_key % 4 AS test_cases_failed,
-  duration_ms / 1000 AS duration_seconds, round(duration_ms / 100000, 4) AS cost_usd, CASE WHEN agent = 'building' THEN 'estimated' ELSE 'reported' END AS cost_basis, duration_ms * 3 AS tokens FROM checkpoints WHERE session_id <> 'baseline' AND order_key % 10 <> 9)"""
+  duration_ms / 1000 AS duration_seconds, round(duration_ms / 100000, 5) AS cost_usd, CASE WHEN agent = 'building' THEN 'estimated' ELSE 'reported' END AS cost_basis, duration_ms * 3 AS tokens FROM checkpoints WHERE session_id <> 'baseline' AND order_key % 10 <> 9)"""
 SQL["reviews"] = "reviews AS (SELECT 'S' || c_custkey AS session_id, c_custkey % 5 AS n_findings, c_custkey FROM customer WHERE c_custkey % 3 = 0)"
 SQL["review_findings"] = "review_findings AS (SELECT session_id, session_id || '-' || i AS finding_id, 'backend/src/m' || ((c_custkey + i) % 9) || '.ts; x.ts' AS referenced_files FROM (SELECT *, unnest(range(1, n_findings + 1)) AS i FROM reviews))"
 SQL["bounds"] = """bounds AS (SELECT metric_name, count(value) AS n, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75), 9) AS q3,
