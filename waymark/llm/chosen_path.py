@@ -38,8 +38,8 @@ _SHARE = 0.75 * THRESHOLD + 0.25 * (1 - (1 - THRESHOLD) ** 2)
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - _SHARE**LEVELS))
 #: Sketches that agree less are not compared exactly: 4.5 standard deviations under the threshold.
 LEAST_AGREED = math.floor(SKETCH * THRESHOLD - 4.5 * math.sqrt(SKETCH * THRESHOLD * (1 - THRESHOLD)))
-#: Tokens of a block in the exact comparison, about 3 MB of text.
-BLOCK_TOKENS = 400_000
+#: Tokens of a block in the exact comparison, about 1 MB of text.
+BLOCK_TOKENS = 150_000
 #: Tables of node numbers of at most so many rows (some 8 MB) are broadcast; beyond it they are shuffled.
 BROADCAST_ROWS = 150_000
 
