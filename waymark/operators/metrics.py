@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.functions.checkpoints import settled
+
 #: A window counts as cloned in 2 to so many places; common boilerplate beyond it is no clone of anything.
 LARGEST_BUCKET = 40
 
@@ -26,27 +28,16 @@ def normalised_tokens(text: Column) -> Column:
 def clone_lines(files: DataFrame, window: int = 50) -> DataFrame:
     """project, lines, cloned_lines, clone_ratio. files: project, file, tokens.
 
-    Window hashes are built by doubling (1, 2, 4, ... tokens), so a window costs a few hashes, not
-    `window` of them. Pairs are never formed for coverage: in a valid bucket every window is
-    covered, but in a bucket of one file only those at least a window away from its first or last
+    Windows are hashes of token hashes. Pairs are never formed for coverage: in a valid bucket every
+    window is covered, but in a bucket of one file only those at least a window away from its first or last
     place. Where the next window is in too large a bucket, the pairs of the (small) bucket are
     extended token by token.
     """
-    sizes = [1 << i for i in range(window.bit_length()) if 1 << i <= window]
-    at = lambda c, i: F.get(F.col(c), i)
-    df = files.where(F.size("tokens") > 0).withColumn("h1", F.transform("tokens", lambda t: F.xxhash64(t["tok"])))
-    for a in sizes[:-1]:
-        prior = f"h{a}"
-        n = F.greatest(F.size(prior) - a, F.lit(0))
-        df = df.withColumn(f"h{2 * a}", F.transform(F.slice(F.col(prior), F.lit(1), n), lambda h, i: F.xxhash64(h, at(prior, i + a))))  # noqa: B023
-    steps, place = [], 0
-    for a in reversed(sizes):
-        if window & a:
-            steps.append((f"h{a}", place))
-            place += a
-    n = F.greatest(F.size("tokens") - (window - 1), F.lit(0))
-    df = df.withColumn("windows", F.transform(F.slice(F.col(steps[0][0]), F.lit(1), n), lambda h, i: F.xxhash64(h, *[at(c, i + p) for c, p in steps[1:]])))
-    df = df.select("project", "file", "tokens", "windows")
+    df = files.where(F.size("tokens") > 0).withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t["tok"])))
+    last = F.size("h") - window
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("windows", F.transform(starts, lambda i: F.xxhash64(F.slice("h", i + 1, F.lit(window)))))
+    df = settled(df.select("project", "file", "tokens", "windows"))  # read by every step below
     places = df.select("project", "file", F.posexplode("windows").alias("pos", "h"))
     buckets = places.groupBy("project", "h").agg(F.count("*").alias("n"), (F.min("file") == F.max("file")).alias("one_file"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     valid = buckets.where((F.col("n") >= 2) & (F.col("n") <= LARGEST_BUCKET) & (~F.col("one_file") | (F.col("high") - F.col("low") >= window)))

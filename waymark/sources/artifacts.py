@@ -14,41 +14,43 @@ _FINDING = "struct<rule_id:string,scope:string,location:struct<file:string,path:
 _METRIC = "struct<name:string,version:string,status:string,score:string,direction:string>"
 _DELTA = f"struct<constraints:struct<before_count:int,after_count:int,introduced_count:int,resolved_count:int,unchanged_count:int,net_change:int,introduced:array<{_FINDING}>,resolved:array<{_FINDING}>>,metrics:array<struct<key:string,name:string,scope:string,`from`:double,`to`:double,delta:double,direction:string,status:string>>>"
 
-#: Evaluation documents, version 0.3.0
-EVALUATION = StructType.fromDDL(
+#: Schemas of the artifacts as DDL; evaluation documents are of version 0.3.0
+EVALUATION = (
     "schema_version string, evaluation_profile_hash string, run_id string, trajectory_id string, task_id string, rulepack_id string, target struct<workspace_path:string,pre_commit:string,post_commit:string,baseline_commit:string>, "
     f"scopes array<struct<scope_id:string,scope_type:string,status:string,layers:struct<constraints:struct<status:string,rules_evaluated:int,findings:array<{_FINDING}>>,metrics:array<{_METRIC}>>>>, "
     f"deltas struct<run_local:{_DELTA},trajectory_cumulative:{_DELTA}>, duration_ms long, execution_status string, comparison_status string"
 )
-EXECUTION = StructType.fromDDL(
+EXECUTION = (
     "metrics struct<agent:string,model:string,run_id:string,status:string,exit_code:int,completion_marker_found:boolean,agent_reported_error:boolean,started_at:string,finished_at:string,duration_seconds:double,num_turns:int,total_cost_usd:double,"
     "usage:struct<input_tokens:long,cached_input_tokens:long,cache_read_input_tokens:long,cache_write_input_tokens:long,cache_creation_input_tokens:long,output_tokens:long,reasoning_output_tokens:long>>"
 )
-TEST_RESULT = StructType.fromDDL(
+TEST_RESULT = (
     "run_id string, task_id string, status string, reason string, started_at string, completed_at string, adapter_version string, adapter struct<version:string,unresolved:array<struct<suite_id:string,kind:string,semantic_target:string,attempted:string>>>, "
     "suites array<struct<suite_id:string,status:string,reason:string,outcome:string,total:long,passed:long,failed:long,failed_ids:array<string>,failure_classifications:array<struct<id:string,classification:string,automatic:boolean,review_required:boolean>>>>"
 )
-TEST_EXECUTION = StructType.fromDDL(
+TEST_EXECUTION = (
     "run_id string, task_id string, db struct<status:string>, suites array<struct<suite_id:string,status:string,reason:string,install:struct<exit_code:int,stdout:string,stderr:string>,test:struct<exit_code:int,stdout:string,stderr:string>,"
     "summary:struct<total:long,passed:long,failed:long,failed_details:array<struct<id:string,failure_messages:array<string>>>>>>"
 )
 
 
-def read_artifacts(spark: SparkSession, globs: list[str], schema: StructType) -> tuple[DataFrame, DataFrame]:
+def read_artifacts(spark: SparkSession, globs: list[str], ddl: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of JSON artifacts, one a file: session_id and task_id come from the path.
 
     A malformed file is a reject (path, text), never a failure; a path that does not exist gives no rows.
     """
+    schema = StructType.fromDDL(ddl)
     known = StructType([*schema.fields]).add("_corrupt_record", "string")
     out = spark.createDataFrame([], StructType([*known.fields]).add("path", "string"))
     for glob in globs:
         try:
-            rows = spark.read.schema(known).option("multiLine", True).option("mode", "PERMISSIVE").json(glob)
+            text = spark.read.text(glob, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             continue
-        out = out.unionByName(rows.withColumn("path", F.col("_metadata.file_path")))
+        parsed = F.from_json("value", known, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+        out = out.unionByName(text.select("path", parsed.alias("j")).select("j.*", "path"))
     session = N._blank_to_null(F.regexp_extract("path", r"/([^/]+)/(?:T\d+|Base)/", 1))
     task = N._blank_to_null(F.regexp_extract("path", r"/(T\d+|Base)/", 1))
     if "task_id" in schema.names:
