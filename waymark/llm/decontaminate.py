@@ -52,7 +52,10 @@ def _item_windows(window: int, k: int):
                 part = data[offs[lo] : offs[hi]]
                 for i in range(hi - lo):
                     words = _words(part, s[woffs[i] : woffs[i + 1]], e[woffs[i] : woffs[i + 1]])
-                    own = sh[soffs[i] : soffs[i + 1]].view(np.int64).tolist()
+                    own = sh[soffs[i] : soffs[i + 1]]
+                    if 0 < len(words) < k:  # documents look it up at its own width
+                        own, _ = shingles(h[woffs[i] : woffs[i + 1]], np.array([0, len(words)]), len(words))
+                    own = own.view(np.int64).tolist()
                     for w in range(max(len(words) - window + 1, min(len(words), 1))):
                         win = words[w : w + window]
                         for j in range(max(len(win) - k + 1, 1)):
