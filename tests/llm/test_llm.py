@@ -240,6 +240,26 @@ def test_tool_calls(spark):
     assert link(calls.limit(0), results.limit(0), {}, edges.limit(0)).count() == 0
 
 
+def test_levels_of_long_chains_and_cycles(spark):
+    """Against a plain walk: forward chains, a forward edge under a long trace, long cycles, calls behind a cycle, several needs."""
+    needs: dict[str, list[str]] = {f"f{i:03}": [f"f{i + 1:03}"] for i in range(60)}  # each names the next turn
+    needs |= {"t000": ["t999"]} | {f"t{i:03}": [f"t{i - 1:03}"] for i in range(1, 61)}  # one forward reference, then a trace
+    needs |= {f"c{i:03}": [f"c{(i + 39) % 40:03}"] for i in range(40)} | {"d001": ["c017"], "d002": ["d001", "f000"]}
+    needs |= {f"w{i:03}": [f"w{j:03}" for j in (i + 1, i + 2, i + 5) if j < 12] for i in range(12)} | {"s001": ["s001"], "x001": ["x002", "x003"], "x002": ["x001", "x003"]}
+    needs |= {"y000": ["y010", "f058"]} | {f"y{i:03}": [f"y{i - 1:03}", "t060"] for i in range(1, 9)}
+    ids = sorted({*needs, *(n for v in needs.values() for n in v)})
+    calls = spark.createDataFrame([(c, 1, int(c[1:]), "f", "{}") for c in ids], "id string, conversation long, turn long, tool string, arguments string")
+    results = spark.createDataFrame([], "id string, conversation long, turn long, content string")
+    edges = spark.createDataFrame([(c, n) for c, v in needs.items() for n in v], "id string, needs string")
+
+    want: dict[str, int] = {c: 0 for c in ids if not needs.get(c)}
+    while ready := [c for c in ids if c not in want and all(n in want for n in needs[c])]:
+        want |= {c: max(want[n] + ((int(n[1:]), n) >= (int(c[1:]), c)) for n in needs[c]) for c in ready}
+    got = {r.id: (r.level, r.status == "cyclic") for r in link(calls, results, {"f": {}}, edges).collect()}
+    assert got == {c: (want.get(c), c not in want) for c in ids}
+    assert want["f000"] == 60 and want["t060"] == 1 and sum(c not in want for c in ids) == 45
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
     import corpus_pipeline
 
