@@ -23,8 +23,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected; they stay as they are."""
-    model = language_id.fit(docs)
-    return _without(docs, language_id.identify(docs, model).where("rejected"))
+    found = language_id.identify(docs, language_id.fit(docs), carry=COLUMNS[1:])
+    return found.where("not rejected").select(COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where(contaminated()))
+    body = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"k1": F.xxhash64(body), "k2": F.xxhash64(F.lit(7), body)})
+    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["k1", "k2"])
+    return _without(keyed, found.where(contaminated()))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +53,16 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids in `gone`; rows without id are told apart by null-safe comparison."""
-    gone = checkpointed(gone.select(F.col("doc_id").alias("gone_id")).distinct())
-    if gone.count() <= 1_000_000:  # 8 MB of ids; more are shuffled
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose text (128 bits, k1 and k2, stand for it) is not in `gone`.
+
+    Words alone decide whether a row is contaminated, so rows of equal texts go together, and
+    null or repeated ids take no other row along.
+    """
+    gone = checkpointed(gone.select("k1", "k2").distinct())
+    if gone.count() <= 1_000_000:  # 16 MB of keys; more are shuffled
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(COLUMNS)
+    return keyed.join(gone, ["k1", "k2"], "left_anti").select(COLUMNS)
 
 
 STAGES = [

@@ -272,3 +272,23 @@ def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
     assert not set(got) & (contaminated | letterless)
     assert 5 in got and not {5 + 12, 5 + 16} & set(got)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "personal_data", "sentencepiece"]
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """Null and shared ids: an empty or contaminated row takes no clean row along, and clean rows keep their columns."""
+    import corpus_pipeline
+
+    dirty = "intro " + BASE[3]
+    rows = [(None, ""), (None, BASE[0]), (None, None), (None, BASE[1]), (None, dirty), (7, "!!! ???"), (7, BASE[2]), (8, dirty), (8, BASE[4]), (9, BASE[5]), (10, dirty)]
+    rows = [(i, t, "en", f"s{n}", 0 if t is None else len(t)) for n, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(words(BASE[3])[10:40]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    clean = [r for r in whole if r[1] != dirty]
+    assert sorted(map(tuple, corpus_pipeline.keep_identified(spark, docs, str(tmp_path)).collect()), key=str) == sorted(whole, key=str)
+    assert sorted(map(tuple, corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()), key=str) == sorted((r for r in rows if r[1] != dirty), key=str)
+    library = Codec(public_tokenizers.path(MODEL)).library
+    want = [(r[0], library.encode(r[1], add_bos=True, add_eos=True)) for r in clean]
+    got = [(r.doc_id, np.frombuffer(r.ids_le, "<u4").tolist()) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -21,7 +21,7 @@ contaminates nothing. Extra columns of either table are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +71,7 @@ def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     return [bytes(data[a:b]).lower().decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def _marked_documents(bitmap, short: frozenset, window: int, k: int):
+def _marked_documents(bitmap, short: frozenset, window: int, k: int, carry: list[str]):
     """Per document its word count and where benchmark shingles may start, with the words around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,9 @@ def _marked_documents(bitmap, short: frozenset, window: int, k: int):
                     rows.append(row)
                 out = pa.RecordBatch.from_pylist(rows, _DOC_ARROW)
                 ids = {"row_id": batch.column(0), "doc_id": batch.column(1)}
-                yield pa.RecordBatch.from_arrays([ids[f.name].slice(lo, hi - lo).cast(f.type) if f.name in ids else out.column(j) for j, f in enumerate(_DOC_ARROW)], schema=_DOC_ARROW)
+                own = [ids[f.name].slice(lo, hi - lo).cast(f.type) if f.name in ids else out.column(j) for j, f in enumerate(_DOC_ARROW)]
+                beside = [batch.column(3 + j).slice(lo, hi - lo) for j in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([*own, *beside], names=[*_DOC_ARROW.names, *carry])
 
     return run
 
@@ -122,8 +124,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids as strings) of each document."""
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = SHINGLE, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted ids as strings) of each document; columns to carry stand beside their row's figures."""
     spark = docs.sparkSession
     windows = checkpointed(
         items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_windows(window, k), _ITEM_SCHEMA).distinct()
@@ -137,8 +139,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
     # row_id tells repeated ids apart; it is only made once, before the checkpoint
     marked = checkpointed(
-        docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        .mapInArrow(_marked_documents(spark.sparkContext.broadcast(bitmap.view(np.uint8)), short, window, k), _DOC_SCHEMA)
+        docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
+        .mapInArrow(_marked_documents(spark.sparkContext.broadcast(bitmap.view(np.uint8)), short, window, k, list(carry)), _DOC_SCHEMA + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
     )
     hits = marked.where(F.size("at") > 0).select("row_id", F.explode(F.arrays_zip("at", "shingle", "region")).alias("m"), "region_start", "region_words").select(
         "row_id", "m.at", "m.shingle", F.get("region_start", "m.region").alias("start"), F.get("region_words", "m.region").alias("words")
@@ -165,8 +167,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     before = Window.partitionBy("row_id").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     covered = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("begin", F.coalesce(F.max("end").over(before), F.lit(0)))))
     found = covered.groupBy("row_id").agg(F.sum("new").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return marked.select("row_id", "doc_id", "n_words").join(found, "row_id", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    return marked.select("row_id", "doc_id", "n_words", *carry).join(found, "row_id", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *carry
     )
 
 

@@ -16,7 +16,7 @@ or label are predicted but not learned from.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,6 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
 
 def subwords(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +186,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return train(sample["t"].tolist(), sample["l"].tolist())
 
 
-def _predictor(shared):
+def _predictor(shared, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
@@ -208,12 +207,17 @@ def _predictor(shared):
                     names.append(model.languages[best[i]] if letter else "und")
                     scores.append(float(sure[i]) if letter else 0.0)
                     no.append(not letter or bool(sure[i] < model.doubt))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(no, pa.bool_())], schema=_SCHEMA)
+            beside = [batch.column(batch.schema.get_field_index(c)) for c in carry]
+            found = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(no, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *beside, *found], names=["doc_id", *carry, "lang_pred", "score", "rejected"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (calibrated, 0 to 1) and rejected of each text."""
+def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang_pred, score (calibrated, 0 to 1) and rejected of each text; columns to carry stand beside their row's verdict."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_predictor(shared), "doc_id long, lang_pred string, score double, rejected boolean")
+    taken = {"doc_id": F.col(doc_id).cast("long"), "text": F.col(text).cast("string")}
+    rows = docs.select(*[c.alias(n) for n, c in taken.items()], *[c for c in carry if c not in taken])
+    beside = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carry)
+    return rows.mapInArrow(_predictor(shared, list(carry)), f"doc_id long, {beside}lang_pred string, score double, rejected boolean")
