@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import language_id, pii, warc_zst
+from waymark.llm import chosen_path, language_id, pii, warc_zst
 from waymark.llm.chosen_path import one_of_each, similar_texts
 from waymark.llm.components import connected_components
 from waymark.llm.decontaminate import decontaminate
@@ -72,6 +72,22 @@ def test_similar_texts_equal_brute_force(docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r.first for r in got)
 
 
+def test_chosen_paths_meet_pairs_at_the_threshold(spark):
+    """20,000 pairs of sketches that agree with chance 0.8, split through all levels: at most 2 expected to be missed."""
+    draw = np.random.default_rng(5)
+    a, other = draw.integers(0, 1 << 31, (2, 20_000, chosen_path.SKETCH), dtype=np.int32)
+    b = np.where(draw.random(a.shape) < 0.8, a, other)
+    pairs = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a array<int>, b array<int>")
+
+    def paths(coords: str):
+        found = F.array(*[F.xxhash64(F.lit("run"), F.lit(r)) for r in range(chosen_path.RUNS)])
+        for _ in range(chosen_path.LEVELS):
+            found = F.flatten(F.transform(found, lambda p: chosen_path._children(p, coords)))
+        return found
+
+    assert pairs.where(~F.arrays_overlap(paths("a"), paths("b"))).count() <= 8
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

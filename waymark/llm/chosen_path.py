@@ -5,7 +5,9 @@ with all sets in one node and splits nodes by sampled coordinates, so that two s
 where they share the sampled token; each node samples 1.25 coordinates on average, the inverse
 of the threshold. A node of at most `LIMIT` sets is compared by brute force on sketches; larger
 ones are split again, `LEVELS` times at most, and what is then still large keeps together whole.
-Runs repeat until pairs at the threshold are met with probability `RECALL`.
+All runs sample the same minhashes, so a pair whose sketch happens to agree less is missed by all
+of them together: there are as many runs as keep the expected share of missed pairs at the
+threshold, over the sketches they can have, within 1 - `RECALL`. Pairs above it are missed less.
 
 Sets that met form candidate groups. Each group is then compared exactly: its texts are dealt into
 blocks of bounded size and every pair of blocks is one small job, so no group, however large, lands
@@ -32,12 +34,25 @@ from waymark.llm.components import connected_components
 from waymark.llm.shared import checkpointed, hashed_words, raw_text, shingles, slices
 
 K, THRESHOLD = 5, 0.8
-SKETCH, LEVELS, LIMIT, RECALL = 64, 3, 64, 0.999
-#: Chance that a pair at the threshold shares a child: one coordinate, for a quarter of nodes two.
-_SHARE = 0.75 * THRESHOLD + 0.25 * (1 - (1 - THRESHOLD) ** 2)
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - _SHARE**LEVELS))
+SKETCH, LEVELS, LIMIT, RECALL = 64, 3, 64, 0.9999
 #: Sketches that agree less are not compared exactly: 4.5 standard deviations under the threshold.
 LEAST_AGREED = math.floor(SKETCH * THRESHOLD - 4.5 * math.sqrt(SKETCH * THRESHOLD * (1 - THRESHOLD)))
+
+
+def missed(similarity: float, runs: int) -> float:
+    """Expected share of pairs of a similarity that no run keeps together through all levels."""
+    total = 0.0
+    for agreed in range(SKETCH + 1):
+        differ = 1 - agreed / SKETCH
+        # a quarter of nodes draws two coordinates, which are seldom the same one
+        two = 0.25 * (SKETCH - 1) / SKETCH
+        share = (1 - two) * (1 - differ) + two * (1 - differ * (SKETCH - agreed - 1) / (SKETCH - 1))
+        chance = math.comb(SKETCH, agreed) * similarity**agreed * (1 - similarity) ** (SKETCH - agreed)
+        total += chance * ((1 - share**LEVELS) ** runs if agreed >= LEAST_AGREED else 1)
+    return total
+
+
+RUNS = next(r for r in range(1, 1000) if missed(THRESHOLD, r) <= 1 - RECALL)
 #: Tokens of a block in the exact comparison, about 1 MB of text.
 BLOCK_TOKENS = 150_000
 #: Tables of node numbers of at most so many rows (some 8 MB) are broadcast; beyond it they are shuffled.
