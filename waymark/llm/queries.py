@@ -20,35 +20,64 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Both sides of a chat as a tool: what a user turn asks the assistant.
+#: What a user turn asks of the assistant; `configure`, which system turns call, has no schema.
 CHAT_SCHEMAS = {"reply": {"chars": ("integer", True), "prompt": ("string", True), "turn": ("integer", True)}}
+#: Arguments are cut after so many characters, as a model's output limit does; the rest can't be parsed.
+ARGUMENT_CHARS = 300
 
 
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn is a call of `reply`, every assistant turn answers the turn before it.
+    """Every turn of a conversation: user turns call `reply`, system turns `configure`, assistant turns answer the turn before.
 
-    A call depends on the call two turns earlier, if there is one. System turns are neither.
+    The tables hold no tool calls, so arguments and dependencies are derived from the texts, faults
+    among them: a text of several lines gives its length as text, one under 60 characters is not
+    passed on, one with commas adds a field. A call needs the calls of its conversation whose
+    turns are its numbers of characters and of blanks, both modulo 8; they may come later, and may form cycles.
     """
     turns = _table(spark, sf_dir, "conversations")
-    name = lambda t: F.concat_ws("-", F.col("conv_id"), t)
-    arguments = F.to_json(F.struct(F.length("text").alias("chars"), F.col("text").alias("prompt"), F.col("turn")))
-    calls = turns.where("role = 'user'").select(name(F.col("turn")).alias("id"), F.col("conv_id").alias("conversation"), "turn", F.lit("reply").alias("tool"), arguments.alias("arguments"))
+    name = lambda t: F.concat("conv_id", F.lit("-"), t)
+    asked = turns.where("role <> 'assistant'").select(
+        name(F.col("turn")).alias("id"), F.col("conv_id").alias("conversation"), "turn", "text", F.when(F.col("role") == "user", "reply").otherwise("configure").alias("tool"), "conv_id"
+    )
+    quoted = F.to_json(F.struct(F.col("text").alias("prompt")))
+    chars = F.length("text").cast("string")
+    commas = F.length("text") - F.length(F.replace("text", F.lit(",")))
+    fields = [
+        F.concat(F.lit('"turn":'), "turn"),
+        F.concat(F.lit('"chars":'), F.when(F.col("text").contains("\n"), F.concat(F.lit('"'), chars, F.lit('"'))).otherwise(chars)),
+        F.when(F.length("text") >= 60, F.substring(quoted, F.lit(2), F.length(quoted) - 2)),
+        F.when(commas > 0, F.concat(F.lit('"commas":'), commas)),
+    ]
+    arguments = F.left(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")), F.lit(ARGUMENT_CHARS))
+    calls = asked.select("id", "conversation", "turn", "tool", arguments.alias("arguments"))
     results = turns.where("role = 'assistant'").select(name(F.col("turn") - 1).alias("id"), F.col("conv_id").alias("conversation"), "turn", F.col("text").alias("content"))
-    edges = turns.where("role = 'user' and turn >= 2").select(name(F.col("turn")).alias("id"), name(F.col("turn") - 2).alias("needs"))
+    named = F.array(F.length("text") % 8, (F.length("text") - F.length(F.replace("text", F.lit(" ")))) % 8)
+    edges = asked.select("id", "conv_id", "turn", F.explode(named).alias("other")).where("other <> turn").select("id", name(F.col("other")).alias("needs"))
     return link(calls, results, CHAT_SCHEMAS, edges)
 
 
 _OP1_SQL = """
-WITH c AS (SELECT conv_id || '-' || turn AS id, conv_id, turn, text FROM conversations WHERE role = 'user'),
-r AS (SELECT conv_id || '-' || (turn - 1) AS id, min(conv_id) AS conv_id, min(turn) AS turn, count(*) AS n, first(text ORDER BY turn, text) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1)
-SELECT coalesce(c.conv_id, r.conv_id) AS conversation, coalesce(c.id, r.id) AS id, CAST(0 AS INTEGER) AS level, c.turn AS turn,
-       CASE WHEN c.id IS NOT NULL THEN 'reply' END AS tool, r.turn AS result_turn, coalesce(r.n, 0) AS n_results,
-       CASE WHEN c.id IS NULL THEN 'orphan_result' WHEN count(*) OVER (PARTITION BY c.id) > 1 THEN 'duplicate_id' WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-       '' AS errors,
-       '{' || CASE WHEN c.id IS NOT NULL THEN '"arguments":{"chars":' || length(c.text) || ',"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},' ELSE '' END
-           || '"id":' || CAST(to_json(coalesce(c.id, r.id)) AS VARCHAR) || CASE WHEN c.id IS NOT NULL THEN ',"name":"reply"' ELSE '' END
+WITH RECURSIVE t AS (SELECT conv_id || '-' || turn AS id, *, length(text) - length(replace(text, ',', '')) AS commas, length(text) - length(replace(text, ' ', '')) AS blanks FROM conversations),
+c AS (SELECT *, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS tool,
+        1 + 7 + length(CAST(turn AS VARCHAR)) + 9 + length(CAST(length(text) AS VARCHAR)) + CASE WHEN contains(text, chr(10)) THEN 2 ELSE 0 END
+        + CASE WHEN length(text) >= 60 THEN 10 + length(CAST(to_json(text) AS VARCHAR)) ELSE 0 END + CASE WHEN commas > 0 THEN 10 + length(CAST(commas AS VARCHAR)) ELSE 0 END + 1 > 300 AS bad
+      FROM t WHERE role <> 'assistant'),
+r AS (SELECT conv_id || '-' || (turn - 1) AS id, min(conv_id) AS conv_id, min(turn) AS turn, count(*) AS n, first(text ORDER BY turn, text) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1),
+e AS (SELECT DISTINCT c.id, o.id AS needs, CAST(o.turn > c.turn AS INTEGER) AS up FROM c JOIN c o ON o.conv_id = c.conv_id AND o.turn <> c.turn AND o.turn IN (length(c.text) % 8, c.blanks % 8)),
+sizes AS (SELECT conv_id, count(DISTINCT id) AS m FROM c GROUP BY 1),
+walks AS (SELECT id, needs AS reached, up, 1 AS steps FROM e
+          UNION SELECT w.id, e.needs, w.up + e.up, w.steps + 1 FROM walks w JOIN e ON w.reached = e.id WHERE w.steps < (SELECT max(m) FROM sizes)),
+lv AS (SELECT id, max(up) AS level, max(steps) >= (SELECT max(m) FROM sizes) AS cyclic FROM walks GROUP BY 1)
+SELECT coalesce(c.conv_id, r.conv_id) AS conversation, coalesce(c.id, r.id) AS id, CAST(CASE WHEN NOT coalesce(lv.cyclic, false) THEN coalesce(lv.level, 0) END AS INTEGER) AS level, c.turn AS turn,
+       c.tool AS tool, r.turn AS result_turn, coalesce(r.n, 0) AS n_results,
+       CASE WHEN c.id IS NULL THEN 'orphan_result' WHEN count(*) OVER (PARTITION BY c.id) > 1 THEN 'duplicate_id' WHEN coalesce(lv.cyclic, false) THEN 'cyclic' WHEN r.id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       CASE WHEN c.id IS NULL THEN '' WHEN c.bad THEN 'bad_json' WHEN c.tool = 'configure' THEN 'unknown_tool'
+            ELSE concat_ws(',', CASE WHEN length(c.text) < 60 THEN 'missing:prompt' END, CASE WHEN contains(c.text, chr(10)) THEN 'type:chars' END, CASE WHEN c.commas > 0 THEN 'unknown:commas' END) END AS errors,
+       '{' || CASE WHEN NOT c.bad THEN '"arguments":{"chars":' || CASE WHEN contains(c.text, chr(10)) THEN '"' || length(c.text) || '"' ELSE CAST(length(c.text) AS VARCHAR) END || CASE WHEN c.commas > 0 THEN ',"commas":' || c.commas ELSE '' END
+                || CASE WHEN length(c.text) >= 60 THEN ',"prompt":' || CAST(to_json(c.text) AS VARCHAR) ELSE '' END || ',"turn":' || c.turn || '},' ELSE '' END
+           || '"id":' || CAST(to_json(coalesce(c.id, r.id)) AS VARCHAR) || CASE WHEN c.id IS NOT NULL THEN ',"name":"' || c.tool || '"' ELSE '' END
            || CASE WHEN r.id IS NOT NULL THEN ',"result":' || CAST(to_json(r.content) AS VARCHAR) ELSE '' END || '}' AS canonical_json
-FROM c FULL OUTER JOIN r ON c.id = r.id
+FROM c FULL OUTER JOIN r ON c.id = r.id LEFT JOIN lv ON lv.id = c.id
 """
 
 
