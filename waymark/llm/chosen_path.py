@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.components import connected_components
-from waymark.llm.shared import checkpointed, hashed_words, raw_text, shingles, slices
+from waymark.llm.shared import checkpointed, hashed_words, join_counted, raw_text, shingles, slices
 
 K, THRESHOLD = 5, 0.8
 SKETCH, LEVELS, LIMIT, RECALL = 64, 3, 64, 0.9999
@@ -53,8 +53,8 @@ def missed(similarity: float, runs: int) -> float:
 
 
 RUNS = next(r for r in range(1, 1000) if missed(THRESHOLD, r) <= 1 - RECALL)
-#: Tokens of a block in the exact comparison, about 1 MB of text.
-BLOCK_TOKENS = 150_000
+#: Tokens (about 1 MB of text) and sets of a block in the exact comparison; a job compares two blocks.
+BLOCK_TOKENS, BLOCK_SETS = 150_000, 2048
 #: Tables of node numbers of at most so many rows (some 8 MB) are broadcast; beyond it they are shuffled.
 BROADCAST_ROWS = 150_000
 
@@ -73,7 +73,7 @@ def token_sets(data: np.ndarray, offs: np.ndarray, k: int = K) -> tuple[np.ndarr
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = raw_text(batch.column(4))
-        for lo, hi in slices(offs, 2 << 20):
+        for lo, hi in slices(offs):
             tokens, toffs = token_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             sizes = np.diff(toffs)
             some = np.flatnonzero(sizes)
@@ -156,7 +156,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     for level in range(1, LEVELS + 1):
         state = checkpointed(state)
         sizes = state.groupBy("path").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1")
-        sized = state.join(sizes, "path")
+        sized = join_counted(state, sizes, "path", "size", state.count())
         leaves = sized.where(F.col("size") <= LIMIT).join(nodes.select("node", "sketch"), "node").select("path", "node", "sketch")
         met = leaves.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_agreeing, "u long, v long")
         found = met if found is None else found.unionByName(met)
@@ -204,6 +204,13 @@ def _take(sets: tuple[np.ndarray, np.ndarray], rows: np.ndarray) -> tuple[np.nda
     return np.concatenate([t[o[i] : o[i + 1]] for i in rows]) if len(rows) else t[:0], np.concatenate([[0], np.cumsum(np.diff(o)[rows])]).astype(np.int64)
 
 
+def _least(near: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The least label among each row's links, in strips so that memory stays small."""
+    none = np.iinfo(np.int64).max
+    strips = [np.where(near[i : i + 256], labels[None, :], none).min(axis=1, initial=none) for i in range(0, len(near), 256)]
+    return np.concatenate(strips)
+
+
 def _compare(threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """One job: whole small groups, or one pair of blocks of a large one."""
@@ -235,8 +242,8 @@ def _compare(threshold: float):
                 continue
             ll, lr = np.arange(len(left)), np.arange(len(right)) + (0 if left is right else len(left))
             while True:  # least labels over the links
-                new = np.minimum(ll, np.where(near, lr[None, :], hi).min(axis=1, initial=hi))
-                newr = np.minimum(lr, np.where(near, new[:, None], hi).min(axis=0, initial=hi))
+                new = np.minimum(ll, _least(near, lr))
+                newr = np.minimum(lr, _least(near.T, new))
                 if left is right:
                     new = newr = np.minimum(new, newr)
                 if (new == ll).all() and (newr == lr).all():
@@ -258,12 +265,12 @@ def _exact(docs: DataFrame, nodes: DataFrame, labels: DataFrame, doc_id: str, te
     """(node, links, root): exact links within the candidate groups."""
     grouped = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "comp")
     grouped = checkpointed(grouped.join(nodes.select("node", "rep_id", "k1", "k2", "n"), "node"))
-    size = grouped.groupBy("comp").agg(F.sum("n").alias("tokens"))
+    size = grouped.groupBy("comp").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets"))
     n_rows, tokens = grouped.agg(F.count("*"), F.sum("n")).first()
-    packs = max(1, math.ceil((tokens or 0) / BLOCK_TOKENS))
-    blocks = F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")
+    packs = max(1, math.ceil((tokens or 0) / BLOCK_TOKENS), math.ceil(n_rows / BLOCK_SETS))
+    blocks = F.greatest(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
     # groups of one block are packed together; a larger one gets a job for each pair of its blocks
-    dealt = grouped.join(size, "comp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = join_counted(grouped, size, "comp", "sets", n_rows).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     if n_rows <= BROADCAST_ROWS:
         dealt = F.broadcast(dealt)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -8,9 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many bytes, so that memory does not follow the batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
+#: A key with more than one in so many rows is broadcast instead of shuffled; there are fewer than so many of them.
+HOT_KEYS = 2000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -23,8 +26,8 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and kept in the cluster's shared checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests,
-    notebooks) a folder of its own is made.
+    The folder is the session's spark.checkpoint.dir; only where that is unset and Spark runs in
+    this one process (tests, notebooks) a folder of its own is made.
     """
     return ensure_checkpoint_dir(df.sparkSession) and df.checkpoint()
 
@@ -36,10 +39,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(given)
         return given
     if sc.getCheckpointDir() is None:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
     return sc.getCheckpointDir()
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """Inner join of `rows` (n_rows of them, checkpointed) with `keyed`: one row a key, `size` rows have it.
+
+    Fewer than HOT_KEYS keys can each hold more than that share of the rows; those are broadcast, so
+    no key sends more than that share to one task of the shuffle.
+    """
+    hot = F.col(size) > max(n_rows / HOT_KEYS, 1)
+    often = F.broadcast(keyed.where(hot))
+    seldom = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(keyed.where(~hot), key)
+    return rows.join(often, key).unionByName(seldom)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; bijective, so distinct values stay distinct."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1
