@@ -6,8 +6,8 @@ prefix of a window, with its shingles ordered by rarity, is the one rarest shing
 
 1. benchmark windows and their shingles, both as tables;
 2. one scan of the documents keeps, per document, the positions of words that start a
-   benchmark shingle. Workers pre-filter with a bitmap of fixed size (`FILTER_BITS`), whatever
-   the size of the benchmark; a false positive only costs a row;
+   benchmark shingle. Workers pre-filter with a bitmap of `BITS_EACH` bits for each shingle, at most
+   2**MOST_BITS (16 million shingles, more than any benchmark has); a false positive only costs a row;
 3. corpus frequencies of the kept shingles order each window's shingles by rarity;
 4. document shingles join the windows' prefix shingles; the place of the shingle in the window
    gives where the window must start, which bounds position and length;
@@ -32,10 +32,10 @@ from pyspark.sql.window import Window
 from waymark.llm.shared import checkpointed, hashed_words, raw_text, shingles, slices
 
 WINDOW, SHINGLE = 13, 5
-#: Size of the workers' pre-filter: 2**24 bits are 2 MB, however large the benchmark is.
-FILTER_BITS = 24
-#: Window tables of at most so many rows are broadcast; beyond it the joins shuffle.
-BROADCAST_ROWS = 50_000
+#: Size of the workers' pre-filter: bits for each shingle, and its least and largest size as powers of two (128 kB, 32 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 28
+#: Up to so many rows of item, window and shingle, windows are broadcast; beyond it the joins shuffle.
+BROADCAST_ROWS = 500_000
 
 _ITEM_SCHEMA = "item_id string, win_words array<string>, shingle_at int, shingle long"
 _DOC_SCHEMA = "row_id long, doc_id long, n_words long, at array<int>, shingle array<long>, region array<int>, region_start array<int>, region_words array<array<string>>"
@@ -94,30 +94,30 @@ def _marked_documents(bitmap, short: frozenset, window: int, k: int, carry: list
                 order = np.argsort(place, kind="stable")
                 place, hashes = place[order], hashes[order].view(np.int64)
                 cut = np.searchsorted(place, woffs)
-                rows = []
-                for i in range(hi - lo):
-                    a, b = cut[i], cut[i + 1]
-                    row = {"row_id": None, "doc_id": None, "n_words": int(woffs[i + 1] - woffs[i]), "at": [], "shingle": [], "region": [], "region_start": [], "region_words": []}
-                    if b > a:
-                        at = place[a:b]
-                        begin = np.maximum(at - (window - 1), woffs[i])
-                        end = np.minimum(at + window, woffs[i + 1])
-                        new = np.flatnonzero(np.concatenate([[True], begin[1:] > np.maximum.accumulate(end)[:-1]]))
-                        first, last = begin[new], np.maximum.accumulate(end)[np.concatenate([new[1:], [len(at)]]) - 1]
-                        row |= {"at": (at - woffs[i]).tolist(), "shingle": hashes[a:b].tolist(), "region": (np.searchsorted(new, np.arange(len(at)), side="right") - 1).tolist(), "region_start": (first - woffs[i]).tolist()}
-                        row["region_words"] = [_words(part, s[x:y], e[x:y]) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-                    rows.append(row)
-                out = pa.RecordBatch.from_pylist(rows, _DOC_ARROW)
-                ids = {"row_id": batch.column(0), "doc_id": batch.column(1)}
-                own = [ids[f.name].slice(lo, hi - lo).cast(f.type) if f.name in ids else out.column(j) for j, f in enumerate(_DOC_ARROW)]
-                beside = [batch.column(3 + j).slice(lo, hi - lo) for j in range(len(carry))]
-                yield pa.RecordBatch.from_arrays([*own, *beside], names=[*_DOC_ARROW.names, *carry])
+                doc = np.repeat(np.arange(hi - lo), np.diff(cut))
+                # places near each other share a region; ends rise with the places
+                begin, end = np.maximum(place - (window - 1), woffs[doc]), np.minimum(place + window, woffs[doc + 1])
+                new = np.ones(len(place), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1])
+                heads = np.flatnonzero(new)
+                first, last = begin[heads], end[np.append(heads[1:], len(place)) - 1] if len(heads) else heads
+                rcut = np.searchsorted(doc[heads], np.arange(hi - lo + 1))
+                words = [_words(part, s[x:y], e[x:y]) for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                listed = lambda offsets, values, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(j).slice(lo, hi - lo).cast(pa.int64()) for j in (0, 1)), pa.array(np.diff(woffs), pa.int64()),
+                        listed(cut, place - woffs[doc], pa.int32()), listed(cut, hashes, pa.int64()), listed(cut, np.cumsum(new) - 1 - rcut[doc], pa.int32()),
+                        listed(rcut, first - woffs[doc[heads]], pa.int32()), listed(rcut, words, pa.list_(pa.string())),
+                        *(batch.column(3 + j).slice(lo, hi - lo) for j in range(len(carry))),
+                    ],
+                    names=[*_DOC_COLUMNS, *carry],
+                )
 
     return run
 
 
-_INTS = pa.list_(pa.int32())
-_DOC_ARROW = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("at", _INTS), ("shingle", pa.list_(pa.int64())), ("region", _INTS), ("region_start", _INTS), ("region_words", pa.list_(pa.list_(pa.string())))])
+_DOC_COLUMNS = ["row_id", "doc_id", "n_words", "at", "shingle", "region", "region_start", "region_words"]
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -130,18 +130,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     windows = checkpointed(
         items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_windows(window, k), _ITEM_SCHEMA).distinct()
     )
-    # the shared shingle filter: bits set by an aggregate, so at most 2**FILTER_BITS / 64 rows come back
-    words64 = windows.select(F.expr(f"shingle & {(1 << FILTER_BITS) - 1}").alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, int(b & 63)))").alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    n_rows, n_shingles, short = windows.agg(F.count("*"), F.count_distinct("shingle"), F.collect_set(F.when(F.size("win_words") < k, F.size("win_words")))).first()
+    # the shared shingle filter: bits set by an aggregate, so at most 2**MOST_BITS / 64 rows come back
+    n_bits = min(max((BITS_EACH * n_shingles - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    words64 = windows.select(F.expr(f"shingle & {(1 << n_bits) - 1}").alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("slot")).agg(F.expr("bit_or(shiftleft(1L, int(b & 63)))").alias("bits")).toPandas()
+    bitmap = np.zeros(1 << (n_bits - 6), np.uint64)
     bitmap[words64["slot"].to_numpy(np.int64)] = words64["bits"].to_numpy(np.int64).view(np.uint64)
-    sizes = windows.agg(F.count_distinct("win_words"), F.collect_set(F.when(F.size("win_words") < k, F.size("win_words")))).first()
-    n_windows, short = sizes[0], frozenset(sizes[1])
+    shared = spark.sparkContext.broadcast(bitmap.view(np.uint8))
 
     # row_id tells repeated ids apart; it is only made once, before the checkpoint
     marked = checkpointed(
         docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
-        .mapInArrow(_marked_documents(spark.sparkContext.broadcast(bitmap.view(np.uint8)), short, window, k, list(carry)), _DOC_SCHEMA + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
+        .mapInArrow(_marked_documents(shared, frozenset(short), window, k, list(carry)), _DOC_SCHEMA + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))
     )
+    shared.unpersist()
     hits = marked.where(F.size("at") > 0).select("row_id", F.explode(F.arrays_zip("at", "shingle", "region")).alias("m"), "region_start", "region_words").select(
         "row_id", "m.at", "m.shingle", F.get("region_start", "m.region").alias("start"), F.get("region_words", "m.region").alias("words")
     )
@@ -157,7 +159,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     begin = F.col("at") - F.col("shingle_at")
     place = begin - F.col("start")
     verified = (
-        hits.join(_small(prefix, n_windows), "shingle")
+        hits.join(_small(prefix, n_rows), "shingle")
         .where((begin >= 0) & (place >= 0) & (place + F.size("win_words") <= F.size("words")))
         .where(F.slice("words", place + 1, F.size("win_words")) == F.col("win_words"))
         .select("row_id", begin.alias("begin"), (begin + F.size("win_words")).alias("end"), "items")
