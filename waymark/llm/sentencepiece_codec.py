@@ -5,9 +5,9 @@ highest score, leftmost on ties, is merged until none is left; symbols that are
 back to byte pieces. No piece of such a vocabulary has a word mark after another character, and
 none mixes letters with signs or digits, so no merge crosses those places: texts are cut
 there (the model is checked for it) and every distinct chunk goes through the agenda once for
-each worker. In each Arrow batch the new chunks are
-checked against the sentencepiece library, and so is the decoding of every text; where the two
-differ, the library's result stands and `n_unlike` counts it.
+each worker. In each Arrow batch the new chunks are checked against the sentencepiece library,
+and so is the decoding of every text; where the two differ, the job fails, since the vocabulary
+is then none that this method encodes.
 
 Null and empty texts give just the begin and end ids and decode to an empty text. Very long
 texts and chunks are handled whole (an agenda takes n log n steps). Repeated rows and ids give
@@ -31,7 +31,7 @@ from waymark.llm.shared import raw_text, slices
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: A worker keeps at most so many chunks' ids; then it starts anew. This bounds memory, not results.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 300_000
 #: Chunks of at most so many characters use a list as their agenda, longer ones a heap.
 SHORT = 48
 _SIGN = r"\x0B-\x40\x5B-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2000-\u206F"
@@ -39,7 +39,7 @@ _CUT = re.compile(rf"{MARK}*[^\x00-\x0A{_SIGN}{MARK}]+|{MARK}*[\x00-\x09{_SIGN}]
 _NO = float("inf")
 _BEFORE = "a\n"  # checked chunks stand behind this, where nothing merges with them
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids_le", pa.binary()), ("decoded", pa.string()), ("n_unlike", pa.int64())])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids_le", pa.binary()), ("decoded", pa.string())])
 
 
 class Codec:
@@ -108,29 +108,28 @@ class Codec:
                     heapq.heappush(waiting, (cost[grown], a, grown))
         return [s for s in symbols if s is not None]
 
-    def learn(self, chunks: set[str]) -> int:
-        """Adds chunks to `known`, each checked against the library; how many differed."""
-        todo, unlike = list(chunks), 0
+    def learn(self, chunks: set[str]) -> None:
+        """Adds chunks to `known`, each checked against the library."""
+        todo = list(chunks)
         theirs = self.library.encode([_BEFORE + c.replace(MARK, " ") for c in todo], num_threads=1)
         for chunk, ids in zip(todo, theirs, strict=True):
             own = self.agenda(chunk)
             if own != ids[len(self.before) :]:
-                unlike, own = unlike + 1, ids[len(self.before) :]
+                raise ValueError(f"the library encodes {chunk[:80]!r} as {ids[len(self.before) :][:80]}, not as {own[:80]}")
             self.known[chunk] = array("I", own).tobytes()
-        return unlike
 
-    def run(self, texts: list[str]) -> tuple[list[bytes], list[str], int]:
+    def run(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         cuts = [_CUT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
-        unlike = self.learn(set().union(*cuts) - self.known.keys())
+        self.learn(set().union(*cuts) - self.known.keys())
         packed = [b"".join([self.begin, *map(self.known.__getitem__, c), self.end]) for c in cuts]
         ids = [np.frombuffer(p, "<u4").tolist() for p in packed]
         decoded = [b"".join(map(self.surface.__getitem__, i))[1:].decode("utf-8", "replace") for i in ids]
         for k, theirs in enumerate(self.library.decode(ids, num_threads=1)):
             if theirs != decoded[k]:
-                unlike, decoded[k] = unlike + 1, theirs
-        return packed, decoded, unlike
+                raise ValueError(f"the library decodes {ids[k][:80]} differently")
+        return packed, decoded
 
 
 _CODECS: dict[str, Codec] = {}
@@ -145,19 +144,17 @@ def _coder(path: str):
             _, offs = raw_text(batch.column(1))
             for lo, hi in slices(offs, 1 << 20):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                packed, decoded, unlike = codec.run(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(decoded, pa.string()), pa.array([unlike] + [0] * (hi - lo - 1), pa.int64())], schema=_SCHEMA
-                )
+                packed, decoded = codec.run(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], schema=_SCHEMA)
 
     return run
 
 
 def encode_decode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids_le (begin, ids, end as little-endian 32-bit integers), decoded, n_unlike.
+    """doc_id, ids_le (begin, ids, end as little-endian 32-bit integers) and decoded.
 
     numpy.frombuffer(ids_le, "<u4") gives the ids.
     """
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        _coder(model_path), "doc_id long, ids_le binary, decoded string, n_unlike long"
+        _coder(model_path), "doc_id long, ids_le binary, decoded string"
     )
