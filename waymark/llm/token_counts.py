@@ -4,7 +4,9 @@ White space separates pre-tokens and is dropped, so a text's count is the sum ov
 New words of a batch are normalised (NFC, lower case), cut into pre-tokens and laid out as
 one ragged numpy array of byte symbols. In each round every sequence's lowest-rank pair is
 merged at all its places at once; sequences without a pair are finished, and the symbols that
-survive are counted. Counts of words stay in the worker for later batches.
+survive are counted. A round costs as much as its sequences are long, so pre-tokens of more than
+`LONG` bytes (a page without blanks) are merged in the same order from a heap of ranks and
+places instead, which takes n log n steps. Counts of words stay in the worker for later batches.
 
 Special strings inside a text count as one token each, which is the tokenizers library's
 default. Null and empty texts count 0. Long texts are counted whole; repeated rows and ids give
@@ -13,6 +15,8 @@ one row each; an empty table gives none; other columns are dropped.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -27,7 +31,9 @@ from waymark.llm.shared import raw_text, slices
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept by a worker before it starts anew; this bounds memory, not results.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+#: Pre-tokens of more bytes than this are merged from a heap.
+LONG = 1024
 # White space as the tokenizers library's expressions see it (fixed values)
 _SPACE = "\t-\r \x85\xa0  -     　"
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # split() takes these for white space, the library doesn't
@@ -64,6 +70,7 @@ class Counter:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
         self.known: dict[str, int] = {}
+        self.rank_of: dict[tuple[int, int], tuple[int, int]] | None = None
         self.byte_of = {s: b for b, s in enumerate(byte_symbols())}
         self.path, self.library = path, None
 
@@ -76,8 +83,45 @@ class Counter:
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
         return [bytes(self.byte_of[c] for c in t) for t, _ in cut]
 
+    def by_heap(self, token: bytes) -> int:
+        """The number of symbols of one long pre-token: pairs are merged by rank, from the left on ties.
+
+        A merged symbol's own pairs have higher ranks than the pair it came from, so this is the
+        order of the synchronous rounds.
+        """
+        if self.rank_of is None:
+            self.rank_of = {divmod(k, self.width): (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.merged.tolist(), strict=True)}
+        rank_of, n = self.rank_of, len(token)
+        ids = self.inner[np.frombuffer(token, np.uint8)].tolist()
+        ids[-1] = int(self.last[token[-1]])
+        after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [(found[0], i, pair) for i, pair in enumerate(itertools.pairwise(ids)) if (found := rank_of.get(pair))]
+        heapq.heapify(waiting)
+        left = n
+        while waiting:
+            _, i, pair = heapq.heappop(waiting)
+            j = after[i]
+            if j >= n or (ids[i], ids[j]) != pair:
+                continue  # one of the two was merged meanwhile
+            ids[i], ids[j], left = rank_of[pair][1], -1, left - 1
+            after[i] = to = after[j]
+            if to < n:
+                prior[to] = i
+            for a, b in ((prior[i], i), (i, to)):
+                if a >= 0 and b < n and (found := rank_of.get((ids[a], ids[b]))):
+                    heapq.heappush(waiting, (found[0], a, (ids[a], ids[b])))
+        return left
+
     def survivors(self, tokens: list[bytes]) -> np.ndarray:
         """The number of symbols each pre-token ends with."""
+        long = [i for i, t in enumerate(tokens) if len(t) > LONG]
+        if long:
+            out = np.zeros(len(tokens), np.int64)
+            out[long] = [self.by_heap(tokens[i]) for i in long]
+            short = [i for i, t in enumerate(tokens) if len(t) <= LONG]
+            if short:
+                out[short] = self.survivors([tokens[i] for i in short])
+            return out
         sizes = np.array([len(t) for t in tokens], np.int64)
         flat = np.frombuffer(b"".join(tokens), np.uint8)
         ids = self.inner[flat]
