@@ -2,12 +2,14 @@
 
 Writing: equal payloads are found by SHA-1 and length; the record of the largest id keeps the
 payload (`response`), the others are `revisit` records that refer to it. Each task writes
-archives of bounded size: the first records train a dictionary, which goes into a leading
-skippable frame, and then every record is one frame of its own. The manifest of finished files
+archives of bounded size: the first records train a dictionary (records too few or too small to
+learn from are the dictionary's raw content themselves), which goes into a leading skippable
+frame, and then every record is one frame of its own. The manifest of finished files
 is checkpointed; a file counts only if the task attempt that wrote it succeeded, so files of lost
 executors are never read.
 
-Reading: the manifest's files are opened on the executors and parsed record by record.
+Reading: the manifest's files are opened on the executors, a partition for each, and parsed
+record by record.
 
 Null payloads are empty; with `least_bytes` 0 empty payloads are de-duplicated too. A null url
 leaves its header out; line breaks in urls are escaped. Rows repeating the leader's id are
@@ -28,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import checkpointed, ensure_checkpoint_dir
+from waymark.llm.shared import HOT_KEYS, checkpointed, ensure_checkpoint_dir
 
 #: An archive is closed after so many compressed bytes.
 ARCHIVE_BYTES = 32 << 20
 #: Bounds of what trains a dictionary, and the dictionary's size.
 TRAIN_BYTES, TRAIN_RECORDS, DICT_BYTES = 2 << 20, 1000, 32 << 10
-#: Leaders of up to so many repeated payloads are broadcast; beyond it the join shuffles.
+#: Leaders of up to so many repeated payloads are broadcast; beyond it only those of the most repeated ones are, the rest shuffles.
 BROADCAST_ROWS = 100_000
 # Fixed values of the formats
 _SKIPPABLE = 0x184D2A5D
@@ -83,10 +85,9 @@ class _Archive:
         try:
             dictionary = zstandard.train_dictionary(DICT_BYTES, first, k=200, d=8)
         except zstandard.ZstdError:  # too few or too small records to learn from
-            dictionary = None
-        if dictionary is not None:
-            raw = dictionary.as_bytes()
-            self._put(struct.pack("<II", _SKIPPABLE, len(raw)) + raw)
+            dictionary = zstandard.ZstdCompressionDict(b"".join(r[:DICT_BYTES] for r in first)[-DICT_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw = dictionary.as_bytes()
+        self._put(struct.pack("<II", _SKIPPABLE, len(raw)) + raw)
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
         for r in first:
             self.add(r)
@@ -144,11 +145,16 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1(F.col("html").cast("binary")), "n": F.octet_length("html")})
     repeated = checkpointed(
-        rows.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("leader"), F.count("*").alias("copies")).where("copies > 1 and leader is not null").drop("copies")
+        rows.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("leader"), F.count("*").alias("copies")).where("copies > 1 and leader is not null")
     )
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    linked = rows.join(repeated, ["digest", "n"], "left").withColumn("leader", F.when(~F.col("leader").eqNullSafe(F.col("page_id")), F.col("leader")))
+    keys, (n_repeated, copies) = ["digest", "n"], repeated.agg(F.count("*"), F.sum("copies")).first()
+    if n_repeated <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(repeated), keys, "left")
+    else:
+        hot = F.col("copies") > copies / HOT_KEYS  # fewer than HOT_KEYS payloads, so no payload is a hot key of the shuffle
+        often = F.broadcast(repeated.where(hot))
+        joined = rows.join(often, keys).unionByName(rows.join(often, keys, "left_anti").join(repeated.where(~hot), keys, "left"))
+    linked = joined.withColumn("leader", F.when(~F.col("leader").eqNullSafe(F.col("page_id")), F.col("leader")))
     return checkpointed(linked.select("page_id", "url", "html", "leader").mapInArrow(_writer(folder, date), "file string, n_records long, n_bytes long"))
 
 
@@ -191,7 +197,9 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, intact of each record."""
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
+    # the number of partitions is given, so that they are not merged for being small: they are only names
+    n_files = max(1, manifest.count())
+    return manifest.select("file").repartition(n_files).mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
 
 
 def new_folder(spark: SparkSession) -> str:
