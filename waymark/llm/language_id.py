@@ -4,8 +4,11 @@ Subwords are the 2-, 3- and 4-grams of a text's bytes (A-Z lower-cased, what is
 nor non-ASCII counted as a space), hashed into `BUCKETS` embeddings. A text is the mean of its
 subwords' embeddings; a softmax over a linear layer gives the language. Training is stochastic
 gradient descent in numpy on a bounded sample of labelled rows (`PER_LANGUAGE` texts of
-`SAMPLE_CHARS` characters each); a fifth of it calibrates a temperature and the confidence
-under which a text is rejected. For prediction the two layers are multiplied into one table
+`SAMPLE_CHARS` characters each); a fifth of it is held back and calibrates a temperature and the
+confidence under which a text is rejected. That bound is the one that best parts texts to keep, the held
+texts and joins of two of them in different languages, from texts in no learned language: words of
+random letters, and of letters of a script that the sample hardly has. It rejects at most `CLEAN_LOSS` of the
+held texts, whatever that costs. `Model.report` has the rates. For prediction the two layers are multiplied into one table
 by bucket and language, and every whole text is scored in Arrow batches.
 
 Null texts and texts without a letter are `und` with score 0 and are rejected. Without any
@@ -28,8 +31,10 @@ from waymark.llm.shared import raw_text, slices
 BUCKETS, WIDTH = 1 << 15, 12
 #: The training sample's bounds: texts for each language, characters of each, bytes of a training piece.
 PER_LANGUAGE, SAMPLE_CHARS, PIECE = 300, 1200, 120
-#: No text with a calibrated confidence of more than so many times an even guess is rejected.
-MOST_DOUBT = 1.4
+#: The largest share of held texts that calibration lets be rejected, and built texts of each kind.
+CLEAN_LOSS, BUILT = 0.005, 400
+#: More labels than these are an error: models of languages are small, labels of rows may be anything.
+MOST_LANGUAGES = 1000
 _GRAMS = (2, 3, 4)
 _PAD = 3
 _FOLD = np.full(256, 32, np.uint8)
@@ -38,7 +43,6 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-
 def subwords(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids (BUCKETS for none) for the grams of every size and start, and the starts' offsets."""
     sizes = np.diff(offs)
@@ -67,6 +71,7 @@ class Model:
 
     def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, doubt: float):
         self.languages, self.bias, self.temperature, self.doubt = languages, bias, temperature, doubt
+        self.report: dict[str, float] = {}
         self.table = [np.ascontiguousarray(t) for t in np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32).T]
 
     def logits(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -142,22 +147,49 @@ def _segment_sum(rows: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _calibrate(model: Model, texts: list[bytes], y: np.ndarray) -> None:
-    """The temperature of least log loss on held texts, and the doubt that rejects at most 0.5 % of them.
+def _calibrate(model: Model, texts: list[bytes], y: np.ndarray, seed: int = 17) -> None:
+    """The temperature of least log loss on held texts, and the doubt that parts texts to keep from built ones to reject.
 
     The targets are smoothed by a hundredth: on separable texts the plain loss has no least temperature.
     """
     if not texts:
         return
-    logits = model.logits(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    logits = _logits(model, texts)
 
     def loss(t: float) -> float:
         log_p = np.log(np.maximum(_softmax(logits / t), 1e-12))
         return -(0.99 * log_p[np.arange(len(y)), y] + 0.01 * log_p.mean(axis=1)).mean()
 
     model.temperature = min((float(t) for t in np.geomspace(0.05, 20, 60)), key=loss)
-    best = model.confidence(logits).max(axis=1)
-    model.doubt = float(min(MOST_DOUBT / len(model.languages), np.quantile(best, 0.005)))
+    sure = {"clean": model.confidence(logits).max(axis=1)}
+    for kind, built in _built(texts, y, np.random.default_rng(seed)).items():
+        sure[kind] = model.confidence(_logits(model, built)).max(axis=1) if built else np.zeros(0)
+    keep, drop = np.sort(np.concatenate([sure["clean"], sure["mixed"]])), np.sort(np.concatenate([sure["random"], sure["foreign"]]))
+    bounds = np.concatenate([keep, drop])
+    lost = np.searchsorted(keep, bounds) / len(keep) - np.searchsorted(drop, bounds) / len(drop)
+    best = bounds[lost <= lost.min() + 1e-9]
+    # the middle of the gap, where there is one
+    model.doubt = float(min(np.median(best), np.quantile(sure["clean"], CLEAN_LOSS)))
+    model.report = {f"rejected_{k}": float((v < model.doubt).mean()) if len(v) else 0.0 for k, v in sure.items()}
+    model.report |= {"accuracy": float((logits.argmax(axis=1) == y).mean()), "doubt": model.doubt, "temperature": model.temperature}
+
+
+def _logits(model: Model, texts: list[bytes]) -> np.ndarray:
+    return model.logits(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+
+
+def _built(texts: list[bytes], y: np.ndarray, rng: np.random.Generator) -> dict[str, list[bytes]]:
+    """Texts built from the held ones: two languages in one, random letters, letters of a rare script."""
+    one, two = rng.integers(0, len(texts), (2, 4 * BUILT))
+    sizes = rng.integers(40, 600, 4 * BUILT)
+    mixed = [texts[i][:n] + b" " + texts[j][:n] for i, j, n in zip(one, two, sizes, strict=True) if y[i] != y[j]]
+    seen = b"".join(texts)
+    rare = min((0x0370, 0x0430, 0x05D0, 0x4E00), key=lambda c: seen.count(chr(c + 5).encode()))
+
+    def words(first: int) -> bytes:
+        return " ".join("".join(chr(first + i) for i in rng.integers(0, 26, n)) for n in rng.integers(2, 10, rng.integers(8, 150))).encode()
+
+    return {"mixed": mixed[:BUILT], "random": [words(97) for _ in range(BUILT)], "foreign": [words(rare) for _ in range(BUILT)]}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -168,9 +200,11 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of the learnable rows' sample; None if no row is labelled."""
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels")
     unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1_000_000)) / 1_000_000
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     start = F.pmod(F.xxhash64(F.lit("start"), F.col(doc_id)), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
@@ -192,7 +226,7 @@ def _predictor(shared, carry: list[str]):
         for batch in batches:
             data, offs = raw_text(batch.column(1))
             names, scores, no = [], [], []
-            for lo, hi in slices(offs, 1 << 20):
+            for lo, hi in slices(offs):
                 part, at = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 if model is None:
                     best, sure = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
