@@ -1,18 +1,22 @@
 """Personal data in texts: patterns first, then a character-level tagger that adds spans.
 
 The base spans are the leftmost non-overlapping matches of each kind's pattern that pass its
-check. Matches before the check label the tagger's training windows, taken from a bounded sample of rows
-(`SAMPLE_ROWS`, at most `TRAIN_WINDOWS` windows); some labelled spans are respelled (a phone
-number without its plus, a card with other separators, an address with blanks around the @) so
-that the tagger finds forms that no pattern has. Texts are cut into overlapping windows. Every
-kind needs an @ or four digits, so windows without either hold no span and are not scored; that
-is a rule for all texts, not a cap. Scores of overlapping windows are averaged with weights that
-fall towards a window's edge, and each stretch of windows is then decoded as a whole, so a span
-is never judged by a cut. An added span must be confident, plausible and clear of base spans.
+check. The tagger is trained on windows of a bounded sample of rows (`SAMPLE_ROWS`, at most
+`TRAIN_WINDOWS` windows of either sort), whose labels are the patterns' matches before the check
+and those of well-known forms of keys and passwords (kind `secret`, which has no base spans). Half of the
+labelled spans are respelled as people write them to be read but not matched: bracketed at and
+dot signs, blanks around the @, defanged addresses, phone numbers without the plus, cards with other
+separators; so the tagger finds forms that no pattern has. Texts are cut into overlapping windows.
+Every kind needs an @, a digit, a bracketed "at" or a long run of capitals, so windows without any hold
+no span and are not scored; that is a rule for all texts, not a cap. Scores of overlapping
+windows are averaged with weights that fall towards a window's edge, and each stretch of windows is
+then decoded as a whole, so a span is never judged by a cut. An added span must be confident,
+plausible and clear of base spans.
 
 Null and empty texts have no spans. Long texts are handled whole and in linear time. Repeated
 rows and ids give one row each; an empty table gives none. Without any labelled span the base
-spans are the result. Places are code points, the end exclusive.
+spans are the result. `find` drops other columns and `redact` keeps them all, so none can clash.
+Places are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.pii_tagger import KINDS, STRIDE, TAGS, WINDOW, Tagger, classes
+from waymark.llm.pii_tagger import BASE_KINDS, KINDS, STRIDE, TAGS, WINDOW, Tagger, classes
+from waymark.llm.shared import checkpointed
 
 #: Bounds of the training sample: rows that are looked at, and windows of either sort (with spans, without).
-SAMPLE_ROWS, TRAIN_WINDOWS = 20_000, 900
+SAMPLE_ROWS, TRAIN_WINDOWS = 20_000, 1500
 #: Least mean and least single probability of an added span's tags.
 SURE, LEAST = 0.95, 0.5
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,7 +42,12 @@ _LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]*+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HINT = re.compile("[0-9@]")
+_HINT = re.compile(r"[0-9@]|[A-Z]{16}|[(\[]at[)\]]")
+#: Well-known forms of secrets, which label the sample (fixed values): key ids, tokens of code hosts, and assigned values.
+_SECRETS = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bsk-[A-Za-z0-9]{20,}\b|(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s?[=:]\s?[\"']?([^\s\"',;]{8,})", re.I)
+_AT = r"\s?(?:@|\(at\)|\[at\])\s?"
+_DOT = r"\s?(?:\.|\(dot\)|\[dot\])\s?"
+_SPELLED_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+")
 
 
 def _digits(s: str) -> str:
@@ -84,27 +94,40 @@ def base_spans(text: str, checked: bool = True) -> list[tuple[int, int, int]]:
     return out
 
 
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """Matches of the well-known forms, as labels: (kind, start, end)."""
+    at = len(BASE_KINDS)
+    return [(at, *m.span(1 if m[1] else 0)) for m in _SECRETS.finditer(text)] if _HINT.search(text) else []
+
+
 def plausible(kind: int, s: str) -> bool:
     """What an added span must have, whatever the tagger says."""
     d = _digits(s)
     if kind == 0:
-        local, at, domain = s.partition("@")
-        return bool(at and local.strip() and re.fullmatch(r"\s?[A-Za-z0-9-]+(\s?\.\s?[A-Za-z0-9-]+)+", domain))
+        return bool(_SPELLED_EMAIL.fullmatch(s))
     if kind == 1:
         parts = re.split(r"[^0-9]+", s)
         return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 16 <= len(d) <= 19 and luhn(d) and s[0].isdigit() and s[-1].isdigit()
-    return 8 <= len(d) <= 15 and len(re.findall(r"[^0-9]+", s)) >= 2 and not re.search("[A-Za-z]", s)
+    if kind == 3:
+        return 8 <= len(d) <= 15 and len(re.findall(r"[^0-9]+", s)) >= 2 and not re.search("[A-Za-z]", s)
+    return not re.search(r"\s", s) and (len(s) >= 8 and bool(d) and re.search("[A-Za-z]", s) is not None or re.fullmatch("[0-9A-Z]{16,}", s) is not None)
 
 
 def _windows(points: np.ndarray) -> np.ndarray:
-    """Starts of the windows that have an @ or four digits."""
+    """Starts of the windows that have an @, a digit, a bracketed "at" or 16 capitals or digits in a row."""
     starts = np.arange(0, max(len(points) - STRIDE, 1), STRIDE)
     ends = np.minimum(starts + WINDOW, len(points))
-    count = lambda hit: np.concatenate([[0], np.cumsum(hit)])
-    at, digit = count(points == 64), count((points >= 48) & (points < 58))
-    return starts[(at[ends] > at[starts]) | (digit[ends] - digit[starts] >= 4)]
+    digit = (points >= 48) & (points < 58)
+    hint = digit | (points == 64)
+    if len(points) >= 3:
+        hint[2:] |= ((points[2:] == 41) | (points[2:] == 93)) & (points[1:-1] == 116) & (points[:-2] == 97)
+    if len(points) >= 16:
+        long = np.concatenate([[0], np.cumsum(digit | ((points >= 65) & (points < 91)))])
+        hint[15:] |= long[16:] - long[:-16] == 16
+    count = np.concatenate([[0], np.cumsum(hint)])
+    return starts[count[ends] > count[starts]]
 
 
 def _points(text: str) -> np.ndarray:
@@ -137,7 +160,7 @@ class Finder:
         if not cut or self.tagger is None:
             return out
         x = np.concatenate(cut)
-        scores = np.concatenate([self.tagger.emissions(x[i : i + 4096]) for i in range(0, len(x), 4096)], axis=1)
+        scores = np.concatenate([self.tagger.emissions(x[i : i + 1024]) for i in range(0, len(x), 1024)], axis=1)
         regions, where, lo = [], [], 0
         for hi in range(1, len(starts) + 1):
             if hi == len(starts) or owner[hi] != owner[lo] or starts[hi] > starts[hi - 1] + WINDOW:
@@ -178,11 +201,36 @@ def _runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _respell(kind: int, s: str, rng: np.random.Generator) -> str:
+    """A form of a span that no pattern matches, or the span itself."""
     if kind == 0:
-        return s.replace("@", rng.choice([" @", "@ ", " @ "]))
+        local, _, domain = s.partition("@")
+        dot = rng.choice([".", ".", "[dot]", "(dot)", " . "])
+        return local + rng.choice([" @", "@ ", " @ ", "[at]", "(at)", " (at) "]) + domain.replace(".", dot)
+    if kind == 1:
+        return s.replace(".", rng.choice(["[.]", "(.)", " . ", "-"]))
     if kind == 2:
-        return re.sub(r"[\x20-]", rng.choice([".", "/", "_"]), s) if re.search(r"[\x20-]", s) else s
-    return s[1:].lstrip() if kind == 3 else s
+        mark = rng.choice([".", "/", "_", " - "])
+        return re.sub(r"[\x20-]", mark, s) if re.search(r"[\x20-]", s) else mark.join(s[i : i + 4] for i in range(0, len(s), 4))
+    if kind == 3:
+        plain = s[1:].lstrip()
+        return rng.choice([plain, "00" + plain, plain.replace("-", ".").replace(" ", "."), plain.replace("-", "/")])
+    return s
+
+
+def respelled(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator, share: float) -> tuple[str, list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The text with a share of its spans respelled, all spans of the new text, and those that have changed."""
+    out, done, size, kept, changed = [], 0, 0, [], []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a < done:
+            continue
+        new = _respell(kind, text[a:b], rng) if rng.random() < share else text[a:b]
+        start = size + a - done
+        out += [text[done:a], new]
+        size, done = start + len(new), b
+        kept.append((kind, start, size))
+        if new != text[a:b]:
+            changed.append(kept[-1])
+    return "".join([*out, text[done:]]), kept, changed
 
 
 def _labelled(seed: int):
@@ -193,18 +241,12 @@ def _labelled(seed: int):
         for batch in batches:
             xs, ys, some = [], [], []
             for text in batch.column(0).to_pylist():
-                spans = base_spans(text or "", checked=False)  # a sum of digits is nothing to learn
-                if spans and rng.random() < 0.4:  # the first span is respelled, the rest shift
-                    kind, a, b = min(spans, key=lambda s: s[1])
-                    new = _respell(kind, text[a:b], rng)
-                    moved = len(new) - (b - a)
-                    spans = [(kind, a, a + len(new))] + [(k, s + moved, e + moved) for k, s, e in spans if s >= b]
-                    text = text[:a] + new + text[b:]
-                points = _points(text or "")
-                tags = np.zeros(len(points), np.int8)
-                for kind, a, b in sorted(spans, key=lambda s: s[1] - s[2]):
-                    if not tags[a:b].any():
-                        tags[a:b], tags[a] = 2 + 2 * kind, 1 + 2 * kind
+                # shapes only: a sum of digits is nothing to learn
+                text, spans, _ = respelled(text, base_spans(text, checked=False) + secret_spans(text), rng, 0.5)
+                points = _points(text)
+                tags = np.zeros(len(points), np.uint8)
+                for kind, a, b in spans:
+                    tags[a:b], tags[a] = 2 + 2 * kind, 1 + 2 * kind
                 starts = _windows(points)
                 for x, y in zip(_cut(classes(points).astype(np.uint8), starts), _cut(tags, starts), strict=True):
                     xs.append(x.tobytes())
@@ -220,7 +262,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows
     n = docs.count()
     near = F.pmod(F.xxhash64(F.lit("pii"), F.col(doc_id)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(n, 1))) + 1
     rows = docs.where(near & F.col(text).rlike("[0-9@]")).select(F.col(text).cast("string").alias("text")).mapInArrow(_labelled(11), "x binary, y binary, some boolean")
-    rows = rows.withColumn("h", F.xxhash64("x", "y"))
+    rows = checkpointed(rows.withColumn("h", F.xxhash64("x", "y")))  # read twice, scanned once
     # windows with spans and without, each the least by hash: a top-k, so only 2 * windows rows come back
     ranked = rows.where("some").orderBy("h").limit(windows).unionByName(rows.where("not some").orderBy("h").limit(windows)).toPandas()
     if not ranked["some"].any():

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds that have a pattern, and after them one that only the tagger finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: Tags: 0 outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE = 64, 32
-_PUNCT = " \n.,@+-_%():;=/\"'|<>#*&!?"
+_PUNCT = " \n.,@+-_%()[]:;=/\"'|<>#*&!?"
 _PAD, _LOWER, _UPPER, _DIGIT, _WIDE, _OTHER = range(6)
 CLASSES = 6 + len(_PUNCT)
 
@@ -81,7 +83,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, width: int = 12, embed: int = 8, seed: int = 3):
+    def __init__(self, width: int = 16, embed: int = 8, seed: int = 3):
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.normal(0, 1 / np.sqrt(s[0]), s)).astype(np.float32)
         self.p = {"emb": draw(CLASSES, embed) * 2, "out": draw(2 * width, TAGS), "bias": np.zeros(TAGS, np.float32), "trans": np.zeros((TAGS, TAGS), np.float32)}

@@ -172,7 +172,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    n_added = (F.size("spans") - F.size(base)).cast("long").alias("n_added")
+    return found.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), n_added, (F.size("spans") > 0).alias("has_personal_data"))
 
 
 QUERIES = {
