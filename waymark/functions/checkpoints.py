@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once into the cluster's shared folder, spark.checkpoint.dir; a folder of its own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+    """df, computed once into the cluster's shared folder, spark.checkpoint.dir; a folder of its own only where that is unset and all runs in this process."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        given = sc.getConf().get("spark.checkpoint.dir", "")
+        if not given and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+    return sc.getCheckpointDir()

@@ -173,35 +173,35 @@ def failure_class(text: Column) -> Column:
     return out
 
 
-# Problem summaries by what the lower-cased evidence contains (all of them), first hit wins
+# Problem summaries by what the lower-cased evidence contains (all of one alternative), first hit wins
+ADAPTER_GAP = "Contact-company request-field adapter gap"
 PROBLEMS = [
-    (["econnreset"], "Runtime connection reset (indeterminate)"),
-    (['column "companyid" referenced in foreign key constraint does not exist'], "Database migration / prerequisite cascade"),
-    (["unresolved request_field for contact.companies"], "Contact-company request-field adapter gap"),
-    (["could not discover a valid contact link contract"], "Contact-company request-field adapter gap"),
-    (["expectedclosedate", "2026-12-31t00:00:00.000z"], "Date representation mismatch"),
-    (["shows a transition api error inline"], "Transition error not shown inline"),
-    (["selected deal contact", "removable"], "Contact-removal UI detection/behavior"),
-    (["rejects an empty body"], "Empty-update validation missing"),
-    (["contact list and company filtering", "expected 200"], "Company-filter database query failure"),
-    (["relationship migration", "isprimary"], "Migrated primary-company response mismatch"),
-    (["demo seed includes a multi-company contact"], "Required multi-company seed data missing"),
+    ([["econnreset"]], "Runtime connection reset (indeterminate)"),
+    ([['column "companyid" referenced in foreign key constraint does not exist']], "Database migration / prerequisite cascade"),
+    ([["unresolved request_field for contact.companies"], ["could not discover a valid contact link contract"]], ADAPTER_GAP),
+    ([["expectedclosedate", "2026-12-31t00:00:00.000z"]], "Date representation mismatch"),
+    ([["shows a transition api error inline"]], "Transition error not shown inline"),
+    ([["selected deal contact", "removable"]], "Contact-removal UI detection/behavior"),
+    ([["rejects an empty body"]], "Empty-update validation missing"),
+    ([["contact list and company filtering", "expected 200"]], "Company-filter database query failure"),
+    ([["relationship migration", "isprimary"]], "Migrated primary-company response mismatch"),
+    ([["demo seed includes a multi-company contact"]], "Required multi-company seed data missing"),
 ]
 
 
 def problem(failure_id: Column, text: Column, event_type: Column) -> Column:
     """The problem summary of an event; an unresolved adapter target is the adapter gap unless an earlier rule holds."""
     evidence = F.lower(F.concat_ws(" ", F.coalesce(failure_id, F.lit("")), F.coalesce(text, F.lit(""))))
-    gap = PROBLEMS[2][1]
     out = F.lit("Other behavioral assertion")
-    for i, (needles, name) in reversed(list(enumerate(PROBLEMS))):
-        hit = F.lit(True)
-        for n in needles:
-            hit &= F.contains(evidence, F.lit(n))
-        if i == 3:
-            hit |= event_type == "adapter_unresolved"
+    for alternatives, name in reversed(PROBLEMS):
+        hit = F.coalesce(event_type == "adapter_unresolved", F.lit(False)) if name == ADAPTER_GAP else F.lit(False)
+        for needles in alternatives:
+            found = F.lit(True)
+            for n in needles:
+                found &= F.contains(evidence, F.lit(n))
+            hit |= found
         out = F.when(hit, name).otherwise(out)
-    return F.coalesce(out, F.lit(gap))
+    return out
 
 
 def excerpt(text: Column, limit: int = 700) -> Column:

@@ -6,24 +6,28 @@ import math
 
 import numpy as np
 
-#: Up to so many non-zero differences the exact distribution is enumerated.
-EXACT_PAIRS = 13
+#: Up to so many non-zero differences the exact distribution is counted; fixed value of the test's usual definition.
+EXACT_PAIRS = 50
 
 
 def wilcoxon_p(statistic: float, ranks: list[float] | None, n: int, ties: float) -> float:
     """Two-sided p of a signed-rank statistic min(W+, W-).
 
-    With the ranks of few pairs all sign flips are counted; else the normal approximation with
-    tie correction (ties: sum of t**3 - t over tied ranks) is used.
+    Up to EXACT_PAIRS pairs the ranks are given and all their sign flips are counted, by the sums that they
+    can reach (ties make half ranks, so sums are counted in halves); for more the normal approximation
+    with tie correction (ties: sum of t**3 - t over tied ranks) is used.
     """
     if n == 0:
         return 1.0
     if ranks is not None and n <= EXACT_PAIRS:
-        sums = np.zeros(1)
-        for r in ranks:
-            sums = np.concatenate([sums, sums + r])
-        total = sum(ranks)
-        return float(min(1.0, np.mean(np.minimum(sums, total - sums) <= statistic + 1e-9)))
+        halves = [round(2 * r) for r in ranks]
+        ways = np.zeros(sum(halves) + 1)
+        ways[0] = 1
+        for h in halves:
+            ways[h:] = ways[h:] + ways[: len(ways) - h]
+        sums = np.arange(len(ways))
+        low = np.minimum(sums, sum(halves) - sums) <= 2 * statistic + 1e-9
+        return float(min(1.0, ways[low].sum() / 2.0 ** len(halves)))
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     return float(min(1.0, math.erfc(abs(statistic - mean) / math.sqrt(2 * var)))) if var > 0 else 1.0
 

@@ -182,8 +182,8 @@ def replay_stages(requests: DataFrame) -> DataFrame:
 
 
 def migrate_links(contacts: DataFrame, existing: DataFrame) -> DataFrame:
-    """Primary links that contacts' company keys still lack; running it again adds none."""
-    wanted = contacts.where("company_id is not null").select(F.col("id").alias("contact_id"), "company_id").dropDuplicates(["contact_id"]).withColumn("is_primary", F.lit(True))
+    """Primary links that contacts' company keys still lack, of a repeated contact the least; running it again adds none."""
+    wanted = contacts.where("company_id is not null").groupBy(F.col("id").alias("contact_id")).agg(F.min("company_id").alias("company_id")).withColumn("is_primary", F.lit(True))
     return wanted.join(existing.select("contact_id").distinct(), "contact_id", "left_anti")
 
 

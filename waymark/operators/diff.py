@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.functions.checkpoints import settled
+
+#: A checkpoint that more than one in so many pairs looks back to is hot; identities of hot ones are broadcast up to so many rows.
+HOT_KEYS, BROADCAST_ROWS = 2000, 200_000
 IDENTITY = ["scope_id", "rule_id", "file", "message"]
 BASELINE = "baseline"
 
@@ -31,17 +35,26 @@ def multiset_counts(counts: DataFrame, pairs: DataFrame, identity: list[str] = I
     """Before, after, introduced, resolved, unchanged and net counts of each pair.
 
     Unchanged copies need only identities on both sides, so an inner join replaces the full outer
-    join; what is introduced or resolved is what the totals leave over. Pairs against the one
-    baseline join its few identities by broadcast, pairs of neighbours shuffle.
+    join; what is introduced or resolved is what the totals leave over. A checkpoint that very many
+    pairs look back to, such as the baseline, would be a hot key: there are few such, and while their
+    identities are at most BROADCAST_ROWS these are broadcast. Pairs of neighbours shuffle.
     """
+    counts, pairs = settled(counts), settled(pairs)
     totals = counts.groupBy("evaluation_id").agg(F.sum("n").alias("total"))
-    post = counts.withColumnRenamed("n", "a")
     pre = counts.select(F.col("evaluation_id").alias("pre"), *identity, F.col("n").alias("b"))
-    same = [F.col(f"post.{c}").eqNullSafe(F.col(f"pre_.{c}")) for c in identity]
-    matched = (
-        pairs.join(post, "evaluation_id").alias("post").join(pre.alias("pre_"), [F.col("post.pre") == F.col("pre_.pre"), *same])
-        .groupBy("post.delta_scope", "post.evaluation_id").agg(F.sum(F.least("a", "b")).alias("unchanged_count"))
-    )
+
+    def match(some: DataFrame, before: DataFrame) -> DataFrame:
+        same = [F.col(f"post.{c}").eqNullSafe(F.col(f"pre_.{c}")) for c in identity]
+        joined = some.join(counts.withColumnRenamed("n", "a"), "evaluation_id").alias("post").join(before.alias("pre_"), [F.col("post.pre") == F.col("pre_.pre"), *same])
+        return joined.groupBy("post.delta_scope", "post.evaluation_id").agg(F.sum(F.least("a", "b")).alias("unchanged_count"))
+
+    often = pairs.groupBy("pre").agg(F.count("*").alias("m")).where(F.col("m") > max(pairs.count() / HOT_KEYS, 1)).select("pre")
+    looked_at = settled(pre.join(F.broadcast(often), "pre"))  # fewer than HOT_KEYS checkpoints
+    if looked_at.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        hot = F.broadcast(looked_at.select("pre").distinct())
+        matched = match(pairs.join(hot, "pre", "left_semi"), F.broadcast(looked_at)).unionByName(match(pairs.join(hot, "pre", "left_anti"), pre))
+    else:
+        matched = match(pairs, pre)
     out = (
         pairs.join(matched, ["delta_scope", "evaluation_id"], "left")
         .join(totals.withColumnRenamed("total", "after_count"), "evaluation_id", "left")

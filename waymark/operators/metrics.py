@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,59 +79,66 @@ def layer_violations(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
     return layered.where(_module(F.col("src")) == _module(F.col("dst"))).join(F.broadcast(forbidden), ["from_layer", "to_layer"], "left_semi").drop("from_layer", "to_layer")
 
 
-def _components(edges: list[tuple[str, str]]) -> dict[str, int]:
-    """Strongly connected components by depth-first search with an explicit stack."""
-    after: dict[str, list[str]] = {}
-    for a, b in edges:
-        after.setdefault(a, []).append(b)
-        after.setdefault(b, [])
-    index, low, comp, stack, held = {}, {}, {}, [], set()
-    for root in after:
-        if root in index:
-            continue
-        work = [(root, iter(after[root]))]
-        index[root] = low[root] = len(index)
-        stack.append(root)
-        held.add(root)
-        while work:
-            node, rest = work[-1]
-            for to in rest:
-                if to not in index:
-                    index[to] = low[to] = len(index)
-                    stack.append(to)
-                    held.add(to)
-                    work.append((to, iter(after[to])))
-                    break
-                if to in held:
-                    low[node] = min(low[node], index[to])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    while True:
-                        x = stack.pop()
-                        held.discard(x)
-                        comp[x] = index[node]
-                        if x == node:
-                            break
-    return comp
-
-
-def cyclic_edges(edges: DataFrame, trims: int = 2) -> DataFrame:
-    """Distinct (project, src, dst) on a cycle: both ends in one strongly connected component, or a loop.
+def _ends(edges: DataFrame, end: str) -> DataFrame:
+    return edges.select("project", F.col(end).alias("node")).distinct()
+
+
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges left when those of nodes without a way in or without a way out are gone, until none goes, and their number."""
+    n = edges.count()
+    while n:
+        into = edges.join(_ends(edges, "dst").withColumnRenamed("node", "src"), ["project", "src"], "left_semi")
+        edges = settled(into.join(_ends(into, "src").withColumnRenamed("node", "dst"), ["project", "dst"], "left_semi").select("project", "src", "dst"))
+        was, n = n, edges.count()
+        if n == was:
+            break
+    return edges, n
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """project, node, colour: the least node that reaches each node, spread along the edges until none changes."""
+    nodes = settled(_ends(edges, "src").unionByName(_ends(edges, "dst")).distinct().withColumn("colour", F.col("node")))
+    while True:
+        sent = edges.join(nodes.withColumnRenamed("node", "src"), ["project", "src"]).groupBy("project", F.col("dst").alias("node")).agg(F.min("colour").alias("sent"))
+        moved = nodes.join(sent, ["project", "node"], "left").select("project", "node", F.least("colour", "sent").alias("colour"), (F.coalesce("sent", "colour") < F.col("colour")).alias("moved"))
+        moved = settled(moved)
+        nodes = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return nodes
 
-    Nodes without a way in or out are trimmed by joins first; what is left of a project is one group.
-    """
-    left = edges.select("project", "src", "dst").where("src is not null and dst is not null").distinct()
-    for _ in range(trims):
-        left = left.join(left.select("project", F.col("dst").alias("src")).distinct(), ["project", "src"], "left_semi").join(left.select("project", F.col("src").alias("dst")).distinct(), ["project", "dst"], "left_semi")
 
-    def inside(group: pd.DataFrame) -> pd.DataFrame:
-        comp = _components(list(zip(group["src"], group["dst"], strict=True)))
-        return group[[comp[a] == comp[b] for a, b in zip(group["src"], group["dst"], strict=True)]]
+def _inside(edges: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
+    """Edges with both ends among the nodes (left_semi), or neither (left_anti)."""
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select("project", F.col("node").alias(end)), ["project", end], how)
+    return edges.select("project", "src", "dst")
 
-    return left.select("project", "src", "dst").groupBy("project").applyInPandas(inside, "project string, src string, dst string")
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """Distinct (project, src, dst) on a cycle: both ends in one strongly connected component, or a loop.
+
+    Components come from joins and aggregates alone, so no task holds a project. What lies on no
+    way from cycle to cycle is trimmed first. Then the least node that reaches a node is its
+    colour; of the nodes of a colour, those that also reach the node it is named after are that
+    node's component. Components are taken off and the rest goes round again. Rounds follow the longest
+    way through a graph, not its size.
+    """
+    whole = settled(edges.select("project", "src", "dst").where("src is not null and dst is not null").distinct())
+    found, left = whole.where("src = dst"), whole.where("src <> dst")
+    while True:
+        left, n = _trimmed(left)
+        if not n:
+            return found
+        nodes = _colours(left)
+        of = lambda end: nodes.select("project", F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
+        same = settled(left.join(of("src"), ["project", "src"]).join(of("dst"), ["project", "dst"]).where("src_colour = dst_colour").select("project", "src", "dst"))
+        back, size = settled(nodes.where("node = colour").select("project", "node")), 0
+        while (now := back.count()) != size:
+            size = now
+            before = same.join(back.withColumnRenamed("node", "dst"), ["project", "dst"], "left_semi").select("project", F.col("src").alias("node"))
+            back = settled(back.unionByName(before).distinct())
+        found = found.unionByName(_inside(same, back, "left_semi"))
+        left = settled(_inside(same, back, "left_anti"))
 
 
 def dependency_density(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
@@ -216,20 +222,27 @@ def propagation_incompleteness(slots: DataFrame) -> DataFrame:
 
 
 def schema_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """added, removed or modified columns; both sides: project, table_name, column_name, signature."""
+    """added, removed or modified columns; both sides: project, table_name, column_name, signature (null: not there)."""
     keys = ["project", "table_name", "column_name"]
     both = before.withColumnRenamed("signature", "old").join(after.withColumnRenamed("signature", "new"), keys, "full")
-    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
+    kind = F.when(F.col("old").isNull() & F.col("new").isNull(), None).when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
     return both.select(*keys, kind.alias("change")).where("change is not null")
 
 
 def uncovered_changes(changes: DataFrame, migrations: DataFrame) -> DataFrame:
-    """Changes that no executable migration of the project names, table and column, both up and down."""
+    """Changes that no executable migration of the project names, table and column, both up and down.
+
+    Names are looked for in plain text, letters and digits only. A migration's pieces of the lengths that
+    column names have are joined with the names, so no change meets every migration of its project.
+    """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    names = changes.select("project", "table_name", "column_name", plain("table_name").alias("t"), plain("column_name").alias("c")).distinct()
+    lengths = names.where("c is not null").agg(F.collect_set(F.length("c"))).first()[0]  # as many as identifiers have lengths
     m = migrations.where("executable").select("project", plain("up").alias("up"), plain("down").alias("down"))
-    has = lambda side, c: F.contains(F.col(side), plain(c))
-    cond = [changes.project == m.project, has("up", "table_name"), has("down", "table_name"), has("up", "column_name"), has("down", "column_name")]
-    return changes.join(m, cond, "left_anti")
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("up"), F.lit(1))), lambda at: F.transform(F.array(*[F.lit(n) for n in lengths or [0]]), lambda n: F.substring(F.col("up"), at, n)))
+    named = m.withColumn("c", F.explode(F.array_distinct(F.flatten(pieces)))).join(names, ["project", "c"])
+    covered = named.where(F.contains("up", "t") & F.contains("down", "t") & F.contains("down", "c")).select("project", "table_name", "column_name").distinct()
+    return changes.join(covered, ["project", "table_name", "column_name"], "left_anti")
 
 
 def module_composition(files: DataFrame) -> DataFrame:

@@ -169,10 +169,11 @@ def paired_wilcoxon(pairs: DataFrame) -> DataFrame:
     """agent, n_pairs, statistic, p_value, median_diff, note."""
     import pandas as pd
 
-    def test(statistic, ranks, n, ties):
-        return pd.Series([wilcoxon_p(s, None if r is None else list(r), int(k), t) for s, r, k, t in zip(statistic, ranks, n, ties, strict=True)])
+    def test(statistic: pd.Series, ranks: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([wilcoxon_p(s, None if r is None else list(r), int(k), t) for s, r, k, t in zip(statistic, ranks, n, ties, strict=True)], dtype="float64")
 
-    p = F.pandas_udf(test, "double", F.PandasUDFType.SCALAR)
+    test.__annotations__ = dict.fromkeys(("statistic", "ranks", "n", "ties", "return"), pd.Series)  # not as text: pd is local
+    p = F.pandas_udf(test, "double")
     few = F.col("n_pairs") < 2
     out = signed_ranks(pairs).withColumn("p", p("statistic", "ranks", "n", "ties"))
     note = F.when(few, "fewer than 2 complete pairs").when(F.col("n") == 0, "all paired differences are zero")

@@ -42,12 +42,12 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.unionByName(base)
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of an order are its checkpoint's findings."""
+def findings(spark: SparkSession, sf_dir: str, cp: DataFrame | None = None) -> DataFrame:
+    """Line items of an order are its checkpoint's findings; cp: the checkpoints, if a caller has them settled."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
     at = F.pmod(F.col("l_partkey"), F.lit(len(CONCERNS))).cast("int")
     pick = lambda i: F.get(F.array(*[F.lit(c[i]) for c in CONCERNS]), at)
-    cp = checkpoints(spark, sf_dir)
+    cp = checkpoints(spark, sf_dir) if cp is None else cp
     return lines.join(cp, lines.l_orderkey == cp.order_key).select(
         *[c for c in cp.columns if c != "order_key"],
         pick(1).alias("scope_id"),
@@ -157,9 +157,9 @@ def with_sql(names: str, body: str) -> str:
 
 
 def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task completion of nine in ten checkpoints; statuses follow the order key."""
+    """Task completion of every checkpoint; statuses follow the order key."""
     k = F.col("order_key")
-    return checkpoints(spark, sf_dir).where("session_id <> 'baseline' and order_key % 10 <> 9").select(
+    return checkpoints(spark, sf_dir).where("session_id <> 'baseline'").select(
         "session_id", "task_id", "task_order", "agent", "strategy", F.when(k % 7 == 1, "failed").when(k % 7 != 0, "success").alias("agent_status"), F.when(k % 5 != 0, k % 5 != 1).alias("completion_marker_found"),
         (k % 11 == 0).alias("agent_reported_error"), F.when(k % 3 == 0, "pass").when(k % 3 == 1, "fail").otherwise("error").alias("test_status"), (k % 20 + 5).alias("test_cases_total"), (k % 20 + 5 - k % 4).alias("test_cases_passed"),
         (k % 4).alias("test_cases_failed"), (F.col("duration_ms") / 1000).alias("duration_seconds"), F.round(F.col("duration_ms") / 100000, 5).alias("cost_usd"), F.when(F.col("agent") == "building", "estimated").otherwise("reported").alias("cost_basis"),
@@ -167,8 +167,8 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third customer's session has a self-review."""
-    return table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("S"), F.col("c_custkey")).alias("session_id"), (F.col("c_custkey") % 5).alias("n_findings"), "c_custkey")
+    """Every customer's session has a self-review, a fifth of them without a finding."""
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("S"), F.col("c_custkey")).alias("session_id"), (F.col("c_custkey") % 5).alias("n_findings"), "c_custkey")
 
 
 def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +178,8 @@ def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["completion"] = """completion AS (SELECT session_id, task_id, task_order, agent, strategy, CASE WHEN order_key % 7 = 1 THEN 'failed' WHEN order_key % 7 <> 0 THEN 'success' END AS agent_status, CASE WHEN order_key % 5 <> 0 THEN order_key % 5 <> 1 END AS completion_marker_found,
   order_key % 11 = 0 AS agent_reported_error, CASE order_key % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'error' END AS test_status, order_key % 20 + 5 AS test_cases_total, order_key % 20 + 5 - order_key % 4 AS test_cases_passed, order_key % 4 AS test_cases_failed,
-  duration_ms / 1000 AS duration_seconds, round(duration_ms / 100000, 5) AS cost_usd, CASE WHEN agent = 'building' THEN 'estimated' ELSE 'reported' END AS cost_basis, duration_ms * 3 AS tokens FROM checkpoints WHERE session_id <> 'baseline' AND order_key % 10 <> 9)"""
-SQL["reviews"] = "reviews AS (SELECT 'S' || c_custkey AS session_id, c_custkey % 5 AS n_findings, c_custkey FROM customer WHERE c_custkey % 3 = 0)"
+  duration_ms / 1000 AS duration_seconds, round(duration_ms / 100000, 5) AS cost_usd, CASE WHEN agent = 'building' THEN 'estimated' ELSE 'reported' END AS cost_basis, duration_ms * 3 AS tokens FROM checkpoints WHERE session_id <> 'baseline')"""
+SQL["reviews"] = "reviews AS (SELECT 'S' || c_custkey AS session_id, c_custkey % 5 AS n_findings, c_custkey FROM customer)"
 SQL["review_findings"] = "review_findings AS (SELECT session_id, session_id || '-' || i AS finding_id, 'backend/src/m' || ((c_custkey + i) % 9) || '.ts; x.ts' AS referenced_files FROM (SELECT *, unnest(range(1, n_findings + 1)) AS i FROM reviews))"
 SQL["bounds"] = """bounds AS (SELECT metric_name, count(value) AS n, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75), 9) AS q3,
   round(quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)), 9) AS iqr_low, round(quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)), 9) AS iqr_high, min(direction) AS direction FROM observations GROUP BY 1)"""

@@ -110,12 +110,13 @@ def r13(spark, d):
     return crm.replay_stages(table(spark, d, "events").select(F.col("user_id").alias("deal_id"), F.col("event_id").alias("seq"), to.alias("to_stage"), (F.col("event_id") % 5).alias("n_contacts"), (F.col("event_id") % 7 != 0).alias("has_close_date")))
 
 
-_LINKS = f"{_CT}, ex AS (SELECT id AS contact_id, company_id, id % 4 <> 0 AS is_primary FROM ct WHERE id % 2 = 0 UNION ALL SELECT id, company_id + 1, id % 3 = 0 FROM ct WHERE id % 2 = 0)"
+_LINKS = f"{_CT}, {_DE}, ex AS (SELECT contact_id, company_id, bool_or(coalesce(stage = 'WON', false)) AS is_primary FROM de JOIN (SELECT id FROM ct WHERE NOT gone) c ON c.id = de.contact_id WHERE v > 150000 GROUP BY 1, 2)"
 
 
 def _links(spark, d):
-    even = contacts(spark, d).where("id % 2 = 0")
-    return even.select(F.col("id").alias("contact_id"), "company_id", (F.col("id") % 4 != 0).alias("is_primary")).unionByName(even.select(F.col("id").alias("contact_id"), (F.col("company_id") + 1).alias("company_id"), (F.col("id") % 3 == 0).alias("is_primary")))
+    """Live contacts are linked to the companies of their large deals; a won deal makes the link primary."""
+    large = deals(spark, d).where("value > 150000").join(crm.live(contacts(spark, d)).select(F.col("id").alias("contact_id")), "contact_id", "left_semi")
+    return large.groupBy("contact_id", "company_id").agg(F.bool_or(F.coalesce(F.col("stage") == "WON", F.lit(False))).alias("is_primary"))
 
 
 @query("r14_migrate_links", f"WITH {_LINKS} SELECT id AS contact_id, company_id, true AS is_primary FROM ct WHERE id NOT IN (SELECT contact_id FROM ex)")
@@ -123,7 +124,7 @@ def r14(spark, d):
     return crm.migrate_links(contacts(spark, d), _links(spark, d))
 
 
-@query("r15_primary_violations", f"WITH {_LINKS} SELECT contact_id, count(*) FILTER (WHERE is_primary) AS primaries FROM ex GROUP BY 1 HAVING primaries <> 1")
+@query("r15_primary_violations", f"WITH {_LINKS} SELECT contact_id, coalesce(count(*) FILTER (WHERE is_primary), 0) AS primaries FROM ex GROUP BY 1 HAVING primaries <> 1")
 def r15(spark, d):
     return crm.primary_violations(contacts(spark, d), _links(spark, d))
 

@@ -5,30 +5,34 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.functions.checkpoints import settled
 from waymark.operators import diff, ingest
 from waymark.plans.bindings import checkpoints, findings, observations, table, with_sql
 from waymark.plans.core import query
 
 
-def deltas(spark, d):
-    return diff.multiset_counts(diff.finding_counts(findings(spark, d)), diff.make_pairs(checkpoints(spark, d)))
+def deltas(spark, d, cp=None):
+    cp = settled(checkpoints(spark, d)) if cp is None else cp
+    return diff.multiset_counts(diff.finding_counts(findings(spark, d, cp)), diff.make_pairs(cp))
 
 
 def runs(spark, d):
     """The tidy table of runs: counts of either comparison beside the checkpoint's keys."""
-    wide = deltas(spark, d).groupBy("evaluation_id").agg(
+    settled_cp = settled(checkpoints(spark, d))
+    wide = deltas(spark, d, settled_cp).groupBy("evaluation_id").agg(
         F.max("after_count").alias("total_findings_absolute"),
         *[F.max(F.when(F.col("delta_scope") == s, F.col(c))).alias(f"{p}_{c}") for s, p in (("run_local", "run_local"), ("trajectory_cumulative", "trajectory")) for c in ("introduced_count", "resolved_count", "net_change")],
     )
-    cp = checkpoints(spark, d).select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy", "execution_status", "duration_ms")
-    return cp.join(wide, "evaluation_id")
+    cp = settled_cp.select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy", "execution_status", "duration_ms")
+    return settled(cp.join(wide, "evaluation_id"))  # tables built on it read it several times
 
 
 def changes(spark, d):
     """The tidy table of findings: current ones, and surplus copies of either comparison (with their number)."""
-    keys = checkpoints(spark, d).select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy")
-    counts = diff.finding_counts(findings(spark, d))
-    moved = diff.surplus(counts, diff.make_pairs(checkpoints(spark, d))).unionByName(counts.withColumns({"delta_scope": F.lit("absolute"), "change_type": F.lit("current")}))
+    cp = settled(checkpoints(spark, d))
+    keys = cp.select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy")
+    counts = settled(diff.finding_counts(findings(spark, d, cp)))
+    moved = diff.surplus(counts, diff.make_pairs(cp)).unionByName(counts.withColumns({"delta_scope": F.lit("absolute"), "change_type": F.lit("current")}))
     return moved.join(keys, "evaluation_id")
 
 
@@ -46,10 +50,10 @@ def d02(spark, d):
 
 
 @query("d03_score_diff", with_sql("observations pairs", """SELECT p.delta_scope, p.evaluation_id, a.metric_name, a.value AS "to", b.value AS "from", round(a.value - b.value, 6) AS delta, CASE WHEN a.value IS NOT NULL AND b.value IS NOT NULL THEN 'available' ELSE 'unavailable' END AS delta_status
-FROM pairs p JOIN observations a ON p.evaluation_id = a.evaluation_id LEFT JOIN observations b ON b.evaluation_id = p.pre AND b.metric_name = a.metric_name WHERE p.delta_scope = 'run_local'"""))
+FROM pairs p JOIN observations a ON p.evaluation_id = a.evaluation_id LEFT JOIN observations b ON b.evaluation_id = p.pre AND b.metric_name = a.metric_name"""))
 def d03(spark, d):
     obs = observations(spark, d).select("evaluation_id", "metric_name", "value")
-    pairs = diff.make_pairs(checkpoints(spark, d)).where("delta_scope = 'run_local'")
+    pairs = diff.make_pairs(checkpoints(spark, d))
     pre = obs.withColumnRenamed("evaluation_id", "pre")
     out = diff.score_diff(pairs.join(obs, "evaluation_id"), pre, ["pre", "metric_name"])
     return out.select("delta_scope", "evaluation_id", "metric_name", "to", "from", F.round("delta", 6).alias("delta"), "delta_status")
@@ -100,14 +104,20 @@ def d08(spark, d):
     return diff.run_status(table(spark, d, "events").select(F.col("user_id").cast("string").alias("evaluation_id"), F.col("event_type").alias("scope_id"), F.get_json_object("props", "$.k").alias("layer"), F.when(F.col("value") < 1, "error").otherwise("pass").alias("status")))
 
 
-@query("d09_layer_flatten", with_sql("observations pairs", """SELECT a.evaluation_id, 'backend:' || a.metric_name AS metric_key, a.value, round(a.value - b.value, 6) AS delta FROM observations a JOIN pairs p ON p.evaluation_id = a.evaluation_id AND p.delta_scope = 'run_local' LEFT JOIN observations b ON b.evaluation_id = p.pre AND b.metric_name = a.metric_name WHERE a.metric_name LIKE 'BE-%'"""))
+_SCOPE_SQL = "CASE WHEN metric_name LIKE 'BE-%' THEN 'backend' WHEN metric_name LIKE 'FE-%' THEN 'frontend' ELSE 'cross' END"
+
+
+@query("d09_layer_flatten", with_sql("observations pairs", f"""WITH o AS (SELECT *, {_SCOPE_SQL} AS scope_id FROM observations)
+SELECT p.delta_scope, a.evaluation_id, a.scope_id || ':' || a.metric_name AS metric_key, a.value, round(a.value - b.value, 6) AS delta FROM o a JOIN pairs p ON p.evaluation_id = a.evaluation_id LEFT JOIN o b ON b.evaluation_id = p.pre AND b.metric_name = a.metric_name"""))
 def d09(spark, d):
-    obs = observations(spark, d).where("metric_name like 'BE-%'").select("evaluation_id", "metric_name", "value")
-    nested = obs.groupBy("evaluation_id").agg(F.collect_list(F.struct("metric_name", "value")).alias("metrics"))
-    flat = nested.select("evaluation_id", F.lit("backend").alias("scope_id"), F.inline("metrics"))
-    pairs = diff.make_pairs(checkpoints(spark, d)).where("delta_scope = 'run_local'")
-    out = diff.score_diff(pairs.join(flat, "evaluation_id"), obs.withColumnRenamed("evaluation_id", "pre"), ["pre", "metric_name"])
-    return out.select("evaluation_id", F.concat_ws(":", "scope_id", "metric_name").alias("metric_key"), F.col("to").alias("value"), F.round("delta", 6).alias("delta"))
+    """Metrics nested by scope, flattened with the scope as prefix, and their deltas of both comparisons."""
+    scope = F.when(F.col("metric_name").startswith("BE-"), "backend").when(F.col("metric_name").startswith("FE-"), "frontend").otherwise("cross")
+    obs = observations(spark, d).select("evaluation_id", scope.alias("scope_id"), "metric_name", "value")
+    nested = obs.groupBy("evaluation_id", "scope_id").agg(F.collect_list(F.struct("metric_name", "value")).alias("metrics"))
+    flat = nested.select("evaluation_id", "scope_id", F.inline("metrics"))
+    pre = obs.withColumnRenamed("evaluation_id", "pre").drop("scope_id")
+    out = diff.score_diff(diff.make_pairs(checkpoints(spark, d)).join(flat, "evaluation_id"), pre, ["pre", "metric_name"])
+    return out.select("delta_scope", "evaluation_id", F.concat_ws(":", "scope_id", "metric_name").alias("metric_key"), F.col("to").alias("value"), F.round("delta", 6).alias("delta"))
 
 
 @query("d10_violations", with_sql("findings", "SELECT scope_id, rule_id, count(*) AS violations, count(DISTINCT rule_id) AS rules_affected FROM findings GROUP BY ROLLUP (scope_id, rule_id)"))

@@ -95,9 +95,10 @@ def m09(spark, d):
     return M.endpoint_misses(u, u.where("page_id % 2 = 0"))
 
 
+EVENT_TYPES = ["click", "view", "purchase", "signup", "error"]
 _EV = """ev AS (SELECT event_id AS id, event_type AS endpoint, CASE WHEN event_id % 2 = 0 THEN 'query' ELSE 'body' END AS kind, 'k' || (user_id % 4) AS "key", json_extract_string(props, '$.k') AS "value", CASE WHEN event_id % 7 = 0 THEN 'null' WHEN event_id % 11 = 0 THEN 'string' ELSE 'number' END AS value_type FROM events),
-ct AS (SELECT e AS endpoint, k AS kind, f AS "key", 'number' AS type, CASE WHEN f = 'k2' THEN ['1', '2', '3'] END AS enum, f = 'k1' AS required FROM (VALUES ('click'), ('view')) x(e), (VALUES ('query'), ('body')) y(k), (VALUES ('k0'), ('k1'), ('k2')) z(f)),
-j AS (SELECT ev.*, type, enum, required FROM ev LEFT JOIN ct USING (endpoint, kind, "key") WHERE endpoint IN ('click', 'view')), n AS (SELECT *, kind = 'body' AND value_type = 'null' AND NOT coalesce(required, false) AND type IS NOT NULL AS skip FROM j),
+ct AS (SELECT e AS endpoint, k AS kind, f AS "key", 'number' AS type, CASE WHEN f = 'k2' THEN ['1', '2', '3'] END AS enum, f = 'k1' AS required FROM (VALUES ('click'), ('view'), ('purchase'), ('signup'), ('error')) x(e), (VALUES ('query'), ('body')) y(k), (VALUES ('k0'), ('k1'), ('k2')) z(f)),
+j AS (SELECT ev.*, type, enum, required FROM ev LEFT JOIN ct USING (endpoint, kind, "key")), n AS (SELECT *, kind = 'body' AND value_type = 'null' AND NOT coalesce(required, false) AND type IS NOT NULL AS skip FROM j),
 pr AS (SELECT id, endpoint, kind, "key", 'undeclared' AS problem FROM n WHERE type IS NULL UNION ALL SELECT id, endpoint, kind, "key", 'required_null' FROM n WHERE type IS NOT NULL AND kind = 'body' AND required AND value_type = 'null'
 UNION ALL SELECT id, endpoint, kind, "key", 'type' FROM n WHERE type IS NOT NULL AND value_type = 'string' UNION ALL SELECT id, endpoint, kind, "key", 'enum' FROM n WHERE enum IS NOT NULL AND value_type <> 'null' AND NOT list_contains(enum, "value"))"""
 
@@ -106,7 +107,7 @@ def _problems(spark, d):
     ev = table(spark, d, "events").select(
         F.col("event_id").alias("id"), F.col("event_type").alias("endpoint"), F.when(F.col("event_id") % 2 == 0, "query").otherwise("body").alias("kind"), F.concat(F.lit("k"), F.col("user_id") % 4).alias("key"), F.get_json_object("props", "$.k").alias("value"),
         F.when(F.col("event_id") % 7 == 0, "null").when(F.col("event_id") % 11 == 0, "string").otherwise("number").alias("value_type"))
-    contract = spark.createDataFrame([(e, k, f, "number", ["1", "2", "3"] if f == "k2" else None, f == "k1") for e in ("click", "view") for k in ("query", "body") for f in ("k0", "k1", "k2")], "endpoint string, kind string, key string, type string, enum array<string>, required boolean")
+    contract = spark.createDataFrame([(e, k, f, "number", ["1", "2", "3"] if f == "k2" else None, f == "k1") for e in EVENT_TYPES for k in ("query", "body") for f in ("k0", "k1", "k2")], "endpoint string, kind string, key string, type string, enum array<string>, required boolean")
     return ev, M.contract_checks(ev, contract)
 
 
@@ -115,16 +116,16 @@ def m10(spark, d):
     return _problems(spark, d)[1]
 
 
-@query("m10_param_mismatches", "SELECT event_id AS id, event_type AS endpoint, CAST(user_id % 3 AS INTEGER) AS params, 1 AS wanted FROM events WHERE event_type IN ('click', 'view') AND user_id % 3 <> 1")
+@query("m10_param_mismatches", "SELECT event_id AS id, event_type AS endpoint, CAST(user_id % 3 AS INTEGER) AS params, 1 AS wanted FROM events WHERE user_id % 3 <> 1")
 def m10_params(spark, d):
-    contract = spark.createDataFrame([("click", 1), ("view", 1)], "endpoint string, wanted int")
+    contract = spark.createDataFrame([(e, 1) for e in EVENT_TYPES], "endpoint string, wanted int")
     return M.param_mismatches(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("endpoint"), (F.col("user_id") % 3).cast("int").alias("params")), contract)
 
 
-@query("m11_drift_density", f"WITH {_EV}, p AS (SELECT endpoint, count(*) FILTER (WHERE endpoint IN ('click', 'view')) AS n FROM ev GROUP BY 1) SELECT endpoint AS project, round(coalesce((SELECT sum(CASE kind WHEN 'body' THEN 2.0 ELSE 1.0 END) FROM pr WHERE pr.endpoint = p.endpoint), 0) / nullif(n, 0), 6) AS density FROM p")
+@query("m11_drift_density", f"WITH {_EV}, p AS (SELECT endpoint, count(*) AS n FROM ev GROUP BY 1) SELECT endpoint AS project, round(coalesce((SELECT sum(CASE kind WHEN 'body' THEN 2.0 ELSE 1.0 END) FROM pr WHERE pr.endpoint = p.endpoint), 0) / nullif(n, 0), 6) AS density FROM p")
 def m11(spark, d):
     ev, problems = _problems(spark, d)
-    positions = ev.groupBy(F.col("endpoint").alias("project")).agg(F.count_if(F.col("endpoint").isin("click", "view")).alias("positions"))
+    positions = ev.groupBy(F.col("endpoint").alias("project")).agg(F.count("*").alias("positions"))
     return M.drift_density(problems.withColumnRenamed("endpoint", "project"), positions, spark.createDataFrame([("body", 2.0)], "kind string, weight double"))
 
 
@@ -149,7 +150,7 @@ def m13(spark, d):
     return M.propagation_incompleteness(_slots(spark, d))
 
 
-_SCHEMA_SQL = """be AS (SELECT c_mktsegment AS project, 't_' || c_nationkey AS table_name, 'c_' || c_custkey || 'x' AS column_name, 's' || c_custkey % 3 AS signature FROM customer WHERE c_custkey % 5 <> 0), af AS (SELECT c_mktsegment AS project, 't_' || c_nationkey AS table_name, 'c_' || c_custkey || 'x' AS column_name, 's' || CASE WHEN c_custkey % 11 = 0 THEN 9 ELSE c_custkey % 3 END AS signature FROM customer WHERE c_custkey % 7 <> 0),
+_SCHEMA_SQL = """be AS (SELECT c_mktsegment AS project, 't_' || c_nationkey AS table_name, 'c_' || c_custkey || 'x' AS column_name, CASE WHEN c_custkey % 5 <> 0 THEN 's' || c_custkey % 3 END AS signature FROM customer), af AS (SELECT c_mktsegment AS project, 't_' || c_nationkey AS table_name, 'c_' || c_custkey || 'x' AS column_name, CASE WHEN c_custkey % 7 <> 0 THEN 's' || CASE WHEN c_custkey % 11 = 0 THEN 9 ELSE c_custkey % 3 END END AS signature FROM customer),
 sc AS (SELECT project, table_name, column_name, CASE WHEN be.signature IS NULL THEN 'added' WHEN af.signature IS NULL THEN 'removed' ELSE 'modified' END AS change FROM be FULL JOIN af USING (project, table_name, column_name) WHERE be.signature IS DISTINCT FROM af.signature),
 mi AS (SELECT c_mktsegment AS project, 'ALTER T_' || c_nationkey || ' ADD C_' || c_custkey || 'X' AS up, CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE 'ALTER T_' || c_nationkey || ' DROP C_' || c_custkey || 'X' END AS down FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 6 <> 0)"""
 
@@ -158,10 +159,11 @@ def _schema(spark, d):
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     keys = [F.col("c_mktsegment").alias("project"), F.concat(F.lit("t_"), "c_nationkey").alias("table_name"), F.concat(F.lit("c_"), k, F.lit("x")).alias("column_name")]
-    before = c.where("c_custkey % 5 <> 0").select(*keys, F.concat(F.lit("s"), k % 3).alias("signature"))
-    after = c.where("c_custkey % 7 <> 0").select(*keys, F.concat(F.lit("s"), F.when(k % 11 == 0, 9).otherwise(k % 3)).alias("signature"))
+    # a column that is not there has no signature
+    before = c.select(*keys, F.when(k % 5 != 0, F.concat(F.lit("s"), k % 3)).alias("signature"))
+    after = c.select(*keys, F.when(k % 7 != 0, F.concat(F.lit("s"), F.when(k % 11 == 0, 9).otherwise(k % 3))).alias("signature"))
     text = lambda verb: F.concat(F.lit("ALTER T_"), "c_nationkey", F.lit(f" {verb} C_"), k, F.lit("X"))
-    mig = c.where("c_custkey % 2 = 0").select(F.col("c_mktsegment").alias("project"), text("ADD").alias("up"), F.when(k % 4 == 0, "none").otherwise(text("DROP")).alias("down"), (k % 6 != 0).alias("executable"))
+    mig = c.select(F.col("c_mktsegment").alias("project"), text("ADD").alias("up"), F.when(k % 4 == 0, "none").otherwise(text("DROP")).alias("down"), ((k % 2 == 0) & (k % 6 != 0)).alias("executable"))
     return M.schema_changes(before, after), mig
 
 

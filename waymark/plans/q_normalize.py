@@ -148,22 +148,26 @@ def n14(spark, d):
     return table(spark, d, "orders").select("o_orderkey", N.checkpoint_number(text).alias("checkpoint"))
 
 
-_SAMPLES = [("x theme.vars.palette", "harness_context"), ("Cannot GET /a", "route_variance"), ("expected 200 OK got 404", "route_variance"), ("Unable to find role=button", "selector_variance"), ("expected 201 but got 200", "status_variance"), ("toHaveProperty", "field_variance"), ("expected 1 to be 2", "behaviour_or_unclassified")]
-
-
-@query("n15_failure_class", "SELECT event_id, CASE user_id % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_SAMPLES)) + " END AS class FROM events")
+@query("n15_failure_class", """SELECT event_id, CASE event_type WHEN 'click' THEN 'route_variance' WHEN 'view' THEN 'selector_variance' WHEN 'error' THEN 'field_variance' WHEN 'purchase' THEN CASE WHEN user_id < 100 THEN 'status_variance' ELSE 'behaviour_or_unclassified' END ELSE CASE WHEN user_id = 7 THEN 'harness_context' ELSE 'behaviour_or_unclassified' END END AS class FROM events""")
 def n15(spark, d):
-    text = F.get(F.array(*[F.lit(t) for t, _ in _SAMPLES]), (F.col("user_id") % 7).cast("int"))
-    return table(spark, d, "events").select("event_id", N.failure_class(F.concat_ws(" ", text, F.col("event_type"))).alias("class"))
+    """Failure texts that name the event's user: a route, a role, a status of 200 and more, a field, a value."""
+    user = F.col("user_id")
+    text = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit("Cannot GET /users/"), user))
+        .when(F.col("event_type") == "view", F.concat(F.lit("Unable to find role=row of user "), user))
+        .when(F.col("event_type") == "error", F.concat(F.lit("Cannot read properties of undefined (reading user"), user, F.lit(")")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("expected "), user + 200, F.lit(" but got 200")))
+        .otherwise(F.concat(F.lit("value "), "value", F.when(user == 7, " of theme.palette").otherwise(" differs")))
+    )
+    return table(spark, d, "events").select("event_id", N.failure_class(text).alias("class"))
 
 
-@query("n16_problem", """SELECT event_id, CASE user_id % 5 WHEN 0 THEN 'Runtime connection reset (indeterminate)' WHEN 1 THEN 'Date representation mismatch' WHEN 2 THEN 'Empty-update validation missing'
- ELSE CASE WHEN event_type = 'error' THEN 'Contact-company request-field adapter gap' ELSE 'Other behavioral assertion' END END AS problem FROM events WHERE NOT (user_id % 5 IN (1, 2) AND event_type = 'error')""")
+@query("n16_problem", """SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'Runtime connection reset (indeterminate)' WHEN event_type = 'error' THEN 'Contact-company request-field adapter gap' WHEN user_id % 5 = 1 THEN 'Date representation mismatch'
+ WHEN user_id % 5 = 2 THEN 'Empty-update validation missing' ELSE 'Other behavioral assertion' END AS problem FROM events""")
 def n16(spark, d):
     text = F.get(F.array(*[F.lit(t) for t in ("read ECONNRESET", "expectedCloseDate 2026-12-31T00:00:00.000Z", "PATCH rejects an empty body", "zzz", "yyy")]), (F.col("user_id") % 5).cast("int"))
     kind = F.when(F.col("event_type") == "error", "adapter_unresolved").otherwise("assertion_failure")
-    rows = table(spark, d, "events").where("NOT (user_id % 5 IN (1, 2) AND event_type = 'error')")
-    return rows.select("event_id", N.problem(F.col("props"), text, kind).alias("problem"))
+    return table(spark, d, "events").select("event_id", N.problem(F.col("props"), F.concat_ws(" ", text, F.col("value")), kind).alias("problem"))
 
 
 @query("n17_excerpt", "WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS s FROM documents) SELECT doc_id, CASE WHEN length(s) <= 700 THEN s ELSE left(s, 700) || '…' END AS excerpt FROM t")
@@ -213,20 +217,20 @@ def n23(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(N.referenced_files(location), ";").alias("files"))
 
 
-_FILES = ["src/a.ts", "src/a.test.ts", "src/tests/a.ts", "stories/b.ts", "src/b.Stories.jsx", "src/__generated__/c.ts", "src/c.generated.ts", "src/testing/d.ts", "src/generate.ts", "src/test"]
-
-
-@query("n24_production_file", "SELECT p_partkey, p_partkey % 10 IN (0, 7, 8) AS production FROM part")
+@query("n24_production_file", "SELECT p_partkey, p_size <= 20 AS production FROM part")
 def n24(spark, d):
-    return table(spark, d, "part").select("p_partkey", N.is_production_file(F.get(F.array(*[F.lit(f) for f in _FILES]), (F.col("p_partkey") % 10).cast("int"))).alias("production"))
-
-
-_RESOURCES = [("companiesApi.js", "company"), ("Company-Detail", "company"), ("dealsDetail.tsx", "deal"), ("access", "access"), ("deal_contacts", "deal"), ("s", "s"), ("api", None), ("ContactAPI.ts", "contact")]
+    """Paths named after the part; its size decides on the ending."""
+    size = F.col("p_size")
+    end = F.when(size > 40, ".test.ts").when(size > 32, ".Stories.jsx").when(size > 26, "/__generated__/c.ts").when(size > 20, ".generated.ts").when(size > 10, "/testing/generate.ts").otherwise(".ts")
+    return table(spark, d, "part").select("p_partkey", N.is_production_file(F.concat(F.lit("src/"), F.replace("p_name", F.lit(" "), F.lit("/")), end)).alias("production"))
 
 
-@query("n25_resource_name", "SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN " + (f"'{r}'" if r else "NULL") for i, (_, r) in enumerate(_RESOURCES)) + " END AS resource FROM part")
+@query("n25_resource_name", "SELECT p_partkey, CASE WHEN p_size > 45 THEN NULL WHEN p_size > 36 THEN w || 'y' ELSE w END AS resource FROM (SELECT *, string_split(p_name, ' ')[2] AS w FROM part)")
 def n25(spark, d):
-    return table(spark, d, "part").select("p_partkey", N.resource_name(F.get(F.array(*[F.lit(a) for a, _ in _RESOURCES]), (F.col("p_partkey") % 8).cast("int"))).alias("resource"))
+    """Names made of the part's second word; its size decides on their form."""
+    word, size = F.split("p_name", " ")[1], F.col("p_size")
+    name = F.when(size > 45, "api").when(size > 36, F.concat(word, F.lit("ies_old"))).when(size > 27, F.concat(F.initcap(word), F.lit("API.ts"))).when(size > 18, F.concat(word, F.lit("s-Detail"))).when(size > 9, F.concat(word, F.lit("sApi.js"))).otherwise(word)
+    return table(spark, d, "part").select("p_partkey", N.resource_name(name).alias("resource"))
 
 
 @query("n26_route_path", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/api' || CASE WHEN p IN ('', '/') THEN '' ELSE rtrim(regexp_replace(p, '/+', '/', 'g'), '/') END WHEN 1 THEN '/api/x/:param' ELSE '/' END AS route
