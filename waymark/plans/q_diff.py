@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.functions.checkpoints import settled
 from waymark.operators import diff, ingest
 from waymark.plans.bindings import checkpoints, findings, observations, table, with_sql
 from waymark.plans.core import query
 
 
-def deltas(spark, d, cp=None):
-    cp = settled(checkpoints(spark, d)) if cp is None else cp
-    return diff.multiset_counts(diff.finding_counts(findings(spark, d, cp)), diff.make_pairs(cp))
+def deltas(spark, d):
+    return diff.multiset_counts(diff.finding_counts(findings(spark, d)), diff.make_pairs(checkpoints(spark, d)))
 
 
 def runs(spark, d):
     """The tidy table of runs: counts of either comparison beside the checkpoint's keys."""
-    settled_cp = settled(checkpoints(spark, d))
-    wide = deltas(spark, d, settled_cp).groupBy("evaluation_id").agg(
+    wide = deltas(spark, d).groupBy("evaluation_id").agg(
         F.max("after_count").alias("total_findings_absolute"),
         *[F.max(F.when(F.col("delta_scope") == s, F.col(c))).alias(f"{p}_{c}") for s, p in (("run_local", "run_local"), ("trajectory_cumulative", "trajectory")) for c in ("introduced_count", "resolved_count", "net_change")],
     )
-    cp = settled_cp.select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy", "execution_status", "duration_ms")
-    return settled(cp.join(wide, "evaluation_id"))  # tables built on it read it several times
+    cp = checkpoints(spark, d).select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy", "execution_status", "duration_ms")
+    return cp.join(wide, "evaluation_id")
 
 
 def changes(spark, d):
     """The tidy table of findings: current ones, and surplus copies of either comparison (with their number)."""
-    cp = settled(checkpoints(spark, d))
+    cp = checkpoints(spark, d)
     keys = cp.select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy")
-    counts = settled(diff.finding_counts(findings(spark, d, cp)))
+    counts = diff.finding_counts(findings(spark, d, cp))
     moved = diff.surplus(counts, diff.make_pairs(cp)).unionByName(counts.withColumns({"delta_scope": F.lit("absolute"), "change_type": F.lit("current")}))
     return moved.join(keys, "evaluation_id")
 

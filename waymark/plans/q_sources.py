@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from waymark.functions.checkpoints import shared_folder
 from waymark.plans.bindings import table
 from waymark.plans.core import query
 from waymark.sources import artifacts as S
@@ -41,3 +42,103 @@ def s06(spark, d):
     path = f"{base.rstrip('/')}/round_trip_{uuid.uuid4().hex}"
     S.write_table(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(None).alias("score")), path, schema)
     return spark.read.schema(schema).parquet(path)
+
+
+def _folder(spark):
+    base = shared_folder(spark).rstrip("/")
+    return f"{base if ':/' in base else 'file://' + base}/artifacts-{uuid.uuid4().hex}"
+
+
+def _sessions(spark, d, texts):
+    """A folder of sessions, one for each customer; texts: file name by column of customer that holds its text."""
+    rows = table(spark, d, "customer").select(F.concat(F.lit("S"), F.col("c_custkey")).alias("session"), *[t.alias(f"f{i}") for i, (_, t) in enumerate(texts)])
+    files = F.array(*[F.struct(F.concat_ws("/", "session", F.lit(name)).alias("path"), F.col(f"f{i}").alias("text")) for i, (name, _) in enumerate(texts)])
+    folder = _folder(spark)
+    S.write_artifacts(rows.select(F.inline(files)), folder)
+    return folder
+
+
+def _evaluation():
+    """An evaluation of the customer; where the account is overdrawn the file is cut short."""
+    finding = F.struct(F.concat(F.lit("BE-"), "c_mktsegment").alias("rule_id"), F.struct(F.concat(F.lit("src/n"), "c_nationkey", F.lit(".ts")).alias("file")).alias("location"), F.col("c_name").alias("message"))
+    layers = F.struct(F.struct(F.lit("completed").alias("status"), F.array_repeat(finding, (F.col("c_custkey") % 3).cast("int")).alias("findings")).alias("constraints"))
+    scopes = F.array(F.struct(F.lit("backend").alias("scope_id"), F.lit("completed").alias("status"), layers.alias("layers")))
+    whole = F.to_json(F.struct(F.lit("0.3.0").alias("schema_version"), F.concat(F.lit("r"), "c_custkey").alias("run_id"), scopes.alias("scopes"), (F.col("c_custkey") * 10).alias("duration_ms"), F.lit("completed").alias("execution_status")))
+    return F.when(F.col("c_acctbal") < 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+
+
+_EVALUATION = ("T1/harness_evaluation.json", _evaluation())
+
+
+@query("s01_read_evaluations", """SELECT 'S' || c_custkey || '/T1' AS evaluation_id, 1 AS task_order, '0.3.0' AS schema_version, c_custkey * 10 AS duration_ms, CAST(c_custkey % 3 AS INTEGER) AS n_findings, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS message FROM customer WHERE c_acctbal >= 0""")
+def s01(spark, d):
+    rows, _ = S.read_evaluations(spark, _sessions(spark, d, [_EVALUATION]))
+    found = F.col("scopes")[0]["layers"]["constraints"]["findings"]
+    return rows.select("evaluation_id", "task_order", "schema_version", "duration_ms", F.size(found).alias("n_findings"), F.get(found, F.lit(0))["message"].alias("message"))
+
+
+@query("s02_rejects", "SELECT 'S' || c_custkey || '/T1/harness_evaluation.json' AS artifact, c_custkey % 3 AS n_findings FROM customer WHERE c_acctbal < 0")
+def s02(spark, d):
+    """Malformed files, with as many messages as their text still has."""
+    _, rejects = S.read_evaluations(spark, _sessions(spark, d, [_EVALUATION]))
+    return rejects.select(F.regexp_extract("path", "/(S[0-9]+/T1/[^/]+)$", 1).alias("artifact"), F.regexp_count("text", F.lit('"message"')).cast("long").alias("n_findings"))
+
+
+@query("s03_read_executions", "SELECT 'S' || c_custkey AS session_id, 'T2' AS task_id, lower(c_mktsegment) AS agent, c_acctbal AS cost, c_custkey AS input_tokens FROM customer")
+def s03(spark, d):
+    metrics = F.struct(F.lower("c_mktsegment").alias("agent"), F.col("c_acctbal").alias("total_cost_usd"), F.struct(F.col("c_custkey").alias("input_tokens")).alias("usage"))
+    rows, _ = S.read_executions(spark, _sessions(spark, d, [("T2/execution.json", F.to_json(F.struct(metrics.alias("metrics"))))]))
+    return rows.select("session_id", "task_id", "metrics.agent", F.col("metrics.total_cost_usd").alias("cost"), F.col("metrics.usage.input_tokens").alias("input_tokens"))
+
+
+@query("s03_read_test_results", """SELECT 'S' || c_custkey AS session_id, 'T2' AS task_id, x.status, CAST(x.total AS BIGINT) AS total FROM customer, LATERAL (SELECT 'fail' AS status, c_nationkey AS total UNION ALL SELECT 'pass', c_nationkey + 1) x""")
+def s03_tests(spark, d):
+    """A task's result and that of its acceptance run."""
+    text = lambda status, n: F.to_json(F.struct(F.lit(status).alias("status"), F.array(F.struct(F.lit("api").alias("suite_id"), (F.col("c_nationkey") + n).alias("total"))).alias("suites")))
+    rows, _ = S.read_test_results(spark, _sessions(spark, d, [("T2/test_result.json", text("fail", 0)), ("T2/acceptance_runs/1/test_result.json", text("pass", 1))]))
+    return rows.select("session_id", "task_id", "status", F.col("suites")[0]["total"].alias("total"))
+
+
+@query("s03_read_test_executions", "SELECT 'S' || c_custkey AS session_id, CAST(c_nationkey AS INTEGER) AS exit_code, 'id ' || c_name AS failed FROM customer")
+def s03_executions(spark, d):
+    summary = F.struct(F.array(F.struct(F.concat(F.lit("id "), "c_name").alias("id"))).alias("failed_details"))
+    suite = F.struct(F.lit("ui").alias("suite_id"), F.struct(F.col("c_nationkey").alias("exit_code")).alias("test"), summary.alias("summary"))
+    rows, _ = S.read_test_executions(spark, _sessions(spark, d, [("T3/test_execution.json", F.to_json(F.struct(F.array(suite).alias("suites"))))]))
+    return rows.select("session_id", F.col("suites")[0]["test"]["exit_code"].alias("exit_code"), F.col("suites")[0]["summary"]["failed_details"][0]["id"].alias("failed"))
+
+
+@query("s04_session_config", "SELECT 'S' || c_custkey AS session_id, lower(c_mktsegment) AS agent, 'minimal' AS strategy, CASE WHEN c_acctbal >= 0 THEN 'model ' || c_nationkey END AS model, '2024-01-01T00:00:00Z' AS created_at FROM customer")
+def s04(spark, d):
+    model = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("  model: 'model "), "c_nationkey", F.lit("'\n"))).otherwise("")
+    text = F.concat(F.lit("session:\n  agent: "), F.lower("c_mktsegment"), F.lit("  # as run\n  strategy: \"minimal\"\n"), model, F.lit("created_at: 2024-01-01T00:00:00Z\n"))
+    return S.read_session_config(spark, _sessions(spark, d, [("session_manifest.yaml", text)]))
+
+
+@query("s05_read_reviews", "SELECT 'S' || c_custkey AS session_id, 'n' || c_nationkey AS reviewed_from_tag, CAST(c_custkey AS VARCHAR) AS reviewed_commit, 'issues_found' AS review_status, CAST(1 AS INTEGER) AS n_findings, 'src/' || c_custkey || '.ts' AS referenced_files FROM customer")
+def s05(spark, d):
+    review = F.concat(F.lit("- severity: low\n- location: src/"), "c_custkey", F.lit(".ts:4\n- issue: "), "c_name", F.lit("\n"))
+    manifest = F.concat(F.lit("reviewed_from_tag: n"), "c_nationkey", F.lit("\nreviewed_commit: '"), "c_custkey", F.lit("'\n"))
+    read = S.read_reviews(spark, _sessions(spark, d, [("T4/review.md", review), ("T4/task_manifest.yaml", manifest)]))
+    keys = ["session_id", "reviewed_from_tag", "reviewed_commit"]
+    runs, found = S.build_reviews(S.parse_reviews(read), keys)
+    return runs.join(found.select("session_id", "referenced_files"), "session_id", "left").select(*keys, "review_status", "n_findings", "referenced_files")
+
+
+@query("s07_refresh", """SELECT c_mktsegment AS segment, count(*) AS orders, count(DISTINCT o_custkey) AS customers, 3 AS jobs FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def s07(spark, d):
+    """Three tables refreshed in order, each from the one before it, and the last one read."""
+    folder = _folder(spark)
+    at = lambda name: f"{folder}/{name}"
+
+    def keyed():
+        orders, customer = table(spark, d, "orders"), table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey")
+        S.write_table(orders.join(customer, "o_custkey"), at("keyed"), StructType.fromDDL("o_custkey long, c_mktsegment string"))
+
+    def counted():
+        S.write_table(spark.read.parquet(at("keyed")).groupBy("c_mktsegment", "o_custkey").agg(F.count("*").alias("n")), at("counted"), StructType.fromDDL("c_mktsegment string, n long"))
+
+    def summed():
+        S.write_table(spark.read.parquet(at("counted")).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.sum("n").alias("orders"), F.count("*").alias("customers")), at("summed"), StructType.fromDDL("segment string, orders long, customers long"))
+
+    done = S.run_all([("keyed", keyed), ("counted", counted), ("summed", summed)])
+    return spark.read.parquet(at("summed")).withColumn("jobs", F.lit(len(done)))

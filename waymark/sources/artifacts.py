@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,6 +36,25 @@ TEST_EXECUTION = (
 )
 
 
+def write_artifacts(artifacts: DataFrame, folder: str) -> int:
+    """Writes rows (path, text) as one file each below `folder`, a URI that driver and executors share; how many there are.
+
+    Paths are the rows' own, so a task that runs again writes the same files again.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{path}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    written = artifacts.select("path", "text").mapInArrow(write, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_artifacts(spark: SparkSession, globs: list[str], ddl: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of JSON artifacts, one a file: session_id and task_id come from the path.
 
