@@ -104,7 +104,14 @@ def r12(spark, d):
     return crm.stage_requests(requests, dims.stage_moves(spark))
 
 
-@query("r13_replay_stages")
+_MOVES = ", ".join(f"('{a}', '{b}')" for a, b in dims.STAGE_MOVES)
+
+
+@query("r13_replay_stages", f"""WITH RECURSIVE q AS (SELECT user_id AS deal_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, ([{', '.join(repr(x) for x in dims.STAGES)}])[event_id % 6 + 1] AS t, event_id % 5 AS n, event_id % 7 <> 0 AS dated FROM events),
+r AS (SELECT DISTINCT deal_id, CAST(0 AS BIGINT) AS k, '{dims.STAGES[0]}' AS stage, CAST(0 AS BIGINT) AS rejected FROM q
+ UNION ALL SELECT r.deal_id, q.k, CASE WHEN (t <> 'active' OR n >= 1) AND (t <> 'negotiation' OR dated) AND (stage, t) IN ({_MOVES}) THEN t ELSE stage END,
+  rejected + CASE WHEN t = stage OR ((t <> 'active' OR n >= 1) AND (t <> 'negotiation' OR dated) AND (stage, t) IN ({_MOVES})) THEN 0 ELSE 1 END FROM r JOIN q ON q.deal_id = r.deal_id AND q.k = r.k + 1)
+SELECT deal_id, max(k) AS moves, arg_max(rejected, k) AS rejected, arg_max(stage, k) AS stage FROM r GROUP BY 1""")
 def r13(spark, d):
     to = F.get(F.array(*[F.lit(s) for s in dims.STAGES]), (F.col("event_id") % 6).cast("int"))
     return crm.replay_stages(table(spark, d, "events").select(F.col("user_id").alias("deal_id"), F.col("event_id").alias("seq"), to.alias("to_stage"), (F.col("event_id") % 5).alias("n_contacts"), (F.col("event_id") % 7 != 0).alias("has_close_date")))

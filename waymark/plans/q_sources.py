@@ -58,21 +58,19 @@ def _sessions(spark, d, texts):
     return folder
 
 
-def _evaluation():
-    """An evaluation of the customer; where the account is overdrawn the file is cut short."""
+def _evaluations(spark, d):
+    """Sessions with an evaluation each; where the account is overdrawn the file is cut short."""
     finding = F.struct(F.concat(F.lit("BE-"), "c_mktsegment").alias("rule_id"), F.struct(F.concat(F.lit("src/n"), "c_nationkey", F.lit(".ts")).alias("file")).alias("location"), F.col("c_name").alias("message"))
     layers = F.struct(F.struct(F.lit("completed").alias("status"), F.array_repeat(finding, (F.col("c_custkey") % 3).cast("int")).alias("findings")).alias("constraints"))
     scopes = F.array(F.struct(F.lit("backend").alias("scope_id"), F.lit("completed").alias("status"), layers.alias("layers")))
     whole = F.to_json(F.struct(F.lit("0.3.0").alias("schema_version"), F.concat(F.lit("r"), "c_custkey").alias("run_id"), scopes.alias("scopes"), (F.col("c_custkey") * 10).alias("duration_ms"), F.lit("completed").alias("execution_status")))
-    return F.when(F.col("c_acctbal") < 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
-
-
-_EVALUATION = ("T1/harness_evaluation.json", _evaluation())
+    text = F.when(F.col("c_acctbal") < 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+    return _sessions(spark, d, [("T1/harness_evaluation.json", text)])
 
 
 @query("s01_read_evaluations", """SELECT 'S' || c_custkey || '/T1' AS evaluation_id, 1 AS task_order, '0.3.0' AS schema_version, c_custkey * 10 AS duration_ms, CAST(c_custkey % 3 AS INTEGER) AS n_findings, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS message FROM customer WHERE c_acctbal >= 0""")
 def s01(spark, d):
-    rows, _ = S.read_evaluations(spark, _sessions(spark, d, [_EVALUATION]))
+    rows, _ = S.read_evaluations(spark, _evaluations(spark, d))
     found = F.col("scopes")[0]["layers"]["constraints"]["findings"]
     return rows.select("evaluation_id", "task_order", "schema_version", "duration_ms", F.size(found).alias("n_findings"), F.get(found, F.lit(0))["message"].alias("message"))
 
@@ -80,7 +78,7 @@ def s01(spark, d):
 @query("s02_rejects", "SELECT 'S' || c_custkey || '/T1/harness_evaluation.json' AS artifact, c_custkey % 3 AS n_findings FROM customer WHERE c_acctbal < 0")
 def s02(spark, d):
     """Malformed files, with as many messages as their text still has."""
-    _, rejects = S.read_evaluations(spark, _sessions(spark, d, [_EVALUATION]))
+    _, rejects = S.read_evaluations(spark, _evaluations(spark, d))
     return rejects.select(F.regexp_extract("path", "/(S[0-9]+/T1/[^/]+)$", 1).alias("artifact"), F.regexp_count("text", F.lit('"message"')).cast("long").alias("n_findings"))
 
 
