@@ -6,12 +6,15 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from waymark.llm import chosen_path, language_id, pii, warc_zst
+from waymark.llm import chosen_path, language_id, order_minhash, pii, warc_zst
+from waymark.llm import queries as llm_queries
 from waymark.llm.chosen_path import one_of_each, similar_texts
 from waymark.llm.components import connected_components
 from waymark.llm.decontaminate import decontaminate
@@ -88,6 +91,33 @@ def test_chosen_paths_meet_pairs_at_the_threshold(spark):
     assert pairs.where(~F.arrays_overlap(paths("a"), paths("b"))).count() <= 8
 
 
+def test_large_groups_recurse_and_lose_no_link(spark):
+    """1,500 near copies of three texts and 600 others: paths larger than LIMIT at every level, compared with brute force."""
+    gen = random.Random(8)
+    texts = []
+    for base in ([gen.choice(WORDS) for _ in range(150)] for _ in range(3)):
+        for _ in range(500):
+            w = list(base)
+            for _ in range(gen.randint(0, 2)):
+                w[gen.randrange(150)] = gen.choice(WORDS)
+            texts.append(" ".join(w))
+    texts += [" ".join(gen.choice(WORDS) for _ in range(20)) for _ in range(600)] + ["a!" + "?" * i for i in range(40)]
+    distinct = list(dict.fromkeys(texts))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in map(words, distinct)]
+    token = {t: i for i, t in enumerate(sorted(set().union(*sets)))}
+    matrix = np.zeros((len(sets), len(token)), np.float32)
+    for i, own in enumerate(sets):
+        matrix[i, [token[t] for t in own]] = 1
+    both, size = matrix @ matrix.T, matrix.sum(axis=1)
+    near = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-6
+    np.fill_diagonal(near, False)
+    want = dict(zip(distinct, near.sum(axis=1).tolist(), strict=True))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: r.n_links for r in similar_texts(df).join(df, "doc_id").collect()}
+    assert sum(want.values()) > 100_000
+    assert sum(min(got[t], n) for t, n in want.items()) >= 0.999 * sum(want.values()) and all(got[t] <= n for t, n in want.items())
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -150,6 +180,18 @@ def test_shards_are_gapless_and_grow_only_into_the_new_one(spark, docs, empty):
     assert shard(docs, [1.0] * 8).count() == len(TEXTS) + 2 and shard(empty, [1.0]).count() == 0
 
 
+def test_shards_equal_a_second_implementation(spark):
+    import math
+
+    def best(key: int, n: int) -> int:
+        unit = [((spark_hash(key, s.to_bytes(4, "little")) & ((1 << 64) - 1)) // 2**11 + 0.5) / 2**53 for s in range(n)]
+        return max(range(n), key=lambda s: -1.0 / math.log(unit[s]))
+
+    many = spark.range(500).select((F.col("id") * 7919 - 1000).alias("doc_id"), F.lit("t").alias("text"))
+    for r in shard(many, [1.0] * 8).collect():
+        assert (r["shard"], r.grown_shard) == (best(r.doc_id, 8), best(r.doc_id, 9))
+
+
 def test_fingerprints_and_neighbours(spark, docs, empty):
     signed = with_signature(docs, "text", "sig")
     by_text = {}
@@ -165,6 +207,61 @@ def test_fingerprints_and_neighbours(spark, docs, empty):
     assert with_next(with_signature(empty, "text", "sig"), "doc_id", ["text"], F.lit(0)).count() == 0
 
 
+def spark_hash(*values) -> int:
+    """Spark's xxhash64 of longs and ints, chained by seed."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else int(v).to_bytes(8, "little", signed=True), h)
+        h -= (h >> 63) << 64
+        h &= (1 << 64) - 1
+    return h - ((h >> 63) << 64)
+
+
+def signature_by_brute_force(text: str) -> list[int]:
+    """Order MinHash by its definition: each point sorts all k-mers by their distance on the circle."""
+    import re
+
+    words = [spark_hash(x.encode()) for x in re.findall(rf"\S{{1,{order_minhash.PIECE}}}", text, re.ASCII)]
+    if not words:
+        return []
+    words = [1, 2, *words, 1, 2]
+    unsigned = lambda h: h & ((1 << 64) - 1)
+    top = lambda h: unsigned(h) >> 29
+    seen: dict[int, int] = {}
+    kmers = []
+    for i in range(len(words) - 2):
+        h = top(spark_hash(*words[i : i + 3]))
+        seen[h] = seen.get(h, -1) + 1
+        kmers.append((h if seen[h] == 0 else top(spark_hash(h, seen[h].to_bytes(4, "little"))), i))
+    circle, out = 1 << 35, []
+    for p in range(order_minhash.POINTS):
+        near = sorted(kmers, key=lambda x: ((x[0] - p * circle // order_minhash.POINTS) % circle, x[1]))[: order_minhash.TUPLE]
+        out.append(p << 32 | unsigned(spark_hash(*[h for h, _ in sorted(near, key=lambda x: x[1])])) >> 32)
+    return out
+
+
+def test_signatures_equal_brute_force_and_follow_order(spark):
+    texts = ["", " ", "a", "a b", "a b a b a b a b", BASE[0], BASE[1] + " " + BASE[1], "x" * 100, prose(700), "é" * 40 + " z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in with_signature(rows, "t", "sig").collect():
+        assert r.sig == signature_by_brute_force(r.t), r.t[:40]
+    halves = [(a, " ".join(w[len(w) // 2 :] + w[: len(w) // 2])) for a in (" ".join(gen.sample(WORDS, 24)) for gen in map(random.Random, range(20))) for w in [a.split()]]
+    pair = with_signature(with_signature(spark.createDataFrame(halves, "a string, b string"), "a", "x"), "b", "y")
+    near = [r.n for r in pair.select(likeness("x", "y").alias("n")).collect()]
+    assert max(near) < 0.5 and sum(near) / len(near) < 0.3
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """A third of the rows has one id, some none; the ring still visits every row once, in order."""
+    rows = [(7 if i % 3 == 0 else (None if i % 10 == 1 else i), f"t{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__key", F.lit(1))
+    ringed = with_next(df, "doc_id", ["text"], F.xxhash64("text"))
+    assert ringed.columns == [*df.columns, "next"]
+    got = {r.text: r.next.text for r in ringed.collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 52)), spark_hash(r[1].encode())))
+    assert got == {a[1]: b[1] for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+
+
 def test_edited_texts_of_the_query(spark, docs, tmp_path):
     from waymark.llm.queries import op2_order_minhash
 
@@ -193,6 +290,16 @@ def test_warc_round_trip(spark, tmp_path):
         top = leader.get(h or "", i)
         assert (r.record_type, r.refers_to) == (("response", None) if top == i else ("revisit", top)) and r.intact and r.payload_bytes == len(body)
     assert warc_zst.write_archives(df.limit(0), folder).count() == 0
+    assert warc_zst.read_archives(manifest, folder).rdd.getNumPartitions() == manifest.count() > 1
+
+
+def test_small_archives_have_a_dictionary_too(spark, tmp_path):
+    folder = f"file://{tmp_path}/warc"
+    pages = spark.createDataFrame([(1, None, "<p>one</p>"), (2, "u", None)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc_zst.write_archives(pages, folder)
+    raw = open(manifest.first().file, "rb").read()
+    assert manifest.count() == 1 and int.from_bytes(raw[:4], "little") == 0x184D2A5D and int.from_bytes(raw[4:8], "little") > 100
+    assert {(r.page_id, r.payload_bytes, r.intact) for r in warc_zst.read_archives(manifest, folder).collect()} == {(1, 10, True), (2, 0, True)}
 
 
 def test_languages_are_learned_and_nothing_is_und(spark, docs, empty):
@@ -202,6 +309,23 @@ def test_languages_are_learned_and_nothing_is_und(spark, docs, empty):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language_id.identify(df, language_id.fit(df)).join(df, "doc_id").where(language_id.held_out(F.col("doc_id")))
     assert got.where("lang_pred = lang").count() >= 0.97 * got.count() > 0
+    model = language_id.fit(df)
+    assert model.report["rejected_clean"] <= language_id.CLEAN_LOSS and model.report["rejected_mixed"] <= 0.05
+    assert model.report["rejected_random"] >= 0.9 and model.report["rejected_foreign"] >= 0.9 and model.report["accuracy"] >= 0.97
+    # every prediction again, gram by gram
+    for r in got.limit(20).collect():
+        low = bytes(c if c >= 128 or 97 <= c <= 122 else (c + 32 if 65 <= c <= 90 else 32) for c in b" " + r.text.encode() + b"   ")
+        scores, n = np.zeros(len(model.languages)), 0
+        for size in (2, 3, 4):
+            for i in range(len(r.text.encode()) + 1):
+                gram = low[i : i + size]
+                if gram.strip(b" "):
+                    x = (int.from_bytes(gram, "little") ^ ((size - 1) * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF
+                    x = ((x ^ (x >> 15)) * 0xC2B2AE35) & 0xFFFFFFFF
+                    scores, n = scores + [t[x >> 17] for t in model.table], n + 1
+        logits = (scores / n + model.bias) / model.temperature
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert r.lang_pred == model.languages[p.argmax()] and abs(r.score - p.max()) < 1e-4
     odd = {r.doc_id: r for r in language_id.identify(docs, language_id.fit(df)).collect()}
     assert odd[0].lang_pred == odd[1].lang_pred == odd[4].lang_pred == "und" and odd[0].rejected and odd[0].score == 0.0
     assert language_id.fit(empty) is None and language_id.identify(docs, None).where("lang_pred <> 'und'").count() == 0
@@ -239,6 +363,31 @@ def test_personal_data_is_found_and_redacted(spark, docs, empty):
     assert pii.fit(empty) is None and pii.find(empty, None).count() == 0
 
 
+def test_added_spans_of_held_out_respellings_and_secrets(spark):
+    """Precision and recall of what the tagger adds, on texts that it hasn't seen."""
+    gen = random.Random(6)
+    hexes = lambda n: "".join(gen.choices("0123456789abcdef", k=n))
+    make = [
+        lambda: f"{gen.choice(WORDS[:50]).replace('é', 'e')}.{gen.randint(1, 99)}@mail{gen.randint(1, 9)}.example.com", lambda: f"+1 ({gen.randint(100, 999)}) 555-{gen.randint(1000, 9999)}",
+        lambda: ".".join(str(gen.randint(1, 255)) for _ in range(4)), lambda: f'token = "{hexes(40)}"', lambda: f"password={hexes(18)}",
+    ]
+    text = lambda: f"{prose(gen.randint(5, 20))} {gen.choice(make)()} {prose(12)}"
+    seen = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string")
+    finder, draw = pii.Finder(pii.fit(seen)), np.random.default_rng(9)
+    new, want, base = [], [], []
+    for _ in range(400):
+        t = text()
+        t, kept, _ = pii.respelled(t, pii.base_spans(t) + pii.secret_spans(t), draw, 1.0)
+        base.append(pii.base_spans(t))
+        new.append(t)
+        want.append(set(kept) - set(base[-1]))
+    got = [set(a) for a in finder.added(new, base)]
+    right = sum(len(a & w) for a, w in zip(got, want, strict=True))
+    assert right >= 0.9 * sum(map(len, want)) and right >= 0.95 * sum(map(len, got)) and sum(map(len, want)) > 250
+    clean = [prose(60) + " 1234 of 99." for _ in range(100)]
+    assert not any(finder.added(clean, [[] for _ in clean]))
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [("a", 1, 1, "f", '{"n": 1, "b": {"y":1, "x":2}}'), ("b", 1, 3, "f", '{"n":"no","z":1}'), ("c", 1, 5, "g", "{}"), ("d", 1, 6, "f", "{bad"), ("e", 1, 7, "f", None), ("e", 1, 8, "f", '{"n":2}'), (None, 1, 9, "f", '{"n":2}'), ("p", 2, 1, "f", '{"n":1}'), ("q", 2, 2, "f", '{"n":1}'), ("r", 2, 3, "f", '{"n":1}')],
@@ -256,6 +405,34 @@ def test_tool_calls(spark):
     assert link(calls.limit(0), results.limit(0), {}, edges.limit(0)).count() == 0
 
 
+def test_an_early_result_does_not_hide_a_valid_one_and_dots_are_names(spark):
+    calls = spark.createDataFrame([("a", 1, 5, "f", '{"x.y": 1}'), ("b", 1, 5, "f", '{"x.y": "no", "t": "' + "z" * 100_000 + '"}'), ("c", 1, 5, "f", "")], "id string, conversation long, turn long, tool string, arguments string")
+    results = spark.createDataFrame([("a", 1, 3, "early"), ("a", 1, 7, "late"), ("a", 1, 6, "right"), ("b", 1, 2, "early"), ("c", 1, 5, "")], "id string, conversation long, turn long, content string")
+    got = {r.id: r for r in link(calls, results, {"f": {"x.y": ("integer", True), "t": ("string", False)}}).collect()}
+    assert (got["a"].result_turn, got["a"].status, got["a"].n_results, got["a"].errors) == (6, "linked", 3, "")
+    assert (got["b"].status, got["b"].errors, len(got["b"].canonical_json) > 100_000) == ("answered_early", "type:x.y", True)
+    assert (got["c"].status, got["c"].errors) == ("linked", "bad_json")
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.ORACLES))
+def test_query_equals_oracle(spark, name):
+    """On the smallest driver tables; op1's rows must hold levels, cycles and every kind of error."""
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
+    df, cursor = llm_queries.QUERIES[name](spark, data), con.execute(llm_queries.ORACLES[name])
+    order, theirs = df.columns, [c[0] for c in cursor.description]
+    assert sorted(order) == sorted(theirs)
+    want = sorted((tuple(r[theirs.index(c)] for c in order) for r in cursor.fetchall()), key=repr)
+    got = sorted(map(tuple, df.collect()), key=repr)
+    assert got == want
+    if name == "op1_tool_calls":
+        rows = [dict(zip(order, r, strict=True)) for r in got]
+        assert max(r["level"] or 0 for r in rows) > 0 and {r["status"] for r in rows} >= {"linked", "cyclic"}
+        assert {e.partition(":")[0] for r in rows for e in r["errors"].split(",")} >= {"", "bad_json", "missing", "type", "unknown", "unknown_tool"}
+
+
 def test_levels_of_long_chains_and_cycles(spark):
     """Against a plain walk: forward chains, a forward edge under a long trace, long cycles, calls behind a cycle, several needs."""
     needs: dict[str, list[str]] = {f"f{i:03}": [f"f{i + 1:03}"] for i in range(60)}  # each names the next turn
