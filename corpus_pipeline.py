@@ -1,7 +1,10 @@
 """The corpus pipeline: five stages from raw documents to token ids.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given; its result is written
-as Parquet and read again as the next stage's documents.
+as Parquet and read again as the next stage's documents. Rows are judged one by one, so null or
+repeated ids take no other row along. Null, empty and letterless texts go in the first stage; the others would
+keep them. Of repeated rows the second stage keeps one. Very long texts are handled whole, and an empty
+table gives an empty result. Other columns than those of documents are left out.
 """
 
 from __future__ import annotations
@@ -84,5 +87,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Language identification, personal data and encoding have no SQL form; tests hold run() against brute force.
+#: Language identification, personal data and encoding have no SQL form; tests compare run()'s ids with the library's over the rows that should stay.
 ORACLE_SQL = None
