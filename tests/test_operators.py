@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,19 @@ def test_wilcoxon_of_the_published_pairs(spark):
     assert T.paired_wilcoxon(pairs.limit(1)).where("agent is null").first().note == "fewer than 2 complete pairs"
 
 
+def test_running_counts_and_quantiles_of_a_hot_group(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), float(rng.randrange(400))) for _ in range(3000)] + [("one", 7.0)]
+    counts = spark.createDataFrame(rows, "g string, v double").groupBy("g", "v").agg(F.count("*").alias("m"))
+    placed = T.running_counts(counts.repartition(8), "g", "v")
+    groups = {g: sorted(v for h, v in rows if h == g) for g, _ in rows}
+    for r in placed.collect():
+        assert (r.below, r.total) == (bisect.bisect_left(groups[r.g], r.v), len(groups[r.g]))
+    for r in T.quantiles(placed, "g", "v", [0.25, 0.5, 1.0]).collect():
+        assert r.q == pytest.approx(np.quantile(groups.pop(r.g), [0.25, 0.5, 1.0]).tolist())
+    assert not groups
+
+
 @pytest.mark.parametrize(("values", "shape"), [([1, 2], "insufficient_data"), ([3, 3, 3], "flat"), ([1, 2, 3, 4], "linear"), ([1, 2, 5, 9], "accelerating"), ([1, 5, 6, 6], "plateau_or_decline")])
 def test_trajectory_shapes(spark, values, shape):
     df = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "session_id string, task_order int, cumulative_introduced long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.functions import normalize as N
+from waymark.functions.checkpoints import settled
 from waymark.functions.stats import EXACT_PAIRS, principal_axes, wilcoxon_p
 
 CLASSES = ["indeterminate_metric_error", "constraints_failed", "silent_decay", "clean"]
@@ -125,10 +126,37 @@ def agent_profile(rates: DataFrame) -> DataFrame:
     return rates.withColumn("rank", average_rank(F.col("rate"), ["agent"]))
 
 
+def running_counts(counts: DataFrame, by: str, value: str) -> DataFrame:
+    """counts (by, value, m; each value once in a group) with `below`, the sum of m over a group's smaller values, and `total`.
+
+    Values are numbered within ranges of (group, value), and ranges by their sums, so no task holds
+    or sorts a whole group, whatever its share of the rows.
+    """
+    ranged = settled(counts.repartitionByRange(by, value).withColumn("range", F.spark_partition_id()))
+    group = Window.partitionBy(by)
+    earlier = lambda w, order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(by, "range").agg(F.sum("m").alias("in_range")).select(
+        F.col(by).alias("__group"), F.col("range").alias("__range"), F.coalesce(F.sum("in_range").over(earlier(group, "range")), F.lit(0)).alias("before"), F.sum("in_range").over(group).alias("total"))
+    placed = ranged.join(sums, F.col(by).eqNullSafe(F.col("__group")) & (F.col("range") == F.col("__range")))
+    inside = F.coalesce(F.sum("m").over(earlier(Window.partitionBy(by, "range"), value)), F.lit(0))
+    return placed.withColumn("below", F.col("before") + inside).drop("range", "__group", "__range", "before")
+
+
+def quantiles(placed: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
+    """by and q, the exact linear quantiles of the shares, from running counts: only the two values beside each are kept."""
+    within = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("m")), F.col(value).cast("double")))
+    place = [(F.col("total") - 1) * F.lit(float(s)) for s in shares]
+    beside = placed.groupBy(by).agg(F.max("total").alias("total"), *[within(f(p)).alias(f"{f.__name__}{i}") for i, p in enumerate(place) for f in (F.floor, F.ceil)])
+    part = [p - F.floor(p) for p in place]
+    return beside.select(by, F.array(*[(1 - t) * F.col(f"floor{i}") + t * F.col(f"ceil{i}") for i, t in enumerate(part)]).alias("q"))
+
+
 def metric_bounds(observations: DataFrame, k: float = 1.5) -> DataFrame:
-    """Median, quartiles and fences by metric, exactly; percentile merges equal values before the shuffle."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = observations.groupBy("metric_name").agg(F.count("value").alias("n"), q.alias("q"), F.mode("direction", True).alias("direction"))
+    """Median, quartiles and fences by metric, exactly, from counts of equal values."""
+    whole = observations.groupBy("metric_name").agg(F.count("value").alias("n"), F.mode("direction", True).alias("direction"))
+    valued = observations.where("value is not null").groupBy("metric_name", "value").agg(F.count("*").alias("m"))
+    q = quantiles(running_counts(valued, "metric_name", "value"), "metric_name", "value", [0.25, 0.5, 0.75])
+    out = whole.join(q.withColumnRenamed("metric_name", "__group"), F.col("metric_name").eqNullSafe(F.col("__group")), "left")
     iqr = F.col("q")[2] - F.col("q")[0]
     return out.select("metric_name", "n", F.round(F.col("q")[0], 9).alias("q1"), F.round(F.col("q")[1], 9).alias("median"), F.round(F.col("q")[2], 9).alias("q3"), F.round(F.col("q")[0] - k * iqr, 9).alias("iqr_low"), F.round(F.col("q")[2] + k * iqr, 9).alias("iqr_high"), "direction")
 
@@ -149,14 +177,16 @@ def strategy_pairs(runs: DataFrame, measure: str = "run_local_introduced_count")
 def signed_ranks(pairs: DataFrame) -> DataFrame:
     """n, W+ and W-, ties and the median difference for each agent and overall (agent null).
 
-    Ranks of |difference| come from counts of equal values and a running sum over distinct values,
-    so no task sorts all rows. The few ranks of small groups are kept for the exact test.
+    Ranks of |difference| and the median come from running counts of equal values, so no task sorts
+    or holds a group's rows. The few ranks of small groups are kept for the exact test.
     """
     both = pairs.withColumn("d", F.round(F.col("structured") - F.col("minimal"), 9)).select("d", F.explode(F.array(F.col("agent"), F.lit(None).cast("string"))).alias("agent"))
-    whole = both.groupBy("agent").agg(F.count("*").alias("n_pairs"), F.median("d").alias("median_diff"))
-    counts = both.where("d <> 0").groupBy("agent", F.abs("d").alias("a")).agg(F.count("*").alias("m"), F.count_if(F.col("d") > 0).alias("plus"))
-    below = F.coalesce(F.sum("m").over(Window.partitionBy("agent").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("m") + 1) / 2)
+    signed = running_counts(both.where("d is not null").groupBy("agent", "d").agg(F.count("*").alias("m")), "agent", "d")
+    middle = quantiles(signed, "agent", "d", [0.5]).select("agent", F.col("q")[0].alias("median_diff"))
+    n_pairs = signed.groupBy("agent").agg(F.sum("m").alias("n_pairs"))
+    whole = n_pairs.alias("a").join(middle.alias("b"), F.col("a.agent").eqNullSafe(F.col("b.agent"))).select("a.agent", "n_pairs", "median_diff")
+    counts = signed.where("d <> 0").groupBy("agent", F.abs("d").alias("a")).agg(F.sum("m").alias("m"), F.sum(F.when(F.col("d") > 0, F.col("m")).otherwise(0)).alias("plus"))
+    ranked = running_counts(counts, "agent", "a").withColumn("rank", F.col("below") + (F.col("m") + 1) / 2)
     sums = ranked.groupBy("agent").agg(
         F.sum("m").alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("m") - F.col("plus"))).alias("w_minus"), F.sum(F.pow("m", F.lit(3)) - F.col("m")).alias("ties"))
     # the exact test has at most EXACT_PAIRS ranks; groups with more keep none
