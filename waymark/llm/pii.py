@@ -260,7 +260,8 @@ def _labelled(seed: int):
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, windows: int = TRAIN_WINDOWS) -> Tagger | None:
     """A tagger trained on a bounded sample's pattern spans; None if there is none."""
     n = docs.count()
-    near = F.pmod(F.xxhash64(F.lit("pii"), F.col(doc_id)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(n, 1))) + 1
+    # the text is hashed too: rows of one much repeated or null id are sampled one by one
+    near = F.pmod(F.xxhash64(F.lit("pii"), F.col(doc_id), F.col(text)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(n, 1))) + 1
     rows = docs.where(near & F.col(text).rlike("[0-9@]")).select(F.col(text).cast("string").alias("text")).mapInArrow(_labelled(11), "x binary, y binary, some boolean")
     rows = checkpointed(rows.withColumn("h", F.xxhash64("x", "y")))  # read twice, scanned once
     # windows with spans and without, each the least by hash: a top-k, so only 2 * windows rows come back
