@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.components import connected_components
-from waymark.llm.shared import checkpointed, hashed_words, join_counted, raw_text, shingles, slices
+from waymark.llm.shared import BROADCAST_ROWS, checkpointed, hashed_words, join_counted, raw_text, shingles, slices
 
 K, THRESHOLD = 5, 0.8
 SKETCH, LEVELS, LIMIT, RECALL = 64, 3, 64, 0.9999
@@ -55,8 +55,6 @@ def missed(similarity: float, runs: int) -> float:
 RUNS = next(r for r in range(1, 1000) if missed(THRESHOLD, r) <= 1 - RECALL)
 #: Tokens (about 1 MB of text) and sets of a block in the exact comparison; a job compares two blocks.
 BLOCK_TOKENS, BLOCK_SETS = 150_000, 2048
-#: Tables of node numbers of at most so many rows (some 8 MB) are broadcast; beyond it they are shuffled.
-BROADCAST_ROWS = 150_000
 
 _SIGNED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("coords", pa.list_(pa.int32()))])
 _SEEDS = np.random.default_rng(64).integers(1, 1 << 63, (SKETCH, 2), dtype=np.uint64) | np.uint64(1)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 19
 #: A key with more than one in so many rows is broadcast instead of shuffled; there are fewer than so many of them.
 HOT_KEYS = 2000
+#: Tables of numbers of at most so many rows (some 8 MB) are broadcast whole; beyond it they are shuffled.
+BROADCAST_ROWS = 150_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -49,8 +51,11 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, size: str, n_rows:
     """Inner join of `rows` (n_rows of them, checkpointed) with `keyed`: one row a key, `size` rows have it.
 
     Fewer than HOT_KEYS keys can each hold more than that share of the rows; those are broadcast, so
-    no key sends more than that share to one task of the shuffle.
+    no key sends more than that share to one task of the shuffle. `keyed` has at most n_rows rows, so it is
+    broadcast whole up to BROADCAST_ROWS.
     """
+    if n_rows <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed), key)
     hot = F.col(size) > max(n_rows / HOT_KEYS, 1)
     often = F.broadcast(keyed.where(hot))
     seldom = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti").join(keyed.where(~hot), key)
