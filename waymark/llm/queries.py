@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import language_id, pii, warc_zst
+from waymark.llm import divergence, language_id, lexical_search, pii, quality, warc_zst
 from waymark.llm.chosen_path import similar_texts
 from waymark.llm.decontaminate import contaminated, decontaminate
 from waymark.llm.order_minhash import as_text, likeness, with_next, with_signature
@@ -176,6 +176,49 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), n_added, (F.size("spans") > 0).alias("has_personal_data"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose score is at least 0.7 are predicted to be of label 1."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op12_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_OP12_SQL = r"""
+WITH lower_ab AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM lower_ab WHERE t IS NOT NULL),
+all_n AS (SELECT count(*) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+tf AS (SELECT k, doc_id, n, term, count(*) AS tf FROM (SELECT k, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, all_n GROUP BY term),
+s AS (SELECT q.item_id, tf.k, tf.doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN df USING (term), all_n GROUP BY 1, 2, 3)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT k, lang, source, term, count(*) AS n FROM (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS total FROM w GROUP BY 1, 2 HAVING count(*) >= 10),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS lang_n FROM kept GROUP BY 1),
+c AS (SELECT w.lang, source, w.term, CAST(sum(n) AS BIGINT) AS n FROM w JOIN kept ON w.lang = kept.lang AND w.term = kept.term GROUP BY 1, 2, 3),
+g AS (SELECT d.lang, d.source, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM c WHERE c.lang = d.lang AND c.source = d.source), 0) AS big_n FROM (SELECT DISTINCT lang, source FROM d) d),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (big_n + 2 * v) AS p, 1 + (1000000000 * (total + 2)) // (lang_n + 2 * v) AS q
+      FROM g JOIN kept ON g.lang = kept.lang JOIN langs ON g.lang = langs.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+tr AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM tr) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_order_minhash": op2_order_minhash,
@@ -187,10 +230,15 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
+    "op11_quality": op11_quality,
+    "op12_maxscore": op12_maxscore,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES = {
     "op1_tool_calls": _OP1_SQL,
     "op3_decontaminate": _OP3_SQL,
     "op8_warc": _OP8_SQL,
+    "op12_maxscore": _OP12_SQL,
+    "op13_divergence": _OP13_SQL,
 }

@@ -151,3 +151,24 @@ def shingles(hashes: np.ndarray, woffs: np.ndarray, k: int) -> tuple[np.ndarray,
         at = begin + j
         out = mix(out * np.uint64(_BASE) + np.where(at < end, padded[at], np.uint64(0)) + np.uint64(j))
     return out, soffs
+
+
+def word_strings(data: np.ndarray, offs: np.ndarray, members: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words of A-Z lower-cased texts as strings, and their offsets by text; `members` marks the bytes of words."""
+    low = _LOWER[data]
+    inside = members[low]
+    edge = np.zeros(len(low) + 1, dtype=bool)
+    edge[offs] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    starts = np.flatnonzero(first)
+    before = np.concatenate([[0], np.cumsum(inside)])
+    ends = np.append(before[starts], before[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(low[inside])])
+    return words, np.searchsorted(starts, offs)
+
+
+#: Bytes of words of letters and digits, and of words of letters alone.
+WORD_BYTES = _IN_WORD
+LETTER_BYTES = _IN_WORD.copy()
+LETTER_BYTES[48:58] = False
