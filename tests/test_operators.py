@@ -5,6 +5,8 @@ from __future__ import annotations
 import bisect
 import json
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,6 +44,36 @@ def test_score_diff_without_source_is_unavailable(spark):
     assert {r.k: (r.delta, r.delta_status) for r in diff.score_diff(post, pre, ["k"]).collect()} == {"m": (None, "unavailable"), "n": (None, "unavailable")}
 
 
+def test_pair_join_deals_no_exchange_by_the_baseline(spark):
+    """Half of the pairs look back to one checkpoint: broadcast or salted, results stay, and no exchange is keyed by `pre` alone but for the few others."""
+    gen = random.Random(3)
+    cp = spark.createDataFrame([("baseline/Base", "baseline", 0)] + [(f"S{s}/T{t}", f"S{s}", t) for s in range(40) for t in range(1, 5)], "evaluation_id string, session_id string, task_order int")
+    found = counts_of(spark, [(r.evaluation_id, gen.choice("ab"), gen.choice(["r1", "r2", None]), gen.choice(["f", None]), "") for r in cp.collect() for _ in range(gen.randint(0, 6))])
+    counts, pairs = diff.finding_counts(found), diff.make_pairs(cp)
+    held = {}
+    for r in found.collect():
+        held.setdefault(r.evaluation_id, []).append(tuple(r)[1:])
+    want = set()
+    for r in pairs.collect():
+        a, b = Counter(held.get(r.evaluation_id, [])), Counter(held.get(r.pre, []))
+        want |= {(r.delta_scope, r.evaluation_id, *k, kind, n) for kind, d in (("introduced", a - b), ("resolved", b - a)) for k, n in d.items()}
+    assert {tuple(r) for r in diff.surplus(counts, pairs).collect()} == want
+    for most in (0, 1000):
+        joined = diff.PairJoin(pairs, broadcast_rows=most)
+        assert joined.hot.select("pre").first().pre == "baseline/Base"
+        out = joined.join(joined.pairs, counts.select(F.col("evaluation_id").alias("pre"), *diff.IDENTITY, "n"), [], "left")
+        assert sorted(map(repr, ((r.evaluation_id, r.pre, r.n) for r in out.where("n is not null").collect()))) == sorted(map(repr, ((p.evaluation_id, p.pre, n) for p in pairs.collect() for n in Counter(held.get(p.pre, [])).values())))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = diff.surplus(counts, pairs)._jdf.queryExecution().executedPlan().toString()
+        joined = diff.PairJoin(pairs)
+        rows = joined.pairs.join(F.broadcast(joined.hot), "pre", "left_anti")
+        assert rows.where("pre = 'baseline/Base'").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastExchange") >= 2 and plan.count("LeftAnti") >= 1
+
+
 def test_resolve_pre_rejects_ambiguous_commits(spark):
     cp = spark.createDataFrame([("b", "baseline", "c0"), ("s/1", "s", "c1"), ("s/2", "s", "c1"), ("s/3", "s", "c3")], "evaluation_id string, session_id string, commit_id string")
     wanted = spark.createDataFrame([("x", "s", "c0"), ("y", "s", "c1"), ("z", "s", "c3"), ("w", "s", "none")], "evaluation_id string, session_id string, pre_commit string")
@@ -146,6 +178,67 @@ def test_a_bridge_between_cycles_is_not_cyclic(spark):
     assert M.dependency_density(df, dims.forbidden_layers(spark)).first().density == round(5 / 7, 6)
 
 
+def brute_cycles(edges: list[tuple[str, str, str]]) -> set[tuple[str, str, str]]:
+    after = {}
+    for p, a, b in edges:
+        after.setdefault((p, a), set()).add(b)
+
+    def reach(p, a):
+        seen, stack = set(), [a]
+        while stack:
+            for b in after.get((p, stack.pop()), ()):
+                if b not in seen:
+                    seen.add(b)
+                    stack.append(b)
+        return seen
+
+    return {(p, a, b) for p, a, b in edges if a in reach(p, b) or a == b}
+
+
+@pytest.mark.parametrize("small", [0, 30, 1000])
+def test_cyclic_edges_equal_brute_force(spark, small):
+    gen = random.Random(small)
+    edges = set()
+    for p in "uvwx":
+        n = gen.choice([6, 15, 40])
+        edges |= {(p, f"n{gen.randrange(n)}", f"n{gen.randrange(n)}") for _ in range(gen.choice([5, n, int(1.2 * n)]))}
+    edges |= {("ring", f"k{i}", f"k{(i + 1) % 9}") for i in range(9)} | {("ring", "in", "k0"), ("ring", "k3", "x1"), ("ring", "x1", "x2"), ("ring", "x2", "x3"), ("ring", "x3", "k1")}
+    df = spark.createDataFrame([*edges, ("u", "n0", None)], "project string, src string, dst string")
+    assert {tuple(r) for r in M.cyclic_edges(df, small).collect()} == brute_cycles(sorted(edges))
+
+
+def test_a_long_way_takes_few_rounds(spark, monkeypatch):
+    """A path of 10,000 nodes beside a cycle, and a ring as long, in rounds of doubled reach."""
+    rounds = []
+    settle = M.settled
+    monkeypatch.setattr(M, "settled", lambda df: rounds.append(1) or settle(df))
+    path = spark.range(9_999).select(F.lit("p").alias("project"), F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
+    cycle = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("p", "c", "a"), ("p", "5", "a")], path.schema)
+    assert {(r.src, r.dst) for r in M.cyclic_edges(path.unionByName(cycle), 0).collect()} == {("a", "b"), ("b", "c"), ("c", "a")}
+    assert len(rounds) < 40
+    assert M.cyclic_edges(path.unionByName(spark.createDataFrame([("p", "9999", "0")], path.schema)), 0).count() == 10_000
+
+
+def test_occurrences_equal_contains(spark):
+    gen = random.Random(6)
+    texts = [(p, i, "".join(gen.choices("ab1", k=n))) for i, (p, n) in enumerate([(gen.choice("pq"), gen.choice([0, 1, 2, 5, 600, 1500])) for _ in range(20)])]
+    words = {(gen.choice("pq"), "".join(gen.choices("ab1", k=gen.choice([0, 1, 2, 3, 7, 9, 12])))) for _ in range(60)} | {("p", texts[5][2][:700])}
+    got = M.occurrences(spark.createDataFrame(texts, "project string, id long, text string"), spark.createDataFrame([*words, ("p", None)], "project string, word string"))
+    assert {tuple(r) for r in got.collect()} == {(i, w) for p, i, t in texts for q, w in words if p == q and w in t}
+
+
+def test_a_migration_of_a_megabyte(spark):
+    text = " ".join(f"ALTER T{i % 9} ADD COL_{i}_X;" for i in range(48_000))
+    assert len(text) > 1_000_000
+    migrations = spark.createDataFrame([("p", text, text.replace("ADD", "DROP"), True), ("p", "ADD T1 LATE", "DROP T1", True), ("p", "T1 LOST", "T1 LOST", False)], "project string, up string, down string, executable boolean")
+    names = [("t1", f"col_{i}_x") for i in range(0, 96_000, 1000)] + [("t99", "col_1_x"), ("t1", "late"), ("t1", "lost"), ("t1", ""), (None, "a")]
+    changes = spark.createDataFrame([("p", t, c, "added") for t, c in names], "project string, table_name string, column_name string, change string")
+    began = time.time()
+    left = {(r.table_name, r.column_name) for r in M.uncovered_changes(changes, migrations).collect()}
+    assert left == {("t1", f"col_{i}_x") for i in range(48_000, 96_000, 1000)} | {("t99", "col_1_x"), ("t1", "late"), ("t1", "lost"), (None, "a")}
+    assert time.time() - began < 60
+
+
 def test_empty_denominators(spark):
     calls = spark.createDataFrame([("p", None)], "project string, path string")
     assert M.endpoint_misses(calls, calls).first().miss_ratio is None

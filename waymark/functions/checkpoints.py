@@ -8,11 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once: a table in the shared folder. Unlike a checkpoint it is read by column, and its size is known to joins."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Tables that this process has settled, by application.
+_SETTLED: dict[str, list[str]] = {}
+
+
+def settled(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df, computed once: a table in the shared folder. Unlike a checkpoint it is read by column, and its size is known to joins. by: a column of few values to lay it out by."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    _SETTLED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this application has settled so far, and says how many; results built on them can't be read any more."""
+    paths = _SETTLED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -39,3 +39,35 @@ def principal_axes(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values, axes = np.maximum(values[order], 0), axes[:, order]
     signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
     return values, axes * np.where(signs == 0, 1, signs)
+
+
+def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """A number for each of n nodes, the same for those of one strongly connected component; by two searches, without recursion."""
+    ahead, behind = _adjacent(n, src, dst), _adjacent(n, dst, src)
+    seen, left = [False] * n, []
+    for start in range(n):
+        stack = [] if seen[start] else [(start, 0)]
+        seen[start] = True
+        while stack:
+            node, i = stack.pop()
+            if i == len(ahead[node]):
+                left.append(node)
+                continue
+            stack.append((node, i + 1))
+            if not seen[to := ahead[node][i]]:
+                seen[to] = True
+                stack.append((to, 0))
+    part = np.full(n, -1)
+    for start in reversed(left):
+        stack = [start] if part[start] < 0 else []
+        while stack:
+            node = stack.pop()
+            if part[node] < 0:
+                part[node] = start
+                stack += behind[node]
+    return part
+
+
+def _adjacent(n: int, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    order = np.argsort(a, kind="stable")
+    return [x.tolist() for x in np.split(b[order], np.searchsorted(a[order], np.arange(1, n)))] if n else []

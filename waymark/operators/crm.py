@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.checkpoints import settled
 from waymark.functions.dims import OLD_STAGES, STAGE_MOVES, STAGES
 
 DEFAULT_LIMIT, MAX_LIMIT = 10, 100
@@ -26,11 +26,42 @@ def page_bounds(page=None, limit=None) -> tuple[int, int]:
 
 
 def paginate(rows: DataFrame, order: list[Column], page=None, limit=None) -> DataFrame:
-    """One page's rows in order; for interactive pages only, an export should go by key."""
+    """One page's rows in order, as the first rows up to the page's end; for pages far behind, or many of them, see PageDirectory."""
     page, limit = page_bounds(page, limit)
     return rows.orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
+class PageDirectory:
+    """Pages of ordered rows: the rows are dealt once into ranges of the order, and a page reads the ranges it lies in.
+
+    order: sort orders that tell all rows apart. The ranges' counts, at most `ranges` of them, are the directory; a page's
+    first rank gives its range, and its place there. Nothing before that range is read or sorted.
+    """
+
+    def __init__(self, rows: DataFrame, order: list[Column], ranges: int | None = None):
+        n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.order = order
+        self.rows = settled(rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), by="__range")
+        self.counts = sorted((r[0], r["count"]) for r in self.rows.groupBy("__range").count().collect())
+
+    def page(self, page=None, limit=None) -> DataFrame:
+        """The page's rows in order; past the end there are none."""
+        page, limit = page_bounds(page, limit)
+        first, before, wanted, skipped = (page - 1) * limit, 0, [], 0
+        for at, n in self.counts:
+            if before < first + limit and before + n > first:
+                skipped = skipped if wanted else before
+                wanted.append(at)
+            before += n
+        some = self.rows.where(F.col("__range").isin(wanted)) if wanted else self.rows.limit(0)
+        return some.orderBy(*self.order).offset(first - skipped if wanted else 0).limit(limit).drop("__range")
+
+    def meta(self, page=None, limit=None) -> dict[str, int]:
+        page, limit = page_bounds(page, limit)
+        total = sum(n for _, n in self.counts)
+        return {"page": page, "limit": limit, "total": total, "total_pages": -(-total // limit)}
+
+
 def page_meta(rows: DataFrame, page=None, limit=None) -> DataFrame:
     """page, limit, total and total_pages (0 on empty)."""
     page, limit = page_bounds(page, limit)
@@ -143,42 +174,48 @@ def stage_requests(requests: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.select("id", code.alias("code"))
 
 
-#: Requests of a deal whose numbers fall into one range of this width are replayed together.
-REPLAY_RANGE = 10_000
+#: Requests of a deal whose numbers fall into one range of this width are replayed together; so many neighbouring ranges are composed at once.
+REPLAY_RANGE, COMPOSED = 10_000, 64
 
 
-def replay_stages(requests: DataFrame) -> DataFrame:
+def replay_stages(requests: DataFrame, width: int = REPLAY_RANGE) -> DataFrame:
     """Each deal's moves in order of seq, from lead: deal_id, moves, rejected, stage. A rejected move changes nothing.
 
     requests: deal_id, seq (distinct in a deal), to_stage, n_contacts, has_close_date. A range of
-    requests is a function from the stage before it to the stage after it, so ranges are replayed
-    from all six stages apart from each other, and a deal's few functions are then composed. No
-    task sees all requests of a busy deal.
+    requests is a map from the stage before it to the stage after it, with the rejections on the way: six places each. Such maps
+    compose associatively, so ranges are folded apart from each other, then neighbours are composed in a tree. No
+    row or task holds all requests of a busy deal, or all its ranges.
     """
-    allowed = set(STAGE_MOVES)
-
-    def from_every_stage(group: pd.DataFrame) -> pd.DataFrame:
-        at, rejected = list(STAGES), [0] * len(STAGES)
-        for to, contacts, dated in group.sort_values("seq")[["to_stage", "n_contacts", "has_close_date"]].itertuples(index=False):
-            met = (to != "active" or contacts >= 1) and (to != "negotiation" or dated)
-            for i, stage in enumerate(at):
-                if to != stage:
-                    if met and (stage, to) in allowed:
-                        at[i] = to
-                    else:
-                        rejected[i] += 1
-        return pd.DataFrame({"deal_id": [group["deal_id"].iloc[0]], "part": [group["part"].iloc[0]], "moves": [len(group)], "after": [at], "rejected": [rejected]})
-
-    parts = requests.withColumn("part", F.floor(F.col("seq") / REPLAY_RANGE)).groupBy("deal_id", "part").applyInPandas(from_every_stage, "deal_id long, part long, moves long, after array<string>, rejected array<long>")
-    steps = parts.groupBy("deal_id").agg(F.sum("moves").alias("moves"), F.array_sort(F.collect_list(F.struct("part", "after", "rejected"))).alias("steps"))
-    places = F.create_map(*[F.lit(x) for i, s in enumerate(STAGES) for x in (s, i)])
-    start = F.struct(F.lit(STAGES[0]).alias("stage"), F.lit(0).cast("long").alias("rejected"))
-
-    def compose(state: Column, step: Column) -> Column:
-        i = F.element_at(places, state["stage"])
-        return F.struct(F.get(step["after"], i).alias("stage"), (state["rejected"] + F.get(step["rejected"], i)).alias("rejected"))
-
-    return steps.withColumn("end", F.aggregate("steps", start, compose)).select("deal_id", "moves", "end.rejected", "end.stage")
+    here = F.array(*[F.lit(i) for i in range(len(STAGES))])
+    place = lambda stage: F.array_position(F.array(*[F.lit(s) for s in STAGES]), stage).cast("int") - 1
+    may = F.array(*[F.lit((a, b) in set(STAGE_MOVES)) for a in STAGES for b in STAGES])
+    identity = F.struct(here.alias("after"), F.array_repeat(F.lit(0).cast("long"), len(STAGES)).alias("rejected"))
+
+    def moved(state: Column, ask: Column) -> Column:
+        goes = lambda at: ask["met"] & F.get(may, at * len(STAGES) + ask["to"])
+        known = ask["to"] >= 0
+        return F.struct(
+            F.transform(state["after"], lambda at: F.when(known & goes(at), ask["to"]).otherwise(at)).alias("after"),
+            F.zip_with(state["rejected"], state["after"], lambda n, at: n + F.when((known & goes(at)) | (at == ask["to"]), 0).otherwise(1)).alias("rejected"),
+        )
+
+    def composed(first: Column, then: Column) -> Column:
+        return F.struct(
+            F.transform(first["after"], lambda at: F.get(then["after"], at)).alias("after"),
+            F.zip_with(first["rejected"], first["after"], lambda n, at: n + F.get(then["rejected"], at)).alias("rejected"),
+        )
+
+    to = F.col("to_stage")
+    met = F.coalesce(((to != "active") | (F.col("n_contacts") >= 1)) & ((to != "negotiation") | F.col("has_close_date")), F.lit(False))
+    asks = requests.select("deal_id", F.floor(F.col("seq") / width).alias("part"), F.struct("seq", F.coalesce(place(to), F.lit(-1)).alias("to"), met.alias("met")).alias("ask"))
+    maps = asks.groupBy("deal_id", "part").agg(F.count("*").alias("moves"), F.array_sort(F.collect_list("ask")).alias("asks")).select("deal_id", "part", "moves", F.aggregate("asks", identity, moved).alias("map"))
+    low, high = requests.agg(F.floor(F.min("seq") / width), F.floor(F.max("seq") / width)).first()
+    while low is not None and low != high:
+        low, high = low // COMPOSED, high // COMPOSED
+        grouped = maps.groupBy("deal_id", F.floor(F.col("part") / COMPOSED).alias("part")).agg(F.sum("moves").alias("moves"), F.array_sort(F.collect_list(F.struct("part", "map"))).alias("maps"))
+        maps = grouped.select("deal_id", "part", "moves", F.aggregate("maps", identity, lambda s, m: composed(s, m["map"])).alias("map"))
+    stage = F.get(F.array(*[F.lit(s) for s in STAGES]), F.col("map.after")[0])
+    return maps.select("deal_id", "moves", F.col("map.rejected")[0].alias("rejected"), stage.alias("stage"))
 
 
 def migrate_links(contacts: DataFrame, existing: DataFrame) -> DataFrame:

@@ -65,10 +65,16 @@ def audit_b(b: DataFrame, a: DataFrame) -> DataFrame:
     return a.join(sums, "evaluation_id", "full").select("evaluation_id", same.alias("agrees"))
 
 
-def dataset_c(observations: DataFrame, bounds: DataFrame, b: DataFrame) -> DataFrame:
-    """Metric observations with baseline value, fences, the adverse one, and silent decay."""
+def failed_concerns(changes: DataFrame) -> DataFrame:
+    """evaluation_id, concern: where a checkpoint's own task introduced findings."""
+    own = changes.where("delta_scope = 'run_local' and change_type = 'introduced' and session_id <> 'baseline'")
+    return own.select("evaluation_id", N.concern(F.col("rule_id")).alias("concern")).distinct()
+
+
+def dataset_c(observations: DataFrame, bounds: DataFrame, failed: DataFrame) -> DataFrame:
+    """Metric observations with baseline value, fences, the adverse one, and silent decay; failed: evaluation_id, concern."""
     base = observations.where("session_id = 'baseline'").select("metric_name", F.col("value").alias("baseline_value"))
-    failed = b.select("evaluation_id", "concern", (F.col("task_local_introduced_findings") > 0).alias("constraint_failure"))
+    failed = failed.withColumn("constraint_failure", F.lit(True))
     rows = observations.where("session_id <> 'baseline'").join(F.broadcast(base), "metric_name", "left").join(F.broadcast(bounds.drop("direction", "median")), "metric_name", "left").withColumn("concern", N.concern(F.col("metric_name")))
     rows = rows.join(failed, ["evaluation_id", "concern"], "left")
     bad = is_bad_outlier(F.col("value"), F.col("direction"), F.col("iqr_low"), F.col("iqr_high"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from waymark.functions.checkpoints import settled
 
-#: A checkpoint that more than one in so many pairs looks back to is hot; identities of hot ones are broadcast up to so many rows.
+#: A checkpoint that more than one in so many pairs looks back to is hot; what hot ones hold is broadcast up to so many rows.
 HOT_KEYS, BROADCAST_ROWS = 2000, 200_000
 IDENTITY = ["scope_id", "rule_id", "file", "message"]
 BASELINE = "baseline"
@@ -31,35 +31,59 @@ def make_pairs(checkpoints: DataFrame) -> DataFrame:
     return rows.withColumn("before", before).select("evaluation_id", F.inline(both)).select("delta_scope", "evaluation_id", "pre")
 
 
+class PairJoin:
+    """Joins of pairs with what their earlier checkpoint holds, whatever share of the pairs looks back to one checkpoint.
+
+    pairs: delta_scope, evaluation_id, pre. Fewer than HOT_KEYS checkpoints are hot, such as the
+    baseline, which half of the pairs have as `pre`. What those hold is counted and, up to BROADCAST_ROWS, broadcast;
+    beyond that the pairs of a hot checkpoint are salted, and its rows repeated for every salt. All others are
+    shuffled. So no exchange is keyed by a hot checkpoint.
+    """
+
+    def __init__(self, pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
+        self.pairs, self.broadcast_rows = settled(pairs), broadcast_rows
+        share = max(self.pairs.count() / HOT_KEYS, 1)
+        often = self.pairs.groupBy("pre").agg(F.count("*").alias("m")).where(F.col("m") > share)
+        self.hot = settled(often.select("pre", F.ceil(F.col("m") / share).cast("int").alias("salts")))  # fewer than HOT_KEYS rows
+
+    def join(self, post: DataFrame, before: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+        """post: any columns, `pre` among them; before: `pre`, those of `on`, and others, which are added. Nulls of `on` are equal."""
+        hot = F.broadcast(self.hot)
+        held = settled(before.join(hot, "pre"))
+        seldom = self._equal(post.join(hot, "pre", "left_anti"), before, ["pre"], on, how)
+        often = post.join(hot, "pre")
+        if held.count() <= self.broadcast_rows:
+            often = self._equal(often.drop("salts"), F.broadcast(held.drop("salts")), ["pre"], on, how)
+        else:
+            often = often.withColumn("salt", F.pmod(F.xxhash64("evaluation_id", *on), F.col("salts")).cast("int")).drop("salts")
+            held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+            often = self._equal(often, held, ["pre", "salt"], on, how).drop("salt")
+        return often.unionByName(seldom)
+
+    @staticmethod
+    def _equal(post: DataFrame, before: DataFrame, keys: list[str], on: list[str], how: str) -> DataFrame:
+        a, b = post.alias("a"), before.alias("b")
+        same = F.lit(True)
+        for c in keys:
+            same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+        for c in on:
+            same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        return a.join(b, same, how).select("a.*", *[F.col(f"b.{c}") for c in before.columns if c not in (*keys, *on)])
+
+
 def multiset_counts(counts: DataFrame, pairs: DataFrame, identity: list[str] = IDENTITY) -> DataFrame:
     """Before, after, introduced, resolved, unchanged and net counts of each pair.
 
     Unchanged copies need only identities on both sides, so an inner join replaces the full outer
-    join; what is introduced or resolved is what the totals leave over. A checkpoint that very many
-    pairs look back to, such as the baseline, would be a hot key: there are few such, and while their
-    identities are at most BROADCAST_ROWS these are broadcast. Pairs of neighbours shuffle.
+    join; what is introduced or resolved is what the totals leave over.
     """
-    counts, pairs = settled(counts), settled(pairs)
+    counts, joined = settled(counts), PairJoin(pairs)
     totals = counts.groupBy("evaluation_id").agg(F.sum("n").alias("total"))
     pre = counts.select(F.col("evaluation_id").alias("pre"), *identity, F.col("n").alias("b"))
-
-    def match(some: DataFrame, before: DataFrame) -> DataFrame:
-        same = [F.col(f"post.{c}").eqNullSafe(F.col(f"pre_.{c}")) for c in identity]
-        joined = some.join(counts.withColumnRenamed("n", "a"), "evaluation_id").alias("post").join(before.alias("pre_"), [F.col("post.pre") == F.col("pre_.pre"), *same])
-        return joined.groupBy("post.delta_scope", "post.evaluation_id").agg(F.sum(F.least("a", "b")).alias("unchanged_count"))
-
-    often = pairs.groupBy("pre").agg(F.count("*").alias("m")).where(F.col("m") > max(pairs.count() / HOT_KEYS, 1)).select("pre")
-    looked_at = settled(pre.join(F.broadcast(often), "pre"))  # fewer than HOT_KEYS checkpoints
-    if looked_at.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        hot = F.broadcast(looked_at.select("pre").distinct())
-        matched = match(pairs.join(hot, "pre", "left_semi"), F.broadcast(looked_at)).unionByName(match(pairs.join(hot, "pre", "left_anti"), pre))
-    else:
-        matched = match(pairs, pre)
-    out = (
-        pairs.join(matched, ["delta_scope", "evaluation_id"], "left")
-        .join(totals.withColumnRenamed("total", "after_count"), "evaluation_id", "left")
-        .join(totals.select(F.col("evaluation_id").alias("pre"), F.col("total").alias("before_count")), "pre", "left")
-    )
+    post = joined.pairs.join(counts.withColumnRenamed("n", "a"), "evaluation_id")
+    matched = joined.join(post, pre, identity).groupBy("delta_scope", "evaluation_id").agg(F.sum(F.least("a", "b")).alias("unchanged_count"))
+    after = joined.pairs.join(matched, ["delta_scope", "evaluation_id"], "left").join(totals.withColumnRenamed("total", "after_count"), "evaluation_id", "left")
+    out = joined.join(after, totals.select(F.col("evaluation_id").alias("pre"), F.col("total").alias("before_count")), [], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     out = out.withColumns({c: zero(c) for c in ("before_count", "after_count", "unchanged_count")})
     return out.select(
@@ -69,12 +93,16 @@ def multiset_counts(counts: DataFrame, pairs: DataFrame, identity: list[str] = I
 
 
 def surplus(counts: DataFrame, pairs: DataFrame, identity: list[str] = IDENTITY) -> DataFrame:
-    """delta_scope, evaluation_id, identity, change_type, n: identities with copies on one side only."""
-    sides = pairs.join(counts, "evaluation_id").select("delta_scope", "evaluation_id", *identity, F.col("n").alias("d")).unionByName(
-        pairs.join(counts.withColumnRenamed("evaluation_id", "pre"), "pre").select("delta_scope", "evaluation_id", *identity, (-F.col("n")).alias("d"))
-    )
-    net = sides.groupBy("delta_scope", "evaluation_id", *identity).agg(F.sum("d").alias("d")).where("d <> 0")
-    return net.select("delta_scope", "evaluation_id", *identity, F.when(F.col("d") > 0, "introduced").otherwise("resolved").alias("change_type"), F.abs("d").alias("n"))
+    """delta_scope, evaluation_id, identity, change_type, n: identities with copies on one side only.
+
+    Both sides are signed and summed by (pair, identity), so what is resolved is what the earlier checkpoint holds less what is matched.
+    """
+    counts, joined = settled(counts), PairJoin(pairs)
+    held = ["delta_scope", "evaluation_id", *identity]
+    before = joined.join(joined.pairs, counts.select(F.col("evaluation_id").alias("pre"), *identity, (-F.col("n")).alias("d")), [])
+    sides = joined.pairs.join(counts, "evaluation_id").select(*held, F.col("n").alias("d")).unionByName(before.select(*held, "d"))
+    net = sides.groupBy(*held).agg(F.sum("d").alias("d")).where("d <> 0")
+    return net.select(*held, F.when(F.col("d") > 0, "introduced").otherwise("resolved").alias("change_type"), F.abs("d").alias("n"))
 
 
 def itemised(changes: DataFrame) -> DataFrame:
@@ -84,8 +112,18 @@ def itemised(changes: DataFrame) -> DataFrame:
 
 def score_diff(post: DataFrame, pre: DataFrame, keys: list[str]) -> DataFrame:
     """from, to, delta and status of every metric after; a missing side is unavailable."""
+    return _with_delta(post.withColumnRenamed("value", "to").join(pre.withColumnRenamed("value", "from"), keys, "left"))
+
+
+def score_changes(metrics: DataFrame, pairs: DataFrame, name: str = "metric_name") -> DataFrame:
+    """score_diff of all pairs: metrics has evaluation_id, the name, value, and columns that stay."""
+    joined = PairJoin(pairs)
+    before = metrics.select(F.col("evaluation_id").alias("pre"), name, F.col("value").alias("from"))
+    return _with_delta(joined.join(joined.pairs.join(metrics.withColumnRenamed("value", "to"), "evaluation_id"), before, [name], "left"))
+
+
+def _with_delta(joined: DataFrame) -> DataFrame:
     known = F.col("to").isNotNull() & F.col("from").isNotNull()
-    joined = post.withColumnRenamed("value", "to").join(pre.withColumnRenamed("value", "from"), keys, "left")
     return joined.withColumns({"delta": F.when(known, F.col("to") - F.col("from")), "delta_status": F.when(known, "available").otherwise("unavailable")})
 
 
@@ -106,10 +144,11 @@ def resolve_pre(checkpoints: DataFrame, wanted: DataFrame) -> tuple[DataFrame, D
 def comparability(pairs: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """delta_scope, evaluation_id, reason: the first gate a pair fails, null if it may be compared."""
     side = checkpoints.select("evaluation_id", "execution_status", "profile_hash")
-    pre = side.select(*[F.col(c).alias(f"pre_{c}") for c in side.columns])
-    joined = pairs.join(side, "evaluation_id").join(pre, F.col("pre") == F.col("pre_evaluation_id"), "left")
+    pre = side.select(F.col("evaluation_id").alias("pre"), *[F.col(c).alias(f"pre_{c}") for c in side.columns[1:]], F.lit(True).alias("found"))
+    joined = PairJoin(pairs)
+    joined = joined.join(joined.pairs.join(side, "evaluation_id"), pre, [], "left")
     reason = (
-        F.when(F.col("pre_evaluation_id").isNull(), "missing_source")
+        F.when(F.col("found").isNull(), "missing_source")
         .when(F.col("execution_status") != "completed", "target_not_completed")
         .when(F.col("pre_execution_status") != "completed", "source_not_completed")
         .when(F.col("profile_hash").isNull() | F.col("pre_profile_hash").isNull(), "missing_profile")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.functions.checkpoints import settled
+from waymark.functions.stats import strong_components
 
 #: A window counts as cloned in 2 to so many places; common boilerplate beyond it is no clone of anything.
 LARGEST_BUCKET = 40
@@ -24,48 +26,88 @@ def normalised_tokens(text: Column) -> Column:
     return F.flatten(F.transform(lines, lambda line, i: F.transform(words(line), lambda w: F.struct(F.regexp_replace(w, "[0-9]", "0").alias("tok"), i.alias("line")))))
 
 
+def _run_ranks(h: Column, window: int) -> list[tuple[str, Column]]:
+    """Columns, each from those before it, whose last holds the rank of the `window` tokens from every place.
+
+    Ranks of runs of 1, 2, 4, … tokens: a run's rank is the hash of its halves' ranks, and a window is put together from
+    runs as its length has binary digits. Runs over the end have ranks that mean nothing.
+    """
+    out, size = [("r1", h)], 1
+    while 2 * size <= window:
+        out.append((f"r{2 * size}", _joined(f"r{size}", f"r{size}", size)))
+        size *= 2
+    whole, done = f"r{size}", size
+    while done < window:
+        size = 1 << ((window - done).bit_length() - 1)
+        out.append((f"w{done + size}", _joined(whole, f"r{size}", done)))
+        whole, done = f"w{done + size}", done + size
+    return [*out, ("windows", F.col(whole))]
+
+
+def _joined(first: str, then: str, size: int) -> Column:
+    """Ranks of the runs of `first`, `size` tokens long, each with the run of `then` behind it."""
+    return F.transform(first, lambda x, i: F.xxhash64(x, F.get(then, i + size)))
+
+
 def clone_lines(files: DataFrame, window: int = 50) -> DataFrame:
     """project, lines, cloned_lines, clone_ratio. files: project, file, tokens.
 
-    Windows are hashes of token hashes. Pairs are never formed for coverage: in a valid bucket every
+    Windows are known by ranks of token runs, see `_run_ranks`. Pairs are never formed for coverage: in a valid bucket every
     window is covered, but in a bucket of one file only those at least a window away from its first or last
-    place. Where the next window is in too large a bucket, the pairs of the (small) bucket are
-    extended token by token.
+    place. Where the next window is in too large a bucket, a match goes on through such windows as long as both agree: the
+    ranks of the windows that follow, up to the next that is in no too large bucket, are compared among the few places of the valid bucket.
     """
-    df = files.where(F.size("tokens") > 0).withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t["tok"])))
-    last = F.size("h") - window
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("windows", F.transform(starts, lambda i: F.xxhash64(F.slice("h", i + 1, F.lit(window)))))
-    df = settled(df.select("project", "file", "tokens", "windows"))  # read by every step below
+    df = files.where(F.size("tokens") > 0).select("project", "file", F.transform("tokens", lambda t: F.xxhash64(t["tok"])).alias("h"), F.col("tokens.line").alias("line_of"))
+    for name, ranks in _run_ranks(F.col("h"), window):
+        df = df.withColumn(name, ranks)
+    n_windows = F.greatest(F.size("h") - window + 1, F.lit(0))
+    df = settled(df.select("project", "file", "line_of", F.slice("windows", F.lit(1), n_windows).alias("windows")))  # read by every step below
     places = df.select("project", "file", F.posexplode("windows").alias("pos", "h"))
-    buckets = places.groupBy("project", "h").agg(F.count("*").alias("n"), (F.min("file") == F.max("file")).alias("one_file"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    valid = buckets.where((F.col("n") >= 2) & (F.col("n") <= LARGEST_BUCKET) & (~F.col("one_file") | (F.col("high") - F.col("low") >= window)))
-    hits = places.join(valid, ["project", "h"]).where(~F.col("one_file") | (F.col("pos") - F.col("low") >= window) | (F.col("high") - F.col("pos") >= window))
+    counted = places.groupBy("project", "h").agg(F.count("*").alias("n"), (F.min("file") == F.max("file")).alias("one_file"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    buckets = settled(counted.where("n > 1"))
+    valid = buckets.where((F.col("n") <= LARGEST_BUCKET) & (~F.col("one_file") | (F.col("high") - F.col("low") >= window)))
+    large = buckets.where(F.col("n") > LARGEST_BUCKET).select("project", "h")
+    # windows in large buckets are most of a hot key: those are taken off before the rest is shuffled
+    n_large = large.count()
+    seldom = places.join(F.broadcast(large), ["project", "h"], "left_anti") if 0 < n_large <= BROADCAST_ROWS else places
+    hits = seldom.join(_bounded(valid), ["project", "h"]).where(~F.col("one_file") | (F.col("pos") - F.col("low") >= window) | (F.col("high") - F.col("pos") >= window))
+    hits = settled(hits.select("project", "file", "pos", "h"))
     spans = hits.select("project", "file", "pos", F.lit(window).alias("length"))
-    # at the border of a bucket that is too large: pairs of the valid bucket, extended as far as both agree
-    large = buckets.where(F.col("n") > LARGEST_BUCKET).select("project", F.col("h").alias("next_h"))
-    border = hits.join(places.select("project", "file", (F.col("pos") - 1).alias("pos"), F.col("h").alias("next_h")), ["project", "file", "pos"]).join(large, ["project", "next_h"], "left_semi")
-    side = lambda s: border.select("project", "h", "next_h", F.col("file").alias(f"{s}_file"), F.col("pos").alias(f"{s}_pos"))
-    apart = (F.col("a_file") < F.col("b_file")) | ((F.col("a_file") == F.col("b_file")) & (F.col("b_pos") - F.col("a_pos") >= window))
-    pairs = side("a").join(side("b"), ["project", "h", "next_h"]).where(apart)
-    toks = df.select("project", F.col("file").alias("f"), F.transform("tokens", lambda t: t["tok"]).alias("t"))
-    pairs = pairs.join(toks.select("project", F.col("f").alias("a_file"), F.col("t").alias("ta")), ["project", "a_file"]).join(toks.select("project", F.col("f").alias("b_file"), F.col("t").alias("tb")), ["project", "b_file"])
-    rest = lambda t, p: F.slice(F.col(t), F.col(p) + 1 + window, F.greatest(F.size(t) - F.col(p) - window, F.lit(0)))
-    same = F.zip_with(rest("ta", "a_pos"), rest("tb", "b_pos"), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    stop = F.array_position(same, False)
-    more = pairs.withColumn("length", window + F.when(stop > 0, stop - 1).otherwise(F.size(same))).select("project", "length", F.explode(F.array(F.struct(F.col("a_file").alias("file"), F.col("a_pos").alias("pos")), F.struct(F.col("b_file").alias("file"), F.col("b_pos").alias("pos")))).alias("s"))
-    spans = spans.unionByName(more.select("project", "s.file", "s.pos", F.col("length").cast("int").alias("length")))
+    if n_large:
+        spans = spans.unionByName(_beyond_borders(df, places, hits, large, n_large, window))
     # a file's spans meet its tokens once, as merged intervals
     merged = spans.groupBy("project", "file", "pos").agg(F.max("length").alias("length"))
     before = F.max(F.col("pos") + F.col("length")).over(Window.partitionBy("project", "file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     fresh = merged.withColumn("from", F.greatest("pos", F.coalesce(before, F.lit(0)))).withColumn("to", F.col("pos") + F.col("length")).where("to > from")
-    lines = fresh.join(df.select("project", "file", "tokens"), ["project", "file"]).select("project", "file", F.explode(F.array_distinct(F.transform(F.slice("tokens", F.col("from") + 1, F.col("to") - F.col("from")), lambda t: t["line"]))).alias("line")).distinct()
-    covered = lines.groupBy("project").agg(F.count("*").alias("cloned_lines"))
-    bearing = df.select("project", F.size(F.array_distinct(F.transform("tokens", lambda t: t["line"]))).alias("n")).groupBy("project").agg(F.sum("n").alias("lines"))
-    out = bearing.join(covered, "project", "left").withColumn("cloned_lines", F.coalesce("cloned_lines", F.lit(0).cast("long")))
+    parts = fresh.groupBy("project", "file").agg(F.collect_list(F.struct("from", "to")).alias("parts"))  # apart from each other within a file
+    lined = df.select("project", "file", "line_of").join(parts, ["project", "file"], "left")
+    covered = F.size(F.array_distinct(F.flatten(F.transform("parts", lambda p: F.slice("line_of", p["from"] + 1, p["to"] - p["from"])))))
+    out = lined.select("project", F.size(F.array_distinct("line_of")).alias("lines"), F.when(F.col("parts").isNotNull(), covered).otherwise(0).alias("covered"))
+    out = out.groupBy("project").agg(F.sum("lines").alias("lines"), F.sum("covered").alias("cloned_lines"))
     return out.withColumn("clone_ratio", ratio(F.col("cloned_lines"), F.col("lines"), 0.0))
 
 
+def _beyond_borders(df: DataFrame, places: DataFrame, hits: DataFrame, large: DataFrame, n_large: int, window: int) -> DataFrame:
+    """project, file, pos, length of matches that go on from a hit into windows of large buckets."""
+    inside = places.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, ["project", "h"], "left_semi").select("project", "file", "pos")
+    # neighbouring places are a stretch: their place less their number in the file stays the same
+    stretch = F.col("pos") - F.row_number().over(Window.partitionBy("project", "file").orderBy("pos"))
+    stretches = inside.withColumn("k", stretch).groupBy("project", "file", "k").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    border = hits.join(stretches.withColumn("pos", F.col("first") - 1), ["project", "file", "pos"]).join(df.select("project", "file", "windows"), ["project", "file"])
+    border = border.select("project", "h", F.struct("file", "pos", F.slice("windows", F.col("first") + 1, F.col("last") - F.col("first") + 1).alias("run")).alias("at"))
+    groups = border.groupBy("project", "h").agg(F.collect_list("at").alias("ats")).where(F.size("ats") > 1)  # at most LARGEST_BUCKET
+
+    def shared(a: Column, b: Column) -> Column:
+        apart = (a["file"] != b["file"]) | (F.abs(a["pos"] - b["pos"]) >= window)
+        same = F.zip_with(a["run"], b["run"], lambda x, y: F.coalesce(x == y, F.lit(False)))
+        stop = F.array_position(same, False).cast("int")
+        return F.when(apart, F.when(stop > 0, stop - 1).otherwise(F.size(same))).otherwise(0)
+
+    # the windows that agree after the hit, with the partner that agrees longest
+    longest = F.transform("ats", lambda a: F.struct(a["file"].alias("file"), a["pos"].alias("pos"), F.array_max(F.transform("ats", lambda b: shared(a, b))).alias("more")))
+    return groups.select("project", F.inline(longest)).where("more > 0").select("project", "file", "pos", (F.col("more") + window).alias("length"))
+
+
 _LAYER = r"\.(controller|service|repository|entity)\.[cm]?[jt]sx?$"
 
 
@@ -114,17 +156,100 @@ def _inside(edges: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
     return edges.select("project", "src", "dst")
 
 
-def cyclic_edges(edges: DataFrame) -> DataFrame:
+#: Projects of at most so many edges have their components found in one task each.
+SMALL_PROJECT = 200_000
+
+
+def cyclic_edges(edges: DataFrame, small: int = SMALL_PROJECT) -> DataFrame:
     """Distinct (project, src, dst) on a cycle: both ends in one strongly connected component, or a loop.
 
-    Components come from joins and aggregates alone, so no task holds a project. What lies on no
-    way from cycle to cycle is trimmed first. Then the least node that reaches a node is its
+    Projects of at most `small` edges are dealt out by project, and each is one depth-first search. Larger ones go through joins and
+    aggregates alone, so no task holds them, see `_cyclic_of_large`.
+    """
+    whole = settled(edges.select("project", "src", "dst").where("src is not null and dst is not null").distinct())
+    sizes = settled(whole.groupBy("project").agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > small).select("project")
+    if large.isEmpty():
+        return _cyclic_of_small(whole)
+    of_large = whole.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "project", "left_semi")
+    return _cyclic_of_large(of_large).unionByName(_cyclic_of_small(whole.join(sizes.where(F.col("n") <= small), "project", "left_semi")))
+
+
+def _cyclic_of_small(edges: DataFrame) -> DataFrame:
+    def search(rows):
+        at, ends = np.unique(rows[["src", "dst"]].to_numpy(dtype=object).ravel(), return_inverse=True)
+        src, dst = ends.reshape(-1, 2).T
+        part = strong_components(len(at), src, dst)
+        return rows[part[src] == part[dst]]
+
+    return edges.where("project is not null").groupBy("project").applyInPandas(search, edges.schema)
+
+
+def _cyclic_of_large(edges: DataFrame) -> DataFrame:
+    """Cyclic edges of projects of any size: ways without a branch are contracted, what is left is coloured.
+
+    Contraction follows pointers that double their reach, so a long way takes as many rounds as its length has binary digits.
+    Ways forward and backward are contracted in turn while that takes away a tenth of the edges.
+    """
+    return edges.where("src = dst").unionByName(_contracted(edges.where("src <> dst"), 0))
+
+
+def _reversed(edges: DataFrame) -> DataFrame:
+    return edges.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _contracted(edges: DataFrame, idle: int) -> DataFrame:
+    """Cyclic edges of a graph without loops; idle: how many contractions before took little away. The contracted graph goes on reversed.
+
+    Nodes with one way out form chains. A chain that comes back to itself is a component, and nothing that
+    leads into it is; a chain that ends at a node without a way out is on no cycle. Other chains are
+    replaced by the node they end at: an edge into a chain is cyclic if its image is, and then so are the chain's edges from there on.
+    """
+    edges = settled(edges)
+    n = edges.count()
+    if not n:
+        return edges
+    if idle == 2:
+        return _by_colours(edges)
+    outs = edges.groupBy("project", F.col("src").alias("node")).agg(F.count("*").alias("ways"), F.min("dst").alias("to"))
+    chain = settled(outs.where("ways = 1").select("project", "node", "to"))
+    n_chain, hops, going = chain.count(), [chain], 0
+    named = lambda df, a, b: df.select("project", F.col("node").alias(a), F.col("to").alias(b))
+    while n_chain:
+        on = hops[-1].join(named(hops[-1], "to", "then"), ["project", "to"], "left").select("project", "node", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved"))
+        hops.append(settled(on))
+        going = hops[-1].where("moved").count()
+        if not going or 1 << (len(hops) - 1) >= n_chain:
+            break
+    ends = hops[-1].select("project", "node", F.col("to").alias("root"))
+    rings = settled(hops[-1].select("project", F.col("to").alias("node")).distinct().join(chain, ["project", "node"], "left_semi")) if going else chain.select("project", "node").limit(0)
+    found = chain.join(rings, ["project", "node"], "left_semi").select("project", F.col("node").alias("src"), F.col("to").alias("dst"))
+    branching = outs.where("ways > 1").select("project", "node")
+    ends = settled(ends.join(branching.withColumnRenamed("node", "root"), ["project", "root"], "left_semi"))
+    # edges out of branching nodes, into branching nodes or chains that end at one
+    image = ends.unionByName(branching.withColumn("root", F.col("node"))).select("project", F.col("node").alias("dst"), "root")
+    kept = settled(edges.join(branching.withColumnRenamed("node", "src"), ["project", "src"], "left_semi").join(image, ["project", "dst"]))
+    inner = kept.where("src <> root").select("project", "src", F.col("root").alias("dst")).distinct()
+    inner = settled(inner)
+    cyclic = _reversed(_contracted(_reversed(inner), idle + 1 if inner.count() > 0.9 * n else 0))
+    through = settled(kept.where("src = root").unionByName(kept.join(cyclic.withColumnRenamed("dst", "root"), ["project", "src", "root"], "left_semi")))
+    marked = settled(through.join(ends.select("project", F.col("node").alias("dst")), ["project", "dst"], "left_semi").select("project", F.col("dst").alias("node")).distinct())
+    for hop in hops[:-1] if marked.limit(1).count() else []:
+        reached = marked.join(hop.select("project", "node", "to"), ["project", "node"]).join(ends.select("project", F.col("node").alias("to")), ["project", "to"], "left_semi")
+        marked = settled(marked.unionByName(reached.select("project", F.col("to").alias("node"))).distinct())
+    along = chain.join(marked, ["project", "node"], "left_semi").select("project", F.col("node").alias("src"), F.col("to").alias("dst"))
+    return found.unionByName(through.select("project", "src", "dst")).unionByName(along)
+
+
+def _by_colours(left: DataFrame) -> DataFrame:
+    """Cyclic edges of a graph without loops, by colours.
+
+    What lies on no way from cycle to cycle is trimmed first. Then the least node that reaches a node is its
     colour; of the nodes of a colour, those that also reach the node it is named after are that
     node's component. Components are taken off and the rest goes round again. Rounds follow the longest
-    way through a graph, not its size.
+    way through the graph, not its size.
     """
-    whole = settled(edges.select("project", "src", "dst").where("src is not null and dst is not null").distinct())
-    found, left = whole.where("src = dst"), whole.where("src <> dst")
+    found = left.limit(0)
     while True:
         left, n = _trimmed(left)
         if not n:
@@ -229,20 +354,64 @@ def schema_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(*keys, kind.alias("change")).where("change is not null")
 
 
+#: Texts are cut into pieces of so many characters; names are looked up by their rarest piece of so many; tables up to so many rows are broadcast.
+CHUNK, GRAM, BROADCAST_ROWS = 512, 3, 200_000
+
+
+def occurrences(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """id, word: which words of its project a text contains, anywhere. texts: project, id, text; words: project, word.
+
+    An inverted index: texts are cut into chunks that overlap by the longest word, chunks are known by
+    their grams, and each word by the one of its grams that fewest chunks have. Words whose rarest gram a chunk
+    has are looked for in that chunk. Work follows the texts' length, and what is found, not texts by words. The
+    empty word is in every text.
+    """
+    words = settled(words.where("project is not null and word is not null").distinct())
+    longest, sizes = words.agg(F.max(F.length("word")), F.collect_set(F.least(F.length("word"), F.lit(GRAM)))).first()  # sizes: 0 to GRAM
+    sizes = [n for n in sizes if n]
+    everywhere = texts.join(words.where("word = ''"), "project").select("id", "word") if words.where("word = ''").limit(1).count() else None
+    if not sizes:
+        return texts.select("id", F.lit("").alias("word")).limit(0) if everywhere is None else everywhere
+    cut = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{CHUNK + longest}}})).{{1,{CHUNK}}}"), F.lit(1))
+    chunks = settled(settled(texts.select("project", "id", F.explode(cut).alias("chunk"))).withColumn("at", F.monotonically_increasing_id()))
+    of_size = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
+    grams = chunks.select("project", "at", F.explode(F.array_distinct(F.flatten(F.array(*[of_size(F.col("chunk"), F.lit(n)) for n in sizes])))).alias("gram"))
+    parts = words.where("word <> ''").select("project", "word", F.explode(F.array_distinct(of_size(F.col("word"), F.least(F.length("word"), F.lit(GRAM))))).alias("gram"))
+    asked = _bounded(parts.select("project", "gram").distinct())
+    held = grams.join(asked, ["project", "gram"], "left_semi").groupBy("project", "gram").agg(F.count("*").alias("n"))
+    rarest = parts.join(held, ["project", "gram"], "left").groupBy("project", "word").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("all"))
+    met = grams.join(_bounded(rarest.where("all").drop("all")), ["project", "gram"]).select("at", "word")
+    found = met.join(chunks, "at").where(F.contains("chunk", "word")).select("id", "word").distinct()
+    return found if everywhere is None else found.unionByName(everywhere)
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows; more are shuffled."""
+    df = settled(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def uncovered_changes(changes: DataFrame, migrations: DataFrame) -> DataFrame:
     """Changes that no executable migration of the project names, table and column, both up and down.
 
-    Names are looked for in plain text, letters and digits only. A migration's pieces of the lengths that
-    column names have are joined with the names, so no change meets every migration of its project.
+    Names are looked for in plain text, letters and digits only. A name's migrations are those that hold the
+    rarer of its two words, which must hold the other word as well, both up and down.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    names = changes.select("project", "table_name", "column_name", plain("table_name").alias("t"), plain("column_name").alias("c")).distinct()
-    lengths = names.where("c is not null").agg(F.collect_set(F.length("c"))).first()[0]  # as many as identifiers have lengths
-    m = migrations.where("executable").select("project", plain("up").alias("up"), plain("down").alias("down"))
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("up"), F.lit(1))), lambda at: F.transform(F.array(*[F.lit(n) for n in lengths or [0]]), lambda n: F.substring(F.col("up"), at, n)))
-    named = m.withColumn("c", F.explode(F.array_distinct(F.flatten(pieces)))).join(names, ["project", "c"])
-    covered = named.where(F.contains("up", "t") & F.contains("down", "t") & F.contains("down", "c")).select("project", "table_name", "column_name").distinct()
-    return changes.join(covered, ["project", "table_name", "column_name"], "left_anti")
+    names = settled(changes.select("project", "table_name", "column_name", plain("table_name").alias("t"), plain("column_name").alias("c")).distinct())
+    m = settled(migrations.where("executable").select("project", plain("up").alias("up"), plain("down").alias("down")))
+    m = settled(m.withColumn("id", F.monotonically_increasing_id()))
+    words = names.select("project", F.explode(F.array("t", "c")).alias("word"))
+    texts = m.select("project", F.inline(F.array(*[F.struct((2 * F.col("id") + i).alias("id"), F.col(side).alias("text")) for i, side in enumerate(("up", "down"))]))).where("text is not null")
+    found = occurrences(texts, words).groupBy(F.shiftright("id", 1).alias("id"), "word").agg(F.count("*").alias("ways")).where("ways = 2")
+    both = settled(found.join(m.select("id", "project"), "id").select("id", "word", "project"))  # up and down
+    often = both.groupBy("project", "word").agg(F.count("*").alias("n"))
+    counted = lambda c: often.select("project", F.col("word").alias(c), F.col("n").alias(f"n_{c}"))
+    keyed = names.join(counted("t"), ["project", "t"]).join(counted("c"), ["project", "c"])
+    first = F.col("n_t") <= F.col("n_c")
+    keyed = keyed.select("project", "table_name", "column_name", F.when(first, F.col("t")).otherwise(F.col("c")).alias("word"), F.when(first, F.col("c")).otherwise(F.col("t")).alias("other"))
+    covered = both.join(keyed, ["project", "word"]).join(both.select("id", F.col("word").alias("other")), ["id", "other"], "left_semi")
+    return changes.join(covered.select("project", "table_name", "column_name").distinct(), ["project", "table_name", "column_name"], "left_anti")
 
 
 def module_composition(files: DataFrame) -> DataFrame:

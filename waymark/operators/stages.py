@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.functions import normalize as N
 from waymark.functions.checkpoints import settled
-from waymark.functions.stats import EXACT_PAIRS, principal_axes, wilcoxon_p
+from waymark.functions.stats import EXACT_PAIRS, principal_axes
 
 CLASSES = ["indeterminate_metric_error", "constraints_failed", "silent_decay", "clean"]
 _zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -195,17 +201,35 @@ def signed_ranks(pairs: DataFrame) -> DataFrame:
     return out.select("w.agent", "n_pairs", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.least("w_plus", "w_minus"), F.lit(0.0)).alias("statistic"), F.coalesce("ties", F.lit(0.0)).alias("ties"), "median_diff", "ranks")
 
 
-def paired_wilcoxon(pairs: DataFrame) -> DataFrame:
-    """agent, n_pairs, statistic, p_value, median_diff, note."""
-    import pandas as pd
+def signed_rank_p(statistic: Column, ranks: Column, n: Column, ties: Column) -> Column:
+    """Two-sided p of a signed-rank statistic min(W+, W-).
+
+    ranks: those of at most EXACT_PAIRS differences, else null. With them all sign flips are counted: the product of the
+    polynomials 1 + x**(2 * rank), whose coefficients are the ways to each doubled sum (ties make halves). For more the
+    normal approximation with tie correction is used (ties: sum of t**3 - t over tied ranks).
+    """
+    doubled = F.transform(ranks, lambda r: F.round(2 * r).cast("int"))
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    ways = F.aggregate(doubled, F.array(F.lit(1.0)), lambda w, r: F.zip_with(F.concat(w, zeros(r)), F.concat(zeros(r), w), lambda a, b: a + b))
+    low = F.aggregate(F.filter(ways, lambda w, i: F.least(i, F.size(ways) - 1 - i) <= 2 * statistic + 1e-9), F.lit(0.0), lambda t, w: t + w)
+    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    exact = F.least(F.lit(1.0), low / F.pow(F.lit(2.0), n))
+    return F.when(n == 0, 1.0).when(ranks.isNotNull(), exact).when(var > 0, F.least(F.lit(1.0), complementary_error(F.abs(statistic - mean) / F.sqrt(2 * var)))).otherwise(1.0)
+
 
-    def test(statistic: pd.Series, ranks: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-        return pd.Series([wilcoxon_p(s, None if r is None else list(r), int(k), t) for s, r, k, t in zip(statistic, ranks, n, ties, strict=True)], dtype="float64")
+def complementary_error(x: Column) -> Column:
+    """erfc of x >= 0: one less a series of positive terms, and beyond 3 a continued fraction, which keeps small values exact."""
+    x = x.cast("double")
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(x.alias("term"), x.alias("sum")), lambda s, k: F.struct((s["term"] * 2 * x * x / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * 2 * x * x / (2 * k + 1)).alias("sum")))["sum"]
+    tail = F.aggregate(F.sequence(F.lit(60), F.lit(1)), x, lambda t, k: x + k / 2 / t)
+    scale = F.exp(-x * x) / math.sqrt(math.pi)
+    return F.when(x < 3, 1 - 2 * scale * terms).otherwise(scale / tail)
 
-    test.__annotations__ = dict.fromkeys(("statistic", "ranks", "n", "ties", "return"), pd.Series)  # not as text: pd is local
-    p = F.pandas_udf(test, "double")
+
+def paired_wilcoxon(pairs: DataFrame) -> DataFrame:
+    """agent, n_pairs, statistic, p_value, median_diff, note."""
     few = F.col("n_pairs") < 2
-    out = signed_ranks(pairs).withColumn("p", p("statistic", "ranks", "n", "ties"))
+    out = signed_ranks(pairs).withColumn("p", signed_rank_p(F.col("statistic"), F.col("ranks"), F.col("n"), F.col("ties")))
     note = F.when(few, "fewer than 2 complete pairs").when(F.col("n") == 0, "all paired differences are zero")
     return out.select("agent", "n_pairs", F.when(~few, F.col("statistic")).alias("statistic"), F.when(~few, F.col("p")).alias("p_value"), F.when(~few, F.col("median_diff")).alias("median_diff"), note.alias("note"))
 
@@ -277,43 +301,104 @@ def lorenz_points(counts: DataFrame) -> DataFrame:
     return pts.unionByName(zero).select("evaluation_id", "i", F.round("file_share", 6).alias("file_share"), F.round("finding_share", 6).alias("finding_share"))
 
 
-def wide_metrics(observations: DataFrame, metrics: list[str]) -> DataFrame:
-    return observations.groupBy("evaluation_id").pivot("metric_name", metrics).agg(F.avg("value"))
+#: Evaluations of a Gram block; metrics may be so many, as their pairs are held by every task.
+GRAM_ROWS, MOST_METRICS = 4096, 3000
 
 
-def metric_correlation(observations: DataFrame, metrics: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations of metrics with more than one value; one pivot and one aggregate."""
-    wide = wide_metrics(observations, metrics)
-    q = lambda m: F.col(f"`{m}`")
-    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i:]]
-    one = wide.agg(*[F.corr(q(a), q(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)], *[(F.min(q(m)) < F.max(q(m))).alias(f"v{i}") for i, m in enumerate(metrics)])
-    v = {m: F.col(f"v{i}") for i, m in enumerate(metrics)}
-    rows = F.array(*[F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), F.round(F.col(f"c{i}"), 6).alias("r"), (v[a] & v[b]).alias("ok")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(rows)).where("ok").drop("ok")
+class MetricCells:
+    """Observations as one array by evaluation, with whatever metrics there are.
+
+    metrics: their names, those of `first` in that order, then by name; each with mean and standard deviation. rows:
+    evaluation_id and cells, an array of (at, x): the metric's place and the z-score of its mean value there.
+    """
 
+    def __init__(self, observations: DataFrame, first: Sequence[str] = ()):
+        cells = settled(observations.where("value is not null").groupBy("evaluation_id", "metric_name").agg(F.avg("value").alias("value")))
+        found = cells.groupBy("metric_name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), (F.min("value") < F.max("value")).alias("varies")).limit(MOST_METRICS + 1).collect()
+        if len(found) > MOST_METRICS:
+            raise ValueError(f"more than {MOST_METRICS} metrics")
+        order = {m: i for i, m in enumerate(first)}
+        self.metrics = sorted(found, key=lambda r: (order.get(r.metric_name, len(order)), r.metric_name))
+        spark = observations.sparkSession
+        places = spark.createDataFrame([(r.metric_name, i, r.mean, r.std or 1.0) for i, r in enumerate(self.metrics)], "metric_name string, at int, mean double, std double")
+        scored = cells.join(F.broadcast(places), "metric_name").select("evaluation_id", F.struct("at", ((F.col("value") - F.col("mean")) / F.col("std")).alias("x")).alias("cell"))  # at most MOST_METRICS rows
+        self.rows = settled(scored.groupBy("evaluation_id").agg(F.collect_list("cell").alias("cells")))
 
-def metric_pca(observations: DataFrame, metrics: list[str]) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """(spectrum, loadings, scores) of complete cases' z-scores; None below 4 rows or 2 metrics.
+    @property
+    def names(self) -> list[str]:
+        return [r.metric_name for r in self.metrics]
 
-    The Gram matrix is one aggregate; only its k by k numbers reach the driver.
+    def complete(self) -> DataFrame:
+        return self.rows.where(F.size("cells") == len(self.metrics))
+
+
+def comoments(rows: DataFrame, n_metrics: int) -> DataFrame:
+    """a, b (a <= b), n, sx, sy, sxx, syy, sxy over the rows that have both metrics.
+
+    Tasks turn cells into blocks of GRAM_ROWS rows by metrics and add up products of blocks; each task sends one row for every pair of
+    metrics that met, and sums are merged by pair.
+    """
+
+    def run(batches):
+        total = np.zeros((6, n_metrics, n_metrics))
+        for batch in batches:
+            cells = batch.column(0)
+            for lo in range(0, len(cells), GRAM_ROWS):
+                part = cells.slice(lo, GRAM_ROWS)
+                flat = part.flatten()
+                row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy(zero_copy_only=False))
+                x, has = np.zeros((len(part), n_metrics)), np.zeros((len(part), n_metrics))
+                at = flat.field("at").to_numpy(zero_copy_only=False)
+                x[row, at] = flat.field("x").to_numpy(zero_copy_only=False)
+                has[row, at] = 1
+                total += [has.T @ has, x.T @ has, has.T @ x, (x * x).T @ has, has.T @ (x * x), x.T @ x]
+        a, b = np.nonzero(np.triu(total[0]))
+        for lo in range(0, len(a), 100_000):
+            i, j = a[lo : lo + 100_000], b[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]], names=["a", "b", *_MOMENTS])
+
+    sums = rows.select("cells").mapInArrow(run, "a int, b int, " + ", ".join(f"{c} double" for c in _MOMENTS))
+    return sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+
+
+_MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def metric_correlation(observations: DataFrame, first: Sequence[str] = ()) -> DataFrame:
+    """Pairwise-complete Pearson correlations of all metrics with more than one value; metric_a comes before metric_b in their order."""
+    cells = MetricCells(observations, first)
+    spark = observations.sparkSession
+    names = spark.createDataFrame([(i, r.metric_name) for i, r in enumerate(cells.metrics) if r.varies], "i int, name string")
+    named = lambda c: F.broadcast(names.select(F.col("i").alias(c), F.col("name").alias(f"metric_{c}")))  # noqa: E731  at most MOST_METRICS rows
+    cov, var_x, var_y = (F.col("n") * F.col(s) - F.col(p) * F.col(q) for s, p, q in (("sxy", "sx", "sy"), ("sxx", "sx", "sx"), ("syy", "sy", "sy")))
+    flat = (var_x <= 1e-13 * F.col("n") * F.col("sxx")) | (var_y <= 1e-13 * F.col("n") * F.col("syy"))  # but for rounding, one value
+    r = F.when((F.col("n") > 1) & ~flat, cov / F.sqrt(var_x * var_y))
+    return comoments(cells.rows, len(cells.metrics)).join(named("a"), "a").join(named("b"), "b").select("metric_a", "metric_b", F.round(r, 6).alias("r"))
+
+
+def metric_pca(observations: DataFrame, first: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(spectrum, loadings, scores) of complete cases' z-scores over all metrics; None below 4 rows or 2 metrics.
+
+    Mean and deviation are those of the complete cases. The Gram matrix comes from blocks; only its k by k numbers reach the driver.
     """
     spark = observations.sparkSession
-    wide = wide_metrics(observations, metrics).dropna(subset=[f"`{m}`" for m in metrics])
-    q = lambda m: F.col(f"`{m}`")
-    first = wide.agg(F.count("*"), *[F.avg(q(m)) for m in metrics], *[F.stddev_pop(q(m)) for m in metrics]).first()
-    n, k = first[0], len(metrics)
+    whole = MetricCells(observations, first)
+    k = len(whole.metrics)
+    kept = whole.complete()
+    n = kept.count()
     if n < 4 or k < 2:
         return None
-    mean, std = first[1 : k + 1], [s or 1.0 for s in first[k + 1 :]]
-    z = wide.select("evaluation_id", *[((q(m) - mean[i]) / std[i]).alias(f"z{i}") for i, m in enumerate(metrics)])
-    sums = z.agg(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(k) for j in range(k)]).first()
-    import numpy as np
-
-    values, axes = principal_axes(np.array(sums, float).reshape(k, k) / n)
+    # z-scores again, of the complete cases alone
+    cells = MetricCells(observations.join(kept.select("evaluation_id"), "evaluation_id", "left_semi"), whole.names)
+    gram = np.zeros((k, k))
+    for r in comoments(cells.rows, k).select("a", "b", "sxy").collect():
+        gram[r.a, r.b] = gram[r.b, r.a] = r.sxy / n
+    values, axes = principal_axes(gram)
     share = values / values.sum()
     spectrum = spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(share)], "component int, explained_share double")
-    loadings = spark.createDataFrame([(metrics[i], j + 1, float(axes[i, j])) for i in range(k) for j in range(k)], "metric_name string, component int, loading double")
-    scores = z.select("evaluation_id", *[sum((F.col(f"z{i}") * float(axes[i, j]) for i in range(k)), F.lit(0.0)).alias(f"pc{j + 1}") for j in range(2)])
+    loadings = spark.createDataFrame([(m, j + 1, float(axes[i, j])) for i, m in enumerate(cells.names) for j in range(k)], "metric_name string, component int, loading double")
+    onto = lambda j: F.aggregate("cells", F.lit(0.0), lambda t, c: t + c["x"] * F.get(F.array(*[F.lit(float(x)) for x in axes[:, j]]), c["at"]))
+    scores = cells.rows.select("evaluation_id", *[onto(j).alias(f"pc{j + 1}") for j in range(2)])
     return spectrum, loadings, scores
 
 

@@ -68,7 +68,7 @@ METRICS = [
 ]
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, cp: DataFrame | None = None) -> DataFrame:
     """Events of a user are observations of the same-numbered session's checkpoints, one value by metric.
 
     Every seventh count of events is an errored metric: status error and no value.
@@ -81,7 +81,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count("*").alias("n"), F.avg("value").alias("v"))
         .select("session_id", "task_order", "metric_name", F.when(F.col("n") % 7 == 0, "error").otherwise("pass").alias("status"), F.when(F.col("n") % 7 != 0, F.round("v", 6)).alias("value"))
     )
-    cp = checkpoints(spark, sf_dir).select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy")
+    cp = (checkpoints(spark, sf_dir) if cp is None else cp).select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy")
     return cp.join(cells, ["session_id", "task_order"]).withColumn("direction", F.element_at(ways, F.col("metric_name")))
 
 

@@ -37,12 +37,12 @@ def interactions(spark, d):
 
 @query("r01_company_search", f"WITH {_CO} SELECT id, name FROM co WHERE NOT gone AND status = 1 AND (name ILIKE '%mer#00000%7%' OR email ILIKE '%mer#00000%7%' OR phone ILIKE '%mer#00000%7%') ORDER BY id DESC LIMIT 20 OFFSET 20")
 def r01(spark, d):
-    return crm.paginate(crm.company_search(companies(spark, d), " mer#00000%7 ", status=1), [F.desc("id")], 2, 20).select("id", "name")
+    return crm.PageDirectory(crm.company_search(companies(spark, d), " mer#00000%7 ", status=1), [F.desc("id")]).page(2, 20).select("id", "name")
 
 
 @query("r02_contact_search", f"WITH {_CT} SELECT id, name, role FROM ct WHERE NOT gone AND role ILIKE '%uye%' ORDER BY name, id LIMIT 10")
 def r02(spark, d):
-    return crm.paginate(crm.contact_search(contacts(spark, d), "uye"), crm.contact_order("name", "asc")).select("id", "name", "role")
+    return crm.PageDirectory(crm.contact_search(contacts(spark, d), "uye"), crm.contact_order("name", "asc")).page().select("id", "name", "role")
 
 
 @query("r03_page_meta", f"WITH {_CO} SELECT 1 AS page, 100 AS \"limit\", count(*) AS total, CAST(ceil(count(*) / 100) AS BIGINT) AS total_pages FROM co WHERE NOT gone")
@@ -78,7 +78,15 @@ def r08(spark, d):
 
 @query("r09_deals", f"WITH {_DE} SELECT id, expected AS expected_close_date FROM de WHERE stage = 'active' ORDER BY expected DESC NULLS LAST, id LIMIT 100 OFFSET 100")
 def r09(spark, d):
-    return crm.paginate(crm.deals(deals(spark, d), stage="active"), crm.deal_order("expectedCloseDate"), 2, 100).select("id", "expected_close_date")
+    return crm.PageDirectory(crm.deals(deals(spark, d), stage="active"), crm.deal_order("expectedCloseDate")).page(2, 100).select("id", "expected_close_date")
+
+
+@query("r03_far_page", f"WITH {_DE} SELECT id, expected AS expected_close_date, (SELECT CAST(ceil(count(*) / 100) AS BIGINT) FROM de) AS total_pages FROM de ORDER BY expected DESC NULLS LAST, id LIMIT 100 OFFSET (SELECT 100 * (CAST(ceil(count(*) / 100) AS BIGINT) - 2) FROM de)")
+def r03_far(spark, d):
+    """The last page but one of all deals by close date: only the ranges it lies in are read."""
+    pages = crm.PageDirectory(deals(spark, d), crm.deal_order("expectedCloseDate"), ranges=32)
+    last = pages.meta(1, 100)["total_pages"]
+    return pages.page(last - 1, 100).select("id", "expected_close_date", F.lit(last).cast("long").alias("total_pages"))
 
 
 @query("r10_deal_with_company", "SELECT o_orderkey AS id, c_custkey AS company_id, c_name AS company FROM orders LEFT JOIN customer ON c_custkey = o_custkey")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import dims
+from waymark.functions.checkpoints import settled
 from waymark.operators import datasets as C
 from waymark.operators import stages as T
 from waymark.plans import bindings as B
-from waymark.plans.bindings import completion, findings, observations, with_sql
+from waymark.plans.bindings import checkpoints, completion, findings, observations, with_sql
 from waymark.plans.core import query
-from waymark.plans.q_diff import FAILURES_SQL, changes, failures, runs
-from waymark.plans.q_stages import _MATCH, bounds, cells, files
+from waymark.plans.q_diff import FAILURES_SQL, changes, failures, local_changes, runs
+from waymark.plans.q_stages import _MATCH, cells, files
 
 _LABEL = "upper(left(agent, 1)) || substr(agent, 2) || ' ' || upper(left(strategy, 1)) || substr(strategy, 2)"
 TASKS = ["T1", "T2", "T3"]
@@ -40,12 +41,16 @@ def dataset_a(spark, d):
     return C.dataset_a(runs(spark, d), completion(spark, d))
 
 
-def dataset_b(spark, d):
-    return C.dataset_b(runs(spark, d), changes(spark, d), dims.concerns(spark))
+def dataset_b(spark, d, cp=None):
+    cp = settled(checkpoints(spark, d)) if cp is None else cp
+    return C.dataset_b(cp, changes(spark, d, cp), dims.concerns(spark))
 
 
 def dataset_c(spark, d):
-    return C.dataset_c(observations(spark, d), bounds(spark, d), dataset_b(spark, d))
+    """Of dataset B only the concerns that a checkpoint's own task failed are needed."""
+    cp = settled(checkpoints(spark, d))
+    metrics = settled(observations(spark, d, cp))
+    return C.dataset_c(metrics, T.metric_bounds(metrics), C.failed_concerns(local_changes(spark, d, cp)))
 
 
 def dataset_e(spark, d):
@@ -173,10 +178,11 @@ def c21(spark, d):
     return C.cascade_summary(failures(spark, d), ["event_type"])
 
 
-@query("c22_manual_override", f"WITH {FAILURES_SQL} SELECT l_orderkey, suite_id, failure_id, CASE WHEN l_orderkey % 100 = 7 AND failure_id = 'f1' AND suite_id <> 'all' THEN 'requirement_noncompliance_confirmed' ELSE attribution END AS adjudicated_attribution FROM fl")
+@query("c22_manual_override", f"WITH {FAILURES_SQL} SELECT l_orderkey, suite_id, failure_id, CASE WHEN l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AND failure_id = 'f1' AND suite_id <> 'all' THEN 'requirement_noncompliance_confirmed' ELSE attribution END AS adjudicated_attribution FROM fl")
 def c22(spark, d):
     events = failures(spark, d)
-    judged = events.where("l_orderkey % 100 = 7 and failure_id = 'f1' and suite_id <> 'all'").select("l_orderkey", "suite_id", "failure_id").distinct().withColumn("attribution", F.lit("requirement_noncompliance_confirmed"))
+    urgent = B.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    judged = events.where("failure_id = 'f1' and suite_id <> 'all'").join(urgent, "l_orderkey", "left_semi").select("l_orderkey", "suite_id", "failure_id").distinct().withColumn("attribution", F.lit("requirement_noncompliance_confirmed"))
     return C.with_overrides(events, judged, ["l_orderkey", "suite_id", "failure_id"]).select("l_orderkey", "suite_id", "failure_id", "adjudicated_attribution")
 
 

@@ -5,34 +5,54 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.functions.checkpoints import settled
 from waymark.operators import diff, ingest
 from waymark.plans.bindings import checkpoints, findings, observations, table, with_sql
 from waymark.plans.core import query
 
 
-def deltas(spark, d):
-    return diff.multiset_counts(diff.finding_counts(findings(spark, d)), diff.make_pairs(checkpoints(spark, d)))
+def deltas(spark, d, cp=None):
+    cp = settled(checkpoints(spark, d)) if cp is None else cp
+    return diff.multiset_counts(diff.finding_counts(findings(spark, d, cp)), diff.make_pairs(cp))
 
 
-def runs(spark, d):
-    """The tidy table of runs: counts of either comparison beside the checkpoint's keys."""
-    wide = deltas(spark, d).groupBy("evaluation_id").agg(
+def runs(spark, d, cp=None):
+    """The tidy table of runs: counts of either comparison beside the checkpoint's keys (cp: the checkpoints, if a caller has them settled)."""
+    cp = settled(checkpoints(spark, d)) if cp is None else cp
+    wide = deltas(spark, d, cp).groupBy("evaluation_id").agg(
         F.max("after_count").alias("total_findings_absolute"),
         *[F.max(F.when(F.col("delta_scope") == s, F.col(c))).alias(f"{p}_{c}") for s, p in (("run_local", "run_local"), ("trajectory_cumulative", "trajectory")) for c in ("introduced_count", "resolved_count", "net_change")],
     )
-    cp = checkpoints(spark, d).select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy", "execution_status", "duration_ms")
-    return cp.join(wide, "evaluation_id")
+    keys = cp.select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy", "execution_status", "duration_ms")
+    return keys.join(wide, "evaluation_id")
 
 
-def changes(spark, d):
+def changes(spark, d, cp=None):
     """The tidy table of findings: current ones, and surplus copies of either comparison (with their number)."""
-    cp = checkpoints(spark, d)
+    cp = settled(checkpoints(spark, d)) if cp is None else cp
     keys = cp.select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy")
-    counts = diff.finding_counts(findings(spark, d, cp))
+    counts = settled(diff.finding_counts(findings(spark, d, cp)))
     moved = diff.surplus(counts, diff.make_pairs(cp)).unionByName(counts.withColumns({"delta_scope": F.lit("absolute"), "change_type": F.lit("current")}))
     return moved.join(keys, "evaluation_id")
 
 
+def local_changes(spark, d, cp=None):
+    """Surplus copies of the comparison with the checkpoint before, alone: the other comparison is not made."""
+    return _surplus_of(spark, d, cp, "run_local")
+
+
+def cumulative_changes(spark, d, cp=None):
+    """Surplus copies of the comparison with the baseline, alone."""
+    return _surplus_of(spark, d, cp, "trajectory_cumulative")
+
+
+def _surplus_of(spark, d, cp, scope):
+    cp = settled(checkpoints(spark, d)) if cp is None else cp
+    pairs = diff.make_pairs(cp).where(F.col("delta_scope") == scope)
+    keys = cp.select("evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy")
+    return diff.surplus(diff.finding_counts(findings(spark, d, cp)), pairs).join(keys, "evaluation_id")
+
+
 @query("d01_multiset_counts", with_sql("deltas", "SELECT * FROM deltas"))
 def d01(spark, d):
     return deltas(spark, d)
@@ -43,16 +63,14 @@ _ITEMS = "SELECT delta_scope, evaluation_id, scope_id, rule_id, file, message, c
 
 @query("d02_multiset_items", with_sql("changes", _ITEMS))
 def d02(spark, d):
-    return diff.itemised(diff.surplus(diff.finding_counts(findings(spark, d)), diff.make_pairs(checkpoints(spark, d))))
+    cp = settled(checkpoints(spark, d))
+    return diff.itemised(diff.surplus(diff.finding_counts(findings(spark, d, cp)), diff.make_pairs(cp)))
 
 
 @query("d03_score_diff", with_sql("observations pairs", """SELECT p.delta_scope, p.evaluation_id, a.metric_name, a.value AS "to", b.value AS "from", round(a.value - b.value, 6) AS delta, CASE WHEN a.value IS NOT NULL AND b.value IS NOT NULL THEN 'available' ELSE 'unavailable' END AS delta_status
 FROM pairs p JOIN observations a ON p.evaluation_id = a.evaluation_id LEFT JOIN observations b ON b.evaluation_id = p.pre AND b.metric_name = a.metric_name"""))
 def d03(spark, d):
-    obs = observations(spark, d).select("evaluation_id", "metric_name", "value")
-    pairs = diff.make_pairs(checkpoints(spark, d))
-    pre = obs.withColumnRenamed("evaluation_id", "pre")
-    out = diff.score_diff(pairs.join(obs, "evaluation_id"), pre, ["pre", "metric_name"])
+    out = diff.score_changes(observations(spark, d).select("evaluation_id", "metric_name", "value"), diff.make_pairs(checkpoints(spark, d)))
     return out.select("delta_scope", "evaluation_id", "metric_name", "to", "from", F.round("delta", 6).alias("delta"), "delta_status")
 
 
@@ -81,12 +99,14 @@ def d05(spark, d):
 @query("d06_comparability", with_sql("pairs", """SELECT p.delta_scope, p.evaluation_id, CASE WHEN a.execution_status <> 'completed' THEN 'target_not_completed' WHEN b.execution_status <> 'completed' THEN 'source_not_completed' WHEN a.profile_hash <> b.profile_hash THEN 'profile_mismatch' END AS reason
 FROM pairs p JOIN checkpoints a ON a.evaluation_id = p.evaluation_id JOIN checkpoints b ON b.evaluation_id = p.pre"""))
 def d06(spark, d):
-    return diff.comparability(diff.make_pairs(checkpoints(spark, d)), checkpoints(spark, d))
+    cp = checkpoints(spark, d)
+    return diff.comparability(diff.make_pairs(cp), cp)
 
 
-@query("d07_match_evidence", """SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'R2' ELSE 'R1' END AS rule_id, 'k=' || json_extract_string(props, '$.k') || ' seen' AS finding FROM events WHERE event_type IN ('click', 'view') AND (user_id % 3 <> 0 OR value > 50)""")
+@query("d07_match_evidence", """SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'R3' WHEN user_id % 3 = 0 THEN 'R2' ELSE 'R1' END AS rule_id, CASE WHEN event_type IN ('click', 'view') THEN 'k=' || json_extract_string(props, '$.k') || ' seen' ELSE 'type of ' || json_extract_string(props, '$.k') END AS finding
+FROM events WHERE event_type NOT IN ('click', 'view') OR user_id % 3 <> 0 OR value > 50""")
 def d07(spark, d):
-    rules = spark.createDataFrame([("R1", "lint", ["r-1", "r-2"], None, "k={detail} seen"), ("R2", "lint", ["r-0"], "strong", "k={detail} seen")], "rule_id string, adapter string, tool_rule_ids array<string>, event_type string, message string")
+    rules = spark.createDataFrame([("R1", "lint", ["r-1", "r-2"], None, "k={detail} seen"), ("R2", "lint", ["r-0"], "strong", "k={detail} seen"), ("R3", "type", ["r-0", "r-1", "r-2"], None, "type of {detail}")], "rule_id string, adapter string, tool_rule_ids array<string>, event_type string, message string")
     events = table(spark, d, "events").select(
         "event_id", F.when(F.col("event_type").isin("click", "view"), "lint").otherwise("type").alias("adapter"), F.concat(F.lit("r-"), F.col("user_id") % 3).alias("source_rule_id"),
         F.when(F.col("value") > 50, "strong").otherwise("weak").alias("event_type"), F.get_json_object("props", "$.k").alias("detail"),
@@ -112,8 +132,7 @@ def d09(spark, d):
     obs = observations(spark, d).select("evaluation_id", scope.alias("scope_id"), "metric_name", "value")
     nested = obs.groupBy("evaluation_id", "scope_id").agg(F.collect_list(F.struct("metric_name", "value")).alias("metrics"))
     flat = nested.select("evaluation_id", "scope_id", F.inline("metrics"))
-    pre = obs.withColumnRenamed("evaluation_id", "pre").drop("scope_id")
-    out = diff.score_diff(diff.make_pairs(checkpoints(spark, d)).join(flat, "evaluation_id"), pre, ["pre", "metric_name"])
+    out = diff.score_changes(flat, diff.make_pairs(checkpoints(spark, d)))
     return out.select("delta_scope", "evaluation_id", F.concat_ws(":", "scope_id", "metric_name").alias("metric_key"), F.col("to").alias("value"), F.round("delta", 6).alias("delta"))
 
 
@@ -136,7 +155,7 @@ def documents(spark, d):
     items = diff.itemised(diff.surplus(counts, pairs)).groupBy("delta_scope", "evaluation_id").agg(*[
         F.collect_list(F.when(F.col("change_type") == c, F.struct(F.col("scope_id").alias("scope"), "rule_id", F.struct("file").alias("location"), "message"))).alias(c) for c in ("introduced", "resolved")])
     obs = observations(spark, d).select("evaluation_id", "metric_name", "value")
-    md = diff.score_diff(pairs.join(obs, "evaluation_id"), obs.withColumnRenamed("evaluation_id", "pre"), ["pre", "metric_name"])
+    md = diff.score_changes(obs, pairs)
     md = md.groupBy("delta_scope", "evaluation_id").agg(F.collect_list(F.struct(F.col("metric_name").alias("name"), F.when(F.col("metric_name").startswith("BE"), "backend").when(F.col("metric_name").startswith("FE"), "frontend").otherwise("cross-stack").alias("scope"), F.round("delta", 6).alias("delta"))).alias("metrics"))
     dl = deltas(spark, d).join(items, ["delta_scope", "evaluation_id"], "left").join(md, ["delta_scope", "evaluation_id"], "left")
     one = F.struct(F.struct("introduced_count", "resolved_count", "net_change", "introduced", "resolved").alias("constraints"), "metrics")
@@ -194,11 +213,11 @@ def i05(spark, d):
 
 #: Line items of an order are suites with one to three failed ids; orders without any are run errors.
 _SUITES_SQL = """su AS (SELECT l_orderkey, 's-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS suite_id, CASE WHEN l_suppkey % 7 = 0 THEN 'error' ELSE 'fail' END AS status, CASE WHEN l_suppkey % 11 = 0 THEN 'adapter_unresolved' END AS reason, l_partkey % 8 AS total, l_suppkey % 5 AS failed, l_partkey % 3 AS nids FROM lineitem),
-ids AS (SELECT *, unnest(range(1, nids + 1)) AS i FROM su), un AS (SELECT l_orderkey, 's-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS suite_id, CASE WHEN l_linenumber % 2 = 0 THEN 'f1' ELSE 'route' END AS target FROM lineitem WHERE l_suppkey % 13 = 0)"""
+ids AS (SELECT *, unnest(range(1, nids + 1)) AS i FROM su), un AS (SELECT l_orderkey, 's-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS suite_id, CASE WHEN l_linenumber % 2 = 0 THEN 'f1' ELSE 'route' END AS target FROM lineitem WHERE l_returnflag = 'A')"""
 
 
 def failures(spark, d):
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     sid = F.concat_ws("-", F.lit("s"), "l_linenumber", "l_partkey", "l_suppkey")
     ids = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("l_partkey") % 3, F.lit(1))), lambda i: F.concat(F.lit("f"), i))
     ids = F.when(F.col("l_partkey") % 3 > 0, ids).otherwise(F.array().cast("array<string>"))
@@ -206,7 +225,7 @@ def failures(spark, d):
         "l_orderkey", sid.alias("suite_id"), F.when(F.col("l_suppkey") % 7 == 0, "error").otherwise("fail").alias("status"), F.when(F.col("l_suppkey") % 11 == 0, "adapter_unresolved").alias("reason"), (F.col("l_partkey") % 8).alias("total"),
         (F.col("l_suppkey") % 5).alias("failed"), ids.alias("failed_ids"), F.array(F.struct(F.lit("f1").alias("id"), F.lit("status_variance").alias("classification"))).alias("c"), F.array(F.struct(F.lit("f2").alias("id"), F.array(F.lit("a"), F.lit("b")).alias("messages"))).alias("m"))
     suites = suites.withColumns({"classes": F.filter("c", lambda x: F.array_contains("failed_ids", x["id"])), "details": F.filter("m", lambda x: F.array_contains("failed_ids", x["id"]))}).drop("c", "m")
-    un = lines.where("l_suppkey % 13 = 0").select("l_orderkey", sid.alias("suite_id"), F.lit("kind").alias("kind"), F.when(F.col("l_linenumber") % 2 == 0, "f1").otherwise("route").alias("target"), F.lit("[]").alias("attempted"))
+    un = lines.where("l_returnflag = 'A'").select("l_orderkey", sid.alias("suite_id"), F.lit("kind").alias("kind"), F.when(F.col("l_linenumber") % 2 == 0, "f1").otherwise("route").alias("target"), F.lit("[]").alias("attempted"))
     errors = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("db").alias("reason"))
     return ingest.build_acceptance_failures(suites, un, errors, ["l_orderkey"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from waymark.functions import dims
 from waymark.functions import normalize as N
@@ -19,7 +20,20 @@ def _tokens(spark, d):
     return table(spark, d, "documents").select(F.col("source").alias("project"), F.col("doc_id").alias("file"), M.normalised_tokens(F.col("text")).alias("tokens"))
 
 
-@query("m01_clone_ratio")  # windows of 50 tokens are too slow in SQL on whole tables; a test holds it against brute force
+_CLONES = f"""WITH RECURSIVE {_TOKS.replace("toks AS (", "toks AS MATERIALIZED (")},
+p AS MATERIALIZED (SELECT source, doc_id, pos, md5(array_to_string(list_slice(ts, pos, pos + 49), ' ')) AS h FROM (SELECT source, doc_id, ts, unnest(range(1, len(ts) - 48)) AS pos FROM toks WHERE len(ts) >= 50)),
+b AS (SELECT source, h, count(*) AS n, min(doc_id) = max(doc_id) AS one, min(pos) AS low, max(pos) AS high FROM p GROUP BY 1, 2 HAVING count(*) > 1),
+hits AS (SELECT p.source, p.doc_id, p.pos, p.h FROM p JOIN b ON b.source = p.source AND b.h = p.h WHERE n <= 40 AND (NOT one OR high - low >= 50) AND (NOT one OR pos - low >= 50 OR high - pos >= 50)),
+border AS (SELECT hits.*, q.h AS next_h FROM hits JOIN p q ON q.source = hits.source AND q.doc_id = hits.doc_id AND q.pos = hits.pos + 1 JOIN b ON b.source = q.source AND b.h = q.h WHERE n > 40),
+more AS (SELECT x.source, x.doc_id AS xd, x.pos AS xp, y.doc_id AS yd, y.pos AS yp, 50 AS len FROM border x JOIN border y ON y.source = x.source AND y.h = x.h AND y.next_h = x.next_h WHERE x.doc_id < y.doc_id OR (x.doc_id = y.doc_id AND y.pos - x.pos >= 50)
+ UNION ALL SELECT m.source, xd, xp, yd, yp, m.len + 1 FROM more m JOIN toks x ON x.source = m.source AND x.doc_id = xd JOIN toks y ON y.source = m.source AND y.doc_id = yd WHERE x.ts[xp + m.len] = y.ts[yp + m.len]),
+spans AS (SELECT source, doc_id, pos, 50 AS len FROM hits UNION SELECT source, xd, xp, max(len) FROM more GROUP BY 1, 2, 3 UNION SELECT source, yd, yp, max(len) FROM more GROUP BY 1, 2, 3),
+cl AS (SELECT source, count(*) AS n FROM (SELECT DISTINCT s.source, s.doc_id, unnest(list_slice(t.ln, pos, pos + s.len - 1)) AS line FROM spans s JOIN toks t ON t.source = s.source AND t.doc_id = s.doc_id) GROUP BY 1),
+al AS (SELECT source, CAST(sum(len(list_distinct(ln))) AS BIGINT) AS n FROM toks GROUP BY 1)
+SELECT al.source AS project, al.n AS lines, coalesce(cl.n, 0) AS cloned_lines, round(coalesce(cl.n, 0) / al.n, 6) AS clone_ratio FROM al LEFT JOIN cl ON cl.source = al.source"""
+
+
+@query("m01_clone_ratio", _CLONES)
 def m01(spark, d):
     return M.clone_lines(_tokens(spark, d))
 
@@ -30,23 +44,23 @@ def m02(spark, d):
     return t.select("project", "file", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens.line")).cast("long").alias("n_lines"), F.md5(F.array_join("tokens.tok", " ").cast("binary")).alias("digest"))
 
 
-#: Import edges of three projects: mostly downwards among 40 files, a few back.
+#: Import edges of as many projects as there are customers: the file of an order's line imports that of its next line. Files are named by the part's type and a layer by its size.
 _LAYERS = ["controller", "service", "repository", "entity"]
-_FILE = "'src/modules/m' || ({x} % 8) || '/f' || {x} || '.' || (['controller', 'service', 'repository', 'entity'])[{x} % 4 + 1] || '.ts'"
-_EDGES = f"""e0 AS (SELECT l_returnflag AS project, l_suppkey % 40 AS a, l_partkey % 40 AS b, l_partkey % 997 = 0 AS back, l_linestatus FROM lineitem),
-e AS (SELECT project, l_linestatus, {_FILE.format(x='CASE WHEN back THEN greatest(a, b) ELSE least(a, b) END')} AS src, {_FILE.format(x='CASE WHEN back THEN least(a, b) ELSE greatest(a, b) END')} AS dst FROM e0 WHERE a <> b), de AS (SELECT DISTINCT project, src, dst FROM e)"""
+_EDGES = """ln AS (SELECT 'S' || o_custkey AS project, l_orderkey, l_linenumber, l_linestatus, 'src/modules/' || lower(p_type) || '/' || lower(p_type) || '.' || (['controller', 'service', 'repository', 'entity'])[p_size % 4 + 1] || '.ts' AS src FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+e0 AS (SELECT project, l_linestatus, src, lead(src) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, src, l_linestatus) AS dst FROM ln), e AS (SELECT * FROM e0 WHERE src <> dst), de AS (SELECT DISTINCT project, src, dst FROM e)"""
 _FORBIDDEN = ", ".join(f"('{a}', '{b}')" for a, b in dims.FORBIDDEN_LAYERS)
 _VIOL = f"""v AS (SELECT * FROM de WHERE regexp_extract(src, '^src/modules/([^/]+)/', 1) = regexp_extract(dst, '^src/modules/([^/]+)/', 1) AND (regexp_extract(src, '\\.([a-z]+)\\.ts$', 1), regexp_extract(dst, '\\.([a-z]+)\\.ts$', 1)) IN ({_FORBIDDEN}))"""
 _CYC = """r(project, a, b) AS (SELECT project, src, dst FROM de UNION SELECT r.project, r.a, de.dst FROM r JOIN de ON de.project = r.project AND de.src = r.b), cy AS (SELECT de.* FROM de JOIN r ON r.project = de.project AND r.a = de.dst AND r.b = de.src)"""
 
 
 def edges(spark, d):
-    a, b = F.col("l_suppkey") % 40, F.col("l_partkey") % 40
-    back = F.col("l_partkey") % 997 == 0
-    name = lambda x: F.concat(F.lit("src/modules/m"), x % 8, F.lit("/f"), x, F.lit("."), F.get(F.array(*[F.lit(n) for n in _LAYERS]), (x % 4).cast("int")), F.lit(".ts"))
-    return table(spark, d, "lineitem").where(a != b).select(
-        F.col("l_returnflag").alias("project"), name(F.when(back, F.greatest(a, b)).otherwise(F.least(a, b))).alias("src"), name(F.when(back, F.least(a, b)).otherwise(F.greatest(a, b))).alias("dst"),
-        F.when(F.col("l_linestatus") == "O", F.array(F.lit("BE-DOM-C-001-no-cross-module-deep-import"))).otherwise(F.array().cast("array<string>")).alias("rules"))
+    layer = F.get(F.array(*[F.lit(n) for n in _LAYERS]), (F.col("p_size") % 4).cast("int"))
+    kind = F.lower("p_type")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    lines = lines.select(F.concat(F.lit("S"), "o_custkey").alias("project"), "l_orderkey", "l_linenumber", "l_linestatus", F.concat(F.lit("src/modules/"), kind, F.lit("/"), kind, F.lit("."), layer, F.lit(".ts")).alias("src"))
+    following = F.lead("src").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "src", "l_linestatus"))
+    rules = F.when(F.col("l_linestatus") == "O", F.array(F.lit("BE-DOM-C-001-no-cross-module-deep-import"))).otherwise(F.array().cast("array<string>"))
+    return lines.withColumn("dst", following).where("src <> dst").select("project", "src", "dst", rules.alias("rules"))
 
 
 @query("m03_layer_violations", f"WITH {_EDGES}, {_VIOL} SELECT * FROM v")
@@ -82,17 +96,18 @@ def m08(spark, d):
     return M.weighted_density(f, f.groupBy("evaluation_id").agg(F.count_distinct("file").alias("files")), weights)
 
 
-_URLS = "u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS project, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '[0-9]+', ':param', 'g') AS path FROM pages)"
+_URLS = "u AS (SELECT page_id, url LIKE 'https:%' AS secure, regexp_extract(url, '^https?://([^/?#]+)', 1) AS project, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '[0-9]+', ':param', 'g') AS path FROM pages)"
 
 
 def _urls(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("project"), F.regexp_replace(F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1), "[0-9]+", ":param").alias("path"))
+    return table(spark, d, "pages").select("page_id", F.col("url").startswith("https:").alias("secure"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("project"), F.regexp_replace(F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1), "[0-9]+", ":param").alias("path"))
 
 
-@query("m09_endpoint_misses", f"WITH {_URLS} SELECT project, count(*) AS calls, count(*) FILTER (WHERE path NOT IN (SELECT path FROM u WHERE page_id % 2 = 0)) AS missed, round(count(*) FILTER (WHERE path NOT IN (SELECT path FROM u WHERE page_id % 2 = 0)) / count(*), 6) AS miss_ratio FROM u GROUP BY 1")
+@query("m09_endpoint_misses", f"WITH {_URLS} SELECT project, count(*) AS calls, count(*) FILTER (WHERE path NOT IN (SELECT path FROM u WHERE secure)) AS missed, round(count(*) FILTER (WHERE path NOT IN (SELECT path FROM u WHERE secure)) / count(*), 6) AS miss_ratio FROM u GROUP BY 1")
 def m09(spark, d):
+    """Every page's address is a call; the paths that any host serves by https are the routes."""
     u = _urls(spark, d)
-    return M.endpoint_misses(u, u.where("page_id % 2 = 0"))
+    return M.endpoint_misses(u.drop("secure"), u.where("secure").drop("secure"))
 
 
 EVENT_TYPES = ["click", "view", "purchase", "signup", "error"]

@@ -36,10 +36,9 @@ def i07(spark, d):
 
 @query("s06_table_round_trip", "SELECT o_orderkey AS id, o_orderstatus AS status, CAST(NULL AS DOUBLE) AS score FROM orders")
 def s06(spark, d):
-    """Written with a fixed schema and read again; below the warehouse, which a cluster's nodes share."""
+    """Written with a fixed schema and read again, in the folder that a cluster's nodes share."""
     schema = StructType.fromDDL("id long, status string, score double")
-    base = spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/round_trip_{uuid.uuid4().hex}"
+    path = _folder(spark)
     S.write_table(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(None).alias("score")), path, schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -140,3 +139,32 @@ def s07(spark, d):
 
     done = S.run_all([("keyed", keyed), ("counted", counted), ("summed", summed)])
     return spark.read.parquet(at("summed")).withColumn("jobs", F.lit(len(done)))
+
+
+@query("s07_selective_refresh", """SELECT c_mktsegment AS segment, count(*) AS orders, CAST((SELECT count(*) FROM customer c WHERE c.c_mktsegment = x.c_mktsegment) AS BIGINT) AS customers, 'keyed, sized, report' AS first_run, '' AS second_run, 'sized, report' AS third_run FROM orders JOIN customer x ON o_custkey = c_custkey GROUP BY 1""")
+def s07_selective(spark, d):
+    """Three jobs by what they read: all run, then none, and after a change of customers those that read them."""
+    folder = _folder(spark)
+    at = lambda name: f"{folder}/{name}"
+
+    def copied():
+        S.write_table(table(spark, d, "customer"), at("customers"), StructType.fromDDL("c_custkey long, c_mktsegment string"))
+
+    def keyed():
+        S.write_table(table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")), at("keyed"), StructType.fromDDL("o_custkey long, n long"))
+
+    def sized():
+        S.write_table(spark.read.parquet(at("customers")).groupBy("c_mktsegment").agg(F.count("*").alias("customers")), at("sized"), StructType.fromDDL("c_mktsegment string, customers long"))
+
+    def report():
+        held = spark.read.parquet(at("keyed")).join(spark.read.parquet(at("customers")), F.col("o_custkey") == F.col("c_custkey"))
+        S.write_table(held.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.sum("n").alias("orders")), at("report"), StructType.fromDDL("segment string, orders long"))
+
+    jobs = [S.Job("report", [at("keyed"), at("customers")], [at("report")], report), S.Job("sized", [at("customers")], [at("sized")], sized), S.Job("keyed", [f"{d}/orders.parquet"], [at("keyed")], keyed)]
+    runs = []
+    for change in (True, False, True):
+        if change:
+            copied()
+        runs.append(", ".join(S.refresh(spark, jobs, at("manifest"))))
+    both = spark.read.parquet(at("report")).join(spark.read.parquet(at("sized")), F.col("segment") == F.col("c_mktsegment"))
+    return both.select("segment", "orders", "customers", *[F.lit(r).alias(f"{n}_run") for n, r in zip(("first", "second", "third"), runs, strict=True)])

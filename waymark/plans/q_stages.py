@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import dims
+from waymark.functions.checkpoints import settled
 from waymark.operators import diff
 from waymark.operators import stages as T
 from waymark.plans import bindings as B
-from waymark.plans.bindings import checkpoints, completion, findings, observations, with_sql
+from waymark.plans.bindings import checkpoints, completion, findings, observations, table, with_sql
 from waymark.plans.core import query
-from waymark.plans.q_diff import changes, runs
+from waymark.plans.q_diff import changes, cumulative_changes, local_changes, runs
 
 METRICS = [m for _, m, _ in B.METRICS]
 _CAT = "regexp_extract(rule_id, '^(BE|FE|CROSS)-([A-Z]+)-', 2)"
@@ -23,7 +24,9 @@ def bounds(spark, d):
 
 
 def cells(spark, d):
-    return T.silent_decay(runs(spark, d), changes(spark, d), observations(spark, d), bounds(spark, d), dims.concerns(spark))
+    cp = settled(checkpoints(spark, d))
+    metrics = settled(observations(spark, d, cp))
+    return T.silent_decay(cp, local_changes(spark, d, cp), metrics, T.metric_bounds(metrics), dims.concerns(spark))
 
 
 def files(spark, d):
@@ -83,7 +86,8 @@ profile AS (SELECT concern, layer, round(r, 6) AS mean_rate, round(100 * r / nul
 
 
 def profile(spark, d):
-    return T.concern_profile(changes(spark, d), runs(spark, d), dims.concerns(spark))
+    cp = settled(checkpoints(spark, d))
+    return T.concern_profile(cumulative_changes(spark, d, cp), cp, dims.concerns(spark))
 
 
 @query("t09_concern_profile", with_sql("changes concerns", _PROFILE + " SELECT * FROM profile"))
@@ -102,18 +106,18 @@ rule_diff AS (SELECT *, structured - minimal AS diff FROM rd)"""
 
 @query("t11_strategy_rule_diff", with_sql("changes", _RULE_DIFF + " SELECT * FROM rule_diff"))
 def t11(spark, d):
-    return T.strategy_rule_diff(changes(spark, d))
+    return T.strategy_rule_diff(local_changes(spark, d))
 
 
 @query("t12_strategy_rule_diff_check", with_sql("runs changes", _RULE_DIFF + """, w AS (SELECT agent, task_id, avg(run_local_introduced_count) FILTER (WHERE strategy = 'structured') - avg(run_local_introduced_count) FILTER (WHERE strategy = 'minimal') AS expected FROM runs WHERE session_id <> 'baseline' GROUP BY 1, 2),
 g AS (SELECT agent, task_id, CAST(sum(diff) AS BIGINT) AS found FROM rule_diff GROUP BY 1, 2) SELECT agent, task_id, round(expected, 6) AS expected, found FROM (SELECT * FROM w WHERE expected IS NOT NULL) w FULL JOIN g USING (agent, task_id) WHERE NOT coalesce(abs(expected - found) < 1e-9, false)"""))
 def t12(spark, d):
-    return T.strategy_rule_diff_check(T.strategy_rule_diff(changes(spark, d)), runs(spark, d))
+    return T.strategy_rule_diff_check(T.strategy_rule_diff(local_changes(spark, d)), runs(spark, d))
 
 
 @query("t13_rule_movement", with_sql("changes", _RULE_DIFF + " SELECT rule_id, count(*) FILTER (WHERE diff > 0) AS up, count(*) FILTER (WHERE diff < 0) AS down FROM rule_diff GROUP BY 1"))
 def t13(spark, d):
-    return T.rule_movement(T.strategy_rule_diff(changes(spark, d)))
+    return T.rule_movement(T.strategy_rule_diff(local_changes(spark, d)))
 
 
 def _rates_sql(by):
@@ -124,12 +128,14 @@ rates AS (SELECT {', '.join('n.' + x for x in by)}, k.category, round(coalesce(f
 
 @query("t14_violation_rate_matrix", with_sql("changes", _rates_sql(["agent", "strategy"]) + " SELECT * FROM rates"))
 def t14(spark, d):
-    return T.violation_rates(changes(spark, d), runs(spark, d), ["agent", "strategy"])
+    cp = settled(checkpoints(spark, d))
+    return T.violation_rates(local_changes(spark, d, cp), cp, ["agent", "strategy"])
 
 
 @query("t15_agent_profile", with_sql("changes", _rates_sql(["agent"]) + " SELECT *, rank() OVER (PARTITION BY agent ORDER BY rate) + (count(*) OVER (PARTITION BY agent, rate) - 1) / 2 AS rank FROM rates"))
 def t15(spark, d):
-    return T.agent_profile(T.violation_rates(changes(spark, d), runs(spark, d), ["agent"]))
+    cp = settled(checkpoints(spark, d))
+    return T.agent_profile(T.violation_rates(local_changes(spark, d, cp), cp, ["agent"]))
 
 
 @query("t16_metric_bounds", with_sql("bounds", "SELECT * FROM bounds"))
@@ -158,9 +164,23 @@ def t19(spark, d):
     return T.signed_ranks(T.strategy_pairs(runs(spark, d))).select("agent", "n_pairs", "statistic", F.round("median_diff", 6).alias("median_diff"))
 
 
-@query("t19_paired_wilcoxon")
+#: Up to 50 differences the ways to each doubled rank sum, one rank at a time; beyond it the normal approximation, erfc as a series.
+_WILCOXON = f"""{_PAIRS_SQL}, d AS (SELECT agent, round(structured - minimal, 9) AS d FROM sp UNION ALL SELECT NULL, round(structured - minimal, 9) FROM sp),
+r AS (SELECT coalesce(agent, '*') AS agent, d, rank() OVER (PARTITION BY agent ORDER BY abs(d)) + (count(*) OVER (PARTITION BY agent, abs(d)) - 1) / 2 AS k, count(*) OVER (PARTITION BY agent, abs(d)) AS t, row_number() OVER (PARTITION BY agent ORDER BY abs(d), d) AS i FROM d WHERE d <> 0),
+w AS (SELECT agent, count(*) AS n, least(coalesce(sum(k) FILTER (WHERE d > 0), 0), coalesce(sum(k) FILTER (WHERE d < 0), 0)) AS statistic, sum(t * t - 1) AS ties, list(CAST(round(2 * k) AS BIGINT) ORDER BY i) AS halves FROM r GROUP BY 1),
+ways(agent, i, s, c) AS (SELECT agent, 0, CAST(0 AS BIGINT), CAST(1 AS DOUBLE) FROM w WHERE n <= 50 UNION ALL SELECT * FROM (SELECT agent, i, s, sum(c) AS c FROM (SELECT x.agent, x.i + 1 AS i, x.s + f * w.halves[x.i + 1] AS s, c FROM ways x JOIN w ON w.agent = x.agent, (VALUES (0), (1)) y(f) WHERE x.i < w.n) t GROUP BY 1, 2, 3) u),
+exact AS (SELECT x.agent, sum(c) FILTER (WHERE least(s, CAST(list_sum(halves) AS BIGINT) - s) <= 2 * statistic + 1e-9) / pow(2, any_value(n)) AS p FROM ways x JOIN w ON w.agent = x.agent WHERE x.i = w.n GROUP BY 1),
+z AS (SELECT agent, abs(statistic - n * (n + 1) / 4) / sqrt(2 * (n * (n + 1) * (2 * n + 1) / 24 - ties / 48)) AS x FROM w WHERE n > 50), ser(agent, x, k, t, s) AS (SELECT agent, x, 0, x, x FROM z UNION ALL SELECT agent, x, k + 1, t * 2 * x * x / (2 * k + 3), s + t * 2 * x * x / (2 * k + 3) FROM ser WHERE k < 300),
+p AS (SELECT agent, least(1, p) AS p FROM exact UNION ALL SELECT agent, least(1, 1 - 2 / sqrt(pi()) * exp(-x * x) * max(s)) FROM ser GROUP BY agent, x),
+m AS (SELECT agent, count(*) AS n_pairs, median(d) AS median_diff FROM d GROUP BY 1)
+SELECT m.agent, n_pairs, CASE WHEN n_pairs >= 2 THEN coalesce(statistic, 0) END AS statistic, CASE WHEN n_pairs >= 2 THEN round(coalesce(p, 1), 9) END AS p_value, CASE WHEN n_pairs >= 2 THEN round(median_diff, 6) END AS median_diff,
+ CASE WHEN n_pairs < 2 THEN 'fewer than 2 complete pairs' WHEN n IS NULL THEN 'all paired differences are zero' END AS note FROM m LEFT JOIN w ON w.agent = coalesce(m.agent, '*') LEFT JOIN p ON p.agent = w.agent"""
+
+
+@query("t19_paired_wilcoxon", with_sql("runs", f"WITH {_WILCOXON}").replace("WITH ", "WITH RECURSIVE ", 1))
 def t19_p(spark, d):
-    return T.paired_wilcoxon(T.strategy_pairs(runs(spark, d)))
+    out = T.paired_wilcoxon(T.strategy_pairs(runs(spark, d)))
+    return out.withColumns({"p_value": F.round("p_value", 9), "median_diff": F.round("median_diff", 6)})
 
 
 @query("trajectory_totals", with_sql("runs", "SELECT session_id, agent, strategy, task_id, task_order, trajectory_introduced_count AS cumulative_introduced, trajectory_resolved_count AS cumulative_resolved FROM runs WHERE session_id <> 'baseline'"))
@@ -170,7 +190,7 @@ def t20(spark, d):
 
 @query("t21_trajectory_by_category", with_sql("changes", f"SELECT agent, strategy, task_id, {_CAT} AS category, CAST(sum(n) AS BIGINT) AS findings FROM changes WHERE {CUMULATIVE} GROUP BY 1, 2, 3, 4"))
 def t21(spark, d):
-    return T.trajectory_by_category(changes(spark, d))
+    return T.trajectory_by_category(cumulative_changes(spark, d))
 
 
 @query("t22_trajectory_shape", with_sql("runs", """WITH d AS (SELECT session_id, task_order, trajectory_introduced_count AS v, trajectory_introduced_count - lag(trajectory_introduced_count) OVER w AS diff, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY session_id) AS points FROM runs WHERE session_id <> 'baseline' WINDOW w AS (PARTITION BY session_id ORDER BY task_order)),
@@ -216,16 +236,45 @@ def t28(spark, d):
     return T.metric_correlation(observations(spark, d), METRICS)
 
 
-@query("t29_metric_pca")
+#: Metrics that are not named beforehand: the part brands of the line items of a month, each with its mean discount in every nation.
+_BRANDS = """bo AS (SELECT c_nationkey || '-' || strftime(l_shipdate, '%Y-%m') AS evaluation_id, p_brand || '-' || l_returnflag AS metric_name, avg(l_discount) AS value FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"""
+
+
+def brand_observations(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    cell = F.concat_ws("-", F.col("c_nationkey"), F.date_format("l_shipdate", "yyyy-MM"))
+    return rows.groupBy(cell.alias("evaluation_id"), F.concat_ws("-", "p_brand", "l_returnflag").alias("metric_name")).agg(F.avg("l_discount").alias("value"))
+
+
+@query("t28_brand_correlation", f"WITH {_BRANDS}, s AS (SELECT metric_name FROM bo GROUP BY 1 HAVING min(value) < max(value)) SELECT a.metric_name AS metric_a, b.metric_name AS metric_b, CASE WHEN count(*) > 1 THEN round(corr(a.value, b.value), 6) + 0.0 END AS r FROM bo a JOIN bo b ON a.evaluation_id = b.evaluation_id AND a.metric_name <= b.metric_name WHERE a.metric_name IN (SELECT * FROM s) AND b.metric_name IN (SELECT * FROM s) GROUP BY 1, 2")
+def t28_brands(spark, d):
+    return T.metric_correlation(brand_observations(spark, d)).withColumn("r", F.col("r") + 0.0)  # no negative zeros
+
+
+#: Axes by powers of the Gram matrix: squared until only the first axis is left, which is then taken off. Sums of z-scores over complete cases.
+_PCA = """ob AS (SELECT evaluation_id, metric_name, avg(value) AS v FROM observations WHERE value IS NOT NULL GROUP BY 1, 2), mk AS (SELECT metric_name, row_number() OVER (ORDER BY CASE left(metric_name, 6) WHEN 'BE-DUP' THEN 1 WHEN 'FE-STA' THEN 2 WHEN 'BE-SIZ' THEN 3 WHEN 'CROSS-' THEN 4 ELSE 5 END) AS i FROM ob GROUP BY metric_name),
+cc AS (SELECT evaluation_id, v, i FROM ob JOIN mk USING (metric_name) WHERE evaluation_id IN (SELECT evaluation_id FROM ob GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM mk))),
+zs AS (SELECT evaluation_id, i, (v - avg(v) OVER (PARTITION BY i)) / CASE WHEN stddev_pop(v) OVER (PARTITION BY i) = 0 THEN 1 ELSE stddev_pop(v) OVER (PARTITION BY i) END AS z FROM cc),
+g AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS row FROM (SELECT a.i, b.i AS j, sum(a.z * b.z) / count(*) AS s FROM zs a JOIN zs b USING (evaluation_id) GROUP BY 1, 2) GROUP BY 1)),
+sq(c, k, left_, m) AS (SELECT 1, 0, m, m FROM g
+ UNION ALL SELECT CASE WHEN k = 40 THEN c + 1 ELSE c END, CASE WHEN k = 40 THEN 0 ELSE k + 1 END, nl, CASE WHEN k = 40 THEN nl ELSE list_transform(m2, lambda r: list_transform(r, lambda x: x / tr)) END
+  FROM (SELECT *, list_sum(list_transform(range(1, len(m2) + 1), lambda i: m2[i][i])) AS tr FROM (SELECT *, list_transform(m, lambda r: list_transform(range(1, len(r) + 1), lambda j: list_sum(list_transform(range(1, len(r) + 1), lambda l: r[l] * m[l][j])))) AS m2,
+   CASE WHEN k = 40 THEN list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: left_[i][j] - lam * m[i][j])) ELSE left_ END AS nl
+   FROM (SELECT *, list_sum(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(range(1, len(m) + 1), lambda j: left_[i][j] * m[j][i])))) AS lam FROM sq)) t WHERE c <= len(m)) u),
+ax AS (SELECT c, lam, list_transform(range(1, len(m) + 1), lambda i: m[i][p] / sqrt(m[p][p])) AS v FROM (SELECT *, list_position(diag, list_max(diag)) AS p FROM (SELECT c, m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS diag,
+  list_sum(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(range(1, len(m) + 1), lambda j: left_[i][j] * m[j][i])))) AS lam FROM sq WHERE k = 40 AND c <= len(m)) t) u)"""
+
+
+@query("t29_metric_pca", with_sql("observations", f"WITH {_PCA} SELECT CAST(c AS INTEGER) AS component, round(lam / sum(lam) OVER (), 6) AS explained_share FROM ax").replace("WITH ", "WITH RECURSIVE ", 1))
 def t29(spark, d):
     found = T.metric_pca(observations(spark, d), METRICS)
-    return spark.createDataFrame([], "component int, explained_share double") if found is None else found[0]
+    return spark.createDataFrame([], "component int, explained_share double") if found is None else found[0].withColumn("explained_share", F.round("explained_share", 6))
 
 
-@query("t29_metric_pca_scores")
+@query("t29_metric_pca_scores", with_sql("observations", f"WITH {_PCA} SELECT evaluation_id, round(sum(z * v[i]) FILTER (WHERE c = 1), 6) AS pc1, round(sum(z * v[i]) FILTER (WHERE c = 2), 6) AS pc2 FROM zs, ax WHERE c <= 2 GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1))
 def t29_scores(spark, d):
     found = T.metric_pca(observations(spark, d), METRICS)
-    return spark.createDataFrame([], "evaluation_id string, pc1 double, pc2 double") if found is None else found[2]
+    return spark.createDataFrame([], "evaluation_id string, pc1 double, pc2 double") if found is None else found[2].select("evaluation_id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 
 @query("t30_review_ground_truth", with_sql("runs reviews", "SELECT v.session_id, n_findings, total_findings_absolute, coalesce(n_findings = 0 AND total_findings_absolute > 0, false) AS blind_spot, coalesce(n_findings < total_findings_absolute, false) AS under_reported FROM reviews v LEFT JOIN runs r ON r.session_id = v.session_id AND r.task_id = 'T3'"))

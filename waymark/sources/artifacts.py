@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+import json
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from graphlib import CycleError, TopologicalSorter
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -174,6 +178,86 @@ def write_table(df: DataFrame, path: str, schema: StructType, form: str = "parqu
     (typed.coalesce(1).write.option("header", True) if form == "csv" else typed.write).mode("overwrite").format(form).save(path)
 
 
+@dataclass(frozen=True)
+class Job:
+    """A job of a refresh: what it reads and writes (paths), and how. version: changes when its code does."""
+
+    name: str
+    inputs: Sequence[str]
+    outputs: Sequence[str]
+    run: Callable[[], None]
+    version: str = ""
+
+
+def in_order(jobs: Sequence[Job]) -> list[Job]:
+    """The jobs, each after those whose outputs it reads; among others by name. Two writers of a path, or a circle, are an error."""
+    writer: dict[str, Job] = {}
+    for job in jobs:
+        for path in job.outputs:
+            if path in writer:
+                raise ValueError(f"{path} is written by {writer[path].name} and by {job.name}")
+            writer[path] = job
+    graph = {job.name: {writer[p].name for p in job.inputs if p in writer} for job in jobs}
+    if len(graph) < len(jobs):
+        raise ValueError("jobs need names of their own")
+    by_name, sorter, out = {job.name: job for job in jobs}, TopologicalSorter(graph), []
+    try:
+        sorter.prepare()
+    except CycleError as e:
+        raise ValueError(f"jobs wait for each other: {' > '.join(e.args[1])}") from e
+    while sorter.is_active():
+        ready = sorted(sorter.get_ready())
+        out += [by_name[n] for n in ready]
+        sorter.done(*ready)
+    return out
+
+
+def fingerprint(spark: SparkSession, path: str) -> str | None:
+    """A hash of the files below a path, by name, length and time of change; None if there is nothing."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    files, found = fs.listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        if not f.getPath().getName().startswith((".", "_")):
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(json.dumps(sorted(found)).encode()).hexdigest()
+
+
+def refresh(spark: SparkSession, jobs: Sequence[Job], manifest: str) -> list[str]:
+    """Runs the jobs in the order of what they read and write, but only those that must, and names them.
+
+    A job must run if its version, one of its inputs or one of its outputs isn't as the manifest has it from its last run.
+    The manifest, JSON lines with a line for each job, is written again after every run, so a failed refresh goes on where it stopped; the
+    failure names its job. An input that isn't there is an error.
+    """
+    known = {}
+    if fingerprint(spark, manifest) is not None:
+        known = {r.job: r.state for r in spark.read.schema("job string, state string").json(manifest).collect()}
+    done = []
+    for job in in_order(jobs):
+        state = _state(spark, job)
+        missing = [p for p in job.inputs if state["inputs"][p] is None]
+        if missing:
+            raise RuntimeError(f"{job.name} lacks {', '.join(missing)} after {', '.join(done) or 'nothing'}")
+        if known.get(job.name) == json.dumps(state, sort_keys=True) and None not in state["outputs"].values():
+            continue
+        try:
+            job.run()
+        except Exception as e:
+            raise RuntimeError(f"{job.name} failed after {', '.join(done) or 'nothing'}") from e
+        known[job.name] = json.dumps(_state(spark, job), sort_keys=True)
+        done.append(job.name)
+        spark.createDataFrame(sorted(known.items()), "job string, state string").coalesce(1).write.mode("overwrite").json(manifest)  # as many rows as jobs
+    return done
+
+
+def _state(spark: SparkSession, job: Job) -> dict:
+    return {"version": job.version, "inputs": {p: fingerprint(spark, p) for p in job.inputs}, "outputs": {p: fingerprint(spark, p) for p in job.outputs}}
+
+
 def run_all(jobs: list[tuple[str, Callable[[], None]]]) -> list[str]:
     """Runs jobs in order; the first failure stops the rest and names the job."""
     done = []
