@@ -33,6 +33,10 @@ ENDLESS = 1 << 40
 _TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
 
 
+#: Conversations of at most so many needs are ordered in one row each.
+SMALL_PART = 400
+
+
 def argument_errors(arguments: str, tool: str, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
     """Sorted error codes: bad_json, unknown_tool, missing:f, type:f, unknown:f.
 
@@ -59,21 +63,61 @@ def canonical_json(column: str) -> Column:
     return F.to_json(F.try_parse_json(F.col(column)))
 
 
-def levels(calls: DataFrame, edges: DataFrame) -> DataFrame | None:
+def levels(calls: DataFrame, edges: DataFrame, small: int = SMALL_PART) -> DataFrame | None:
     """(id, level, cyclic) of the calls that need another; level is null where cyclic; None if all are 0.
 
-    calls: id, turn. edges: id, needs. An edge to a later call adds 1, one to an earlier call 0.
+    calls: id, conversation, turn. edges: id, needs. An edge to a later call adds 1, one to an earlier call 0.
+    Conversations whose edges stay inside them and are at most `small` are each peeled in one row; the others go
+    through rounds of joins together, see `_by_rounds`. Both are exact.
+    """
+    at = calls.groupBy("id").agg(F.min(F.struct("turn", "conversation")).alias("at")).select("id", "at.*")
+    placed = edges.join(at, "id").join(at.select(F.col("id").alias("needs"), F.col("turn").alias("needs_turn"), F.col("conversation").alias("other")), "needs")
+    later = (F.struct("needs_turn", "needs") >= F.struct("turn", "id")).cast("long")
+    rows = checkpointed(placed.select("id", "needs", later.alias("w"), "conversation", "other").distinct())
+    if rows.where("w = 1").isEmpty():
+        return None
+    sizes = checkpointed(
+        rows.select(F.explode(F.array_distinct(F.array("conversation", "other"))).alias("conversation"), (~F.equal_null("conversation", "other")).alias("leaves"))
+        .groupBy("conversation").agg(F.count("*").alias("size"), F.bool_or(F.col("leaves") | F.col("conversation").isNull()).alias("open"))
+    )
+    if sizes.where(f"open or size > {small}").isEmpty():
+        return _peeled(rows.select("conversation", "id", "needs", "w"))
+    closed = sizes.where(f"not open and size <= {small}").select("conversation", "size")
+    # a conversation of at most `small` edges is no hot key; larger ones find no partner
+    inside = rows.join(closed, "conversation").select("conversation", "id", "needs", "w")
+    return _by_rounds(rows.join(closed, "conversation", "left_anti").select("id", "needs", "w")).unionByName(_peeled(inside))
+
+
+def _peeled(rows: DataFrame) -> DataFrame:
+    """(id, level, cyclic) by conversation, in one row each: a call is settled once all that it needs is; what never is, is on or behind a cycle."""
+    parts = rows.groupBy("conversation").agg(F.collect_list(F.struct("id", "needs", "w")).alias("e")).withColumn("ids", F.array_distinct(F.concat("e.id", "e.needs")))
+    number = lambda c: F.array_position("ids", c) - 1
+    parts = parts.withColumn("e", F.transform("e", lambda x: F.struct(number(x["id"]).alias("a"), number(x["needs"]).cast("int").alias("b"), x["w"].alias("w"))))
+    parts = parts.withColumn("out", F.transform("ids", lambda _, i: F.filter("e", lambda x: x["a"] == i)))
+    start = F.transform("out", lambda o: F.when(F.size(o) == 0, F.lit(0).cast("long")))
+
+    def step(s, _):
+        level = lambda x: F.get(s["levels"], x["b"])
+        settled = lambda o: F.when(F.forall(o, lambda x: level(x).isNotNull()), F.array_max(F.transform(o, lambda x: level(x) + x["w"])))
+        moved = F.transform("out", lambda o, i: F.coalesce(F.get(s["levels"], i), settled(o)))
+        # the same as before: nothing settles any more
+        return F.when(F.equal_null(s["levels"], s["before"]), s).otherwise(F.struct(moved.alias("levels"), s["levels"].alias("before")))
+
+    none = F.lit(None).cast("array<bigint>")
+    ended = F.aggregate(F.sequence(F.lit(0), F.size("ids")), F.struct(start.alias("levels"), none.alias("before")), step)
+    flat = parts.select(F.col("ids"), ended.alias("s"), F.col("e.a").alias("a")).select(F.explode(F.filter(F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.get("s.levels", i).cast("int").alias("level"), F.array_contains("a", i.cast("long")).alias("asks"))), lambda x: x["asks"])).alias("x"))
+    return flat.select("x.id", "x.level", F.col("x.level").isNull().alias("cyclic"))
+
+
+def _by_rounds(rows: DataFrame) -> DataFrame:
+    """(id, level, cyclic) from rows (id, needs, w), by rounds of joins.
+
     A row (id, needs, w) says that the level is at least w above that of `needs`, or at least w
     where `needs` is null. Each round replaces a need that is settled by its level, and one that
     waits for a single other call by that call, so a chain of n calls takes log2(n) rounds; calls
     that wait for several take a round for each step of their depth. As long as any call off the
     cycles waits, one settles in each round: when none does, all that wait are on or behind a cycle.
     """
-    at = calls.groupBy("id").agg(F.min("turn").alias("turn"))
-    placed = edges.join(at, "id").join(at.select(F.col("id").alias("needs"), F.col("turn").alias("needs_turn")), "needs")
-    rows = checkpointed(placed.select("id", "needs", (F.struct("needs_turn", "needs") >= F.struct("turn", "id")).cast("long").alias("w")).distinct())
-    if rows.where("w = 1").isEmpty():
-        return None
     waiting = None
     while True:
         state = checkpointed(rows.groupBy("id").agg(F.count("needs").alias("n"), F.max("needs").alias("one"), F.max(F.when(F.col("needs").isNotNull(), F.col("w"))).alias("up"), F.max(F.when(F.col("needs").isNull(), F.col("w"))).alias("least")))
