@@ -4,9 +4,12 @@ A text's k-mers of words are numbered by occurrence (the second copy of a k-mer
 the first) and hashed onto a circle. For each of `points` evenly spaced points of the circle the
 `size` next k-mers are taken, put back into text order, and the tuple is hashed. Each point
 orders all k-mers by their distance from it, so it is a min-wise selection of its own, and every
-tuple has `size` members unless the text has fewer k-mers: a short text's points share tuples
-instead of having short ones. The order inside tuples makes the signature follow edit distance rather
-than mere overlap. Likeness is the share of points whose tuples agree.
+tuple has `size` members unless the text has fewer k-mers. The order inside tuples makes the signature
+follow edit distance rather than mere overlap. Likeness is the share of points whose tuples agree.
+
+The points of one circle share a hash, which widens the spread of the likeness of texts with few k-mers. So texts of at
+most `OWN` k-mers also have a tuple for each of `points` hash functions of their own: the `size` k-mers
+that the function puts first, in text order. Two texts that both have these are compared by them alone, others by the circle.
 
 Everything stays in array functions over one row, so a fingerprint needs no shuffle. A k-mer is
 packed as 35 hash bits and 28 place bits in one long, which lets plain long arrays be sorted.
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K, POINTS, TUPLE, PIECE = 3, 64, 2, 16
+#: Texts of at most so many k-mers have hash functions of their own; from there on the circle's likeness spreads no wider.
+OWN = 64
 #: Ranges of ids that hold neighbours together; a power of two that is a square.
 BLOCKS = 1024
 _PLACE_BITS = 28
@@ -38,7 +43,7 @@ def _packed(hashed: Column, place: Column) -> Column:
 
 
 def with_signature(df: DataFrame, text: str, out: str, k: int = K, points: int = POINTS, size: int = TUPLE) -> DataFrame:
-    """df with `out`: one long for each point (a power of two of them), the point in its upper and the tuple in its lower half.
+    """df with `out`: one long for each point (a power of two of them), the point in its upper and the tuple in its lower half; after them those of own functions, numbered on.
 
     Each step is a column of its own that the next one reads more than once, so that Spark
     evaluates it once and not inside the next step's lambda.
@@ -73,6 +78,9 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K, points: int =
         # the next ones clockwise, round the circle
         own = F.slice(F.col(b), i + 1, F.lit(size))
         own = F.when(F.size(own) == size, own).otherwise(F.concat(own, F.slice(F.col(b), F.lit(1), F.least(F.lit(size), F.size(b)) - F.size(own))))
+        return hash_in_order(own)
+
+    def hash_in_order(own: Column) -> Column:
         in_order = F.sort_array(F.transform(own, lambda y: F.shiftleft(y.bitwiseAND(F.lit(_PLACE_MASK).cast("long")), 63 - _PLACE_BITS).bitwiseOR(hash_of(y))))
         hashes = F.transform(in_order, lambda z: z.bitwiseAND(F.lit((1 << (63 - _PLACE_BITS)) - 1).cast("long")))
         return F.shiftrightunsigned(F.xxhash64(hashes), 32)
@@ -85,13 +93,17 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K, points: int =
     df = df.withColumn(w, tuples)
     rest = F.array_repeat(F.get(F.col(w), F.lit(0)), F.lit(points - 1) - F.coalesce(arc_of(F.element_at(F.col(g), -1)), F.lit(points - 1)))
     signature = F.when(F.size(g) == 0, none).otherwise(F.transform(F.concat(dealt, rest), lambda h, p: F.shiftleft(p.cast("long"), 32).bitwiseOR(h)))
-    return df.withColumn(out, signature).drop(w, a, s, b, g)
+    of_own = lambda i: F.sort_array(F.transform(F.col(b), lambda x: _packed(F.xxhash64(i, hash_of(x)), x.bitwiseAND(F.lit(_PLACE_MASK).cast("long")))))
+    owned = F.transform(F.sequence(F.lit(points), F.lit(2 * points - 1)), lambda i: F.shiftleft(i.cast("long"), 32).bitwiseOR(hash_in_order(F.slice(of_own(i), F.lit(1), F.lit(size)))))
+    short = (F.size(b) > 0) & (F.size(b) <= OWN)
+    return df.withColumn(out, F.when(short, F.concat(signature, owned)).otherwise(signature)).drop(w, a, s, b, g)
 
 
-def likeness(one: str, other: str) -> Column:
-    """The share of points with equal tuples; 1 for two empty signatures, 0 for one of them."""
-    either = F.greatest(F.size(one), F.size(other))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.col(one), F.col(other))) / either)
+def likeness(one: str, other: str, points: int = POINTS) -> Column:
+    """The share of points with equal tuples, of own functions if both have them; 1 for two empty signatures, 0 for one of them."""
+    both_short = (F.size(one) > points) & (F.size(other) > points)
+    some = lambda c: F.when(both_short, F.slice(c, F.lit(points + 1), F.lit(points))).otherwise(F.slice(c, F.lit(1), F.lit(points)))
+    return F.when((F.size(one) == 0) & (F.size(other) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(some(F.col(one)), some(F.col(other)))) / F.lit(float(points)))
 
 
 def as_text(signature: str) -> Column:
