@@ -36,6 +36,8 @@ WINDOW, SHINGLE = 13, 5
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 28
 #: Up to so many rows of item, window and shingle, windows are broadcast; beyond it the joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Places of a region of neighbouring hits.
+REGION = 64
 
 _ITEM_SCHEMA = "item_id string, win_words array<string>, shingle_at int, shingle long"
 _DOC_SCHEMA = "row_id long, doc_id long, n_words long, at array<int>, shingle array<long>, region array<int>, region_start array<int>, region_words array<array<string>>"
@@ -95,10 +97,11 @@ def _marked_documents(bitmap, short: frozenset, window: int, k: int, carry: list
                 place, hashes = place[order], hashes[order].view(np.int64)
                 cut = np.searchsorted(place, woffs)
                 doc = np.repeat(np.arange(hi - lo), np.diff(cut))
-                # places near each other share a region; ends rise with the places
+                # places near each other share a region of at most REGION places, so that a hit carries few words; ends rise with the places
                 begin, end = np.maximum(place - (window - 1), woffs[doc]), np.minimum(place + window, woffs[doc + 1])
                 new = np.ones(len(place), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1])
+                tile = (place - woffs[doc]) // REGION
+                new[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1]) | (tile[1:] != tile[:-1])
                 heads = np.flatnonzero(new)
                 first, last = begin[heads], end[np.append(heads[1:], len(place)) - 1] if len(heads) else heads
                 rcut = np.searchsorted(doc[heads], np.arange(hi - lo + 1))
@@ -149,26 +152,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     )
     # rarity: rows that have the shingle, over the whole corpus; a shingle that never occurs rules its window out
     rarity = hits.select("shingle").groupBy("shingle").agg(F.count("*").alias("n"))
-    prefix = (
-        windows.join(rarity, "shingle", "left")
-        .groupBy("win_words")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "shingle_at")).alias("rarest"), F.collect_set("item_id").alias("items"))
-        .where("rarest.n > 0")
-        .select("rarest.shingle", "rarest.shingle_at", "win_words", "items")
-    )
+    rarest = windows.join(rarity, "shingle", "left").groupBy("win_words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "shingle_at")).alias("rarest")).where("rarest.n > 0")
+    # windows of the same items share a number (`owners`), so a document's windows meet each item once; sets are known by hashes, not collected
+    hashes = [F.bit_xor(F.xxhash64(F.lit(i), "item_id")).alias(f"h{i}") for i in (1, 2)]
+    of_window = checkpointed(windows.select("win_words", "item_id").distinct().groupBy("win_words").agg(F.count("*").alias("n_items"), *hashes))
+    prefix = checkpointed(rarest.join(of_window, "win_words").select("rarest.shingle", "rarest.shingle_at", "win_words", F.xxhash64("n_items", "h1", "h2").alias("owners")))
+    heads = of_window.withColumn("owners", F.xxhash64("n_items", "h1", "h2")).groupBy("owners").agg(F.min("win_words").alias("win_words"))
+    owned = checkpointed(windows.select("win_words", "item_id").distinct().join(heads, "win_words").select("owners", "item_id"))
     begin = F.col("at") - F.col("shingle_at")
     place = begin - F.col("start")
     verified = (
         hits.join(_small(prefix, n_rows), "shingle")
         .where((begin >= 0) & (place >= 0) & (place + F.size("win_words") <= F.size("words")))
         .where(F.slice("words", place + 1, F.size("win_words")) == F.col("win_words"))
-        .select("row_id", begin.alias("begin"), (begin + F.size("win_words")).alias("end"), "items")
+        .select("row_id", begin.alias("begin"), (begin + F.size("win_words")).alias("end"), "owners")
     )
+    verified = checkpointed(verified.groupBy("row_id", "begin", "owners").agg(F.max("end").alias("end")))
     # windows that start at one word: the longest covers the others; then union of intervals
-    spans = verified.groupBy("row_id", "begin").agg(F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    spans = verified.groupBy("row_id", "begin").agg(F.max("end").alias("end"))
     before = Window.partitionBy("row_id").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     covered = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("begin", F.coalesce(F.max("end").over(before), F.lit(0)))))
-    found = covered.groupBy("row_id").agg(F.sum("new").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    met = verified.select("row_id", "owners").distinct().join(_small(owned, n_rows), "owners").select("row_id", "item_id").distinct()
+    found = covered.groupBy("row_id").agg(F.sum("new").cast("long").alias("n_hit")).join(met.groupBy("row_id").agg(F.array_sort(F.collect_list("item_id")).alias("items")), "row_id")
     return marked.select("row_id", "doc_id", "n_words", *carry).join(found, "row_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), *carry
     )
