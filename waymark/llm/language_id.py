@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from waymark.llm.shared import raw_text, slices
 
@@ -205,19 +206,25 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return None
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} labels")
-    unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1_000_000)) / 1_000_000
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    start = F.pmod(F.xxhash64(F.lit("start"), F.col(doc_id)), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    sample = (
-        rows.where(unit < F.element_at(share, F.col(lang)))
-        .select(F.substring(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("t"), F.col(lang).alias("l"))
-        .limit(2 * per_language * len(sizes))
-        .toPandas()
-        .sort_values(["l", "t"])
-    )
-    if not len(sample):
-        return None
-    return train(sample["t"].tolist(), sample["l"].tolist())
+    # the text is hashed too: rows of one much repeated id are sampled one by one, copies of a row count once
+    hashed = rows.select(F.col(lang).alias("l"), F.xxhash64(F.lit("sample"), F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("t"))
+    unit = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    start = F.pmod(F.xxhash64(F.lit("start"), "h"), F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
+    share = {k: min(1.0, (1.5 * per_language + 50) / n) for k, n in sizes.items()}
+    first = Window.partitionBy("l").orderBy("h")
+    found, wanted = {}, set(sizes)
+    while wanted:
+        bound = F.create_map(*[F.lit(x) for k in sorted(wanted) for x in (k, share[k])])
+        drawn = hashed.where(F.col("l").isin(list(wanted)) & (unit <= F.element_at(bound, F.col("l")))).select("l", "h", F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("t"))
+        # those of the least hashes; the bound keeps a language's rows few before they are ranked
+        best = drawn.dropDuplicates(["l", "h"]).withColumn("i", F.row_number().over(first)).where(F.col("i") <= per_language).select("l", "h", "t").collect()
+        for k in wanted:
+            found[k] = sorted((r.h, r.t) for r in best if r.l == k)
+        # where copies of few rows take the share, a larger one is drawn
+        wanted = {k for k in wanted if len(found[k]) < per_language and share[k] < 1}
+        share |= {k: min(1.0, 8 * share[k]) for k in wanted}
+    sample = [(k, t) for k in sorted(found) for _, t in found[k]]
+    return train([t for _, t in sample], [k for k, _ in sample])
 
 
 def _predictor(shared, carry: list[str]):
