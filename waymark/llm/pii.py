@@ -2,7 +2,7 @@
 
 The base spans are the leftmost non-overlapping matches of each kind's pattern that pass its
 check. The tagger is trained on windows of a bounded sample of rows (`SAMPLE_ROWS`, at most
-`TRAIN_WINDOWS` windows of either sort), whose labels are the patterns' matches before the check
+`TRAIN_WINDOWS` windows of either sort; texts with spans are taken in several versions, so that few suffice), whose labels are the patterns' matches before the check
 and those of well-known forms of keys and passwords (kind `secret`, which has no base spans). Half of the
 labelled spans are respelled as people write them to be read but not matched: bracketed at and
 dot signs, blanks around the @, defanged addresses, phone numbers without the plus, cards with other
@@ -22,6 +22,7 @@ Places are code points, the end exclusive.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,12 @@ from pyspark.sql import functions as F
 from waymark.llm.pii_tagger import BASE_KINDS, KINDS, STRIDE, TAGS, WINDOW, Tagger, classes
 from waymark.llm.shared import checkpointed
 
-#: Bounds of the training sample: rows that are looked at, and windows of either sort (with spans, without).
+#: Bounds of the training sample: rows that are looked at, and windows of either sort (with spans, as many of each kind, and without).
 SAMPLE_ROWS, TRAIN_WINDOWS = 20_000, 1500
+#: Versions of each text with spans: respelled anew, and shifted against the windows.
+VERSIONS = 8
+#: Passes over the windows, and steps of 64 windows at least.
+EPOCHS, LEAST_STEPS = 14, 500
 #: Least mean and least single probability of an added span's tags.
 SURE, LEAST = 0.95, 0.5
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -234,25 +239,30 @@ def respelled(text: str, spans: list[tuple[int, int, int]], rng: np.random.Gener
 
 
 def _labelled(seed: int):
-    """Training windows (raw code points and tags) of a batch's texts."""
+    """Training windows (raw code points and tags) of a batch's texts, with the kind of each window's first span (-1: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(seed)
         for batch in batches:
-            xs, ys, some = [], [], []
+            xs, ys, kinds = [], [], []
             for text in batch.column(0).to_pylist():
                 # shapes only: a sum of digits is nothing to learn
-                text, spans, _ = respelled(text, base_spans(text, checked=False) + secret_spans(text), rng, 0.5)
-                points = _points(text)
-                tags = np.zeros(len(points), np.uint8)
-                for kind, a, b in spans:
-                    tags[a:b], tags[a] = 2 + 2 * kind, 1 + 2 * kind
-                starts = _windows(points)
-                for x, y in zip(_cut(classes(points).astype(np.uint8), starts), _cut(tags, starts), strict=True):
-                    xs.append(x.tobytes())
-                    ys.append(y.tobytes())
-                    some.append(bool(y.any()))
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), pa.array(some, pa.bool_())], names=["x", "y", "some"])
+                spans = base_spans(text, checked=False) + secret_spans(text)
+                rng = np.random.default_rng([seed, zlib.crc32(text.encode("utf-8", "surrogatepass"))])  # the same wherever the row is read
+                for version in range(VERSIONS if spans else 1):
+                    new, kept, _ = respelled(text, spans, rng, 0.5)
+                    shift = int(rng.integers(STRIDE)) if version else 0
+                    points = np.concatenate([np.full(shift, 32, np.uint32), _points(new)])
+                    tags = np.zeros(len(points), np.uint8)
+                    for kind, a, b in kept:
+                        tags[a + shift : b + shift], tags[a + shift] = 2 + 2 * kind, 1 + 2 * kind
+                    starts = _windows(points)
+                    for x, y in zip(_cut(classes(points).astype(np.uint8), starts), _cut(tags, starts), strict=True):
+                        if version and not y.any():
+                            continue
+                        xs.append(x.tobytes())
+                        ys.append(y.tobytes())
+                        kinds.append((int(y[y > 0].max()) - 1) // 2 if y.any() else -1)
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), pa.array(kinds, pa.int32())], names=["x", "y", "kind"])
 
     return run
 
@@ -262,15 +272,19 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_rows
     n = docs.count()
     # the text is hashed too: rows of one much repeated or null id are sampled one by one
     near = F.pmod(F.xxhash64(F.lit("pii"), F.col(doc_id), F.col(text)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(n, 1))) + 1
-    rows = docs.where(near & F.col(text).rlike("[0-9@]")).select(F.col(text).cast("string").alias("text")).mapInArrow(_labelled(11), "x binary, y binary, some boolean")
-    rows = checkpointed(rows.withColumn("h", F.xxhash64("x", "y")))  # read twice, scanned once
-    # windows with spans and without, each the least by hash: a top-k, so only 2 * windows rows come back
-    ranked = rows.where("some").orderBy("h").limit(windows).unionByName(rows.where("not some").orderBy("h").limit(windows)).toPandas()
-    if not ranked["some"].any():
+    rows = docs.where(near & F.col(text).rlike("[0-9@]")).select(F.col(text).cast("string").alias("text")).mapInArrow(_labelled(11), "x binary, y binary, kind int")
+    rows = checkpointed(rows.withColumn("h", F.xxhash64("x", "y")).dropDuplicates(["h"]))  # read once for each kind, scanned once
+    # windows of each kind and without spans, each the least by hash: a top-k, so only 2 * windows rows come back
+    least = lambda kind, most: rows.where(F.col("kind") == kind).orderBy("h").limit(most)
+    chosen = least(-1, windows)
+    for kind in range(len(KINDS)):
+        chosen = chosen.unionByName(least(kind, windows // len(KINDS)))
+    ranked = chosen.toPandas().sort_values("h")
+    if not (ranked["kind"] >= 0).any():
         return None
     stack = lambda c: np.stack([np.frombuffer(b, np.uint8) for b in ranked[c]]).astype(np.int64)
     tagger = Tagger()
-    tagger.train(stack("x"), stack("y"))
+    tagger.train(stack("x"), stack("y"), epochs=max(EPOCHS, LEAST_STEPS * 64 // len(ranked)))
     return tagger
 
 

@@ -173,17 +173,18 @@ class Tagger:
             e = np.zeros((longest, len(pick), TAGS), np.float32)
             for j, i in enumerate(pick):
                 e[: len(scores[i]), j] = scores[i]
-                e[len(scores[i]) :, j, 1:] = -1e4
+            last = np.array([len(scores[i]) - 1 for i in pick])
             best, back = e[0], np.zeros((longest, len(pick), TAGS), np.int8)
+            tag = best.argmax(axis=1)
             for t in range(1, longest):
                 s = best[:, :, None] + a
                 back[t] = s.argmax(axis=1)
                 best = s.max(axis=1) + e[t]
-            tag = best.argmax(axis=1)
+                tag = np.where(last == t, best.argmax(axis=1), tag)  # a shorter region ends before
             tags = np.empty((longest, len(pick)), np.int64)
             for t in range(longest - 1, -1, -1):
                 tags[t] = tag
-                tag = back[t][np.arange(len(pick)), tag]
+                tag = np.where(t <= last, back[t][np.arange(len(pick)), tag], tag)
             for j, i in enumerate(pick):
                 out[i] = tags[: len(scores[i]), j]
         return out
