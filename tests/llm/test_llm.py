@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
+import time
 import zlib
 
 import duckdb
@@ -22,7 +24,8 @@ from waymark.llm.order_minhash import likeness, with_next, with_signature
 from waymark.llm.rendezvous import place, shard
 from waymark.llm.sentencepiece_codec import MODEL, Codec, encode_decode
 from waymark.llm.token_counts import VOCABULARY, count_tokens
-from waymark.llm.tool_calls import link
+from waymark.llm.pii_tagger import TAGS, Tagger
+from waymark.llm.tool_calls import levels, link
 
 rng = random.Random(4)
 WORDS = ["".join(rng.choices("abcdefghijé", k=rng.randint(2, 9))) for _ in range(300)]
@@ -237,6 +240,9 @@ def signature_by_brute_force(text: str) -> list[int]:
     for p in range(order_minhash.POINTS):
         near = sorted(kmers, key=lambda x: ((x[0] - p * circle // order_minhash.POINTS) % circle, x[1]))[: order_minhash.TUPLE]
         out.append(p << 32 | unsigned(spark_hash(*[h for h, _ in sorted(near, key=lambda x: x[1])])) >> 32)
+    for f in range(order_minhash.POINTS, 2 * order_minhash.POINTS) if len(kmers) <= order_minhash.OWN else ():
+        near = sorted((top(spark_hash(f.to_bytes(4, "little"), h)), i) for h, i in kmers)[: order_minhash.TUPLE]
+        out.append(f << 32 | unsigned(spark_hash(*[h for h, _ in sorted(near, key=lambda x: x[1])])) >> 32)
     return out
 
 
@@ -251,6 +257,16 @@ def test_signatures_equal_brute_force_and_follow_order(spark):
     assert max(near) < 0.5 and sum(near) / len(near) < 0.3
 
 
+def test_likeness_of_short_texts_spreads_as_own_hashes_do(spark):
+    """Pairs of eight words that differ in the last: the spread of 64 functions of their own, not that of one circle's points."""
+    gen = random.Random(2)
+    rows = [(" ".join(w), " ".join(w[:-1] + ["other"])) for w in (gen.sample(WORDS, 8) for _ in range(300))]
+    pair = with_signature(with_signature(spark.createDataFrame(rows, "a string, b string"), "a", "x"), "b", "y")
+    near = np.array([r.n for r in pair.select(likeness("x", "y").alias("n")).collect()])
+    # 7 of 13 k-mers are shared, and two of the 13 least must be: about (7 / 13) ** 2 of the functions agree
+    assert 0.2 < near.mean() < 0.45 and near.std() < 0.09
+
+
 def test_neighbours_of_repeated_ids(spark):
     """A third of the rows has one id, some none; the ring still visits every row once, in order."""
     rows = [(7 if i % 3 == 0 else (None if i % 10 == 1 else i), f"t{i}") for i in range(600)]
@@ -453,6 +469,77 @@ def test_levels_of_long_chains_and_cycles(spark):
     assert want["f000"] == 60 and want["t060"] == 1 and sum(c not in want for c in ids) == 45
 
 
+def test_calls_with_several_needs_are_ordered_in_one_row(spark):
+    """Sixty calls that each need the two after them; random graphs through either way give the same levels and cycles."""
+    n = 60
+    calls = spark.createDataFrame([(f"c{i:03}", "a", i, "f", "{}") for i in range(n)], "id string, conversation string, turn int, tool string, arguments string")
+    edges = spark.createDataFrame([(f"c{i:03}", f"c{j:03}") for i in range(n) for j in (i + 1, i + 2) if j < n], "id string, needs string")
+    assert {r.id: (r.level, r.cyclic) for r in levels(calls, edges).collect()} == {f"c{i:03}": (n - 1 - i, False) for i in range(n - 1)}
+    gen = random.Random(9)
+    rows = [(f"{c}{i}", c, i) for c in "pqrs" for i in range(9)]
+    wanted = [(f"{c}{gen.randrange(9)}", f"{d}{gen.randrange(9)}") for c in "pqrs" for _ in range(16) for d in [c if c in "pq" or gen.random() < 0.8 else "s"]]
+    calls, edges = spark.createDataFrame(rows, "id string, conversation string, turn int"), spark.createDataFrame([(a, b) for a, b in wanted if a != b], "id string, needs string")
+    told = [sorted((r.id, r.level, r.cyclic) for r in levels(calls, edges, small).collect()) for small in (0, 1000)]
+    assert told[0] == told[1] and any(c for _, _, c in told[0]) and any(level for _, level, _ in told[0])
+
+
+def test_a_language_of_one_repeated_id_is_learned(spark):
+    """1,500 texts of a language share one id: they are sampled by text, the same ones wherever they lie; copies of few rows don't fill the sample."""
+    gen = random.Random(5)
+    say = lambda letters: " ".join("".join(gen.choices(letters, k=gen.randint(2, 7))) for _ in range(25))
+    plain = [(i, say("abcdef"), "aa") for i in range(3000, 4500)]
+    for shared in (1, 9, 13):
+        if zlib.crc32(str(shared).encode()) % 4 == 2:
+            continue
+        df = spark.createDataFrame(plain + [(shared, say("uvwxyz"), "bb") for _ in range(1500)] + [(8000, "ghi jkl ghij", "cc")] * 1200 + [(8001 + i, say("ghijkl"), "cc") for i in range(40)], "doc_id long, text string, lang string")
+        model = language_id.fit(df)
+        assert model.languages == ["aa", "bb", "cc"]
+        found = language_id.identify(df, model, carry=["lang"]).where("lang <> 'cc'").collect()
+        assert np.mean([r.lang == r.lang_pred for r in found]) > 0.98
+        again = language_id.fit(df.repartition(6))
+        assert all(np.array_equal(a, b) for a, b in zip(model.table, again.table, strict=True))
+
+
+def test_decoding_and_marginals_equal_enumeration():
+    """All tag sequences of short regions, scored one by one."""
+    draw = np.random.default_rng(6)
+    tagger = Tagger()
+    tagger.p["trans"] = draw.normal(0, 1, (TAGS, TAGS)).astype(np.float32)
+    regions = [draw.normal(0, 1, (n, TAGS)).astype(np.float32) for n in (1, 2, 3, 4)]
+    for e, told in zip(regions, tagger.decode(regions), strict=True):
+        paths = np.array(list(itertools.product(range(TAGS), repeat=len(e))))
+        score = e[np.arange(len(e)), paths].sum(axis=1) + tagger.p["trans"][paths[:, :-1], paths[:, 1:]].sum(axis=1)
+        assert told.tolist() == paths[score.argmax()].tolist()
+        weight = np.exp(score - score.max())
+        want = np.array([[weight[paths[:, t] == k].sum() for k in range(TAGS)] for t in range(len(e))]) / weight.sum()
+        assert np.allclose(tagger.marginals(e), want, atol=1e-4)
+
+
+def test_a_small_table_is_enough_to_find_its_secrets(spark):
+    """On the table of 1,000 documents the tagger adds at least 0.9 of the labelled secrets, and none that overlaps no form."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, a, b) for r in docs.where("text is not null").collect() for _, a, b in pii.secret_spans(r.text)}
+    got = {(r.doc_id, r.s.start, r.s.end) for r in pii.find(docs, pii.fit(docs)).select("doc_id", F.explode("spans").alias("s")).where("s.kind = 'secret' and not s.base").collect()}
+    assert len(want) >= 10 and len(got & want) >= 0.9 * len(want)
+    assert sum(not any(d == e and a < z and y < b for e, y, z in want) for d, a, b in got) <= 1
+
+
+def test_a_text_that_is_benchmark_throughout(spark):
+    """Items of 5,000 and of 20,000 words, whole in a document, and a passage that all items share; the rows that carry words stay in proportion."""
+    gen = random.Random(3)
+    long = [" ".join(gen.choice(WORDS) for _ in range(n)) for n in (5_000, 20_000)]
+    passage = " ".join(WORDS[:30])
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(long)] + [(10 + i, f"{passage} item {i}") for i in range(150)], "item_id long, text string")
+    took = []
+    for i, t in enumerate(long):
+        began = time.time()
+        r = decontaminate(spark.createDataFrame([(1, f"before {t} after {passage}")], "doc_id long, text string"), items).first()
+        took.append(time.time() - began)
+        n = len(words(t))
+        assert (r.n_words, r.n_hit) == (n + 32, n + 30) and r["items"] == sorted([str(i), *[str(10 + j) for j in range(150)]])
+    assert took[1] < took[0] + 12
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
     import corpus_pipeline
 
