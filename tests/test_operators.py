@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import bisect
 import json
+import math
 import random
 import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,12 +68,11 @@ def test_pair_join_deals_no_exchange_by_the_baseline(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         plan = diff.surplus(counts, pairs)._jdf.queryExecution().executedPlan().toString()
-        joined = diff.PairJoin(pairs)
-        rows = joined.pairs.join(F.broadcast(joined.hot), "pre", "left_anti")
-        assert rows.where("pre = 'baseline/Base'").isEmpty()
+        assert diff.PairJoin(pairs).pairs.where("pre = 'baseline/Base' and __salts is null").isEmpty()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("BroadcastExchange") >= 2 and plan.count("LeftAnti") >= 1
+    # what the baseline holds is broadcast; only the filtered rest is dealt by `pre`
+    assert plan.count("BroadcastExchange") >= 2 and all("isnull" in x for x in [plan] if "hashpartitioning(pre" in x)
 
 
 def test_resolve_pre_rejects_ambiguous_commits(spark):
@@ -327,3 +328,116 @@ def test_run_all_stops_at_the_first_failure():
     with pytest.raises(RuntimeError, match="b failed after a"):
         S.run_all([("a", lambda: seen.append(1)), ("b", lambda: 1 / 0), ("c", lambda: seen.append(3))])
     assert seen == [1]
+
+
+def test_refresh_runs_what_must_and_goes_on_after_a_failure(spark, tmp_path):
+    at = lambda name: f"file://{tmp_path}/{name}"
+    put = lambda name, n: spark.range(n).write.mode("overwrite").parquet(at(name))
+    ran, broken = [], []
+
+    def copy(source, target):
+        def run():
+            if target in broken:
+                raise ValueError("no")
+            ran.append(target)
+            spark.read.parquet(at(source)).write.mode("overwrite").parquet(at(target))
+
+        return run
+
+    job = lambda source, target, **more: S.Job(target, [at(source)], [at(target)], copy(source, target), **more)
+    jobs = [job("b", "c"), job("a", "b"), job("x", "y")]
+    put("a", 3), put("x", 2)
+    assert [j.name for j in S.in_order(jobs)] == ["b", "y", "c"]
+    assert S.refresh(spark, jobs, at("manifest")) == ["b", "y", "c"] == ran
+    assert S.refresh(spark, jobs, at("manifest")) == []
+    put("x", 5)
+    assert S.refresh(spark, jobs, at("manifest")) == ["y"] and spark.read.parquet(at("y")).count() == 5
+    assert S.refresh(spark, [job("b", "c", version="2"), *jobs[1:]], at("manifest")) == ["c"]
+    put("a", 9)
+    broken.append("c")
+    with pytest.raises(RuntimeError, match="c failed after b"):
+        S.refresh(spark, jobs, at("manifest"))
+    broken.clear()
+    assert S.refresh(spark, jobs, at("manifest")) == ["c"] and spark.read.parquet(at("c")).count() == 9
+    with pytest.raises(RuntimeError, match="lacks"):
+        S.refresh(spark, [job("nothing", "z")], at("other"))
+    for bad in ([job("p", "q"), job("q", "p")], [job("a", "q"), S.Job("again", [], [at("q")], print)]):
+        with pytest.raises(ValueError):
+            S.in_order(bad)
+
+
+def test_pages_by_the_directory(spark):
+    gen = random.Random(1)
+    rows = spark.createDataFrame([(i, gen.choice([None, *range(40)])) for i in range(1005)], "id long, v int")
+    order = crm.deal_order("value")
+    pages = crm.PageDirectory(rows.withColumnRenamed("v", "value"), order, ranges=16)
+    whole = [tuple(r) for r in rows.withColumnRenamed("v", "value").orderBy(*order).collect()]
+    for page in (1, 2, 5, 10, 11, 12, "x"):
+        n = page if isinstance(page, int) else 1
+        assert [tuple(r) for r in pages.page(page, 100).collect()] == whole[(n - 1) * 100 : n * 100]
+    assert pages.meta(3, 100) == {"page": 3, "limit": 100, "total": 1005, "total_pages": 11}
+    scans = pages.page(9, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scans and "__range" in scans.split("PartitionFilters: [")[1].split("]")[0]
+    none = crm.PageDirectory(rows.limit(0), [F.asc("id")])
+    assert none.page().count() == 0 and none.meta()["total_pages"] == 0
+
+
+def test_stage_replay_of_composed_ranges(spark):
+    gen = random.Random(4)
+    rows = [(d, s, gen.choice([*dims.STAGES, "odd", None]), gen.choice([0, 1, None]), gen.choice([True, False, None])) for d in (1, 2, 3) for s in gen.sample(range(-50, 5000), 300)]
+    df = spark.createDataFrame(rows, "deal_id long, seq long, to_stage string, n_contacts int, has_close_date boolean")
+    want = {}
+    for d in (1, 2, 3):
+        stage, rejected = dims.STAGES[0], 0
+        for _, _, to, n, dated in sorted((r for r in rows if r[0] == d), key=lambda r: r[1]):
+            met = (to != "active" or (n or 0) >= 1) and (to != "negotiation" or bool(dated))
+            if met and (stage, to) in dims.STAGE_MOVES:
+                stage = to
+            elif to != stage:
+                rejected += 1
+        want[d] = (300, rejected, stage)
+    for width in (10, 100_000):
+        assert {r.deal_id: (r.moves, r.rejected, r.stage) for r in crm.replay_stages(df, width).collect()} == want
+    assert crm.replay_stages(df.limit(0)).count() == 0
+
+
+def test_exact_and_normal_p_equal_the_plain_ones(spark):
+    gen = random.Random(7)
+    cases = [(0.0, [], 0, 0.0)]
+    for n in (1, 3, 12, 40):
+        ranks = [float(r) for r in range(1, n + 1)]
+        if n > 3:
+            ranks[1] = ranks[2] = 2.5
+        cases.append((float(min(w := sum(r for r in ranks if gen.random() < 0.4), sum(ranks) - w)), ranks, n, 6.0 if n > 3 else 0.0))
+    cases += [(float(s), None, 80, 24.0) for s in (0, 300, 900, 1500, 1620)]
+    df = spark.createDataFrame(cases, "s double, ranks array<double>, n long, t double")
+    got = [r.p for r in df.select(T.signed_rank_p(F.col("s"), F.col("ranks"), F.col("n"), F.col("t")).alias("p")).collect()]
+    assert got == pytest.approx([wilcoxon_p(*c) for c in cases], rel=1e-9, abs=1e-15)
+    x = [0.0, 0.1, 1.0, 2.9, 3.0, 3.1, 5.0, 9.0]
+    told = [r.e for r in spark.createDataFrame([(v,) for v in x], "x double").select(T.complementary_error(F.col("x")).alias("e")).collect()]
+    assert told == pytest.approx([math.erfc(v) for v in x], rel=1e-9)
+
+
+def test_correlations_of_500_metrics(spark):
+    draw = np.random.default_rng(8)
+    x = draw.normal(5, 2, (120, 500))
+    x[:, 7] = 3.0  # one value
+    x[:, 9] = 2 * x[:, 8] + 1
+    has = draw.random(x.shape) < 0.7
+    rows = [(f"e{i}", f"m{j:03}", float(x[i, j]) if has[i, j] else None) for i in range(120) for j in range(500)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["evaluation_id", "metric_name", "value"]))
+    got = {(r.metric_a, r.metric_b): r.r for r in T.metric_correlation(df).collect()}
+    assert len(got) == 499 * 500 // 2 and got["m008", "m009"] == 1.0 and ("m007", "m008") not in got
+    for a, b in [(0, 1), (3, 499), (8, 200), (250, 251)]:
+        both = has[:, a] & has[:, b]
+        assert got[f"m{a:03}", f"m{b:03}"] == pytest.approx(np.corrcoef(x[both, a], x[both, b])[0, 1], abs=2e-6)
+
+
+def test_settled_tables_can_be_released(spark):
+    from waymark.functions.checkpoints import release, settled
+
+    release(spark)
+    df = settled(spark.range(5))
+    assert df.count() == 5 and release(spark) == 1 and release(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(df.inputFiles()[0]).count()

@@ -207,11 +207,12 @@ def replay_stages(requests: DataFrame, width: int = REPLAY_RANGE) -> DataFrame:
 
     to = F.col("to_stage")
     met = F.coalesce(((to != "active") | (F.col("n_contacts") >= 1)) & ((to != "negotiation") | F.col("has_close_date")), F.lit(False))
-    asks = requests.select("deal_id", F.floor(F.col("seq") / width).alias("part"), F.struct("seq", F.coalesce(place(to), F.lit(-1)).alias("to"), met.alias("met")).alias("ask"))
-    maps = asks.groupBy("deal_id", "part").agg(F.count("*").alias("moves"), F.array_sort(F.collect_list("ask")).alias("asks")).select("deal_id", "part", "moves", F.aggregate("asks", identity, moved).alias("map"))
     low, high = requests.agg(F.floor(F.min("seq") / width), F.floor(F.max("seq") / width)).first()
-    while low is not None and low != high:
-        low, high = low // COMPOSED, high // COMPOSED
+    asks = requests.select("deal_id", (F.floor(F.col("seq") / width) - F.lit(low or 0)).alias("part"), F.struct("seq", F.coalesce(place(to), F.lit(-1)).alias("to"), met.alias("met")).alias("ask"))
+    maps = asks.groupBy("deal_id", "part").agg(F.count("*").alias("moves"), F.array_sort(F.collect_list("ask")).alias("asks")).select("deal_id", "part", "moves", F.aggregate("asks", identity, moved).alias("map"))
+    span = (high or 0) - (low or 0)
+    while span:
+        span //= COMPOSED
         grouped = maps.groupBy("deal_id", F.floor(F.col("part") / COMPOSED).alias("part")).agg(F.sum("moves").alias("moves"), F.array_sort(F.collect_list(F.struct("part", "map"))).alias("maps"))
         maps = grouped.select("deal_id", "part", "moves", F.aggregate("maps", identity, lambda s, m: composed(s, m["map"])).alias("map"))
     stage = F.get(F.array(*[F.lit(s) for s in STAGES]), F.col("map.after")[0])

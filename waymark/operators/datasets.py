@@ -45,12 +45,15 @@ def audit_a(a: DataFrame, baseline_absolute: DataFrame) -> DataFrame:
 def dataset_b(runs: DataFrame, changes: DataFrame, concerns: DataFrame) -> DataFrame:
     """Five counts and two nets for every checkpoint and concern, from one aggregate."""
     count = lambda scope, change, name: F.coalesce(F.sum(F.when((F.col("delta_scope") == scope) & (F.col("change_type") == change), F.col("n"))), F.lit(0)).alias(name)
-    counts = changes.groupBy("evaluation_id", N.concern(F.col("rule_id")).alias("concern")).agg(
+    # dealt by checkpoint once: counts, the concerns of a checkpoint and the join all keep that; the grid is made last
+    counts = changes.repartition("evaluation_id").groupBy("evaluation_id", N.concern(F.col("rule_id")).alias("concern")).agg(
         count("absolute", "current", "absolute_finding_count"), count("run_local", "introduced", "task_local_introduced_findings"), count("run_local", "resolved", "task_local_resolved_findings"),
         count("trajectory_cumulative", "introduced", "baseline_relative_introduced_findings"), count("trajectory_cumulative", "resolved", "baseline_relative_resolved_findings"))
-    grid = agent_runs(runs).select("evaluation_id", "agent", "strategy", "task_id").crossJoin(F.broadcast(concerns.select("concern")))
     names = [c for c in counts.columns if c not in ("evaluation_id", "concern")]
-    out = grid.join(counts, ["evaluation_id", "concern"], "left").select("evaluation_id", "agent", "strategy", "task_id", "concern", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in names])
+    held = counts.where("concern is not null").groupBy("evaluation_id").agg(F.map_from_entries(F.collect_list(F.struct("concern", F.struct(*names)))).alias("held"))
+    grid = agent_runs(runs).select("evaluation_id", "agent", "strategy", "task_id").join(held, "evaluation_id", "left").crossJoin(F.broadcast(concerns.select("concern")))
+    own = F.try_element_at("held", F.col("concern"))
+    out = grid.select("evaluation_id", "agent", "strategy", "task_id", "concern", *[F.coalesce(own[c], F.lit(0)).cast("long").alias(c) for c in names])
     return out.withColumns({
         "task_local_net_change": F.col("task_local_introduced_findings") - F.col("task_local_resolved_findings"), "baseline_relative_net_change": F.col("baseline_relative_introduced_findings") - F.col("baseline_relative_resolved_findings")})
 

@@ -41,23 +41,24 @@ class PairJoin:
     """
 
     def __init__(self, pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
-        self.pairs, self.broadcast_rows = settled(pairs), broadcast_rows
-        share = max(self.pairs.count() / HOT_KEYS, 1)
-        often = self.pairs.groupBy("pre").agg(F.count("*").alias("m")).where(F.col("m") > share)
-        self.hot = settled(often.select("pre", F.ceil(F.col("m") / share).cast("int").alias("salts")))  # fewer than HOT_KEYS rows
+        pairs, self.broadcast_rows = settled(pairs), broadcast_rows
+        share = max(pairs.count() / HOT_KEYS, 1)
+        often = pairs.groupBy("pre").agg(F.count("*").alias("m")).where(F.col("m") > share)
+        self.hot = settled(often.select("pre", F.ceil(F.col("m") / share).cast("int").alias("__salts")))  # fewer than HOT_KEYS rows
+        #: the pairs, with the number of salts where `pre` is hot
+        self.pairs = pairs.join(F.broadcast(self.hot), "pre", "left").select(*pairs.columns, "__salts")
 
     def join(self, post: DataFrame, before: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-        """post: any columns, `pre` among them; before: `pre`, those of `on`, and others, which are added. Nulls of `on` are equal."""
-        hot = F.broadcast(self.hot)
-        held = settled(before.join(hot, "pre"))
-        seldom = self._equal(post.join(hot, "pre", "left_anti"), before, ["pre"], on, how)
-        often = post.join(hot, "pre")
+        """post: rows of `pairs` with any columns beside; before: `pre`, those of `on`, and others, which are added. Nulls of `on` are equal."""
+        held = settled(before.join(F.broadcast(self.hot), "pre"))
+        seldom = self._equal(post.where("__salts is null").drop("__salts"), before, ["pre"], on, how)
+        often = post.where("__salts is not null")
         if held.count() <= self.broadcast_rows:
-            often = self._equal(often.drop("salts"), F.broadcast(held.drop("salts")), ["pre"], on, how)
+            often = self._equal(often.drop("__salts"), F.broadcast(held.drop("__salts")), ["pre"], on, how)
         else:
-            often = often.withColumn("salt", F.pmod(F.xxhash64("evaluation_id", *on), F.col("salts")).cast("int")).drop("salts")
-            held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-            often = self._equal(often, held, ["pre", "salt"], on, how).drop("salt")
+            often = often.withColumn("__salt", F.pmod(F.xxhash64("evaluation_id", *on), F.col("__salts")).cast("int")).drop("__salts")
+            held = held.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+            often = self._equal(often, held, ["pre", "__salt"], on, how).drop("__salt")
         return often.unionByName(seldom)
 
     @staticmethod

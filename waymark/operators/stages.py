@@ -258,13 +258,18 @@ def trajectory_shape(totals: DataFrame, key: list[str], value: str = "cumulative
 
 
 def silent_decay(runs: DataFrame, changes: DataFrame, observations: DataFrame, bounds: DataFrame, concerns: DataFrame) -> DataFrame:
-    """A class for every run and concern: metric error, failed constraint, bad outlier, else clean."""
-    grid = agent_runs(runs).select("evaluation_id", "agent", "strategy", "task_id").crossJoin(F.broadcast(concerns.select("concern", "concern_order")))
-    failed = _sized(changes, "run_local", "introduced").where("session_id <> 'baseline'").select("evaluation_id", N.concern(F.col("rule_id")).alias("concern")).distinct().withColumn("constraint_failed", F.lit(True))
+    """A class for every run and concern: metric error, failed constraint, bad outlier, else clean.
+
+    Failed concerns and metrics are gathered by run, and the grid of runs and concerns is made after the joins, so it is never shuffled.
+    """
+    failed = _sized(changes, "run_local", "introduced").where("session_id <> 'baseline'").groupBy("evaluation_id").agg(F.collect_set(N.concern(F.col("rule_id"))).alias("failed"))
     metric = observations.where(N.is_architectural(F.col("metric_name"))).join(F.broadcast(bounds.select("metric_name", "iqr_low", "iqr_high")), "metric_name", "left").select(
-        "evaluation_id", N.metric_concern(F.col("metric_name")).alias("concern"), F.col("status").alias("metric_status"), is_bad_outlier(F.col("value"), F.col("direction"), F.col("iqr_low"), F.col("iqr_high")).alias("bad"))
-    cells = grid.join(failed, ["evaluation_id", "concern"], "left").join(metric, ["evaluation_id", "concern"], "left")
-    kind = F.when(F.col("metric_status") == "error", CLASSES[0]).when(F.col("constraint_failed"), CLASSES[1]).when(F.col("bad"), CLASSES[2]).otherwise(CLASSES[3])
+        "evaluation_id", F.struct(N.metric_concern(F.col("metric_name")).alias("concern"), F.col("status").alias("status"), is_bad_outlier(F.col("value"), F.col("direction"), F.col("iqr_low"), F.col("iqr_high")).alias("bad")).alias("m"))
+    metric = metric.groupBy("evaluation_id").agg(F.collect_list("m").alias("metrics"))
+    rows = agent_runs(runs).select("evaluation_id", "agent", "strategy", "task_id").join(failed, "evaluation_id", "left").join(metric, "evaluation_id", "left")
+    grid = rows.crossJoin(F.broadcast(concerns.select("concern", "concern_order")))  # 19 concerns
+    cells = grid.select("evaluation_id", "agent", "strategy", "task_id", "concern", F.array_contains("failed", F.col("concern")).alias("constraint_failed"), F.explode_outer(F.filter("metrics", lambda m: m["concern"] == F.col("concern"))).alias("m"))
+    kind = F.when(F.col("m.status") == "error", CLASSES[0]).when(F.col("constraint_failed"), CLASSES[1]).when(F.col("m.bad"), CLASSES[2]).otherwise(CLASSES[3])
     return cells.select("evaluation_id", "agent", "strategy", "task_id", "concern", kind.alias("classification"))
 
 
@@ -313,7 +318,7 @@ class MetricCells:
     """
 
     def __init__(self, observations: DataFrame, first: Sequence[str] = ()):
-        cells = settled(observations.where("value is not null").groupBy("evaluation_id", "metric_name").agg(F.avg("value").alias("value")))
+        cells = settled(observations.where("value is not null and not isnan(value)").groupBy("evaluation_id", "metric_name").agg(F.avg("value").alias("value")))
         found = cells.groupBy("metric_name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), (F.min("value") < F.max("value")).alias("varies")).limit(MOST_METRICS + 1).collect()
         if len(found) > MOST_METRICS:
             raise ValueError(f"more than {MOST_METRICS} metrics")
