@@ -197,9 +197,9 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, intact of each record."""
-    # the number of partitions is given, so that they are not merged for being small: they are only names
+    # ranges of names, a file in each but for ties of the sampled bounds; their number is given, so that they are not merged for being small
     n_files = max(1, manifest.count())
-    return manifest.select("file").repartition(n_files).mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
+    return manifest.select("file").repartitionByRange(n_files, "file").mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean")
 
 
 def new_folder(spark: SparkSession) -> str:
