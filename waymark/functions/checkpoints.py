@@ -18,7 +18,7 @@ def settled(df: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     _SETTLED.setdefault(spark.sparkContext.applicationId, []).append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
