@@ -441,3 +441,25 @@ def test_settled_tables_can_be_released(spark):
     assert df.count() == 5 and release(spark) == 1 and release(spark) == 0
     with pytest.raises(Exception, match="(?i)exist|not found"):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_session_comparison_equals_pairs_and_deals_findings_out_once(spark):
+    gen = random.Random(11)
+    chain = [(f"S{s}/T{t}", f"S{s}", f"T{t}", t, "a", "minimal") for s in range(6) for t in (1, 2, 4, 5)] + [("baseline/Base", "baseline", "Base", 0, "none", "none")]
+    cp = diff.chained(spark.createDataFrame(chain, "evaluation_id string, session_id string, task_id string, task_order int, agent string, strategy string"))
+    rows = [(e, "backend", f"r{gen.randrange(3)}", gen.choice(["f", None]), "m") for e, *_ in chain for _ in range(gen.choice([0, 2, 7]) if e != "baseline/Base" else 6)]
+    counts = diff.finding_counts(counts_of(spark, rows)).cache()
+    base = counts.where("evaluation_id = 'baseline/Base'").groupBy(*diff.IDENTITY).agg(F.sum("n").alias("n"))
+    beside = diff.along_sessions(counts.join(cp, "evaluation_id"), base)
+    pairs = diff.make_pairs(cp)
+    want = {tuple(r) for r in diff.multiset_counts(counts, pairs).select("delta_scope", "evaluation_id", "before_count", "after_count", "introduced_count", "resolved_count", "unchanged_count").collect()}
+    wide = diff.session_counts(cp, beside, base)
+    got = {(scope, r.evaluation_id, *[r[f"{c}_before"], r.after_count, r[f"{c}_introduced"], r[f"{c}_resolved"], r[f"{c}_unchanged"]]) for r in wide.collect() for scope, c in (("run_local", "local"), ("trajectory_cumulative", "base"))}
+    assert got == want and len(got) == 2 * len(chain)
+    columns = ["delta_scope", "evaluation_id", *diff.IDENTITY, "change_type", "n"]
+    want = Counter(tuple(r) for r in diff.surplus(counts, pairs).select(*columns).collect())
+    assert Counter(tuple(r) for r in diff.session_surplus(cp, beside, base).select(*columns).collect()) == want
+    for scope in ("run_local", "trajectory_cumulative"):
+        assert Counter(tuple(r) for r in diff.introduced(beside, scope).select(*columns).collect()) == Counter({k: n for k, n in want.items() if k[0] == scope and k[-2] == "introduced"})
+    plan = diff.introduced(beside, "run_local")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "delta_scope" in plan

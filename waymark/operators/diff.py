@@ -111,6 +111,89 @@ def itemised(changes: DataFrame) -> DataFrame:
     return changes.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
 
 
+#: Keys of a checkpoint that its findings carry.
+KEYS = ["evaluation_id", "session_id", "task_id", "task_order", "agent", "strategy"]
+
+
+def chained(checkpoints: DataFrame) -> DataFrame:
+    """checkpoints with `step`, their number within the session, and `next`, the keys of the one after them (null for the last)."""
+    w = Window.partitionBy("session_id").orderBy("task_order")
+    return checkpoints.withColumns({"step": F.row_number().over(w), "next": F.lead(F.struct(*[c for c in KEYS if c != "session_id"])).over(w)})
+
+
+def against_base(counts: DataFrame, base: DataFrame, identity: list[str] = IDENTITY) -> DataFrame:
+    """counts (identity, n, others) with `base`, the copies that the baseline holds. base: identity, n."""
+    held = base.select(*[F.col(c).alias(f"__{c}") for c in identity], F.col("n").alias("base"))
+    same = F.lit(True)
+    for c in identity:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = counts.join(_small(held), same, "left").drop(*[f"__{c}" for c in identity])
+    return out.withColumn("base", F.coalesce("base", F.lit(0).cast("long")))
+
+
+def along_sessions(counts: DataFrame, base: DataFrame, identity: list[str] = IDENTITY) -> DataFrame:
+    """counts of chained checkpoints beside those of their neighbours: `before`, `after` (copies in the session's checkpoint before and after) and `base`.
+
+    A session's first checkpoint has the baseline before it. Rows are dealt out by session once, and what is grouped by session
+    afterwards stays where it is; the two comparisons need no join of pairs.
+    """
+    w = Window.partitionBy("session_id", *identity).orderBy("step")
+    beside = lambda f, by: F.when(f("step").over(w) == F.col("step") + by, f("n").over(w))
+    rows = against_base(counts, base, identity).repartition("session_id")
+    before = F.when(F.col("step") == 1, F.col("base")).otherwise(beside(F.lag, -1))
+    return rows.withColumns({"before": F.coalesce(before, F.lit(0)).cast("long"), "after": F.coalesce(beside(F.lead, 1), F.lit(0)).cast("long")})
+
+
+def session_counts(checkpoints: DataFrame, rows: DataFrame, base: DataFrame) -> DataFrame:
+    """checkpoints (chained) with the counts of either comparison: after_count, and before, introduced, resolved, unchanged of `local` and `base`.
+
+    What multiset_counts gives for make_pairs, in one row. rows: of along_sessions.
+    """
+    held = F.struct("n", F.least("n", "before").alias("local"), F.least("n", "base").alias("base"))
+    sums = rows.select("session_id", "step", held.alias("h")).groupBy("session_id", "step").agg(F.sum("h.n").alias("after_count"), *[F.sum(f"h.{c}").alias(f"{c}_unchanged") for c in ("local", "base")])
+    out = checkpoints.join(sums, ["session_id", "step"], "left").crossJoin(F.broadcast(base.agg(F.sum("n").alias("base_before"))))  # one row
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("after_count", "local_unchanged", "base_unchanged", "base_before")})
+    out = out.withColumn("local_before", F.coalesce(F.lag("after_count").over(Window.partitionBy("session_id").orderBy("step")), F.col("base_before")))
+    return out.withColumns({f"{c}_{k}": F.col(whole) - F.col(f"{c}_unchanged") for c in ("local", "base") for k, whole in (("introduced", "after_count"), ("resolved", f"{c}_before"))})
+
+
+def session_surplus(checkpoints: DataFrame, rows: DataFrame, base: DataFrame, identity: list[str] = IDENTITY, current: bool = False) -> DataFrame:
+    """What surplus gives for make_pairs, with the checkpoints' keys; current: with the counts themselves as delta_scope `absolute`.
+
+    rows: of along_sessions. Copies that a session's neighbours differ by are read off each row. What is resolved of the baseline is the
+    baseline without what a checkpoint still holds of it; that is gathered by checkpoint, and the rest is made in place.
+    """
+    keys = [c for c in KEYS if c != "session_id"]
+    move = lambda scope, change, n, at="": F.struct(F.lit(scope).alias("delta_scope"), F.lit(change).alias("change_type"), *[F.col(f"{at}{c}").alias(c) for c in keys], n.cast("long").alias("n"))
+    moves = F.array(
+        move("run_local", "introduced", F.col("n") - F.col("before")), move("trajectory_cumulative", "introduced", F.col("n") - F.col("base")),
+        move("run_local", "resolved", F.when(F.col("next").isNotNull(), F.col("n") - F.col("after")), "next."), *([move("absolute", "current", F.col("n"))] if current else []))
+    moved = rows.select("session_id", *identity, F.inline(F.filter(moves, lambda m: m["n"] > 0)))
+    return moved.unionByName(_base_resolved(checkpoints, rows, base, identity))
+
+
+def introduced(rows: DataFrame, delta_scope: str, identity: list[str] = IDENTITY) -> DataFrame:
+    """The introduced rows of session_surplus of one comparison. rows: of along_sessions, or of against_base for the one with the baseline."""
+    was = "before" if delta_scope == "run_local" else "base"
+    return rows.where(F.col("n") > F.col(was)).select(*KEYS, *identity, F.lit(delta_scope).alias("delta_scope"), F.lit("introduced").alias("change_type"), (F.col("n") - F.col(was)).alias("n"))
+
+
+def _base_resolved(checkpoints: DataFrame, rows: DataFrame, base: DataFrame, identity: list[str]) -> DataFrame:
+    """Copies of the baseline that checkpoints do not hold, in the comparison with it, and in that with the checkpoint before a session's first."""
+    item = F.struct(*identity)
+    kept = rows.where("base > 0").groupBy("evaluation_id").agg(F.map_from_entries(F.collect_list(F.struct(item.alias("item"), "n"))).alias("kept"))  # no more entries than the baseline has
+    grid = checkpoints.where(F.col("session_id") != BASELINE).select(*KEYS, "step").join(kept, "evaluation_id", "left")
+    grid = grid.crossJoin(_small(base.select(*identity, F.col("n").alias("base"))))
+    left = grid.withColumn("n", F.col("base") - F.coalesce(F.try_element_at("kept", item), F.lit(0))).where("n > 0")
+    scopes = F.when(F.col("step") == 1, F.array(F.lit("trajectory_cumulative"), F.lit("run_local"))).otherwise(F.array(F.lit("trajectory_cumulative")))
+    return left.select(*KEYS, *identity, F.explode(scopes).alias("delta_scope"), F.lit("resolved").alias("change_type"), F.col("n").cast("long").alias("n"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has no more than BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def score_diff(post: DataFrame, pre: DataFrame, keys: list[str]) -> DataFrame:
     """from, to, delta and status of every metric after; a missing side is unavailable."""
     return _with_delta(post.withColumnRenamed("value", "to").join(pre.withColumnRenamed("value", "from"), keys, "left"))

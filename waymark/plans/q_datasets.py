@@ -9,9 +9,9 @@ from waymark.functions.checkpoints import settled
 from waymark.operators import datasets as C
 from waymark.operators import stages as T
 from waymark.plans import bindings as B
-from waymark.plans.bindings import checkpoints, completion, findings, observations, with_sql
+from waymark.plans.bindings import completion, findings, observations, with_sql
 from waymark.plans.core import query
-from waymark.plans.q_diff import FAILURES_SQL, changes, failures, local_changes, runs
+from waymark.plans.q_diff import FAILURES_SQL, changes, compared, failures, local_introduced, runs, steps
 from waymark.plans.q_stages import _MATCH, cells, files
 
 _LABEL = "upper(left(agent, 1)) || substr(agent, 2) || ' ' || upper(left(strategy, 1)) || substr(strategy, 2)"
@@ -37,25 +37,40 @@ dataset_e AS (SELECT v.session_id, n_findings AS self_reported_finding_count, r.
 B._NEEDS |= {"dataset_a": ["runs", "completion"], "dataset_b": ["changes", "concerns"], "dataset_c": ["dataset_b", "bounds"], "matches": ["findings", "review_findings"], "dataset_e": ["matches", "runs", "completion"]}
 
 
-def dataset_a(spark, d):
-    return C.dataset_a(runs(spark, d), completion(spark, d))
+def dataset_a(spark, d, cp=None, base=None, rows=None):
+    cp, base = steps(spark, d) if cp is None else (cp, base)
+    return C.dataset_a(runs(spark, d, cp, base, rows), completion(spark, d, cp))
 
 
-def dataset_b(spark, d, cp=None):
-    cp = settled(checkpoints(spark, d)) if cp is None else cp
-    return C.dataset_b(cp, changes(spark, d, cp), dims.concerns(spark))
+def dataset_b(spark, d, cp=None, base=None, rows=None):
+    cp, base = steps(spark, d) if cp is None else (cp, base)
+    return C.dataset_b(cp, changes(spark, d, cp, base, rows), dims.concerns(spark))
+
+
+def both(spark, d):
+    """What datasets A and B are made of: checkpoints, the baseline's counts, and the findings beside their neighbours', all settled."""
+    cp, base = steps(spark, d)
+    return cp, base, settled(compared(spark, d, cp, base))
+
+
+def with_runs(spark, d):
+    """Dataset A and the runs it is made of, which are computed once."""
+    cp, base = steps(spark, d)
+    made = settled(runs(spark, d, cp, base))
+    return C.dataset_a(made, completion(spark, d, cp)), made
 
 
 def dataset_c(spark, d):
     """Of dataset B only the concerns that a checkpoint's own task failed are needed."""
-    cp = settled(checkpoints(spark, d))
+    cp, base = steps(spark, d)
     metrics = settled(observations(spark, d, cp))
-    return C.dataset_c(metrics, T.metric_bounds(metrics), C.failed_concerns(local_changes(spark, d, cp)))
+    return C.dataset_c(metrics, T.metric_bounds(metrics), C.failed_concerns(local_introduced(spark, d, cp, base)))
 
 
-def dataset_e(spark, d):
-    matches = T.location_matches(B.review_findings(spark, d), findings(spark, d))
-    return C.dataset_e(B.reviews(spark, d), runs(spark, d), matches, completion(spark, d), TASKS)
+def dataset_e(spark, d, cp=None, base=None, rows=None):
+    cp, base = steps(spark, d) if cp is None else (cp, base)
+    matches = T.location_matches(B.review_findings(spark, d), findings(spark, d, cp))
+    return C.dataset_e(B.reviews(spark, d), runs(spark, d, cp, base, rows), matches, completion(spark, d, cp), TASKS)
 
 
 @query("c01_dataset_a", with_sql("dataset_a", "SELECT * FROM dataset_a"))
@@ -65,7 +80,8 @@ def c01(spark, d):
 
 @query("c02_audit_a", with_sql("dataset_a", "SELECT evaluation_id, true AS task_local_net_identity, true AS baseline_relative_net_identity, absolute_finding_count = coalesce(lag(absolute_finding_count) OVER (PARTITION BY session_id ORDER BY task_order), (SELECT total_findings_absolute FROM runs WHERE session_id = 'baseline')) + task_local_net_change AS absolute_from_local_identity, absolute_finding_count = (SELECT total_findings_absolute FROM runs WHERE session_id = 'baseline') + baseline_relative_net_change AS absolute_from_baseline_identity FROM dataset_a"))
 def c02(spark, d):
-    return C.audit_a(dataset_a(spark, d), runs(spark, d).where("session_id = 'baseline'").select(F.col("total_findings_absolute").alias("base")))
+    a, made = with_runs(spark, d)
+    return C.audit_a(a, made.where("session_id = 'baseline'").select(F.col("total_findings_absolute").alias("base")))
 
 
 @query("c03_dataset_b", with_sql("dataset_b", "SELECT * FROM dataset_b"))
@@ -75,7 +91,8 @@ def c03(spark, d):
 
 @query("c04_audit_b", with_sql("dataset_a dataset_b", "SELECT a.evaluation_id, a.absolute_finding_count = sum(b.absolute_finding_count) AND a.task_local_introduced_findings = sum(b.task_local_introduced_findings) AND a.baseline_relative_resolved_findings = sum(b.baseline_relative_resolved_findings) AS agrees FROM dataset_a a JOIN dataset_b b USING (evaluation_id) GROUP BY a.evaluation_id, a.absolute_finding_count, a.task_local_introduced_findings, a.baseline_relative_resolved_findings"))
 def c04(spark, d):
-    return C.audit_b(dataset_b(spark, d), dataset_a(spark, d))
+    made = both(spark, d)
+    return C.audit_b(dataset_b(spark, d, *made), dataset_a(spark, d, *made))
 
 
 @query("c05_dataset_c", with_sql("dataset_c", "SELECT * FROM dataset_c"))
@@ -95,7 +112,8 @@ def c07(spark, d):
 
 @query("c08_key_audit", with_sql("dataset_a dataset_b", "SELECT 'A' AS dataset, count(*) AS rows, 18 AS columns, CAST(0 AS BIGINT) AS duplicate_keys FROM dataset_a UNION ALL SELECT 'B', count(*), 12, 0 FROM dataset_b UNION ALL SELECT 'E', (SELECT count(*) FROM customer), 11, 0"))
 def c08(spark, d):
-    return C.key_audit(dataset_a(spark, d), "A", ["evaluation_id"]).unionByName(C.key_audit(dataset_b(spark, d), "B", ["evaluation_id", "concern"])).unionByName(C.key_audit(dataset_e(spark, d), "E", ["session_id"]))
+    made = both(spark, d)
+    return C.key_audit(dataset_a(spark, d, *made), "A", ["evaluation_id"]).unionByName(C.key_audit(dataset_b(spark, d, *made), "B", ["evaluation_id", "concern"])).unionByName(C.key_audit(dataset_e(spark, d, *made), "E", ["session_id"]))
 
 
 _ACCEPT = "CASE WHEN test_cases_passed IS NOT NULL THEN upper(left(functional_acceptance, 1)) || substr(functional_acceptance, 2) || ' (' || test_cases_passed || '/' || test_cases_total || ')' ELSE 'No data' END"
@@ -103,7 +121,7 @@ _ACCEPT = "CASE WHEN test_cases_passed IS NOT NULL THEN upper(left(functional_ac
 
 @query("c09_checkpoint_table", with_sql("dataset_a", f"SELECT 'Baseline' AS condition, 'E0' AS checkpoint, '—' AS acceptance, total_findings_absolute AS findings FROM runs WHERE session_id = 'baseline' UNION ALL SELECT condition, 'E' || task_order, {_ACCEPT}, absolute_finding_count FROM dataset_a"))
 def c09(spark, d):
-    return C.checkpoint_table(dataset_a(spark, d), runs(spark, d))
+    return C.checkpoint_table(*with_runs(spark, d))
 
 
 @query("c10_silent_cases", with_sql("dataset_c", "SELECT condition, 'E' || substr(task, 2) AS checkpoint, concern, metric_id, raw_value, adverse_fence, CASE WHEN baseline_value <> 0 THEN printf('%+.1f%%', 100 * baseline_relative_delta / baseline_value) ELSE 'n/a' END AS change FROM dataset_c WHERE silent_decay"))
@@ -123,7 +141,8 @@ def c12(spark, d):
 
 @query("c13_concern_totals", with_sql("dataset_b", f"SELECT * FROM (SELECT concern, {_LABEL} AS condition, CAST(sum(task_local_introduced_findings) AS BIGINT) AS introduced, CAST(sum(sum(task_local_introduced_findings)) OVER (PARTITION BY concern) AS BIGINT) AS total FROM dataset_b GROUP BY 1, 2) WHERE total > 0"))
 def c13(spark, d):
-    return C.concern_totals(dataset_b(spark, d))
+    cp, base = steps(spark, d)
+    return C.concern_totals(C.introduced_by_condition(cp, local_introduced(spark, d, cp, base), dims.concerns(spark)))
 
 
 @query("c14_prompt_delta", with_sql("dataset_a", "SELECT agent, task, round(avg(task_local_introduced_findings) FILTER (WHERE strategy = 'structured') - avg(task_local_introduced_findings) FILTER (WHERE strategy = 'minimal'), 6) AS delta FROM dataset_a GROUP BY 1, 2 HAVING delta IS NOT NULL"))

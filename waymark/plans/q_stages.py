@@ -11,7 +11,7 @@ from waymark.operators import stages as T
 from waymark.plans import bindings as B
 from waymark.plans.bindings import checkpoints, completion, findings, observations, table, with_sql
 from waymark.plans.core import query
-from waymark.plans.q_diff import changes, cumulative_changes, local_changes, runs
+from waymark.plans.q_diff import changes, compared, cumulative_introduced, local_introduced, runs, steps
 
 METRICS = [m for _, m, _ in B.METRICS]
 _CAT = "regexp_extract(rule_id, '^(BE|FE|CROSS)-([A-Z]+)-', 2)"
@@ -24,9 +24,9 @@ def bounds(spark, d):
 
 
 def cells(spark, d):
-    cp = settled(checkpoints(spark, d))
+    cp, base = steps(spark, d)
     metrics = settled(observations(spark, d, cp))
-    return T.silent_decay(cp, local_changes(spark, d, cp), metrics, T.metric_bounds(metrics), dims.concerns(spark))
+    return T.silent_decay(cp, local_introduced(spark, d, cp, base), metrics, T.metric_bounds(metrics), dims.concerns(spark))
 
 
 def files(spark, d):
@@ -36,7 +36,8 @@ def files(spark, d):
 @query("t01_run_overview", with_sql("runs completion", """SELECT r.evaluation_id, coalesce(c.agent_status = 'success', false) AS task_completed, r.execution_status = 'completed' AS harness_completed, c.test_status, run_local_introduced_count AS constraints_introduced_this_task,
 run_local_resolved_count AS constraints_resolved_this_task, trajectory_introduced_count AS cumulative_net_new_violations FROM runs r LEFT JOIN completion c USING (session_id, task_id)"""))
 def t01(spark, d):
-    return T.run_overview(runs(spark, d), completion(spark, d))
+    cp, base = steps(spark, d)
+    return T.run_overview(runs(spark, d, cp, base), completion(spark, d, cp))
 
 
 @query("t02_scope_breakdown", with_sql("findings", "SELECT evaluation_id, count(*) FILTER (WHERE scope_id = 'backend') AS backend, count(*) FILTER (WHERE scope_id = 'frontend') AS frontend, count(*) FILTER (WHERE scope_id = 'cross-stack') AS cross_stack FROM findings GROUP BY 1"))
@@ -86,8 +87,8 @@ profile AS (SELECT concern, layer, round(r, 6) AS mean_rate, round(100 * r / nul
 
 
 def profile(spark, d):
-    cp = settled(checkpoints(spark, d))
-    return T.concern_profile(cumulative_changes(spark, d, cp), cp, dims.concerns(spark))
+    cp, base = steps(spark, d)
+    return T.concern_profile(cumulative_introduced(spark, d, cp, base), cp, dims.concerns(spark))
 
 
 @query("t09_concern_profile", with_sql("changes concerns", _PROFILE + " SELECT * FROM profile"))
@@ -106,18 +107,20 @@ rule_diff AS (SELECT *, structured - minimal AS diff FROM rd)"""
 
 @query("t11_strategy_rule_diff", with_sql("changes", _RULE_DIFF + " SELECT * FROM rule_diff"))
 def t11(spark, d):
-    return T.strategy_rule_diff(local_changes(spark, d))
+    return T.strategy_rule_diff(local_introduced(spark, d))
 
 
 @query("t12_strategy_rule_diff_check", with_sql("runs changes", _RULE_DIFF + """, w AS (SELECT agent, task_id, avg(run_local_introduced_count) FILTER (WHERE strategy = 'structured') - avg(run_local_introduced_count) FILTER (WHERE strategy = 'minimal') AS expected FROM runs WHERE session_id <> 'baseline' GROUP BY 1, 2),
 g AS (SELECT agent, task_id, CAST(sum(diff) AS BIGINT) AS found FROM rule_diff GROUP BY 1, 2) SELECT agent, task_id, round(expected, 6) AS expected, found FROM (SELECT * FROM w WHERE expected IS NOT NULL) w FULL JOIN g USING (agent, task_id) WHERE NOT coalesce(abs(expected - found) < 1e-9, false)"""))
 def t12(spark, d):
-    return T.strategy_rule_diff_check(T.strategy_rule_diff(local_changes(spark, d)), runs(spark, d))
+    cp, base = steps(spark, d)
+    rows = settled(compared(spark, d, cp, base))
+    return T.strategy_rule_diff_check(T.strategy_rule_diff(diff.introduced(rows, "run_local")), runs(spark, d, cp, base, rows))
 
 
 @query("t13_rule_movement", with_sql("changes", _RULE_DIFF + " SELECT rule_id, count(*) FILTER (WHERE diff > 0) AS up, count(*) FILTER (WHERE diff < 0) AS down FROM rule_diff GROUP BY 1"))
 def t13(spark, d):
-    return T.rule_movement(T.strategy_rule_diff(local_changes(spark, d)))
+    return T.rule_movement(T.strategy_rule_diff(local_introduced(spark, d)))
 
 
 def _rates_sql(by):
@@ -128,14 +131,14 @@ rates AS (SELECT {', '.join('n.' + x for x in by)}, k.category, round(coalesce(f
 
 @query("t14_violation_rate_matrix", with_sql("changes", _rates_sql(["agent", "strategy"]) + " SELECT * FROM rates"))
 def t14(spark, d):
-    cp = settled(checkpoints(spark, d))
-    return T.violation_rates(local_changes(spark, d, cp), cp, ["agent", "strategy"])
+    cp, base = steps(spark, d)
+    return T.violation_rates(local_introduced(spark, d, cp, base), cp, ["agent", "strategy"])
 
 
 @query("t15_agent_profile", with_sql("changes", _rates_sql(["agent"]) + " SELECT *, rank() OVER (PARTITION BY agent ORDER BY rate) + (count(*) OVER (PARTITION BY agent, rate) - 1) / 2 AS rank FROM rates"))
 def t15(spark, d):
-    cp = settled(checkpoints(spark, d))
-    return T.agent_profile(T.violation_rates(local_changes(spark, d, cp), cp, ["agent"]))
+    cp, base = steps(spark, d)
+    return T.agent_profile(T.violation_rates(local_introduced(spark, d, cp, base), cp, ["agent"]))
 
 
 @query("t16_metric_bounds", with_sql("bounds", "SELECT * FROM bounds"))
@@ -190,7 +193,7 @@ def t20(spark, d):
 
 @query("t21_trajectory_by_category", with_sql("changes", f"SELECT agent, strategy, task_id, {_CAT} AS category, CAST(sum(n) AS BIGINT) AS findings FROM changes WHERE {CUMULATIVE} GROUP BY 1, 2, 3, 4"))
 def t21(spark, d):
-    return T.trajectory_by_category(cumulative_changes(spark, d))
+    return T.trajectory_by_category(cumulative_introduced(spark, d))
 
 
 @query("t22_trajectory_shape", with_sql("runs", """WITH d AS (SELECT session_id, task_order, trajectory_introduced_count AS v, trajectory_introduced_count - lag(trajectory_introduced_count) OVER w AS diff, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY session_id) AS points FROM runs WHERE session_id <> 'baseline' WINDOW w AS (PARTITION BY session_id ORDER BY task_order)),
