@@ -463,3 +463,20 @@ def test_session_comparison_equals_pairs_and_deals_findings_out_once(spark):
         assert Counter(tuple(r) for r in diff.introduced(beside, scope).select(*columns).collect()) == Counter({k: n for k, n in want.items() if k[0] == scope and k[-2] == "introduced"})
     plan = diff.introduced(beside, "run_local")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "delta_scope" in plan
+
+
+def test_documents_are_read_once_by_every_builder(spark):
+    doc = "evaluation_id string, session_id string, task_id string, task_order int, agent string, strategy string, " + S.EVALUATION.replace("task_id string, ", "").replace("`from`", "`from`")
+    f = lambda rule, scope=None: {"rule_id": rule, "scope": scope, "location": {"file": "f.ts"}, "message": None}
+    metric = lambda name, scope, delta: {"name": name, "scope": scope, "delta": delta}
+    made = {"evaluation_id": "S/T1", "session_id": "S", "scopes": [
+        {"scope_id": "backend", "layers": {"constraints": {"findings": [f("BE-A-C-1")]}, "metrics": [{"name": "m", "status": "pass", "score": "1"}, {"name": "k", "status": "pass", "score": "2"}]}}, {"scope_id": "frontend", "layers": None}],
+        "deltas": {"run_local": {"constraints": {"introduced": [f("BE-A-C-1", "backend")] * 2, "resolved": None}, "metrics": [metric("m", "backend", 1.0), metric("m", "backend", 2.0), metric("m", None, 3.0)]}}}
+    docs = spark.createDataFrame([made, {"evaluation_id": "S/T2", "session_id": "S"}], doc)
+    found = ingest.build_constraint_findings(docs)
+    assert sorted((r.evaluation_id, r.scope_id, r.file, r.message, r.delta_scope, r.change_type) for r in found.collect()) == [("S/T1", "backend", "backend/f.ts", "", "absolute", "current")] + [("S/T1", "backend", "backend/f.ts", "", "run_local", "introduced")] * 2
+    seen = ingest.build_metric_observations(docs)
+    assert sorted((r.metric_name, r.value, r.delta_run_local, r.delta_trajectory_cumulative) for r in seen.collect()) == [("k", 2.0, None, None), ("m", 1.0, 2.0, None)]
+    for df in (found, seen, ingest.build_runs(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and "Join" not in plan and "Aggregate" not in plan

@@ -41,28 +41,27 @@ def build_runs(docs: DataFrame) -> DataFrame:
 
 
 def build_constraint_findings(docs: DataFrame) -> DataFrame:
-    """Current findings of every scope, and what either comparison introduced or resolved."""
-    absolute = docs.select(*KEYS, F.explode("scopes").alias("s")).select(*KEYS, F.col("s.scope_id").alias("scope_id"), F.explode("s.layers.constraints.findings").alias("f"))
-    parts = [absolute.withColumns({"delta_scope": F.lit("absolute"), "change_type": F.lit("current")})]
-    for delta in ("run_local", "trajectory_cumulative"):
-        for change in ("introduced", "resolved"):
-            rows = docs.select(*KEYS, F.explode(f"deltas.{delta}.constraints.{change}").alias("f")).withColumns({"scope_id": F.col("f.scope"), "delta_scope": F.lit(delta), "change_type": F.lit(change)})
-            parts.append(rows)
-    cols = [*KEYS, "scope_id", F.col("f.rule_id").alias("rule_id"), N.category(F.col("f.rule_id")).alias("category"), N.finding_file(F.col("f.location.file"), F.col("scope_id")).alias("file"), F.coalesce("f.message", F.lit("")).alias("message"), "delta_scope", "change_type"]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out
+    """Current findings of every scope, and what either comparison introduced or resolved; from arrays of the same row, so a document is read once."""
+    row = lambda f, scope, delta, change: F.struct(scope.alias("scope_id"), f["rule_id"].alias("rule_id"), f["location"]["file"].alias("path"), f["message"].alias("message"), F.lit(delta).alias("delta_scope"), F.lit(change).alias("change_type"))
+    parts = [F.flatten(F.transform(F.filter("scopes", lambda s: s["layers"]["constraints"]["findings"].isNotNull()), lambda s: F.transform(s["layers"]["constraints"]["findings"], lambda f: row(f, s["scope_id"], "absolute", "current"))))]
+    moved = lambda delta, change: F.transform(f"deltas.{delta}.constraints.{change}", lambda f: row(f, f["scope"], delta, change))
+    parts += [moved(delta, change) for delta in ("run_local", "trajectory_cumulative") for change in ("introduced", "resolved")]
+    flat = docs.select(*KEYS, F.explode(F.array(*parts)).alias("part")).select(*KEYS, F.inline("part"))
+    return flat.select(*KEYS, "scope_id", "rule_id", N.category(F.col("rule_id")).alias("category"), N.finding_file(F.col("path"), F.col("scope_id")).alias("file"), F.coalesce("message", F.lit("")).alias("message"), "delta_scope", "change_type")
 
 
 def build_metric_observations(docs: DataFrame) -> DataFrame:
-    """Every metric of every scope with its two deltas; the last of repeated deltas counts."""
-    metrics = docs.select(*KEYS, F.explode("scopes").alias("s")).select(*KEYS, F.col("s.scope_id").alias("scope_id"), F.explode("s.layers.metrics").alias("m"))
-    out = metrics.select(*KEYS, "scope_id", F.col("m.name").alias("metric_name"), N.category(F.col("m.name")).alias("category"), F.col("m.status").alias("status"), N.metric_value(F.col("m.score")).alias("value"), F.col("m.direction").alias("direction"))
-    for delta in ("run_local", "trajectory_cumulative"):
-        flat = docs.select("evaluation_id", F.posexplode(f"deltas.{delta}.metrics").alias("at", "d")).groupBy("evaluation_id", F.col("d.scope").alias("scope_id"), F.col("d.name").alias("metric_name")).agg(F.max_by("d.delta", "at").alias(f"delta_{delta}"))
-        out = out.join(flat, ["evaluation_id", "scope_id", "metric_name"], "left")
-    return out
+    """Every metric of every scope with its two deltas; the last of repeated deltas counts. Deltas are found in the same row, so nothing is shuffled."""
+    held = {d: F.filter(F.col(f"deltas.{d}.metrics"), lambda m: m["scope"].isNotNull() & m["name"].isNotNull()) for d in ("run_local", "trajectory_cumulative")}
+    named = [x for d, a in held.items() for x in (F.reverse(F.transform(a, lambda m: F.struct(m["scope"].alias("scope"), m["name"].alias("name")))).alias(f"__names_{d}"), F.reverse(F.transform(a, lambda m: m["delta"])).alias(f"__deltas_{d}"))]
+    rows = docs.select(*KEYS, "scopes", *named)
+    others = [c for c in rows.columns if c not in (*KEYS, "scopes")]
+    rows = rows.select(*KEYS, *others, F.explode("scopes").alias("s")).select(*KEYS, *others, F.col("s.scope_id").alias("scope_id"), F.explode("s.layers.metrics").alias("m"))
+    own = F.when(F.col("scope_id").isNotNull() & F.col("m.name").isNotNull(), F.struct(F.col("scope_id").alias("scope"), F.col("m.name").alias("name")))
+    delta = lambda d: F.get(f"__deltas_{d}", F.nullif(F.array_position(f"__names_{d}", own), F.lit(0)).cast("int") - 1).alias(f"delta_{d}")
+    return rows.select(
+        "evaluation_id", "scope_id", F.col("m.name").alias("metric_name"), *[c for c in KEYS if c != "evaluation_id"], N.category(F.col("m.name")).alias("category"), F.col("m.status").alias("status"),
+        N.metric_value(F.col("m.score")).alias("value"), F.col("m.direction").alias("direction"), *[delta(d) for d in held])
 
 
 def version_key(version):
