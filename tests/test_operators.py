@@ -480,3 +480,14 @@ def test_documents_are_read_once_by_every_builder(spark):
     for df in (found, seen, ingest.build_runs(docs)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Union" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_texts_are_listed_and_read_in_tasks(spark, tmp_path):
+    for name, text in {"a/S 1/T1/x.json": "é\n2", "a/S2/T1/x.json": "", "b/S3/T2/x.json": "z", "b/S3/T2/y.json": "no", "_c/S4/T1/x.json": "no", "b/.h/T1/x.json": "no"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = S.read_texts(spark, f"{tmp_path}/*/*/*/x.json")
+    want = spark.read.text(f"{tmp_path}/*/*/*/x.json", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in map(tuple, want.collect()) if "/_c/" not in r[1] and "/.h/" not in r[1])
+    assert got.rdd.getNumPartitions() > 1 and "FileScan" not in got._jdf.queryExecution().executedPlan().toString()  # no index of files in the driver
+    assert S.read_texts(spark, f"{tmp_path}/none/*/x.json").count() == 0 and S.read_texts(spark, f"{tmp_path}/b/S3/T2/x.json").first().value == "z"

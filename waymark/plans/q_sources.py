@@ -49,12 +49,13 @@ def _folder(spark):
 
 
 def _sessions(spark, d, texts):
-    """A folder of sessions, one for each customer; texts: file name by column of customer that holds its text."""
-    rows = table(spark, d, "customer").select(F.concat(F.lit("S"), F.col("c_custkey")).alias("session"), *[t.alias(f"f{i}") for i, (_, t) in enumerate(texts)])
+    """Folders of sessions, one for each customer, in shards; texts: file name by column of customer that holds its text."""
+    session = F.concat(F.lit("S"), F.col("c_custkey"))
+    rows = table(spark, d, "customer").select(F.concat_ws("/", S.shard(session), session).alias("session"), *[t.alias(f"f{i}") for i, (_, t) in enumerate(texts)])
     files = F.array(*[F.struct(F.concat_ws("/", "session", F.lit(name)).alias("path"), F.col(f"f{i}").alias("text")) for i, (name, _) in enumerate(texts)])
     folder = _folder(spark)
     S.write_artifacts(rows.select(F.inline(files)), folder)
-    return folder
+    return f"{folder}/*"
 
 
 def _evaluations(spark, d):

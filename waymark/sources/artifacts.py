@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
 from graphlib import CycleError, TopologicalSorter
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -40,6 +43,15 @@ TEST_EXECUTION = (
 )
 
 
+#: Tasks that write or read artifacts; folders of so many shards keep every listing short.
+TASKS, SHARDS = 256, 1024
+
+
+def shard(session: Column) -> Column:
+    """The folder that a session lies in where there are too many for one."""
+    return F.concat(F.lit("shard-"), F.pmod(F.crc32(session.cast("binary")), F.lit(SHARDS)))
+
+
 def write_artifacts(artifacts: DataFrame, folder: str) -> int:
     """Writes rows (path, text) as one file each below `folder`, a URI that driver and executors share; how many there are.
 
@@ -55,10 +67,63 @@ def write_artifacts(artifacts: DataFrame, folder: str) -> int:
                     out.write(text.encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    written = artifacts.select("path", "text").mapInArrow(write, "n long")
+    written = artifacts.select("path", "text").repartition(TASKS, "path").mapInArrow(write, "n long")
     return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def read_texts(spark: SparkSession, glob: str) -> DataFrame:
+    """(value, path) of the files that a glob names, listed and read in tasks; the driver sees no file's name, however many there are.
+
+    One task lists the first folder with a wildcard; what it finds is dealt out, and each task walks on from there, a
+    folder at a time. So sessions are best laid out in shards, and named by `folder/*`. Names that start with a dot or underscore are left out.
+    """
+    steps = re.split(r"/(?=[^/]*[*?\[])", glob, maxsplit=1)
+    home, inner = steps[0], steps[1].split("/") if len(steps) > 1 else []
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    root = re.sub("^file:/(?!/)", "file:///", at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString())
+
+    def found(fs: pafs.FileSystem, path: str, names: list[str]) -> Iterator[str]:
+        if not names:
+            yield path
+            return
+        name, *rest = names
+        wild = any(c in name for c in "*?[")
+        infos = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if wild else [fs.get_file_info(f"{path}/{name}")]
+        for info in infos:
+            own = info.path.rpartition("/")[2]
+            if info.type == (pafs.FileType.Directory if rest else pafs.FileType.File) and (not wild or (fnmatchcase(own, name) and not own.startswith((".", "_")))):
+                yield from found(fs, info.path, rest)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for _ in (row for batch in batches for row in range(batch.num_rows)):
+            infos = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if inner else [fs.get_file_info(base)]
+            kind = pafs.FileType.Directory if len(inner) > 1 else pafs.FileType.File
+            names = [i.path for i in infos if i.type == kind and (not inner or (fnmatchcase(i.base_name, inner[0]) and not i.base_name.startswith((".", "_"))))]
+            for k in range(0, len(names), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 10_000], pa.string())], names=["at"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        head, texts, paths, size = root.removesuffix(base).replace("file://", "file:"), [], [], 0
+        for place in (p for batch in batches for p in batch.column(0).to_pylist()):
+            for path in found(fs, place, inner[1:]):
+                with fs.open_input_stream(path) as file:
+                    data = file.read()
+                if not data:  # Spark's text reader has no row for an empty file either
+                    continue
+                texts.append(data.decode("utf-8", "replace"))
+                paths.append(head + quote(path, safe="/!$&'()*+,;=:@~"))
+                size += len(data)
+                if len(texts) == 1000 or size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(paths, pa.string())], names=["value", "path"])
+                    texts, paths, size = [], [], 0
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(paths, pa.string())], names=["value", "path"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(listed, "at string").repartition(TASKS).mapInArrow(read, "value string, path string")
+
+
 def read_artifacts(spark: SparkSession, globs: list[str], ddl: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of JSON artifacts, one a file: session_id and task_id come from the path.
 
@@ -68,12 +133,7 @@ def read_artifacts(spark: SparkSession, globs: list[str], ddl: str) -> tuple[Dat
     known = StructType([*schema.fields]).add("_corrupt_record", "string")
     out = spark.createDataFrame([], StructType([*known.fields]).add("path", "string"))
     for glob in globs:
-        try:
-            text = spark.read.text(glob, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            continue
+        text = read_texts(spark, glob)
         parsed = F.from_json("value", known, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
         out = out.unionByName(text.select("path", parsed.alias("j")).select("j.*", "path"))
     session = N._blank_to_null(F.regexp_extract("path", r"/([^/]+)/(?:T\d+|Base)/", 1))
@@ -106,14 +166,14 @@ def read_test_executions(spark: SparkSession, sessions: str) -> tuple[DataFrame,
 
 def read_session_config(spark: SparkSession, sessions: str) -> DataFrame:
     """session_id, agent, strategy, model, created_at from flat YAML manifests."""
-    text = spark.read.text(f"{sessions}/*/session_manifest.yaml", wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    text = read_texts(spark, f"{sessions}/*/session_manifest.yaml")
     value = lambda k, indent: N._blank_to_null(F.trim(F.regexp_replace(F.regexp_extract("value", rf"(?m)^{indent}{k}:[ \t]*([^\n#]*)", 1), "^['\"]|['\"]\\s*$", "")))
     return text.select(F.regexp_extract("path", "/([^/]+)/session_manifest.yaml$", 1).alias("session_id"), *[value(k, r"\s+").alias(k) for k in ("agent", "strategy", "model")], value("created_at", "").alias("created_at"))
 
 
 def read_reviews(spark: SparkSession, sessions: str, task: str = "T4") -> DataFrame:
     """session_id, text of reviews whose task has a manifest."""
-    read = lambda name: spark.read.text(f"{sessions}/*/{task}/{name}", wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)/{task}/", 1).alias("session_id"))
+    read = lambda name: read_texts(spark, f"{sessions}/*/{task}/{name}").select("value", F.regexp_extract("path", rf"/([^/]+)/{task}/", 1).alias("session_id"))
     manifests = read("task_manifest.yaml").select("session_id", *[N._blank_to_null(F.regexp_extract("value", rf"(?m)^\s*{k}:[ \t]*['\"]?([^'\"\n]*)", 1)).alias(k) for k in ("reviewed_from_tag", "reviewed_commit")])
     return read("review.md").withColumnRenamed("value", "text").join(manifests, "session_id")
 
