@@ -491,3 +491,13 @@ def test_texts_are_listed_and_read_in_tasks(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(r for r in map(tuple, want.collect()) if "/_c/" not in r[1] and "/.h/" not in r[1])
     assert got.rdd.getNumPartitions() > 1 and "FileScan" not in got._jdf.queryExecution().executedPlan().toString()  # no index of files in the driver
     assert S.read_texts(spark, f"{tmp_path}/none/*/x.json").count() == 0 and S.read_texts(spark, f"{tmp_path}/b/S3/T2/x.json").first().value == "z"
+
+
+def test_edges_are_dealt_in_parts_of_a_bounded_size(spark, monkeypatch):
+    from waymark.plans import q_metrics
+
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(q_metrics, "_ROWS_A_TASK", 500)
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    plan = q_metrics.edges(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {lines // 500}" in plan and lines // 500 > 4  # as many parts as the lines ask for, at any setting of shuffle partitions
