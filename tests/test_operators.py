@@ -171,6 +171,28 @@ def test_clone_windows_by_class(spark):
     assert got == {"exact": 1.0, "different": 0.0, "short": 0.0, "self": 1.0}
 
 
+def test_windows_of_texts_that_are_nowhere_else_are_not_shuffled(spark):
+    texts = [" ".join(f"f{chr(97 + f // 26)}{chr(97 + f % 26)}{chr(97 + i // 26 // 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(2000)) for f in range(40)]
+    df = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "project string, file long, text string").select("project", "file", M.normalised_tokens(F.col("text")).alias("tokens"))
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    assert M.clone_lines(df).first().cloned_lines == 0
+    assert written() - before < 8 * 40 * 1951  # a rank for every window
+
+
+@pytest.mark.parametrize("texts", [["x " * 14], ["x " * 40], ["x " * 60], ["x y " * 30 + "z"], ["x " * 11, "x " * 8], ["x " * 50, "x " * 50 + "y " * 50, "y " * 6]])
+def test_clones_of_texts_that_repeat_one_word(spark, texts):
+    df = spark.createDataFrame([("p", i, t.replace(" ", "\n")) for i, t in enumerate(texts)], "project string, file long, text string").select("project", "file", M.normalised_tokens(F.col("text")).alias("tokens"))
+    files = {r.file: [(t.tok, t.line) for t in r.tokens] for r in df.collect()}
+    for window in (6, 7, 8):
+        got = M.clone_lines(df, window).first()
+        assert (got.lines, got.cloned_lines) == brute_clones(files, window, M.LARGEST_BUCKET)
+
+
 def test_a_bridge_between_cycles_is_not_cyclic(spark):
     edges = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("x", "y"), ("z", "z"), ("q", None)]
     df = spark.createDataFrame([("p", a, b) for a, b in edges], "project string, src string, dst string")
