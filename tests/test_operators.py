@@ -523,3 +523,50 @@ def test_edges_are_dealt_in_parts_of_a_bounded_size(spark, monkeypatch):
     lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
     plan = q_metrics.edges(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert f", {lines // 500}" in plan and lines // 500 > 4  # as many parts as the lines ask for, at any setting of shuffle partitions
+
+
+def test_findings_of_a_row_are_put_beside_each_other(spark):
+    gen = random.Random(5)
+    made = [[dict(Counter((gen.choice(["backend", None]), f"r{gen.randrange(3)}", gen.choice(["f", None]), "m") for _ in range(gen.choice([0, 3, 9])))) for _ in range(3)] for _ in range(40)]
+    as_items = lambda side: [({c: v for c, v in zip(diff.IDENTITY, k, strict=True)}, n) for k, n in side.items()] or None
+    one = "array<struct<item:struct<scope_id:string,rule_id:string,file:string,message:string>,n:long>>"
+    df = spark.createDataFrame([(i, *map(as_items, sides)) for i, sides in enumerate(made)], f"i int, now {one}, before {one}, base {one}")
+    out = diff.beside_in_row(df, F.col("now"), F.col("before"), F.col("base"), "beside")
+    got = {r.i: Counter((tuple(x["item"]), x["n"], x["before"], x["base"]) for x in r.beside) for r in out.collect()}
+    assert got == {i: Counter((k, *[s.get(k, 0) for s in sides]) for k in set().union(*sides)) for i, sides in enumerate(made)}
+    assert out.columns == ["i", "now", "before", "base", "beside"]
+
+
+def test_equal_findings_of_a_document_are_counted_in_its_row(spark):
+    doc = "evaluation_id string, session_id string, task_id string, task_order int, agent string, strategy string, " + S.EVALUATION.replace("task_id string, ", "")
+    f = lambda rule, file, scope=None, message=None: {"rule_id": rule, "scope": scope, "location": {"file": file}, "message": message}
+    held = [f("BE-A-C-1", "f.ts"), f("BE-A-C-2", "backend/f.ts"), f("BE-A-C-1", "f.ts", message=""), f(None, None), f("BE-A-C-1", "g.ts"), f(None, None)]
+    scopes = [{"scope_id": s, "layers": {"constraints": {"findings": x}}} for s, x in (("backend", held), (None, held[:1]), ("frontend", None))]
+    deltas = {"run_local": {"constraints": {"introduced": [f("BE-A-C-1", "f.ts", "backend")] * 3, "resolved": []}}, "trajectory_cumulative": {"constraints": {"resolved": [f("BE-A-C-1", "f.ts", None)]}}}
+    docs = spark.createDataFrame([{"evaluation_id": e, "session_id": "S", "scopes": scopes, "deltas": deltas} for e in ("S/T1", "S/T2")] + [{"evaluation_id": "S/T3", "session_id": "S"}], doc)
+    by = ["scope_id", "category", "file", "message"]
+    kept = ["evaluation_id", *by, "delta_scope", "change_type"]
+    got = ingest.build_constraint_findings(docs, by=by)
+    want = ingest.build_constraint_findings(docs).groupBy(*kept).count()
+    assert sorted(map(repr, got.select(*kept, "n").collect())) == sorted(map(repr, want.withColumnRenamed("count", "n").collect()))
+    assert {r.n for r in got.collect()} == {1, 2, 3}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["i02_constraint_findings"])
+def test_documents_shuffle_findings_by_order_and_by_session_alone(spark, name):
+    """Bytes shuffled and settled for a line item: 56 for i02 at sf0.01, 345 before, when documents were put together by shuffles of settled rows."""
+    from waymark.functions import checkpoints
+    from waymark.plans.registry import QUERIES
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    data = "/root/testdata/sf0.01"
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    start, had = written(), len(checkpoints._SETTLED.get(spark.sparkContext.applicationId, []))
+    QUERIES[name](spark, data).write.format("noop").mode("overwrite").save()
+    assert len(checkpoints._SETTLED.get(spark.sparkContext.applicationId, [])) == had
+    assert (written() - start) / lines < 100

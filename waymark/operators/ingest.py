@@ -40,23 +40,46 @@ def build_runs(docs: DataFrame) -> DataFrame:
     })
 
 
-def build_constraint_findings(docs: DataFrame) -> DataFrame:
-    """Current findings of every scope, and what either comparison introduced or resolved; from arrays of the same row, so a document is read once."""
-    row = lambda f, scope, delta, change: F.struct(scope.alias("scope_id"), f["rule_id"].alias("rule_id"), f["location"]["file"].alias("path"), f["message"].alias("message"), F.lit(delta).alias("delta_scope"), F.lit(change).alias("change_type"))
-    parts = [F.flatten(F.transform(F.filter("scopes", lambda s: s["layers"]["constraints"]["findings"].isNotNull()), lambda s: F.transform(s["layers"]["constraints"]["findings"], lambda f: row(f, s["scope_id"], "absolute", "current"))))]
-    moved = lambda delta, change: F.transform(f"deltas.{delta}.constraints.{change}", lambda f: row(f, f["scope"], delta, change))
-    parts += [moved(delta, change) for delta in ("run_local", "trajectory_cumulative") for change in ("introduced", "resolved")]
-    flat = docs.select(*KEYS, F.explode(F.array(*parts)).alias("part")).select(*KEYS, F.inline("part"))
+def build_constraint_findings(docs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Current findings of every scope, and what either comparison introduced or resolved; from arrays of the same row, so a document is read once.
+
+    by: columns of findings (scope_id, rule_id, category, file, message); what is equal in them within a document, comparison and
+    change is one row with `n`, their number. That is counted in the row as well, so no document is shuffled or held beside another.
+    """
+    named = lambda f, scope: {"scope_id": scope, "rule_id": f["rule_id"], "category": N.category(f["rule_id"]), "file": N.finding_file(f["location"]["file"], scope), "message": F.coalesce(f["message"], F.lit(""))}
+    raw = lambda f, scope: F.struct(scope.alias("scope_id"), f["rule_id"].alias("rule_id"), f["location"]["file"].alias("path"), f["message"].alias("message"))
+    row = (lambda f, scope: F.struct(*[named(f, scope)[c].alias(c) for c in by])) if by else raw
+    changes = [("absolute", "current"), *[(delta, change) for delta in ("run_local", "trajectory_cumulative") for change in ("introduced", "resolved")]]
+    current = F.flatten(F.transform(F.filter("scopes", lambda s: s["layers"]["constraints"]["findings"].isNotNull()), lambda s: F.transform(s["layers"]["constraints"]["findings"], lambda f: row(f, s["scope_id"]))))
+    parts = [current, *[F.transform(f"deltas.{delta}.constraints.{change}", lambda f: row(f, f["scope"])) for delta, change in changes[1:]]]
+    put = lambda part, what: F.struct(F.lit(what[0]).alias("delta_scope"), F.lit(what[1]).alias("change_type"), part.alias("rows"))
+    if by:
+        counted = _runs(docs.select(*KEYS, *[F.sort_array(p).alias(f"p{i}") for i, p in enumerate(parts)]), [f"p{i}" for i in range(len(parts))])
+        flat = counted.select(*KEYS, F.inline(F.array(*[put(F.col(f"p{i}"), what) for i, what in enumerate(changes)]))).select(*KEYS, "delta_scope", "change_type", F.inline("rows"))
+        return flat.select(*KEYS, *[f"item.{c}" for c in by], "delta_scope", "change_type", "n")
+    flat = docs.select(*KEYS, F.inline(F.array(*[put(*x) for x in zip(parts, changes, strict=True)]))).select(*KEYS, "delta_scope", "change_type", F.inline("rows"))
     return flat.select(*KEYS, "scope_id", "rule_id", N.category(F.col("rule_id")).alias("category"), N.finding_file(F.col("path"), F.col("scope_id")).alias("file"), F.coalesce("message", F.lit("")).alias("message"), "delta_scope", "change_type")
 
 
+def _runs(df: DataFrame, arrays: list[str]) -> DataFrame:
+    """df with each sorted array as (item, n): equal elements and how many there are."""
+    others = [c for c in df.columns if c not in arrays]
+    first = lambda a: F.filter(F.transform(a, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(a, i - 1)), i)), lambda i: i.isNotNull())
+    starts = df.select(*others, *arrays, *[first(a).alias(f"__{a}") for a in arrays])
+    run = lambda a: F.transform(f"__{a}", lambda i, k: F.struct(F.get(a, i).alias("item"), (F.coalesce(F.get(f"__{a}", k + 1), F.size(a)) - i).cast("long").alias("n")))
+    return starts.select(*others, *[run(a).alias(a) for a in arrays])
+
+
 def build_metric_observations(docs: DataFrame) -> DataFrame:
-    """Every metric of every scope with its two deltas; the last of repeated deltas counts. Deltas are found in the same row, so nothing is shuffled."""
+    """Every metric of every scope with its two deltas; the last of repeated deltas counts. Deltas are found in the same row, so nothing is shuffled.
+
+    The outer form keeps Spark from filtering documents by their scopes first, which would make these twice; the second explode drops what has none.
+    """
     held = {d: F.filter(F.col(f"deltas.{d}.metrics"), lambda m: m["scope"].isNotNull() & m["name"].isNotNull()) for d in ("run_local", "trajectory_cumulative")}
     named = [x for d, a in held.items() for x in (F.reverse(F.transform(a, lambda m: F.struct(m["scope"].alias("scope"), m["name"].alias("name")))).alias(f"__names_{d}"), F.reverse(F.transform(a, lambda m: m["delta"])).alias(f"__deltas_{d}"))]
     rows = docs.select(*KEYS, "scopes", *named)
     others = [c for c in rows.columns if c not in (*KEYS, "scopes")]
-    rows = rows.select(*KEYS, *others, F.explode("scopes").alias("s")).select(*KEYS, *others, F.col("s.scope_id").alias("scope_id"), F.explode("s.layers.metrics").alias("m"))
+    rows = rows.select(*KEYS, *others, F.explode_outer("scopes").alias("s")).select(*KEYS, *others, F.col("s.scope_id").alias("scope_id"), F.explode("s.layers.metrics").alias("m"))
     own = F.when(F.col("scope_id").isNotNull() & F.col("m.name").isNotNull(), F.struct(F.col("scope_id").alias("scope"), F.col("m.name").alias("name")))
     delta = lambda d: F.get(f"__deltas_{d}", F.nullif(F.array_position(f"__names_{d}", own), F.lit(0)).cast("int") - 1).alias(f"delta_{d}")
     return rows.select(
